@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, nearest, quality, sharding, token_counts, token_files, toxicity
+from . import bpe, jaccard, nearest, quality, sharding, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -42,7 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_nearest, op5_bpe, op8_toxicity, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_jaccard_join, op4_nearest, op5_bpe, op8_toxicity, op9_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
