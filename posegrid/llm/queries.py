@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, nearest, quality, sharding, token_counts, token_files, toxicity
+from . import bpe, decontaminate, jaccard, nearest, quality, repeats, sharding, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_jaccard_join, op4_nearest, op5_bpe, op6_decontamination, op8_toxicity, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_jaccard_join, op4_nearest, op5_bpe, op6_decontamination, op7_repeats, op8_toxicity, op9_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
