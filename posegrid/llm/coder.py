@@ -3,19 +3,20 @@
 A stream is cut into blocks that are reset, coded and checksummed on their own,
 so any block can be read without the others.  In a block, three models predict
 the next id from the last 0, 1 and 2 ids; each keeps an id and a confidence for
-a context.  Their predictions are mixed,
+a context.  A mixing table turns the three confidences, and which predictions
+agree, into the probabilities of the predicted ids and of an escape:
 
-    P(id) = sum of weight[k] * hit[k, confidence] over the models k that predict it
-            + (the rest) * P0(id),
+    P(id) = mixed weight of the models that predict it,
+    P(escape) * P0(id) otherwise,
 
-where ``hit`` is each model's measured rate at a confidence, the weights follow
-Bayes' rule, and ``P0`` is an adaptive order-0 distribution over magnitudes (bit
-lengths), uniform inside each.  A range coder with 64-bit state and 32-bit words
-codes the prediction that came true or an escape with magnitude and offset.
+where ``P0`` is the block's own order-0 distribution over magnitudes (bit
+lengths; it stands before the block), uniform inside each.  Confidences adapt
+with every id.  A range coder with 64-bit state and 32-bit words codes which
+prediction came true, or the escape with its magnitude and offset.
 
 All blocks of a call are coded side by side: step ``t`` handles the ``t``-th id
-of every block in array operations.  Only sums, products and quotients of
-doubles take part, so any machine decodes what another one wrote.
+of every block in array operations on integers, so any machine decodes what
+another one wrote.
 """
 
 from __future__ import annotations
@@ -25,220 +26,239 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 2048
-_SLOT_BITS = 11
+BLOCK, LANES = 1024, 4096
+_SLOT_BITS = 10
 _SLOTS = 1 << _SLOT_BITS
-_TOTAL_BITS = 16
-_TOTAL = 1 << _TOTAL_BITS
-_LEAST_ESCAPE = 1 << 8
-_SIZE_BITS = 12
-_MAGNITUDES = 33
-_REFRESH = 32
-_MAGIC = b"PGT1"
+_MIX_BITS = 12
+_SIZE_BITS = 8
+_MAGNITUDES = 25
+#: Ids stay below this, so that an offset always has room in the span.
+MOST = 1 << 24
+_MAGIC = b"PGT2"
 _U = np.uint64
+_LOW = _U(0xFFFFFFFF)
+_LEVELS = 8
+
+
+def _mixing_table() -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the outcomes (order 2, 1, 0, escape) for each state.
+
+    A state is the three confidences and the agreements 2=1, 2=0, 1=0.  Each
+    order is weighted by how far it has been right; a prediction shared by two
+    orders gets both shares, on the highest order.
+    """
+    states = np.arange(_LEVELS**3 * 8)
+    same = [(states >> k & 1).astype(bool) for k in range(3)]
+    level = [(states >> 3) // _LEVELS**k % _LEVELS for k in (2, 1, 0)]  # orders 2, 1, 0
+    rate = np.array([0, 6, 16, 30, 44, 58, 70, 80])  # hits in 100 at each confidence
+    trust = [8, 5, 1]
+    total = np.maximum(sum(t * rate[x] for t, x in zip(trust, level)), 1)
+    best = np.maximum(np.maximum(rate[level[0]], rate[level[1]] * 9 // 10), rate[level[2]] // 8)
+    room = (1 << _MIX_BITS) - 8
+    share = [room * best * t * rate[x] // (100 * total) for t, x in zip(trust, level)]
+    two, one, zero = share
+    two, one = two + np.where(same[0], one, 0), np.where(same[0], 0, one)
+    two, zero = two + np.where(same[1], zero, 0), np.where(same[1], 0, zero)
+    one, zero = one + np.where(same[2] & ~same[1], zero, 0), np.where(same[2] & ~same[1], 0, zero)
+    width = np.stack([two, one, zero, (1 << _MIX_BITS) - two - one - zero], 1)
+    return (np.cumsum(width, 1) - width).astype(_U), width.astype(_U)
+
+
+_START, _WIDTH = (x.ravel() for x in _mixing_table())
+_ENDS = (_START + _WIDTH).reshape(-1, 4)[:, :3].astype(np.int64)
+#: What becomes of a confidence on a hit and on a miss.
+_UP = np.minimum(np.arange(_LEVELS) + 1, _LEVELS - 1)
 
 
 class _Model:
-    """State of the predictors of ``n`` blocks side by side."""
+    """Predictors of ``n`` blocks side by side; an entry is id * 8 + confidence."""
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.id = [np.full(n, -1, np.int64), np.full(n * _SLOTS, -1, np.int32), np.full(n * _SLOTS, -1, np.int32)]
-        self.sure = [np.zeros(n, np.uint8), np.zeros(n * _SLOTS, np.uint8), np.zeros(n * _SLOTS, np.uint8)]
-        self.hit = [np.tile(np.linspace(0.02, 0.72, 8), (n, 1)).ravel() for _ in range(3)]
-        self.weight = np.full((3, n), 1 / 3)
-        self.last = np.zeros((2, n), np.int64)
-        prior = np.ones(_MAGNITUDES)
-        prior[8:17] = 4
-        self.counts = np.tile(prior, (n, 1))
-        self.cum = np.zeros((n, _MAGNITUDES + 1), np.int64)
-        self.refresh(n)
-
-    def refresh(self, n: int) -> None:
-        """Quantise the magnitudes' counts; each keeps at least one part."""
-        c = self.counts[:n]
-        total = c.sum(1, keepdims=True)
-        parts = np.floor(c * ((1 << _SIZE_BITS) - _MAGNITUDES) / total).astype(np.int64) + 1
-        ends = np.cumsum(parts, 1)
-        ends[:, -1] = 1 << _SIZE_BITS
-        self.cum[:n, 1:] = ends
-        heavy = total[:, 0] > 4000
-        if heavy.any():
-            self.counts[:n][heavy] = c[heavy] / 2 + 0.5
-
-    def predict(self, n: int):
-        """Predicted ids and parts of the total for orders 0 to 2 of the first ``n`` blocks."""
-        lane = self.lane[:n]
-        a, b = self.last[0, :n], self.last[1, :n]
-        one = (a * 40503 >> 3) & (_SLOTS - 1)
-        two = ((a * 2654435761 + b * 40503 * 65599) >> 9) & (_SLOTS - 1)
-        self.at = [lane, lane * _SLOTS + one, lane * _SLOTS + two]
-        self.said = said = [self.id[k][self.at[k]] for k in range(3)]
-        self.level = [self.sure[k][self.at[k]] for k in range(3)]
-        self.rate = [self.hit[k][lane * 8 + self.level[k]] for k in range(3)]
-        room = _TOTAL - _LEAST_ESCAPE
-        parts = [np.floor(self.weight[k, :n] * self.rate[k] * room).astype(np.int64) for k in range(3)]
-        for k in range(3):
-            parts[k][said[k] < 0] = 0
-        same = said[1] == said[2]
-        parts[2] += np.where(same, parts[1], 0)
-        parts[1][same] = 0
-        same = said[0] == said[2]
-        parts[2] += np.where(same, parts[0], 0)
-        parts[0][same] = 0
-        same = said[0] == said[1]
-        parts[1] += np.where(same, parts[0], 0)
-        parts[0][same] = 0
-        return said, parts
-
-    def learn(self, n: int, ids: np.ndarray, size: np.ndarray, escaped: np.ndarray) -> None:
-        lane = self.lane[:n]
-        wide = self.cum[lane, size + 1] - self.cum[lane, size]
-        base = wide / (1 << _SIZE_BITS) / np.exp2(np.maximum(size - 1, 0))
-        total = np.zeros(n)
-        for k in range(3):
-            hit = self.said[k] == ids
-            w = self.weight[k, :n] * np.where(hit, self.rate[k], (1 - self.rate[k]) * base) + 1e-12
-            self.weight[k, :n] = w
-            total += w
-            self.hit[k][lane * 8 + self.level[k]] = self.rate[k] + (np.where(hit, 0.98, 0.01) - self.rate[k]) / 24
-            level = self.level[k].astype(np.int64)
-            new = ~hit & (level == 0)
-            self.id[k][self.at[k]] = np.where(new, ids, self.said[k])
-            self.sure[k][self.at[k]] = np.where(hit, np.minimum(level + 1, 7), np.where(new, 1, level >> 1))
-        for k in range(3):
-            self.weight[k, :n] = 0.94 * self.weight[k, :n] / total + 0.02
-        self.counts[lane[escaped], size[escaped]] += 24
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
+        self.entry = [np.full(n, -8, np.int64), np.full(n * _SLOTS, -8, np.int64), np.full(n * _SLOTS, -8, np.int64)]
+        self.base = np.arange(n, dtype=np.int64) << _SLOT_BITS
+        self.last = self.before = np.zeros(n, np.int64)
+
+    def predict(self, n: int) -> np.ndarray:
+        """The mixing state of the first ``n`` blocks; the predictions are in ``said``."""
+        a, b = self.last[:n], self.before[:n]
+        one = a * 0x9E3779B1
+        self.at1 = self.base[:n] + ((one >> 15) & (_SLOTS - 1))
+        self.at2 = self.base[:n] + (((one + b * 0x85EBCA6B) >> 17) & (_SLOTS - 1))
+        self.e0, self.e1, self.e2 = self.entry[0][:n], self.entry[1].take(self.at1), self.entry[2].take(self.at2)
+        self.said = s0, s1, s2 = self.e0 >> 3, self.e1 >> 3, self.e2 >> 3
+        state = ((self.e2 & 7) << 6) + ((self.e1 & 7) << 3) + (self.e0 & 7)
+        return (state << 3) + (s2 == s1) + ((s2 == s0) << 1) + ((s1 == s0) << 2)
+
+    def learn(self, n: int, ids: np.ndarray, hit: tuple[np.ndarray, ...]) -> None:
+        new = (ids << 3) + 1
+        for k, (e, at) in enumerate(((self.e0, None), (self.e1, self.at1), (self.e2, self.at2))):
+            c = e & 7
+            # a hit is one level more; a miss halves the level; at none the id takes the slot
+            kept = np.where(hit[k], e + (c < 7), e - ((c + 1) >> 1))
+            kept = np.where((c == 0) & ~hit[k], new, kept)
+            if at is None:
+                self.entry[0][:n] = kept
+            else:
+                self.entry[k][at] = kept
+        self.before, self.last = self.last[:n], ids
 
 
 def _magnitude(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
 
 
+def _size_table(counts: np.ndarray) -> np.ndarray:
+    """Parts of 256 for each magnitude that occurs, from counts (blocks, magnitudes)."""
+    used = counts > 0
+    room = (1 << _SIZE_BITS) - used.sum(1, keepdims=True)
+    parts = used + counts * room // np.maximum(counts.sum(1, keepdims=True), 1)
+    parts[np.arange(len(parts)), counts.argmax(1)] += (1 << _SIZE_BITS) - parts.sum(1)
+    return parts
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code words of each block; the blocks must come longest first."""
+    """Magnitude table and code words of each block; the blocks must come longest first."""
     n = len(blocks)
+    if not n:
+        return []
     sizes = np.array([len(b) for b in blocks])
-    steps = int(sizes[0]) if n else 0
+    steps = int(sizes[0])
     ids = np.zeros((steps, n), np.int64)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     active = n - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
+    size = _magnitude(ids)
+    counts = np.zeros((n, _MAGNITUDES), np.int64)
+    for t in range(steps):
+        m = int(active[t])
+        counts[np.arange(m), size[t, :m]] += 1
+    parts = _size_table(counts)
+    first = (np.cumsum(parts, 1) - parts).astype(_U).ravel()
+    wide = parts.astype(_U).ravel()
     low, span = np.zeros(n, _U), np.full(n, np.iinfo(_U).max, _U)
-    out, pos = np.zeros((steps // 2 + 256, n), _U), np.zeros(n, np.int64)
+    out, pos = np.zeros((steps * 2 + 4, n), np.uint32), np.zeros(n, np.int64)
+    carries: list[tuple[np.ndarray, np.ndarray]] = []
+    lane, row = np.arange(n), np.arange(n) * _MAGNITUDES
     model = _Model(n)
 
-    def put(lanes, start, freq, bits):
-        r = span[lanes] >> bits
-        before = low[lanes]
-        after = before + start * r
-        if (carry := after < before).any():
-            who = lanes[carry]
-            out[pos[who] - 1, who] += _U(1)
-        wide = r * freq
-        small = wide < _U(1 << 32)
-        if small.any():
-            who = lanes[small]
-            out[pos[who], who] = after[small] >> _U(32)
+    def settle(m: int, before: np.ndarray) -> None:
+        """Note carries, and write a word where the span has become small."""
+        if (carry := low[:m] < before).any():
+            who = np.flatnonzero(carry)
+            carries.append((pos[who] - 1, who))
+        who = np.flatnonzero(span[:m] <= _LOW)
+        if len(who):
+            code = low[who]
+            out[pos[who], who] = code >> _U(32)
             pos[who] += 1
-            after[small] <<= _U(32)
-            wide[small] <<= _U(32)
-        low[lanes], span[lanes] = after, wide
+            low[who] = code << _U(32)
+            span[who] <<= _U(32)
 
     for t in range(steps):
         m = int(active[t])
-        if t % _REFRESH == 0:
-            if t:
-                model.refresh(m)
-            if pos.max() + 4 * _REFRESH > len(out):
-                out = np.concatenate([out, np.zeros_like(out)])
-        now = ids[t, :m]
-        said, (p0, p1, p2) = model.predict(m)
-        is2, is1, is0 = (said[k] == now for k in (2, 1, 0))
-        lone = p2 + p1
-        start = np.where(is2, 0, np.where(is1, p2, np.where(is0, lone, lone + p0)))
-        freq = np.where(is2, p2, np.where(is1, p1, np.where(is0, p0, _TOTAL - lone - p0)))
-        escaped = ~(is2 | is1 | is0) | (freq == 0)
-        start = np.where(escaped, lone + p0, start)
-        freq = np.where(escaped, _TOTAL - lone - p0, freq)
-        put(model.lane[:m], start.astype(_U), freq.astype(_U), _U(_TOTAL_BITS))
-        size = _magnitude(now)
-        rest = np.flatnonzero(escaped)
-        if len(rest):
-            s = size[rest]
-            first = model.cum[rest, s]
-            put(rest, first.astype(_U), (model.cum[rest, s + 1] - first).astype(_U), _U(_SIZE_BITS))
+        now, s = ids[t, :m], size[t, :m]
+        state = model.predict(m)
+        s0, s1, s2 = model.said
+        hit = s0 == now, s1 == now, s2 == now
+        outcome = np.where(hit[2], 0, np.where(hit[1], 1, np.where(hit[0], 2, 3)))
+        at = (state << 2) + outcome
+        width = _WIDTH.take(at)
+        if (none := width == 0).any():  # a prediction without weight: code it as an escape
+            at[none] |= 3
+            width = _WIDTH.take(at)
+        r = span[:m] >> _U(_MIX_BITS)
+        before = low[:m].copy()
+        low[:m] += r * _START.take(at)
+        span[:m] = r * width
+        settle(m, before)
+        escaped = np.flatnonzero((at & 3) == 3)
+        if len(escaped):
+            s = s[escaped]
             deep = np.maximum(s - 1, 0)
-            put(rest, (now[rest] - np.where(s > 0, 1 << deep, 0)).astype(_U), _U(1), deep.astype(_U))
-        model.learn(m, now, size, escaped)
-    out = np.concatenate([out, np.zeros((2, n), _U)])
+            r = span[escaped] >> _U(_SIZE_BITS)
+            k = row[escaped] + s
+            before = low[:m].copy()
+            unit = (r * wide.take(k)) >> deep.astype(_U)
+            offset = now[escaped] - np.where(s > 0, 1 << deep, 0)
+            low[escaped] += r * first.take(k) + unit * offset.astype(_U)
+            span[escaped] = unit
+            settle(m, before)
+        model.learn(m, now, hit)
     for shift in (_U(32), _U(0)):
-        out[pos, np.arange(n)] = (low >> shift) & _U(0xFFFFFFFF)
+        out[pos, lane] = (low >> shift) & _LOW
         pos += 1
-    for k in range(int(pos.max()) - 1 if n else 0, 0, -1):
-        out[k - 1] += out[k] >> _U(32)
-        out[k] &= _U(0xFFFFFFFF)
-    words = out.astype(np.uint32)
-    return [np.ascontiguousarray(words[: pos[k], k]).astype("<u4").tobytes() for k in range(n)]
+    for at, who in reversed(carries):  # from the last word back, as far as a carry runs
+        while len(at):
+            out[at, who] += np.uint32(1)
+            over = out[at, who] == 0
+            at, who = at[over] - 1, who[over]
+    tables = [np.ascontiguousarray(np.concatenate([[np.count_nonzero(p)], np.stack([np.flatnonzero(p), p[p > 0] - 1], 1).ravel()]).astype(np.uint8)).tobytes() for p in parts]
+    return [tables[k] + np.ascontiguousarray(out[: pos[k], k]).astype("<u4").tobytes() for k in range(n)]
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids of each block; the blocks must come longest first."""
     n = len(coded)
+    if not n:
+        return []
     sizes = np.array(sizes, np.int64)
-    steps = int(sizes[0]) if n else 0
-    longest = max(map(len, coded), default=0) // 4
-    words = np.zeros((longest + 4, n), _U)
+    steps = int(sizes[0])
+    parts = np.zeros((n, _MAGNITUDES), np.int64)
+    body = []
     for k, c in enumerate(coded):
-        words[: len(c) // 4, k] = np.frombuffer(c, "<u4")
+        used = np.frombuffer(c, np.uint8, 2 * c[0], 1).reshape(-1, 2)
+        parts[k, used[:, 0]] = used[:, 1].astype(np.int64) + 1
+        body.append(np.frombuffer(c, "<u4", offset=1 + 2 * c[0]))
+    words = np.zeros((max(map(len, body)) + 4, n), np.uint32)
+    for k, c in enumerate(body):
+        words[: len(c), k] = c
+    first = np.cumsum(parts, 1) - parts
+    # the magnitude at each of the 256 places of a block's table
+    place = np.repeat(np.tile(np.arange(_MAGNITUDES, dtype=np.uint8), n), parts.ravel())
+    first, wide = first.astype(_U).ravel(), parts.astype(_U).ravel()
     active = n - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
     ids = np.zeros((steps, n), np.int64)
-    code, span = words[0] << _U(32) | words[1], np.full(n, np.iinfo(_U).max, _U)
-    pos = np.full(n, 2)
+    code = words[0].astype(_U) << _U(32) | words[1]
+    span = np.full(n, np.iinfo(_U).max, _U)
+    pos, row, cell = np.full(n, 2), np.arange(n) * _MAGNITUDES, np.arange(n) << _SIZE_BITS
     model = _Model(n)
 
-    def peek(lanes, bits):
-        r = span[lanes] >> bits
-        return r, np.minimum(code[lanes] // r, (_U(1) << bits) - _U(1)).astype(np.int64)
-
-    def take(lanes, r, start, freq):
-        value = code[lanes] - start * r
-        wide = r * freq
-        small = wide < _U(1 << 32)
-        if small.any():
-            who = lanes[small]
-            value[small] = value[small] << _U(32) | words[pos[who], who]
+    def settle(m: int) -> None:
+        who = np.flatnonzero(span[:m] <= _LOW)
+        if len(who):
+            code[who] = code[who] << _U(32) | words[pos[who], who]
             pos[who] += 1
-            wide[small] <<= _U(32)
-        code[lanes], span[lanes] = value, wide
+            span[who] <<= _U(32)
 
     for t in range(steps):
         m = int(active[t])
-        if t and t % _REFRESH == 0:
-            model.refresh(m)
-        said, (p0, p1, p2) = model.predict(m)
-        lone = p2 + p1
-        end = lone + p0
-        r, v = peek(model.lane[:m], _U(_TOTAL_BITS))
-        is2, is1, is0, escaped = v < p2, (v >= p2) & (v < lone), (v >= lone) & (v < end), v >= end
-        start = np.where(is2, 0, np.where(is1, p2, np.where(is0, lone, end)))
-        freq = np.where(is2, p2, np.where(is1, p1, np.where(is0, p0, _TOTAL - end)))
-        take(model.lane[:m], r, start.astype(_U), freq.astype(_U))
-        now = np.where(is2, said[2], np.where(is1, said[1], said[0]))
-        rest = np.flatnonzero(escaped)
-        if len(rest):
-            r, v = peek(rest, _U(_SIZE_BITS))
-            s = (v[:, None] >= model.cum[rest, 1:]).sum(1)
-            first = model.cum[rest, s]
-            take(rest, r, first.astype(_U), (model.cum[rest, s + 1] - first).astype(_U))
+        state = model.predict(m)
+        s0, s1, s2 = model.said
+        r = span[:m] >> _U(_MIX_BITS)
+        v = np.minimum(code[:m] // r, _U((1 << _MIX_BITS) - 1)).astype(np.int64)
+        ends = _ENDS.take(state, 0)
+        outcome = (v >= ends[:, 0]).astype(np.int64) + (v >= ends[:, 1]) + (v >= ends[:, 2])
+        at = (state << 2) + outcome
+        code[:m] -= r * _START.take(at)
+        span[:m] = r * _WIDTH.take(at)
+        settle(m)
+        now = np.where(outcome == 0, s2, np.where(outcome == 1, s1, s0))
+        escaped = np.flatnonzero(outcome == 3)
+        if len(escaped):
+            r = span[escaped] >> _U(_SIZE_BITS)
+            v = np.minimum(code[escaped] // r, _U((1 << _SIZE_BITS) - 1)).astype(np.int64)
+            s = place.take(cell[escaped] + v).astype(np.int64)
             deep = np.maximum(s - 1, 0)
-            r, v = peek(rest, deep.astype(_U))
-            take(rest, r, v.astype(_U), _U(1))
-            now[rest] = v + np.where(s > 0, 1 << deep, 0)
+            k = row[escaped] + s
+            unit = (r * wide.take(k)) >> deep.astype(_U)
+            rest = code[escaped] - r * first.take(k)
+            offset = np.minimum(rest // unit, (_U(1) << deep.astype(_U)) - _U(1))
+            code[escaped] = rest - unit * offset
+            span[escaped] = unit
+            settle(m)
+            now[escaped] = offset.astype(np.int64) + np.where(s > 0, 1 << deep, 0)
         ids[t, :m] = now
-        model.learn(m, now, _magnitude(now), escaped)
+        model.learn(m, now, (s0 == now, s1 == now, s2 == now))
     return [ids[: sizes[k], k] for k in range(n)]
 
 
@@ -247,8 +267,10 @@ class BlockError(ValueError):
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """A stream of ids below 2**32: header, block table (ids, bytes, checksum), blocks."""
+    """A stream of ids below 2**24: header, block table (ids, bytes, checksum), blocks."""
     ids = np.asarray(ids, np.int64)
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < MOST:
+        raise ValueError("an id is below 0 or not below 2**24")
     blocks = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
     coded: list[bytes] = []
     for k in range(0, len(blocks), LANES):

@@ -4,11 +4,10 @@ Equal sets are one class; only classes are compared.
 
 1. Regions.  In the Jaccard metric unrelated documents are all at distance 1, so
    documents as the first pivots would send everything everywhere.  The first
-   pivots are single shingles: a set's cell is that of its first shingle in one
-   fixed order, and since a linked partner may lack at most ``n - t n`` of its
-   ``n`` shingles, the set is replicated to the cells of the next so many.  Any
-   two linked sets then meet in a region.  Shingles that a bounded sample shows to be frequent come last in
-   the order, which costs no pair and keeps regions small.
+   regions are therefore cut by parts of the sets, with replication wide enough
+   that any two linked sets meet in one of them (``cells``): at 0.85 or more by
+   hashed parts, of which linked sets share at least one whole; below, by single
+   shingles, a set's first ones in a fixed order, frequent ones last.
 2. Pivots.  In each region the sets of one size window are compared with one
    pivot, exactly.  Sets linked with the same pivot are connected already.
 3. Recursion.  Regions whose sets are not all connected are cut further: Voronoi
@@ -86,19 +85,52 @@ def prefix(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return own[:need]
 
 
-def _described(rows: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def size_bounds(percent: int, upto: int) -> np.ndarray:
+    """Lower ends of size classes; linked sets are in one class or in two adjacent ones."""
+    out = [1]
+    while out[-1] <= upto:
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
+    return np.array(out)
+
+
+def parts(own: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the set's parts, for its own size class and the one below.
+
+    Linked sets, the smaller one in class ``c``, differ in at most ``d`` elements, so
+    of ``d + 1`` parts one is the same in both.  Empty parts are sent only by sets
+    that have one: otherwise a part that is the same is not empty.
+    """
+    if not len(own):
+        return own
+    bounds = size_bounds(percent, len(own))
+    c = int(np.searchsorted(bounds, len(own), "right")) - 1
+    out = []
+    for k in range(max(0, c - 1), c + 1):
+        d = (100 - percent) * int(bounds[k + 1] - 1) // percent
+        at = ((own >> np.uint64(24)) % np.uint64(d + 1)).astype(np.int64)
+        total = np.zeros(d + 1, np.uint64)
+        np.add.at(total, at, mix(own))
+        salt = np.uint64((k * 0x9E3779B97F4A7C15 + 1) % (1 << 64))
+        out.append(mix(mix(total) + np.arange(d + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + salt))
+    return np.concatenate(out)
+
+
+def cells(own: np.ndarray, frequent: np.ndarray | None, percent: int) -> np.ndarray:
+    return parts(own, percent) if frequent is None else prefix(own, frequent, percent)
+
+
+def _described(rows: DataFrame, width: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
     """Of each document its set's size, two fingerprints and the cells it is sent to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets([r.as_py() for r in b.column(1)], width)
-            keys = [_signed(prefix(s, frequent, percent)) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(_signed(s.sum(keepdims=True))[0]) if len(s) else 0 for s in sets], pa.int64()), pa.array([int(_signed(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True))[0]) if len(s) else 0 for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "f", "g", "cells"],
-            )
+            for k in range(0, b.num_rows, 256):
+                some = b.slice(k, 256)
+                sets = shingle_sets([r.as_py() for r in some.column(1)], width)
+                keys = [_signed(cells(s, frequent, percent)) for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                f, g = ([int(_signed(x.sum(keepdims=True))[0]) if len(x) else 0 for x in y] for y in (sets, [mix(s ^ np.uint64(0x5851F42D4C957F2D)) for s in sets]))
+                yield pa.record_batch([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n", "f", "g", "cells"])
 
     return rows.mapInArrow(run, "doc_id long, n long, f long, g long, cells array<long>")
 
@@ -106,7 +138,8 @@ def _described(rows: DataFrame, width: int, percent: int, frequent: np.ndarray)
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``id``, ``n``, the set (64-bit hashes, ascending) and bucket counts of the wanted classes.
 
-    ``wanted``: ``id`` (a document of the class) and ``f``, its set's fingerprint.
+    ``wanted``: ``doc_id`` (a document of the class) and ``f``, its set's fingerprint,
+    by which the class is known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +150,10 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 f = np.array([int(_signed(s.sum(keepdims=True))[0]) for s in sets])
                 same = f == some.column("f").to_numpy()
                 counts = [np.bincount((s >> np.uint64(58)).astype(int), minlength=BUCKETS).astype("<i4").tobytes() for s in sets]
-                out = pa.record_batch([some.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(counts, pa.binary())], names=["id", "n", "own", "counts"])
+                out = pa.record_batch([some.column("f"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(counts, pa.binary())], names=["id", "n", "own", "counts"])
                 yield out.filter(pa.array(same))
 
-    found = rows.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "f", "raw")
+    found = rows.join(wanted, "doc_id").select("f", "raw")
     return found.mapInArrow(run, "id long, n long, own binary, counts binary").dropDuplicates(["id"])
 
 
@@ -260,31 +293,35 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     ``component_id`` (the least id that links reach, its own included).
     """
     rows = _raw(docs, id_col, text_col)
-    frequent = frequent_shingles(rows, width)
+    frequent = None if percent >= 85 else frequent_shingles(rows, width)
     described = written(_described(rows, width, percent, frequent), "jaccard-sets")
     named = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("n", "f", "g").agg(F.min(F.struct("doc_id", "cells")).alias("first"))
-    sent = classes.select(F.explode("first.cells").alias("cell"), "n", F.col("first.doc_id").alias("id"), "f")
+    classes = named.groupBy("n", "f", "g").agg(F.min(F.struct("doc_id", "cells"))["cells"].alias("cells"))
+    sent = classes.select(F.explode("cells").alias("cell"), F.col("n").cast("int").alias("n"), F.col("f").alias("id"))
+    # Only cells with two sets of a possible size or more go on.
     here = Window.partitionBy("cell").orderBy("n", "id")
-    # only cells with two sets or more go on
-    shared = sent.withColumn("next", F.lead("id").over(here)).withColumn("last", F.lag("id").over(here)).where(F.col("next").isNotNull() | F.col("last").isNotNull())
-    shared = written(shared.select("cell", "n", "id", "f"), "jaccard-cells")
-    sets = written(_sets(rows, shared.select("id", "f").distinct(), width), "jaccard-own")
+    close = lambda a, b: a * 100 >= b * percent
+    shared = sent.withColumn("next", F.lead("n").over(here)).withColumn("last", F.lag("n").over(here)).where(close(F.col("n"), F.col("next")) | close(F.col("last"), F.col("n")))
+    shared = written(shared.select("cell", "n", "id"), "jaccard-cells")
+    wanted = named.select("doc_id", "f").join(shared.select(F.col("id").alias("f")).distinct(), "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
+    sets = written(_sets(rows, wanted, width), "jaccard-own")
 
     def in_cells(df: DataFrame) -> DataFrame:
         return df.repartition("cell").sortWithinPartitions("cell", "n", "id")
 
-    stars = in_cells(shared.select("cell", "n", "id")).mapInArrow(_stars(percent), "a long, b long").distinct()
+    stars = written(in_cells(shared).mapInArrow(_stars(percent), "a long, b long").distinct(), "jaccard-stars")
     links = written(_verified(stars, sets, percent), "jaccard-links")
     label = components(links)
-    labelled = shared.select("cell", "n", "id").join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
+    labelled = shared.join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
     open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
     left = labelled.join(open_cells, "cell").join(sets.select("id", "counts"), "id").select("cell", "n", "id", "label", "counts")
     more = in_cells(left).mapInArrow(_residual(percent), "a long, b long").distinct()
     more = _verified(more.join(stars, ["a", "b"], "left_anti"), sets, percent)
-    roots = components(links.union(more))
-    rep = named.groupBy("n", "f", "g").agg(F.min("doc_id").alias("id")).join(roots, "id", "left").select("n", "f", "g", F.coalesce("root", "id").alias("component_id"))
-    return described.select("doc_id", "n", "f", "g").join(rep, ["n", "f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = components(links.union(more)).select(F.col("id").alias("f"), "root")
+    reps = named.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")).join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
+    least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = reps.join(least, "root").select("n", "f", "g", "component_id")
+    return described.select("doc_id", "n", "f", "g").join(found, ["n", "f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
