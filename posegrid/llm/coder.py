@@ -226,7 +226,8 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     def settle(m: int) -> None:
         who = np.flatnonzero(span[:m] <= _LOW)
         if len(who):
-            code[who] = code[who] << _U(32) | words[pos[who], who]
+            # a damaged block may ask for more words than there are
+            code[who] = code[who] << _U(32) | words[np.minimum(pos[who], len(words) - 1), who]
             pos[who] += 1
             span[who] <<= _U(32)
 
@@ -292,7 +293,10 @@ def unpack(data: bytes) -> np.ndarray:
         at += size
     ids: list[np.ndarray] = []
     for k in range(0, n, LANES):
-        ids += decode_blocks(coded[k : k + LANES], [t[0] for t in table[k : k + LANES]])
+        try:
+            ids += decode_blocks(coded[k : k + LANES], [t[0] for t in table[k : k + LANES]])
+        except (IndexError, ValueError) as e:
+            raise BlockError(f"a block from {k} on has no readable table") from e
     for k, (b, (_, _, crc)) in enumerate(zip(ids, table)):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise BlockError(f"block {k} is damaged")

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import shingle_set
 from .vocab import BoundedCache
 
 #: Labelled rows that the lexicon and the score are fitted on, those of least hash.
 TRAIN_ROWS = 12_000
-#: A term stands in this many toxic texts, and in this share of them.
-MIN_SUPPORT, MIN_SHARE = 4, 0.01
-MAX_TERMS, MIN_ODDS = 400, 2.5
+#: A term stands in this many toxic texts, in this share of them, and more often
+#: than chance would have it (likelihood ratio; 20 is a chance of about 1 in 100,000).
+MIN_SUPPORT, MIN_SHARE, MIN_RATIO = 4, 0.01, 20
+MAX_TERMS, MIN_ODDS = 200, 2.5
 STEMS = (4, 5, 6, 7, 8)
 WINDOW, QUOTED = 40, 0.4
 CHUNK_ENTRIES, LONGEST = 600_000, 32
@@ -248,16 +250,27 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: F.length(w) > 1))
 
 
+def _stems(k: int) -> Column:
+    """The first ``k`` letters of longer words, with a star."""
+    return F.transform(F.filter("words", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str, id_col: str, text_col: str) -> DataFrame:
     """``text`` and ``label`` of at most ``TRAIN_ROWS`` labelled rows.
 
-    One row is kept of texts that share a label and the least word hash, so that
-    copies don't pass a chance word off as a term.
+    One row is kept of texts that share a label and the least hash of four words
+    in a row, so that copies don't pass a chance word off as a term.
     """
     marked = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return rows.withColumn("words", _words(F.col("text"))).withColumn("least", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))).dropDuplicates(["label", "least"]).select("text", "label", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py().encode(), 4) for t in b.column(0)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([int(x[0] >> np.uint64(1)) if len(x) else -1 for x in sets], pa.int64())], names=["text", "label", "least"])
+
+    return rows.select("text", "label").mapInArrow(run, "text string, label int, least long").dropDuplicates(["label", "least"]).select("text", "label", _words(F.col("text")).alias("words"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
@@ -269,11 +282,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return Lexicon([], None, np.zeros(1), np.zeros(3))
-    stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    stems = [_stems(k) for k in STEMS]
     terms = rows.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
     odds = F.log((F.col("p") + 0.5) / F.lit(float(pos)) / ((F.col("q") + 0.5) / F.lit(float(neg))))
     counted = terms.groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).where(F.col("p") >= max(MIN_SUPPORT, MIN_SHARE * pos)).withColumn("odds", odds)
-    best = counted.where(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.col("p") * F.col("odds")), "term").limit(4 * MAX_TERMS).collect()
+    share = pos / (pos + neg)
+    ratio = 2 * (F.col("p") * F.log(F.col("p") / ((F.col("p") + F.col("q")) * share)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / ((F.col("p") + F.col("q")) * (1 - share)))).otherwise(0))
+    best = counted.where((F.col("odds") >= MIN_ODDS) & (ratio >= MIN_RATIO)).orderBy(F.desc(F.col("p") * F.col("odds")), "term").limit(4 * MAX_TERMS).collect()
     stems_kept, kept = [], []
     for term in (r["term"] for r in best):
         w, stem = term.rstrip("*").encode(), term.endswith("*")
