@@ -290,8 +290,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     ratio = 2 * (F.col("p") * F.log(F.col("p") / ((F.col("p") + F.col("q")) * share)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / ((F.col("p") + F.col("q")) * (1 - share)))).otherwise(0))
     best = counted.where((F.col("odds") >= MIN_ODDS) & (ratio >= MIN_RATIO)).orderBy(F.desc(F.col("p") * F.col("odds")), "term").limit(4 * MAX_TERMS).collect()
     stems_kept, kept = [], []
-    for term in (r["term"] for r in best):
+    support = {r["term"]: r["p"] for r in best}
+    for term in support:
         w, stem = term.rstrip("*").encode(), term.endswith("*")
+        # A stem that mostly stands for one word would only hide that word's misspellings.
+        if stem and any(2 * n >= support[term] for t, n in support.items() if t[-1] != "*" and t.startswith(term[:-1])):
+            continue
         # What a better stem covers, or would be covered by, says nothing new.
         if len(w) < LONGEST - 1 and len(kept) < MAX_TERMS and not any(w.startswith(x) or (stem and x.startswith(w)) for x in stems_kept):
             kept.append((w, stem))
