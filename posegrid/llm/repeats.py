@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, LENGTH, runs
@@ -196,14 +196,13 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> Da
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), raw.alias("raw"), F.xxhash64(id_col, raw).alias("key"))
     found = rows.where(F.octet_length("raw") >= LENGTH).select("key", "raw").mapInArrow(_rows_of, "anchor long, run long, key long, place long")
-    anchor, run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "run")
-    counted = (
-        found.withColumn("nth", F.row_number().over(run.orderBy("key", "place")))
-        .withColumn("same", F.count(F.lit(1)).over(run))
-        .withColumn("all", F.count(F.lit(1)).over(anchor))
-        .where((F.col("all") > 1))
-    )
-    whole, first = F.col("same") > 1, (F.col("nth") == 1) & (F.col("same") < F.col("all"))
+    # A passage may have any number of copies: counts are summed where the rows lie, and
+    # rows meet them in joins of tables, whose large groups Spark can split.
+    repeated = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1), "repeat-anchors")
+    several = written(found.join(repeated, "anchor"), "repeat-rows")
+    kinds = written(several.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("key", "place")).alias("first")), "repeat-kinds")
+    counted = several.join(kinds, ["anchor", "run"])
+    whole, first = F.col("same") > 1, (F.struct("key", "place") == F.col("first")) & (F.col("same") < F.col("all"))
     place = F.col("place")
     start = F.shiftright(place, 16) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
     stop = F.shiftright(place, 16) - place.bitwiseAND(F.lit(255)) + LENGTH
