@@ -319,6 +319,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
         (p if r["label"] else q)[own] += 1
     weight = np.log((p + 0.5) / (pos + 1) / ((q + 0.5) / (neg + 1)))
     weight[(p < 3) | (weight < 1)] = 0  # too rare or too weak to say anything
+    unseen = (p + q)[2::2] < 3  # misspellings that the sample hardly has: half of what the term says
+    weight[2::2][unseen] = weight[1::2][unseen] / 2
     lexicon.weight = weight
     m = lexicon.matcher()
     x = np.array([(1.0, *m.features([*zip(r["at"], r["code"], r["quoted"])])) for r in hits])
