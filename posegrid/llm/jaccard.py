@@ -12,10 +12,10 @@ Equal sets are one class; only classes are compared.
    pivot, exactly.  Sets linked with the same pivot are connected already.
 3. Recursion.  Regions whose sets are not all connected are cut further: Voronoi
    cells around pivots in the space of bucket counts, whose L1 distance never
-   exceeds the symmetric difference; a set is replicated to every cell that is
-   within twice the threshold of its own (triangle inequality).  Pairs
-   of cells that are small enough, not yet connected, and within the bound are
-   compared exactly.
+   exceeds the symmetric difference; every set has one home cell and is
+   replicated to every cell whose pivot is within the threshold of that cell's
+   radius and twice the threshold of its own pivot (triangle inequality).  Sets
+   that are within the bound and not yet connected are compared exactly.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; rows that repeat an id or a text are linked by their equal sets; a row
@@ -222,43 +222,43 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
     def allowed(n):  # most elements that two linked sets may differ in, one having n
         return (100 - percent) * (100 * n // percent) // 100
 
-    def leaf(own: np.ndarray):
-        for k in range(0, len(own), 64):
-            a = own[k : k + 64]
-            b = own[k:]
-            far = np.abs(counts[a][:, None, :] - counts[b][None, :, :]).sum(2) if len(b) <= 4096 else np.concatenate([np.abs(counts[a][:, None, :] - counts[b[j : j + 4096]][None, :, :]).sum(2) for j in range(0, len(b), 4096)], 1)
-            total = sizes[a][:, None] + sizes[b][None, :]
-            # |x - y| <= (1 - t) |x + y| / (1 + t) for linked sets
-            near = (far * (100 + percent) <= (100 - percent) * total) & (labels[a][:, None] != labels[b][None, :])
-            i, j = np.nonzero(near)
-            later = j > i
-            yield a[i[later]], b[j[later]]
-
-    def join(own: np.ndarray, depth: int):
-        if len(own) <= CELL or depth > 8:
-            yield from leaf(own)
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.abs(counts[a][:, None, :] - counts[b][None, :, :]).sum(2)
+
+    def leaf(left: np.ndarray, right: np.ndarray):
+        for k in range(0, len(left), 64):
+            a = left[k : k + 64]
+            for r in range(0, len(right), 4096):
+                b = right[r : r + 4096]
+                total = sizes[a][:, None] + sizes[b][None, :]
+                # |x - y| <= (1 - t) |x + y| / (1 + t) for linked sets; each pair comes from its first set
+                near = (labels[a][:, None] != labels[b][None, :]) & (b[None, :] > a[:, None])
+                near &= distances(a, b) * (100 + percent) <= (100 - percent) * total
+                i, j = np.nonzero(near)
+                yield a[i], b[j]
+
+    def join(left: np.ndarray, right: np.ndarray):
+        """Pairs of the sets in ``left`` with later ones in ``right``."""
+        if min(len(left), len(right)) <= CELL:
+            yield from leaf(left, right)
             return
-        limit = int(allowed(sizes[own].max()))
-        pivots = own[np.linspace(0, len(own) - 1, 8).astype(int)]
-        far = np.abs(counts[own][:, None, :] - counts[pivots][None, :, :]).sum(2)
-        home = far.argmin(1)
-        window = far <= far.min(1)[:, None] + 2 * limit
+        limit = int(allowed(max(sizes[left].max(), sizes[right].max())))
+        pivots = left[np.linspace(0, len(left) - 1, 8).astype(int)]
+        far, other = (np.concatenate([distances(x[k : k + 4096], pivots) for k in range(0, len(x), 4096)]) for x in (left, right))
+        home, close = far.argmin(1), other.min(1) + 2 * limit
+        cut = []
         for p in range(len(pivots)):
-            cell = own[window[:, p]]
-            # Each pair belongs to the cell that is home to its first set.
-            if len(cell) == len(own) or not (home == p).any():
-                if (home == p).any():
-                    yield from (_homed(x, own, home, p) for x in leaf(cell))
-                continue
-            yield from (_homed(x, own, home, p) for x in join(cell, depth + 1))
-
-    def _homed(pair, own, home, p):
-        a, b = pair
-        first = np.minimum(a, b)
-        keep = home[np.searchsorted(own, first)] == p
-        return a[keep], b[keep]
-
-    yield from join(np.arange(len(sizes)), 0)
+            own = home == p
+            if own.any():
+                reach = far[own, p].max() + limit
+                cut.append((left[own], right[(other[:, p] <= close) & (other[:, p] <= reach)]))
+        # Home cells are disjoint, so cutting never costs more than comparing all; where it saves little it ends.
+        ends = sum(len(x) * len(y) for x, y in cut) > 0.8 * len(left) * len(right)
+        for x, y in cut:
+            yield from (leaf if ends else join)(x, y)
+
+    everything = np.arange(len(sizes))
+    yield from join(everything, everything)
 
 
 def _residual(percent: int):

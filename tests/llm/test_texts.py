@@ -218,6 +218,19 @@ def test_pivots_lose_no_pair():
     assert {tuple(sorted(p)) for p in got} == want
 
 
+def test_crowded_cell_is_exact_and_ends():
+    """Sets within a few elements of each other: cutting around pivots saves little."""
+    r = np.random.default_rng(3)
+    counts = (r.integers(0, 6, 64) + (r.random((900, 64)) < 0.2) * r.integers(-2, 3, (900, 64))).clip(0).astype("<i4")
+    counts = counts[np.argsort(counts.sum(1), kind="stable")]
+    sizes, labels = counts.sum(1).astype(np.int64), r.integers(0, 450, 900)
+    found = [(int(a), int(b)) for x, y in jaccard.near_pairs(counts, sizes, labels, 90) for a, b in zip(x, y)]
+    far = np.abs(counts[:, None] - counts[None]).sum(2)
+    i, j = np.nonzero(np.triu((far * 190 <= 10 * (sizes[:, None] + sizes[None])) & (labels[:, None] != labels[None]), 1))
+    assert len(found) == len(set(found))
+    assert set(found) == set(zip(i.tolist(), j.tolist()))
+
+
 # -- repeats --------------------------------------------------------------------------
 
 
