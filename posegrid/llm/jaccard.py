@@ -15,7 +15,8 @@ Equal sets are one class; only classes are compared.
    exceeds the symmetric difference; every set has one home cell and is
    replicated to every cell whose pivot is within the threshold of that cell's
    radius and twice the threshold of its own pivot (triangle inequality).  Sets
-   that are within the bound and not yet connected are compared exactly.
+   that are within the bound and not yet connected are compared exactly, a
+   set's nearest ones first and then, against the components these make, the rest.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; rows that repeat an id or a text are linked by their equal sets; a row
@@ -42,6 +43,9 @@ SAMPLE_DOCS, FREQUENT = 4000, 8
 BUCKETS = 64
 #: Sets of a cell that are compared without cutting it further.
 CELL = 128
+#: Of the sets that may be linked with a set, those nearest to it that are compared
+#: first; all the others that are not connected by then are compared after them.
+NEAREST = 3
 
 
 def _raw(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -212,11 +216,12 @@ def _stars(percent: int):
     return run
 
 
-def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, few: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a region with different labels whose bucket counts allow a link.
 
     ``counts``: a row for each set.  Cells are cut around pivots and joined
     recursively; the L1 distance of the counts bounds the symmetric difference.
+    With ``few``, only so many of a set's nearest in each comparison of blocks.
     """
 
     def allowed(n):  # most elements that two linked sets may differ in, one having n
@@ -228,12 +233,20 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
     def leaf(left: np.ndarray, right: np.ndarray):
         for k in range(0, len(left), 64):
             a = left[k : k + 64]
-            for r in range(0, len(right), 4096):
-                b = right[r : r + 4096]
+            # Blocks of differences that stay in a processor's cache.
+            for r in range(int(np.searchsorted(right, a[0], "right")), len(right), 512):
+                b = right[r : r + 512]
                 total = sizes[a][:, None] + sizes[b][None, :]
                 # |x - y| <= (1 - t) |x + y| / (1 + t) for linked sets; each pair comes from its first set
                 near = (labels[a][:, None] != labels[b][None, :]) & (b[None, :] > a[:, None])
-                near &= distances(a, b) * (100 + percent) <= (100 - percent) * total
+                far = distances(a, b)
+                near &= far * (100 + percent) <= (100 - percent) * total
+                if few and len(b) > few:
+                    far = np.where(near, far, np.iinfo(far.dtype).max)
+                    first = np.argpartition(far, few - 1, 1)[:, :few]
+                    best = np.zeros_like(near)
+                    np.put_along_axis(best, first, True, 1)
+                    near &= best
                 i, j = np.nonzero(near)
                 yield a[i], b[j]
 
@@ -261,7 +274,7 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
     yield from join(everything, everything)
 
 
-def _residual(percent: int):
+def _residual(percent: int, few: int | None = None):
     """Of each cell the pairs of sets that are not connected yet and may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +289,7 @@ def _residual(percent: int):
             _, n, ids, labels, counts = zip(*rows)
             n, ids, labels = np.array(n), np.array(ids), np.array(labels)
             buckets = np.frombuffer(b"".join(counts), "<i4").reshape(len(n), BUCKETS)
-            for a, b in near_pairs(buckets, n, labels, percent):
+            for a, b in near_pairs(buckets, n, labels, percent, few):
                 out.update(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()))
                 if len(out) > 100_000:
                     yield flush()
@@ -311,13 +324,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     stars = written(in_cells(shared).mapInArrow(_stars(percent), "a long, b long").distinct(), "jaccard-stars")
     links = written(_verified(stars, sets, percent), "jaccard-links")
-    label = components(links)
-    labelled = shared.join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
-    open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
-    left = labelled.join(open_cells, "cell").join(sets.select("id", "counts"), "id").select("cell", "n", "id", "label", "counts")
-    more = in_cells(left).mapInArrow(_residual(percent), "a long, b long").distinct()
-    more = _verified(more.join(stars, ["a", "b"], "left_anti"), sets, percent)
-    roots = components(links.union(more)).select(F.col("id").alias("f"), "root")
+    tried = stars
+    # Nearest sets first: dense groups are connected by few links, and only what is still apart is compared in full.
+    for few in (NEAREST, None):
+        label = components(links)
+        labelled = shared.join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
+        open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
+        left = labelled.join(open_cells, "cell").join(sets.select("id", "counts"), "id").select("cell", "n", "id", "label", "counts")
+        more = in_cells(left).mapInArrow(_residual(percent, few), "a long, b long").distinct()
+        more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+        links = written(links.union(_verified(more, sets, percent)), "jaccard-links")
+        tried = tried.union(more)
+    roots = components(links).select(F.col("id").alias("f"), "root")
     reps = named.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")).join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = reps.join(least, "root").select("n", "f", "g", "component_id")
