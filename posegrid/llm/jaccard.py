@@ -20,8 +20,8 @@ Equal sets are one class; only classes are compared.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; rows that repeat an id or a text are linked by their equal sets; a row
-with a null id is its own component (null); an empty table gives an empty
-table; other columns are ignored.
+with a null id links others like any row, its own component is null; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -48,8 +48,18 @@ CELL = 128
 NEAREST = 3
 
 
+def _row_key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """Of a row ``null_id``, ``key`` (its id, or its text's hash where that is null) and ``t``, its text's hash.
+
+    Rows that have all three in common have the same id and the same text.
+    """
+    i, t = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    return i.isNull().alias("null_id"), F.coalesce(i, t).alias("key"), t.alias("t")
+
+
 def _raw(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
+    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), raw, *_row_key(id_col, text_col)[1:])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +75,7 @@ def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     part = 1 << 20
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < max(1, min(part, SAMPLE_DOCS * part // n)))
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(part)) < max(1, min(part, SAMPLE_DOCS * part // n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,15 +144,15 @@ def _described(rows: DataFrame, width: int, percent: int, frequent: np.ndarray |
                 keys = [_signed(cells(s, frequent, percent)) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 f, g = ([int(_signed(x.sum(keepdims=True))[0]) if len(x) else 0 for x in y] for y in (sets, [mix(s ^ np.uint64(0x5851F42D4C957F2D)) for s in sets]))
-                yield pa.record_batch([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n", "f", "g", "cells"])
+                yield pa.record_batch([*some.select(["doc_id", "key", "t"]).columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "key", "t", "n", "f", "g", "cells"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, f long, g long, cells array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, t long, n long, f long, g long, cells array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``id``, ``n``, the set (64-bit hashes, ascending) and bucket counts of the wanted classes.
 
-    ``wanted``: ``doc_id`` (a document of the class) and ``f``, its set's fingerprint,
+    ``wanted``: ``key`` (of a row of the class) and ``f``, its set's fingerprint,
     by which the class is known.
     """
 
@@ -157,7 +167,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 out = pa.record_batch([some.column("f"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(counts, pa.binary())], names=["id", "n", "own", "counts"])
                 yield out.filter(pa.array(same))
 
-    found = rows.join(wanted, "doc_id").select("f", "raw")
+    found = rows.join(wanted, "key").select("f", "raw")
     return found.mapInArrow(run, "id long, n long, own binary, counts binary").dropDuplicates(["id"])
 
 
@@ -299,24 +309,21 @@ def _residual(percent: int, few: int | None = None):
     return run
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of the documents whose shingle sets have a similarity of ``percent`` %.
-
-    Columns: ``doc_id``, ``n_shingles`` long (size of the set) and
-    ``component_id`` (the least id that links reach, its own included).
-    """
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and of each class of equal sets ``n``, ``f``, ``g``, its least id ``rep``,
+    its first row (``null_id``, ``key``, ``t``) and the ``root`` of its component."""
     rows = _raw(docs, id_col, text_col)
     frequent = None if percent >= 85 else frequent_shingles(rows, width)
     described = written(_described(rows, width, percent, frequent), "jaccard-sets")
-    named = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("n", "f", "g").agg(F.min(F.struct("doc_id", "cells"))["cells"].alias("cells"))
+    full = described.where("n > 0")
+    classes = full.groupBy("n", "f", "g").agg(F.min(F.struct("key", "cells"))["cells"].alias("cells"))
     sent = classes.select(F.explode("cells").alias("cell"), F.col("n").cast("int").alias("n"), F.col("f").alias("id"))
     # Only cells with two sets of a possible size or more go on.
     here = Window.partitionBy("cell").orderBy("n", "id")
     close = lambda a, b: a * 100 >= b * percent
     shared = sent.withColumn("next", F.lead("n").over(here)).withColumn("last", F.lag("n").over(here)).where(close(F.col("n"), F.col("next")) | close(F.col("last"), F.col("n")))
     shared = written(shared.select("cell", "n", "id"), "jaccard-cells")
-    wanted = named.select("doc_id", "f").join(shared.select(F.col("id").alias("f")).distinct(), "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
+    wanted = full.select("key", "f").join(shared.select(F.col("id").alias("f")).distinct(), "f").groupBy("f").agg(F.min("key").alias("key"))
     sets = written(_sets(rows, wanted, width), "jaccard-own")
 
     def in_cells(df: DataFrame) -> DataFrame:
@@ -336,14 +343,35 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         links = written(links.union(_verified(more, sets, percent)), "jaccard-links")
         tried = tried.union(more)
     roots = components(links).select(F.col("id").alias("f"), "root")
-    reps = named.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep")).join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "key", "t")).alias("first")
+    reps = full.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), first).join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
+    return described, reps
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of the documents whose shingle sets have a similarity of ``percent`` %.
+
+    Columns: ``doc_id``, ``n_shingles`` long (size of the set) and
+    ``component_id`` (the least id that links reach, its own included).
+    """
+    described, reps = _classes(docs, width, percent, id_col, text_col)
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = reps.join(least, "root").select("n", "f", "g", "component_id")
-    return described.select("doc_id", "n", "f", "g").join(found, ["n", "f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return described.select("doc_id", "n", "f", "g").join(found, ["n", "f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of its component, with all their columns."""
-    found = jaccard_join(docs, width, percent, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each component with all its columns, and every row without words.
+
+    It is the row of the least id, null ids last, and of the rows that share it the
+    one with the least hash of its text; which of the rows with the same id and the
+    same text is not defined.
+    """
+    _, reps = _classes(docs, width, percent, id_col, text_col)
+    kept = reps.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    words = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Repeated rows go before the rows are dealt out, so that they do not meet in one task.
+    rows = docs.where(words).select(*_row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = rows.dropDuplicates(["null_id", "key", "t"]).join(kept, ["null_id", "key", "t"]).select("row.*")
+    return docs.where(~words).union(found)

@@ -76,3 +76,32 @@ def test_encoding_stage(steps):
 
 def test_run_is_the_stages(spark, steps, sf_dir):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, steps[-1].collect()))
+
+
+def test_repeated_rows_keep_one_text(spark, sf_dir, tmp_path):
+    """Repeated ids, texts and null ids: one copy of a text leaves the pipeline whole, and texts that share an id stay."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from posegrid.llm import vocab
+    from test_texts import repeated
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    top = docs.agg({"doc_id": "max"}).first()[0]
+    import random
+
+    rows = [(None if i is None else i + top, t) for i, t in repeated(random.Random(9))]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tokenizer.from_file(vocab.default_path(vocab.BYTE_BPE))
+    ids = lambda x: tuple(t.encode(x, add_special_tokens=False).ids)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["doc_id"] is None or r["doc_id"] > top)
+    c, d = ({ids(x) for x in own} for own in ([x for i, x in rows if i is None][2:5], [x for i, x in rows if i is None][5:6]))
+    nulls = Counter(k for (i, k), n in got.items() if i is None for _ in range(n))
+    assert sum(nulls[k] for k in c) == 1 and all(nulls[k] == 1 for k in d) and nulls[()] == 2 and sum(nulls.values()) == 4
+    named = {i - top: sorted(k for (j, k), n in got.items() if j == i for _ in range(n)) for i in {j for j, _ in got} - {None}}
+    assert named.keys() == {30, 31, 33, 34} and named[30] == [ids(rows[0][1])] and named[31] == [ids(rows[2][1])]
+    assert len(named[33]) == 1 and named[33][0] in {ids(rows[11][1]), ids(rows[12][1])} and named[34] == [ids(" ")] * 2

@@ -207,6 +207,34 @@ def test_jaccard_on_tables(spark, real, empty, sf_dir):
     assert kept == {i for i, _, c in brute.jaccard_components(real, 5, 80) if i == c}
 
 
+def repeated(r: random.Random) -> list[tuple]:
+    """Rows that repeat ids, texts or both, with near copies among them."""
+    a, b, c, d, e = ([f"v{r.randrange(10**6)}" for _ in range(60)] for _ in range(5))
+    near = lambda w, k: " ".join([*w[:-1], f"u{k}"])
+    a, b, c, d, e = (" ".join(w) for w in (a, b, c, d, e))
+    return [
+        (30, a), (30, a), (31, b), (31, near(a.split(), 1)), (32, near(a.split(), 2)), (None, near(a.split(), 3)), (None, a),
+        (None, c), (None, c), (None, near(c.split(), 4)), (None, d), (33, e), (33, near(e.split(), 5)), (None, e), (None, ""), (None, ""), (34, " "), (34, " "),
+    ]
+
+
+def test_keep_one_decides_by_rows(spark):
+    rows = [(i, t) for i, t in odd_texts() if len(brute.raw(t)) < 3000] + repeated(random.Random(9))
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    kept = jaccard.keep_one(df, 5, 80)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # numbered in the order of their ids, null ids last
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))
+    groups: dict = {}
+    for (i, t), (_, _, c) in zip(order, brute.jaccard_components(list(enumerate(t for _, t in order)), 5, 80)):
+        groups.setdefault(c, []).append((i, t))
+    assert len(got) == len(groups)
+    for own in groups.values():
+        there = {x for x in own if x in got}
+        assert len(there) == 1 and {i for i, _ in there} == {own[0][0]}
+
+
 def test_pivots_lose_no_pair():
     r = np.random.default_rng(3)
     base = r.poisson(6, (40, jaccard.BUCKETS))
