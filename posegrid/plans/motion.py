@@ -54,6 +54,20 @@ def window_counts(spark, sf_dir):
     return _observed(spark, sf_dir).groupBy("video_id", "window_start").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("observed").alias("n_observed"))
 
 
+_ALL_RANGES = "SELECT video_id, min(frame_idx) AS start, max(frame_idx) + 1 AS stop FROM detections GROUP BY video_id"
+_ALL_WINDOWS = "SELECT DISTINCT video_id, CAST(window_start AS INT) AS window_start FROM (SELECT video_id, CASE WHEN stop - start <= 128 THEN [start] ELSE list_append(range(start, stop-128+1, 64), stop-128) END AS w FROM ranges) t, unnest(t.w) u(window_start)"
+
+
+@query(ctes("detections", ranges=_ALL_RANGES, windows=_ALL_WINDOWS) + """SELECT w.video_id, window_start, count(*) AS n_slots, CAST(sum(CASE WHEN d.ord IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_observed
+FROM (SELECT *, CAST(unnest(range(window_start, window_start + 128)) AS INT) AS frame_idx FROM windows) w LEFT JOIN detections d ON w.video_id = d.video_id AND w.frame_idx = d.frame_idx GROUP BY ALL""")
+def window_counts_all(spark, sf_dir):
+    """Over windows that cover every frame from a video's first to its last."""
+    rows = ad.detections(spark, sf_dir)
+    ranges = rows.groupBy("video_id").agg(F.min("frame_idx").alias("start"), (F.max("frame_idx") + 1).alias("stop"))
+    found = wi.windowed(wi.sliding_windows(ranges, replace(DEFAULT, window=128, stride=64)), rows, ["video_id"], 128)
+    return found.groupBy("video_id", "window_start").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("observed").alias("n_observed"))
+
+
 @query(ctes("detections") + "SELECT video_id, frame_idx, arg_min(score, slot) AS score FROM (SELECT video_id, frame_idx, score, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY person_id, ord) AS slot FROM detections) GROUP BY ALL")
 def window_camera_first(spark, sf_dir):
     from ..operators.detections import row_rank
@@ -183,32 +197,35 @@ _ROT = f"SELECT *, {_Q} FROM cameras"
 _NINE = ", ".join(f"round(r{k}, 6) AS r{k}" for k in range(9))
 
 
-def _rotations(spark, sf_dir):
+_ALL_ROT = f"SELECT *, {_Q} FROM all_cameras"
+
+
+def _rotations(spark, sf_dir, cameras=ad.cameras):
     r = cam.rotation()
-    return ad.cameras(spark, sf_dir).withColumns({f"r{k}": r[k] for k in range(9)})
+    return cameras(spark, sf_dir).withColumns({f"r{k}": r[k] for k in range(9)})
 
 
 @query(ctes("cameras", rotations=_ROT) + f"SELECT scene_id, cam, {_NINE} FROM rotations")
-def quat_to_matrix(spark, sf_dir):
-    return _r(_rotations(spark, sf_dir), *[f"r{k}" for k in range(9)]).select("scene_id", "cam", *[f"r{k}" for k in range(9)])
+def quat_to_matrix(spark, sf_dir, cameras=ad.cameras):
+    return _r(_rotations(spark, sf_dir, cameras), *[f"r{k}" for k in range(9)]).select("scene_id", "cam", *[f"r{k}" for k in range(9)])
 
 
 @query(ctes("cameras", rotations=_ROT) + "SELECT scene_id, cam, round(-(r0*tx+r3*ty+r6*tz), 6) AS cx, round(-(r1*tx+r4*ty+r7*tz), 6) AS cy, round(-(r2*tx+r5*ty+r8*tz), 6) AS cz FROM rotations")
-def camera_centres(spark, sf_dir):
+def camera_centres(spark, sf_dir, cameras=ad.cameras):
     c = cam.centre(cam.rotation(), cam.translation())
-    return _r(ad.cameras(spark, sf_dir).select("scene_id", "cam", *[c[k].alias(n) for k, n in enumerate(("cx", "cy", "cz"))]), "cx", "cy", "cz")
+    return _r(cameras(spark, sf_dir).select("scene_id", "cam", *[c[k].alias(n) for k, n in enumerate(("cx", "cy", "cz"))]), "cx", "cy", "cz")
 
 
 @query(ctes("cameras", rotations=_ROT) + f"SELECT scene_id, cam, {_NINE} FROM rotations")
-def sixd_roundtrip(spark, sf_dir):
-    rows = _rotations(spark, sf_dir)
+def sixd_roundtrip(spark, sf_dir, cameras=ad.cameras):
+    rows = _rotations(spark, sf_dir, cameras)
     m = rot.sixd_to_matrix(rot.matrix_to_sixd([F.col(f"r{k}") for k in range(9)]))
     return _r(rows.select("scene_id", "cam", *[m[k].alias(f"r{k}") for k in range(9)]), *[f"r{k}" for k in range(9)])
 
 
 @query(ctes("cameras", rotations=_ROT) + f"SELECT scene_id, cam, {_NINE} FROM rotations")
-def axis_angle_roundtrip(spark, sf_dir):
-    rows = _rotations(spark, sf_dir)
+def axis_angle_roundtrip(spark, sf_dir, cameras=ad.cameras):
+    rows = _rotations(spark, sf_dir, cameras)
     v = rot.matrix_to_axis_angle([F.col(f"r{k}") for k in range(9)])
     rows = rows.select("scene_id", "cam", *[v[k].alias(f"v{k}") for k in range(3)])
     m = rot.axis_angle_to_matrix([F.col(f"v{k}") for k in range(3)])
@@ -216,9 +233,37 @@ def axis_angle_roundtrip(spark, sf_dir):
 
 
 @query(ctes("cameras") + "SELECT scene_id, cam, round(greatest(focal_raw, 0) + ln(1 + exp(-abs(focal_raw))), 6) AS focal, round(focal_raw, 6) AS again FROM cameras")
-def softplus_focal(spark, sf_dir):
+def softplus_focal(spark, sf_dir, cameras=ad.cameras):
     f = cam.softplus(F.col("focal_raw"))
-    return _r(ad.cameras(spark, sf_dir).select("scene_id", "cam", f.alias("focal"), cam.inverse_softplus(f).alias("again")), "focal", "again")
+    return _r(cameras(spark, sf_dir).select("scene_id", "cam", f.alias("focal"), cam.inverse_softplus(f).alias("again")), "focal", "again")
+
+
+# The same over every camera of a scene, however many there are.
+
+
+@query(ctes("all_cameras", rotations=_ALL_ROT) + f"SELECT scene_id, cam, {_NINE} FROM rotations")
+def quat_to_matrix_all(spark, sf_dir):
+    return quat_to_matrix(spark, sf_dir, ad.all_cameras)
+
+
+@query(ctes("all_cameras", rotations=_ALL_ROT) + "SELECT scene_id, cam, round(-(r0*tx+r3*ty+r6*tz), 6) AS cx, round(-(r1*tx+r4*ty+r7*tz), 6) AS cy, round(-(r2*tx+r5*ty+r8*tz), 6) AS cz FROM rotations")
+def camera_centres_all(spark, sf_dir):
+    return camera_centres(spark, sf_dir, ad.all_cameras)
+
+
+@query(ctes("all_cameras", rotations=_ALL_ROT) + f"SELECT scene_id, cam, {_NINE} FROM rotations")
+def sixd_roundtrip_all(spark, sf_dir):
+    return sixd_roundtrip(spark, sf_dir, ad.all_cameras)
+
+
+@query(ctes("all_cameras", rotations=_ALL_ROT) + f"SELECT scene_id, cam, {_NINE} FROM rotations")
+def axis_angle_roundtrip_all(spark, sf_dir):
+    return axis_angle_roundtrip(spark, sf_dir, ad.all_cameras)
+
+
+@query(ctes("all_cameras") + "SELECT scene_id, cam, round(greatest(focal_raw, 0) + ln(1 + exp(-abs(focal_raw))), 6) AS focal, round(focal_raw, 6) AS again FROM all_cameras")
+def softplus_focal_all(spark, sf_dir):
+    return softplus_focal(spark, sf_dir, ad.all_cameras)
 
 
 @query(ctes("joints") + "SELECT scene_id, video_id, frame_idx, joint, round(500*x/(z+2+1e-8::DOUBLE)+320, 6) AS u, round(500*y/(z+2+1e-8::DOUBLE)+240, 6) AS v FROM joints")
@@ -503,9 +548,22 @@ def vector_attention(spark, sf_dir):
     return _r(out.select("scene_id", "q_id", F.col("out")[0].alias("o1"), F.col("out")[1].alias("o2")), "o1", "o2")
 
 
+_VA_ALL = "SELECT a.scene_id, a.video_id, a.person_id AS q_id, list_dot_product(a.descriptor[1:8], b.descriptor[1:8]) / sqrt(8) AS s, b.descriptor[9:10] AS v FROM gallery a JOIN gallery b ON a.scene_id = b.scene_id AND a.video_id = b.video_id"
+
+
+@query(ctes("gallery", va=_VA_ALL, mx="SELECT *, max(s) OVER (PARTITION BY scene_id, video_id, q_id) AS m FROM va") + "SELECT scene_id, video_id, q_id, round(sum(exp(s-m)*v[1])/sum(exp(s-m)), 6) AS o1, round(sum(exp(s-m)*v[2])/sum(exp(s-m)), 6) AS o2 FROM mx GROUP BY ALL")
+def vector_attention_all(spark, sf_dir):
+    """Over the persons of every camera."""
+    g, d = ad.gallery(spark, sf_dir), F.col("descriptor")
+    q = g.select("scene_id", "video_id", F.col("person_id").alias("q_id"), F.slice(d, 1, 8).alias("q"))
+    kv = g.select("scene_id", "video_id", F.slice(d, 1, 8).alias("k"), F.slice(d, 9, 2).alias("v"))
+    out = lo.vector_attention(q, kv, ["scene_id", "video_id"])
+    return _r(out.select("scene_id", "video_id", "q_id", F.col("out")[0].alias("o1"), F.col("out")[1].alias("o2")), "o1", "o2")
+
+
 @query()
 def epipolar_loss(spark, sf_dir):
-    points = ad.joints(spark, sf_dir).where("video_id = 0 AND frame_idx < 3").select("scene_id", "x", "y", F.col("z") + 3)
+    points = ad.joints(spark, sf_dir).select("scene_id", "x", "y", F.col("z") + 3)
     return lo.epipolar_loss(points.toDF("scene_id", "x", "y", "z"), ad.cameras(spark, sf_dir), 320.0, 240.0)
 
 

@@ -40,7 +40,12 @@ def joints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked(spark, sf_dir).where("rk < 6").withColumn("n", F.expr("sqrt(e[0]*e[0]+e[1]*e[1]+e[2]*e[2]+e[3]*e[3])"))
+    """The six cameras of a scene that are paired with each other."""
+    return all_cameras(spark, sf_dir).where("cam < 6")
+
+
+def all_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranked(spark, sf_dir).withColumn("n", F.expr("sqrt(e[0]*e[0]+e[1]*e[1]+e[2]*e[2]+e[3]*e[3])"))
     return rows.selectExpr("scene_id", "rk AS cam", "e[0]/n AS qw", "e[1]/n AS qx", "e[2]/n AS qy", "e[3]/n AS qz", "e[4] AS tx", "e[5] AS ty", "e[6] AS tz", "e[7]*10 AS focal_raw")
 
 
@@ -74,12 +79,13 @@ SQL = {
     "ranked": "SELECT label AS scene_id, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS rk, embedding::DOUBLE[] AS e FROM embeddings",
     "joints": "SELECT scene_id, CAST(rk % 2 AS INT) AS video_id, CAST(rk // 2 AS INT) AS frame_idx, CAST((rk // 2) % 3 AS INT) AS person_id, CAST(j AS INT) AS joint, e[3*j+1] AS x, e[3*j+2] AS y, e[3*j+3] AS z, abs(e[64]) AS conf FROM ranked, range(0, 21) t(j)",
     "cameras": "SELECT scene_id, rk AS cam, e[1]/n AS qw, e[2]/n AS qx, e[3]/n AS qy, e[4]/n AS qz, e[5] AS tx, e[6] AS ty, e[7] AS tz, e[8]*10 AS focal_raw FROM (SELECT *, sqrt(e[1]*e[1]+e[2]*e[2]+e[3]*e[3]+e[4]*e[4]) AS n FROM ranked) WHERE rk < 6",
+    "all_cameras": "SELECT scene_id, rk AS cam, e[1]/n AS qw, e[2]/n AS qx, e[3]/n AS qy, e[4]/n AS qz, e[5] AS tx, e[6] AS ty, e[7] AS tz, e[8]*10 AS focal_raw FROM (SELECT *, sqrt(e[1]*e[1]+e[2]*e[2]+e[3]*e[3]+e[4]*e[4]) AS n FROM ranked)",
     "boxes": "SELECT l_orderkey AS frame_idx, CAST(l_linenumber AS INT) AS ord, CAST(l_partkey % 16 AS INT) AS x1, CAST(l_suppkey % 16 AS INT) AS y1, CAST(least(63, l_partkey % 16 + floor(l_quantity * 1.3)) AS INT) AS x2, CAST(least(63, l_suppkey % 16 + 1 + (l_orderkey * 7) % 63) AS INT) AS y2, 64 AS img_w, 64 AS img_h, l_discount * 10 AS score FROM lineitem",
     "series": "SELECT event_type AS video_id, CAST(date_diff('day', TIMESTAMP '2024-01-01 00:00:00', ts) AS INT) AS frame_idx, avg(value) AS v FROM events GROUP BY 1, 2",
     "videos": "SELECT c_custkey AS video_id, CAST(1 + c_custkey % 200 AS INT) AS num_frames, 30::DOUBLE AS fps FROM customer",
     "pair_offsets": "SELECT a.n_nationkey AS i, b.n_nationkey AS j, CAST((a.n_nationkey*7 + b.n_nationkey*13) % 21 - 10 AS DOUBLE) AS off FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE b.n_nationkey < 6",
 }
-_NEEDS = {"joints": ["ranked"], "cameras": ["ranked"]}
+_NEEDS = {"joints": ["ranked"], "cameras": ["ranked"], "all_cameras": ["ranked"]}
 
 
 def ctes(*names: str, recursive: bool = False, **more: str) -> str:
