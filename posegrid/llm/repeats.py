@@ -4,17 +4,17 @@ The suffixes of a corpus, sorted, stand beside those they share most with; a
 repeated string is a run of neighbours with long common prefixes.  Merging the
 sorted suffixes of shards by refining their interleave, one byte an iteration,
 gives that order and the common prefixes, but takes 200 passes over all bytes.
-So only suffixes that can matter are merged:
+It is not done here; nothing is merged from shards.  Instead:
 
 1. Every 200-byte string has an anchor inside it (``anchors``), and equal strings
    have equal anchors.  Neighbouring strings with one anchor place are a run.
    Runs are grouped by anchor; an anchor that occurs once has no repeats, and
-   runs equal as a whole are repeated as a whole.
+   runs equal as a whole, by their hash, are repeated as a whole.
 2. What is left are runs that share an anchor and differ somewhere around it,
    each different text once.  Their bytes after the anchor, and their bytes
-   before it read backwards, are the suffixes to be merged: ``refined`` refines
-   the interleave of all shards' rows until no two neighbours are alike, and
-   notes at which byte neighbours part.  A string that has ``l`` bytes before
+   before it read backwards, are sorted from scratch: ``refined`` deals the rows
+   of a group out byte by byte until no two neighbours are alike, and notes at
+   which byte neighbours part.  A string that has ``l`` bytes before
    the anchor is repeated if another row agrees for ``l`` bytes backwards and
    for ``100 - l`` bytes forwards.
 
@@ -51,7 +51,7 @@ _U = np.uint64
 
 
 def refined(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merged order of rows of bytes and the common prefix of each with the one before.
+    """Sorted order of rows of bytes and the common prefix of each with the one before.
 
     ``rows`` holds one row of bytes for each suffix, of which ``sizes`` count;
     rows of different groups have nothing in common (-1).  Each iteration deals
