@@ -98,9 +98,15 @@ class Items:
         return out
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str) -> list[Items]:
-    """The items in parts of at most about ``PART_WORDS`` words, each gathered on its own."""
-    rows = items.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
+def _parts(items: DataFrame, id_col: str, text_col: str, unnamed: bool = False) -> list[Items]:
+    """The items in parts of at most about ``PART_WORDS`` words, each gathered on its own.
+
+    With ``unnamed``, also those without an id, under their text's hash.
+    """
+    named = F.col(id_col).cast("long")
+    raw = F.col(text_col).cast("binary")
+    own = F.coalesce(named, F.xxhash64(raw)) if unnamed else named
+    rows = items.select(own.alias("id"), raw.alias("raw")).where("id IS NOT NULL AND raw IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
     n = max(1, -(-size // (4 * PART_WORDS)))
     out = []
@@ -135,7 +141,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows that overlap with no test item, with all their columns."""
+    """The rows that overlap with no test item, with an id or without, with all their columns."""
     at = docs.columns.index(text_col)
 
     def look(rows: DataFrame, part: Items) -> DataFrame:
@@ -145,4 +151,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         return rows.mapInArrow(run, rows.schema)
 
-    return reduce(look, _parts(items, item_id, item_text), docs)
+    return reduce(look, _parts(items, item_id, item_text, unnamed=True), docs)

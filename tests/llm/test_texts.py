@@ -324,3 +324,11 @@ def test_masks_cover_any_two_substitutions():
 
     for bad in combinations(range(13), 2):
         assert any(all(p + k not in bad for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for p in range(14 - len(m)))
+
+
+def test_items_without_an_id_clean_too(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of it " * 10)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, None)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()] == [2]
+    assert decontaminate.overlaps(docs, items).count() == 0
