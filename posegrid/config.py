@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,29 @@ class Config:
 
 DEFAULT = Config()
 
+#: Where a setting of a configuration file goes.
+SETTINGS = {
+    ("data", "rich_max_side"): "max_side",
+    ("segmentation", "new_det_thresh"): "new_detection_score",
+    ("parameters_extraction", "reid_threshold"): "reid_threshold",
+    ("parameters_extraction", "gallery_moving_average_alpha"): "ema_alpha",
+    ("parameters_extraction", "reid_match_window"): "retry_window",
+    ("parameters_extraction", "sam3d_step"): "frame_step",
+    ("parameters_extraction", "bbox_padding"): "box_padding",
+    ("parameters_extraction", "cross_view_reid_threshold"): "cross_view_threshold",
+    ("parameters_extraction", "cross_view_appearance_weight"): "appearance_weight",
+    ("parameters_extraction", "cross_view_shape_weight"): "shape_weight",
+}
+
+
+def from_yaml(text: str, base: Config = DEFAULT) -> Config:
+    """A configuration file's settings over the defaults; what it does not name, or sets to null, stays."""
+    import yaml
+
+    read = yaml.safe_load(text) or {}
+    found = {name: (read.get(section) or {}).get(key) for (section, key), name in SETTINGS.items()}
+    return replace(base, **{name: value for name, value in found.items() if value is not None})
+
 # The parent of each of the 55 body joints; the root has none (-1).
 JOINT_PARENTS = [
     -1, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 9, 12, 13, 14, 16, 17, 18, 19,
