@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming forms of the stateful operators."""
