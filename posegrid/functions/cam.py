@@ -37,6 +37,23 @@ def centre(r: Sequence[Column], t: Sequence[Column]) -> list[Column]:
     return [-x for x in vec.apply(vec.transposed(r), t)]
 
 
+def matrix_4x4(r: Sequence[Column], t: Sequence[Column]) -> Column:
+    """Rotation and translation as one array of 16 numbers, row by row."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(*r[0:3], t[0], *r[3:6], t[1], *r[6:9], t[2], zero, zero, zero, one)
+
+
+def inverse(r: Sequence[Column], t: Sequence[Column]) -> tuple[list[Column], list[Column]]:
+    """Camera-to-world from world-to-camera: the transposed rotation and the camera's centre."""
+    return vec.transposed(r), centre(r, t)
+
+
+def intrinsics(focal_raw: Column, width: Column, height: Column) -> Column:
+    """The matrix K of a camera vector: its focal length, and the middle of the image."""
+    f, zero = softplus(focal_raw), F.lit(0.0)
+    return F.array(f, zero, width / 2, zero, f, height / 2, zero, zero, F.lit(1.0))
+
+
 def fundamental(ri, ti, rj, tj, fi: Column, fj: Column, cx: float, cy: float) -> list[Column]:
     """The matrix F with ``xj' F xi = 0`` for images of one point in both cameras."""
     r = vec.matmul(rj, vec.transposed(ri))
@@ -45,10 +62,10 @@ def fundamental(ri, ti, rj, tj, fi: Column, fj: Column, cx: float, cy: float) ->
     e = vec.matmul(vec.skew(t), r)
     zero, one = F.lit(0.0), F.lit(1.0)
 
-    def inverse(f):
+    def inverse_k(f):
         return [1 / f, zero, -cx / f, zero, 1 / f, -cy / f, zero, zero, one]
 
-    return vec.matmul(vec.transposed(inverse(fj)), vec.matmul(e, inverse(fi)))
+    return vec.matmul(vec.transposed(inverse_k(fj)), vec.matmul(e, inverse_k(fi)))
 
 
 def epipolar_residual(f: Sequence[Column], xi: Sequence[Column], xj: Sequence[Column]) -> Column:

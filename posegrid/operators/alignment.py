@@ -19,22 +19,29 @@ AXES = ("x", "y", "z")
 POSE = T.StructType([T.StructField("rotation", T.ArrayType(T.DoubleType())), T.StructField("translation", T.ArrayType(T.DoubleType())), T.StructField("scale", T.DoubleType())])
 
 
-def absolute_joints(joints: DataFrame, roots: DataFrame | None = None, drop_zero: bool = True) -> DataFrame:
-    """Joints moved by their person's root; all-zero joints are missing, not at the root."""
-    rows = joints.where(~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0))) if drop_zero else joints
-    if roots is None:
-        return rows
+def absolute_joints(joints: DataFrame, roots: DataFrame, drop_zero: bool = True) -> DataFrame:
+    """Joints moved by their person's root.
+
+    A joint that ends at the origin is missing.  A person in a frame without any
+    joint left is its root alone (``joint`` -1); without a root it drops out.
+    """
     keys = ["scene_id", "video_id", "frame_idx", "person_id"]
-    return rows.join(roots.select(*keys, *[F.col(a).alias(f"r{a}") for a in AXES]), keys).withColumns({a: F.col(a) + F.col(f"r{a}") for a in AXES}).drop("rx", "ry", "rz")
+    there = roots.select(*keys, *[F.col(a).alias(f"r{a}") for a in AXES]).where("rx IS NOT NULL AND ry IS NOT NULL AND rz IS NOT NULL")
+    rows = joints.join(there, keys).withColumns({a: F.col(a) + F.col(f"r{a}") for a in AXES}).select(*keys, "joint", *AXES)
+    if drop_zero:
+        rows = rows.where(~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0)))
+    alone = there.join(rows.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(-1).alias("joint"), *[F.col(f"r{a}").alias(a) for a in AXES])
+    return rows.unionByName(alone)
 
 
 def correspondences(joints: DataFrame, by_rank: bool = False) -> DataFrame:
     """Points that two cameras of a scene share: same person, frame and joint.
 
-    ``by_rank`` pairs the n-th remaining joint of both instead of equal joints.
+    ``by_rank`` pairs the n-th joint of both that is not missing (all zero), as far as
+    both go, instead of equal joints.
     """
     keys = ["scene_id", "person_id", "frame_idx"]
-    rows = joints
+    rows = joints.where(~((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0))) if by_rank else joints
     last = "joint"
     if by_rank:
         rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "video_id").orderBy("joint")))
@@ -80,7 +87,7 @@ def poses(stats: DataFrame, with_scale: bool = False, cfg: Config = DEFAULT, lea
         return pd.DataFrame({"rotation": list(r.reshape(-1, 9)), "translation": list(t), "scale": s})
 
     least = cfg.min_correspondences if least is None else least
-    return stats.where(F.col("n") >= least).withColumn("pose", fit(*[F.col(n) for n in names])).select(*[c for c in stats.columns if c[0] not in "mhv" or c == "video_a" or c == "video_b"], "pose.*")
+    return stats.where(F.col("n") >= least).withColumn("pose", fit(*[F.col(n) for n in names])).select(*[c for c in stats.columns if c not in names], "pose.*")
 
 
 def moved(p: list[Column], rotation: Column, translation: Column, scale: Column | float = 1.0) -> list[Column]:

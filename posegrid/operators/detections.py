@@ -49,20 +49,44 @@ def normalised_boxes(boxes: DataFrame) -> DataFrame:
     })
 
 
-def box_to_run(boxes: DataFrame, row: Column | None = None) -> DataFrame:
-    """One mask run for each box: the pixels of its top row (or of ``row``)."""
-    return boxes.withColumn("y", F.col("y1") if row is None else row).withColumnsRenamed({"x1": "x_start", "x2": "x_end"})
+def compose_runs(runs: DataFrame, keys: list[str], person: str = "person_id", order: str = "ord") -> DataFrame:
+    """Committed runs: where objects overlap, the one of greatest order stays.
 
+    A row of an image is cut at all ends of its runs, and each piece goes to the
+    last object that covers it; pixels are never made into rows.  What is gathered
+    is the runs of one image row.
+    """
+    row = runs.groupBy(*keys, "y").agg(F.collect_list(F.struct(F.col(order).alias("o"), F.col(person).alias("p"), F.col("x_start").alias("a"), F.col("x_end").alias("e"))).alias("runs"))
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform("runs", lambda r: r["a"]), F.transform("runs", lambda r: r["e"] + 1))))
 
-def compose_runs(runs: DataFrame, keys: list[str], person: str = "person_id", order: str = "ord") -> DataFrame:
-    """Committed pixels: where objects overlap, the one of greatest order stays."""
-    pixels = runs.select(*keys, "y", person, order, F.explode(F.sequence("x_start", "x_end")).alias("x"))
-    return pixels.groupBy(*keys, "y", "x").agg(F.max_by(person, order).alias(person))
+    def piece(k: Column) -> Column:
+        start, stop = F.get("ends", k), F.get("ends", k + 1) - 1
+        over = F.array_max(F.filter("runs", lambda r: (r["a"] <= start) & (r["e"] >= stop)))
+        return F.struct(start.alias("x_start"), stop.alias("x_end"), over["p"].alias(person))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.size("ends") - 2), piece)
+    return row.where(F.size("runs") > 0).withColumn("ends", ends).where(F.size("ends") > 1).select(*keys, "y", F.inline(pieces)).where(F.col(person).isNotNull())
+
+
+def mask_boxes(runs: DataFrame, keys: list[str], person: str = "person_id") -> DataFrame:
+    """Inclusive bounds and pixel count of each object's committed runs."""
+    return runs.groupBy(*keys, person).agg(F.min("x_start").alias("x1"), F.min("y").alias("y1"), F.max("x_end").alias("x2"), F.max("y").alias("y2"), F.sum(F.col("x_end") - F.col("x_start") + 1).alias("pixels"))
+
+
+def stored_ids(rows: DataFrame, person: str = "person_id") -> DataFrame:
+    """Ids as they stand in masks: one more, since 0 is the background."""
+    return rows.withColumn(person, F.col(person) + 1)
+
+
+def labelled_frames(frames: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels of frames that are there; frames without labels and labels without a frame drop out."""
+    return labels.join(frames.select(*keys).distinct(), keys, "left_semi")
 
 
-def mask_boxes(pixels: DataFrame, keys: list[str], person: str = "person_id") -> DataFrame:
-    """Inclusive bounds and pixel count of each object's committed pixels."""
-    return pixels.groupBy(*keys, person).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count(F.lit(1)).alias("pixels"))
+def field_set(rows: DataFrame, converted: bool, raw: list[str], smplx: list[str], always: list[str]) -> DataFrame:
+    """The fields that are stored: the converted set where a converter is there, else the raw one, and those of both."""
+    wanted = [*(smplx if converted else raw), *always]
+    return rows.select(*[c for c in rows.columns if c not in {*raw, *smplx, *always}], *[c for c in wanted if c in rows.columns])
 
 
 def well_filled(masks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

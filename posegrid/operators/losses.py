@@ -110,3 +110,24 @@ def epipolar_loss(points: DataFrame, cameras: DataFrame, cx: float, cy: float) -
 def camera_mean_target(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The target of an aggregated stream: the mean over cameras."""
     return rows.groupBy(*keys).agg(F.avg(value).alias("target"))
+
+
+def wired_losses(joints: DataFrame, target: DataFrame, cameras: DataFrame, bones: DataFrame) -> DataFrame:
+    """The terms of a training step, each by its rule: ``name`` and ``loss``.
+
+    ``joints`` and ``target``: ``scene_id, cam, frame_idx, person_id, joint, x``.  The
+    aggregated stream is held against the mean of the target over cameras; cameras
+    are held against their own truth (``cameras``: ``scene_id, cam, pred, gt``); the
+    temporal term needs three frames, the bone term uses the target's bones
+    (``bones``: ``scene_id, joint, bone``).
+    """
+    keys = ["scene_id", "frame_idx", "person_id", "joint"]
+    mean = camera_mean_target(target, keys, "x")
+    own = joints.groupBy(*keys).agg(F.avg("x").alias("x"))
+    pose = mse(own.join(mean, keys), "x", "target", []).select(F.lit("pose").alias("name"), F.col("mse").alias("loss"))
+    camera = mse(cameras, "pred", "gt", []).select(F.lit("camera").alias("name"), F.col("mse").alias("loss"))
+    tracks = ["scene_id", "person_id", "joint"]
+    long = own.join(own.groupBy(*tracks).agg(F.count(F.lit(1)).alias("n")).where("n >= 3"), tracks)
+    smooth = temporal_smoothness(long, tracks, "frame_idx", "x").agg(F.sum("loss").alias("loss")).where("loss IS NOT NULL").select(F.lit("temporal").alias("name"), "loss")
+    bone = bone_consistency(bones, ["scene_id"]).agg(F.avg("loss").alias("loss")).select(F.lit("bone").alias("name"), "loss")
+    return pose.union(camera).union(smooth).union(bone)

@@ -13,16 +13,89 @@ from ..config import DEFAULT, Config
 def cost_matrix(joints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Confidence-weighted distance of every two frames of one person in two cameras.
 
-    Frames meet within (scene, person, joint), whose size a recording bounds.
+    A frame's joints are one row, so frames meet once for each pair and nothing is
+    summed over joints after a shuffle.  Frames meet within (scene, person), whose
+    size a recording bounds.
     """
-    axes = ("x", "y", "z")
-    keys = ["scene_id", "person_id", "joint"]
-    side = lambda s: joints.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("frame_idx").alias(f"frame_{s}"), *[F.col(c).alias(f"{s}{c}") for c in (*axes, "conf")])
+    keys = ["scene_id", "person_id"]
+    own = F.map_from_entries(F.collect_list(F.struct("joint", F.struct("x", "y", "z", "conf"))))
+    rows = joints.groupBy(*keys, "video_id", "frame_idx").agg(own.alias("own"))
+    side = lambda s: rows.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("frame_idx").alias(f"frame_{s}"), F.col("own").alias(f"own_{s}"))
+
+    def pair(k: Column) -> Column:
+        p, q = F.element_at("own_a", k), F.element_at("own_b", k)
+        d = F.sqrt(sum(((p[c] - q[c]) * (p[c] - q[c]) for c in "yz"), (p["x"] - q["x"]) * (p["x"] - q["x"])))
+        w = p["conf"] * q["conf"]
+        return F.struct((w * d).alias("wd"), w.alias("w"))
+
+    shared = F.array_intersect(F.map_keys("own_a"), F.map_keys("own_b"))
+    total = lambda f: F.aggregate("terms", F.lit(0.0), lambda a, t: a + t[f])
+    pairs = side("a").join(side("b"), keys).where("video_a < video_b").withColumn("terms", F.transform(shared, pair)).where(F.size("terms") > 0)
+    return pairs.select(*keys, "video_a", "video_b", "frame_a", "frame_b", F.pow(total("wd") / (total("w") + 1e-8), F.lit(cfg.dtw_exponent)).alias("cost"))
+
+
+def warp_sequences(joints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """DTW of every two recordings of one person: what moves is each recording once for
+    each other one, and the cost matrix exists only inside a task.
+
+    Frames count by their order.  Persons that only one of two cameras has are left out.
+    """
+    keys = ["scene_id", "person_id"]
+    kinds = dict(joints.dtypes)
+    rows = joints.groupBy(*keys, "video_id").agg(F.collect_list(F.struct("frame_idx", "joint", "x", "y", "z", "conf")).alias("seen"))
+    side = lambda s: rows.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("seen").alias(f"seen_{s}"))
+    pairs = side("a").join(side("b"), keys).where("video_a < video_b")
+
+    def tensor(seen, joint_ids: list) -> np.ndarray:
+        at = {j: k for k, j in enumerate(joint_ids)}
+        frames = sorted({r["frame_idx"] for r in seen})
+        row = {f: k for k, f in enumerate(frames)}
+        out = np.zeros((len(frames), len(joint_ids), 4))
+        for r in seen:
+            if r["joint"] in at:
+                out[row[r["frame_idx"]], at[r["joint"]]] = r["x"], r["y"], r["z"], r["conf"]
+        return out
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                ids = sorted({x["joint"] for x in r.seen_a} & {x["joint"] for x in r.seen_b})
+                x, y = tensor(r.seen_a, ids), tensor(r.seen_b, ids)
+                far = np.sqrt(((x[:, None, :, :3] - y[None, :, :, :3]) ** 2).sum(3))
+                w = x[:, None, :, 3] * y[None, :, :, 3]
+                cost = ((far * w).sum(2) / (w.sum(2) + 1e-8)) ** cfg.dtw_exponent
+                total = accumulate(cost)
+                steps = path(total)
+                out.append((r.scene_id, r.person_id, r.video_a, r.video_b, float(total[-1, -1]), len(steps), most_common([j - i for i, j in steps])))
+            yield pd.DataFrame(out, columns=["scene_id", "person_id", "video_a", "video_b", "distance", "path_length", "offset"])
+
+    v = kinds["video_id"]
+    return pairs.mapInPandas(run, f"scene_id {kinds['scene_id']}, person_id {kinds['person_id']}, video_a {v}, video_b {v}, distance double, path_length int, offset int")
+
+
+def warp_series(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """DTW distance of every two recordings of a group by squared differences of one value:
+    ``video_id``, ``frame_idx``, ``v``.  A recording is one row before recordings meet."""
+    kinds = dict(rows.dtypes)
+    own = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "v"))), lambda r: r["v"])
+    seq = rows.groupBy(*keys, "video_id").agg(own.alias("seq"))
+    side = lambda s: seq.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("seq").alias(f"seq_{s}"))
     pairs = side("a").join(side("b"), keys).where("video_a < video_b")
-    d = [F.col(f"a{c}") - F.col(f"b{c}") for c in axes]
-    w, dist = F.col("aconf") * F.col("bconf"), F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    cost = F.pow(F.sum(w * dist) / (F.sum(w) + 1e-8), F.lit(cfg.dtw_exponent))
-    return pairs.groupBy("scene_id", "person_id", "video_a", "video_b", "frame_a", "frame_b").agg(cost.alias("cost"))
+
+    def run(batches):
+        for b in batches:
+            far = [float(accumulate((np.asarray(x, float)[:, None] - np.asarray(y, float)[None, :]) ** 2)[-1, -1]) for x, y in zip(b.seq_a, b.seq_b)]
+            yield b[[*keys, "video_a", "video_b"]].assign(distance=far)
+
+    v = kinds["video_id"]
+    return pairs.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"video_a {v}", f"video_b {v}", "distance double"]))
+
+
+def scenes_with_equal_persons(joints: DataFrame) -> DataFrame:
+    """Scenes whose cameras all have the same number of persons: persons can be paired by order there."""
+    n = joints.groupBy("scene_id", "video_id").agg(F.countDistinct("person_id").alias("n"))
+    return n.groupBy("scene_id").agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least = most").select("scene_id", F.col("least").alias("n_persons"))
 
 
 def accumulate(cost: np.ndarray) -> np.ndarray:
@@ -101,6 +174,35 @@ def start_times(matrix: DataFrame) -> DataFrame:
     return starts.crossJoin(F.broadcast(low)).select("cam", (F.col("t") - F.col("low")).alias("start"))
 
 
+def start_times_sparse(pairs: DataFrame, keys: list[str], i: str = "i", j: str = "j", off: str = "off") -> DataFrame:
+    """Least-squares starts of each scene's cameras where some pairs have no offset.
+
+    Pairs give normal equations; a scene's cameras are few, so one scene is solved
+    in one task.  The first camera of each connected part starts at 0, and starts
+    are shifted up only if the least is negative.
+    """
+    kinds = dict(pairs.dtypes)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cams = sorted({*pdf[i], *pdf[j]})
+        at = {c: k for k, c in enumerate(cams)}
+        a = np.zeros((len(pdf), len(cams)))
+        a[np.arange(len(pdf)), [at[x] for x in pdf[i]]] = -1
+        a[np.arange(len(pdf)), [at[x] for x in pdf[j]]] += 1
+        part = list(range(len(cams)))
+        for x, y in zip(pdf[i], pdf[j]):
+            low, high = sorted((part[at[x]], part[at[y]]))
+            part = [low if p == high else p for p in part]
+        t = np.linalg.lstsq(a, pdf[off].to_numpy(float), rcond=None)[0]
+        t = t - np.array([t[part.index(p)] for p in part])
+        out = pd.DataFrame({"cam": cams, "start": t - min(0.0, t.min())})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "cam", "start"]]
+
+    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", cam {kinds[i]}, start double")
+
+
 def rounded(starts: DataFrame, start: Column | None = None) -> DataFrame:
     """Whole frames; halves round to even."""
     return starts.withColumn("start_frame", F.bround("start" if start is None else start).cast("int"))

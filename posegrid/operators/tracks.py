@@ -64,6 +64,13 @@ def six_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
 
 
+def named_statistics(rows: DataFrame, names: DataFrame, key: str, value: str) -> DataFrame:
+    """The six statistics of every name; one without values has NaN and a count of 0."""
+    nan = F.lit(float("nan"))
+    found = names.select(key).distinct().join(six_statistics(rows, [key], value), key, "left")
+    return found.select(key, *[F.coalesce(c, nan).alias(c) for c in ("mean", "median", "std", "min", "max")], F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def id_merges(raw: DataFrame, remap: DataFrame) -> DataFrame:
     """Distinct ids of each video before and after a remap, and how many were merged."""
     new = F.coalesce("new_id", "person_id")
@@ -89,11 +96,47 @@ def remap_pixels(mask_rows: DataFrame, remap: DataFrame, cfg: Config = DEFAULT)
     return rows.withColumn("guarded", wide & F.col("new_id").isNotNull()).withColumn("final_id", F.when(F.col("guarded"), F.col("person_id")).otherwise(F.coalesce("new_id", "person_id"))).drop("new_id")
 
 
+def remap_runs(runs: DataFrame, remap: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Mask runs under new ids.  Ids that no remap names are kept; one that covers
+    most of the image in a frame keeps its old id there (``guarded``)."""
+    keys = ["video_id", "frame_idx", "person_id"]
+    size = runs.groupBy(*keys).agg(F.sum(F.col("x_end") - F.col("x_start") + 1).alias("pixels"), F.first("img_w").alias("img_w"), F.first("img_h").alias("img_h"))
+    ids = remap_pixels(size, remap, cfg).select(*keys, "final_id", "guarded")
+    return runs.join(ids, keys)
+
+
+def unmapped_ids(rows: DataFrame, remap: DataFrame) -> DataFrame:
+    """The ids of each video that are not the background and that no remap names."""
+    ids = rows.where("person_id <> 0").select("video_id", "person_id").distinct()
+    return ids.join(remap.select("video_id", F.col("old_id").alias("person_id")).distinct(), ["video_id", "person_id"], "left_anti")
+
+
+def remap_keyed(rows: DataFrame, remap: DataFrame) -> DataFrame:
+    """Params, gallery or summary under new ids: rows keyed by ``video_id`` and ``person_id``."""
+    found = rows.join(remap.select("video_id", F.col("old_id").alias("person_id"), "new_id").distinct(), ["video_id", "person_id"], "left")
+    return found.withColumn("person_id", F.coalesce("new_id", "person_id")).select(*rows.columns)
+
+
+def observed_fields(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Names of the fields that a group has in any row, sorted."""
+    there = F.array_compact(F.array(*[F.when(F.count(f) > 0, F.lit(f)) for f in fields]))
+    return rows.groupBy(*keys).agg(F.array_sort(there).alias("fields"))
+
+
+def draw_list(frames: DataFrame, labels: DataFrame, params: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """Everything to draw in each frame: its labels, and each label's body and mask where they are there."""
+    keys = ["video_id", "frame_idx"]
+    out = frames.join(labels, keys, "left").join(params, [*keys, "person_id"], "left")
+    return out if masks is None else out.join(masks, [*keys, "person_id"], "left")
+
+
 def first_available(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Rows with missing array fields filled by zeros shaped like the first that is there;
     fields that are missing everywhere in a group stay null."""
     w = Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumns({f: F.coalesce(f, F.transform(F.first(f, True).over(w), lambda x: x * 0)) for f in fields})
+    zeros = lambda f: F.array_repeat(F.lit(0.0), F.size(F.first(f, True).over(w))).cast(rows.schema[f].dataType)
+    there = lambda f: F.first(f, True).over(w).isNotNull()
+    return rows.withColumns({f: F.coalesce(f, F.when(there(f), zeros(f))) for f in fields})
 
 
 def array_ranges(rows: DataFrame, keys: list[str], array: str) -> DataFrame:

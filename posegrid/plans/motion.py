@@ -338,12 +338,23 @@ _CORR = "SELECT a.scene_id, a.video_id AS video_a, b.video_id AS video_b, a.pers
 _B = {"bx": "bx", "by": "by_", "bz": "bz"}
 
 
-@query(ctes("joints", roots="SELECT scene_id, video_id, frame_idx, person_id, x AS rx, y AS ry, z AS rz FROM joints WHERE joint = 0") + "SELECT j.scene_id, j.video_id, j.frame_idx, j.joint, round(x+rx, 6) AS x, round(y+ry, 6) AS y, round(z+rz, 6) AS z FROM joints j JOIN roots r ON j.scene_id=r.scene_id AND j.video_id=r.video_id AND j.frame_idx=r.frame_idx AND j.person_id=r.person_id WHERE NOT (x=0 AND y=0 AND z=0)")
+_ROOTED = "SELECT j.scene_id, j.video_id, j.frame_idx, j.person_id, j.joint, j.x+r.x AS x, j.y+r.y AS y, j.z+r.z AS z FROM joints j JOIN joints r ON j.scene_id=r.scene_id AND j.video_id=r.video_id AND j.frame_idx=r.frame_idx AND j.person_id=r.person_id WHERE r.joint = 0"
+
+
+@query((ctes("joints", rooted=_ROOTED) + "SELECT scene_id, video_id, frame_idx, joint, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM rooted WHERE NOT (x=0 AND y=0 AND z=0)").replace("joints AS (", "joints AS MATERIALIZED (").replace("ranked AS (", "ranked AS MATERIALIZED ("))
 def absolute_joints(spark, sf_dir):
     rows = ad.joints(spark, sf_dir)
     return _r(al.absolute_joints(rows, rows.where("joint = 0")).select("scene_id", "video_id", "frame_idx", "joint", "x", "y", "z"), "x", "y", "z")
 
 
+@query((ctes("joints", roots="SELECT scene_id, video_id, frame_idx, person_id, x, y, z FROM joints WHERE joint = 20 AND person_id <> 2") + "SELECT scene_id, video_id, frame_idx, CAST(-1 AS INT) AS joint, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM roots WHERE frame_idx % 2 = 0").replace("joints AS (", "joints AS MATERIALIZED (").replace("ranked AS (", "ranked AS MATERIALIZED ("))
+def absolute_roots(spark, sf_dir):
+    """Persons without joints are their roots alone; without a root they drop out."""
+    rows = ad.joints(spark, sf_dir)
+    found = al.absolute_joints(rows.where("frame_idx % 2 = 1"), rows.where("joint = 20 AND person_id <> 2"))
+    return _r(found.where("joint = -1").select("scene_id", "video_id", "frame_idx", "joint", "x", "y", "z"), "x", "y", "z")
+
+
 _H = [("x", "x"), ("x", "y"), ("z", "z")]
 
 
@@ -412,15 +423,6 @@ def residual_histogram(spark, sf_dir):
 
 # -- synchronisation ----------------------------------------------------------------
 
-_PAIRED = "SELECT a.video_id AS video_a, b.video_id AS video_b, a.frame_idx AS frame_a, b.frame_idx AS frame_b, (a.v-b.v)*(a.v-b.v) AS cost FROM series a JOIN series b ON a.video_id < b.video_id"
-
-
-def _series_cost(spark, sf_dir):
-    rows = ad.series(spark, sf_dir).withColumn("k", F.lit(1))
-    a = rows.selectExpr("k", "video_id AS video_a", "frame_idx AS frame_a", "v AS va")
-    b = rows.selectExpr("k", "video_id AS video_b", "frame_idx AS frame_b", "v AS vb")
-    return a.join(b, "k").where("video_a < video_b").selectExpr("video_a", "video_b", "frame_a", "frame_b", "(va-vb)*(va-vb) AS cost")
-
 
 @query(ctes("joints") + """SELECT a.scene_id, a.person_id, a.video_id AS video_a, b.video_id AS video_b, a.frame_idx AS frame_a, b.frame_idx AS frame_b,
 round(power(sum(a.conf*b.conf*sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) / (sum(a.conf*b.conf) + 1e-8::DOUBLE), 2), 6) AS cost
@@ -435,14 +437,13 @@ UNION ALL SELECT video_a, video_b, k+1, list_transform(range(0, n+1), lambda i:
 
 @query(ctes("series", recursive=True, lists="SELECT video_id, list(v ORDER BY frame_idx) AS v, CAST(count(*) AS INT) AS n FROM series GROUP BY video_id", two="SELECT a.video_id AS video_a, b.video_id AS video_b, a.v AS va, b.v AS vb, a.n, b.n AS m FROM lists a JOIN lists b ON a.video_id < b.video_id", diag=_DIAG) + "SELECT video_a, video_b, round(d1[n+1], 4) AS distance FROM diag WHERE k = n + m")
 def dtw_distance(spark, sf_dir):
-    out = sy.warp(_series_cost(spark, sf_dir), ["video_a", "video_b"])
+    out = sy.warp_series(ad.series(spark, sf_dir).withColumn("scene_id", F.lit("all")), ["scene_id"])
     return _r(out.select("video_a", "video_b", "distance"), "distance", digits=4)
 
 
 @query()
 def dtw_offsets(spark, sf_dir):
-    cost = sy.cost_matrix(ad.joints(spark, sf_dir))
-    by_person = sy.warp(cost, ["scene_id", "person_id", "video_a", "video_b"])
+    by_person = sy.warp_sequences(ad.joints(spark, sf_dir))
     return sy.pair_offsets(by_person, ["scene_id", "video_a", "video_b"])
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Config
 from ..operators import detections as det
 from ..operators import tracks as trk
 from ..sources import adapters as ad
@@ -63,14 +62,14 @@ _RUNS = "SELECT frame_idx, ord, ord AS person_id, y1 AS y, x1 AS x_start, greate
 _PIXELS = "SELECT frame_idx, y, x, arg_max(person_id, ord) AS person_id FROM (SELECT frame_idx, y, ord, person_id, unnest(range(x_start, x_end+1)) AS x FROM runs) GROUP BY frame_idx, y, x"
 
 
-def _pixels(spark, sf_dir):
+def _committed(spark, sf_dir):
     runs = ad.boxes(spark, sf_dir).selectExpr("frame_idx", "ord", "ord AS person_id", "y1 AS y", "x1 AS x_start", "greatest(x1, x2) AS x_end")
     return det.compose_runs(runs, ["frame_idx"])
 
 
 @query(ctes("boxes", runs=_RUNS, pixels=_PIXELS) + "SELECT frame_idx, person_id, CAST(min(x) AS INT) AS x1, min(y) AS y1, CAST(max(x) AS INT) AS x2, max(y) AS y2, count(*) AS pixels FROM pixels GROUP BY frame_idx, person_id")
 def mask_bbox_compose(spark, sf_dir):
-    return det.mask_boxes(_pixels(spark, sf_dir), ["frame_idx"])
+    return det.mask_boxes(_committed(spark, sf_dir), ["frame_idx"])
 
 
 @query(ctes("boxes") + """SELECT frame_idx, ord, pixels, fill_ratio FROM (
@@ -207,5 +206,3 @@ def scene_limit_no_ego(spark, sf_dir):
 def scenes_with_videos(spark, sf_dir):
     return det.scenes_with_videos(ad.gallery(spark, sf_dir))
 
-
-_CFG = Config()

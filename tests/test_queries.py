@@ -43,7 +43,9 @@ def test_matches_sql(spark, sf_dir, tables, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_runs_without_sql(spark, sf_dir, name):
-    assert catalogue.queries()[name](spark, sf_dir).count() >= 0
+    """What they compute is held against numpy in test_numeric and test_whole_views."""
+    rows = catalogue.queries()[name](spark, sf_dir).collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)
 
 
 def test_entry(spark):
