@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from .shingles import _BACK, _BASE, mix
+from .shingles import mix, string_hashes
 
 LENGTH, K = 200, 100
 _W = LENGTH - K + 1
 _U = np.uint64
+#: The base of the rolling hash that chooses anchors, and its inverse.
+_BASE = _U(0x9E3779B97F4A7C15)
+_BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at a time; pieces overlap so that no string is cut.
 PIECE = 1 << 20
 
@@ -56,7 +59,8 @@ def runs(raw: bytes) -> tuple[np.ndarray, ...]:
     """Anchor hash, run hash, anchor place, first and last start of each run.
 
     A run is a maximal range of string starts with the same anchor place; its run
-    hash is that of all bytes its strings cover.
+    hash is that of all bytes its strings cover (not of the rolling kind, which
+    would give some pairs of long strings the same hash).
     """
     flat = np.frombuffer(raw, np.uint8)
     total = len(flat) - LENGTH + 1
@@ -74,7 +78,7 @@ def runs(raw: bytes) -> tuple[np.ndarray, ...]:
         place = _first_equal(own, least)
         cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         first, last = cut, np.concatenate([cut[1:], [len(place)]]) - 1
-        out.append((own[place[cut]], h.of(first, last + LENGTH), place[cut] + a, first + a, last + a))
+        out.append((own[place[cut]], string_hashes(piece, first, last + LENGTH), place[cut] + a, first + a, last + a))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

@@ -1,23 +1,29 @@
 """Word and shingle hashes of many texts at a time, in numpy.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case.  A word's
-hash is a polynomial in its bytes modulo 2**64, so all words of a batch are
-hashed in a few array operations; what follows mixes it well.
+Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case.  A word is
+hashed eight bytes at a time, each eight mixed with their place before they are
+added, so no algebra of the bytes carries over to the hash; words of a batch
+share array operations.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes hashed at a time.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a text that ``words`` prepares at a time.
 PIECE = 1 << 20
+#: Strings of more bytes are hashed one by one.
+LONGEST = 320
+_STEP = _U(0x9E3779B97F4A7C15)
+#: What is kept of eight bytes when only so many belong to the string.
+_PART = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,22 +35,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        up, down = np.full(n, _BASE, _U), np.full(n, _BACK, _U)
-        up[0] = down[0] = 1
-        _UP, _DOWN = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-    return _UP[:n], _DOWN[:n]
-
-
-_UP = _DOWN = np.ones(1, _U)
+#: So that the same eight bytes count differently at each place of a string.
+_SALT = mix(np.arange(1, LONGEST // 8 + 1, dtype=np.uint64) * _STEP)
+
+
+def string_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string ``flat[start:end]`` of an array of bytes."""
+    size = ends - starts
+    held = np.concatenate([flat, np.zeros(LONGEST + 8, np.uint8)])
+    # the eight bytes from each place on, as one number
+    eight = np.ndarray(len(flat) + LONGEST, "<u8", held, strides=(1,))
+    total = size.astype(_U) * _STEP
+    live = np.flatnonzero(size <= LONGEST)
+    steps = -(-int(size[live].max(initial=0)) // 8)
+    if steps * len(live) <= 1 << 15:  # few strings: all their steps in one array
+        j = np.arange(steps)
+        left = np.clip(size[live][:, None] - 8 * j, 0, 8)
+        total[live] += mix((eight[starts[live][:, None] + 8 * j] & _PART[left]) ^ _SALT[j]).sum(1, where=left > 0, dtype=_U)
+    else:
+        at, left = starts[live], size[live]
+        for j in range(steps):
+            more = left > 8 * j
+            if not more.all():
+                live, at, left = live[more], at[more], left[more]
+            total[live] += mix((eight[at + 8 * j] & _PART[np.minimum(left - 8 * j, 8)]) ^ _SALT[j])
+    for k in np.flatnonzero(size > LONGEST):
+        total[k] = int.from_bytes(hashlib.blake2b(flat[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return mix(total)
 
 
 def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (bytes) of every word of a text."""
     flat = _LOWER[np.frombuffer(raw, np.uint8)]
-    edge = np.diff(np.concatenate([[True], _SPACE[flat], [True]]).astype(np.int8))
+    edge = np.diff(np.concatenate([[True], SPACE[flat], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     hashes = np.zeros(len(starts), _U)
     k = 0
@@ -52,11 +75,9 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # whole words in a piece; a word that is longer than a piece gets its own
         stop = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, side="right")))
         a, b = int(starts[k]), int(ends[stop - 1])
-        up, down = _powers(b - a + 1)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum((flat[a:b].astype(_U) + _U(1)) * up[: b - a], dtype=_U)])
-        hashes[k:stop] = (sums[ends[k:stop] - a] - sums[starts[k:stop] - a]) * down[starts[k:stop] - a]
+        hashes[k:stop] = string_hashes(flat[a:b], starts[k:stop] - a, ends[k:stop] - a)
         k = stop
-    return mix(hashes + (ends - starts).astype(_U)), starts, ends
+    return hashes, starts, ends
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
