@@ -1,11 +1,17 @@
 """Exact nearest neighbours of a stated query set, by a block matrix join.
 
-Vectors are held as int8 with one scale each, in blocks.  A tile, one block of
-queries against one block of candidates, is a single int8 product; with the
-length of what quantisation cut off each vector it bounds every distance of the
-tile from both sides.  A pair whose lower bound lies above the k-th least upper
-bound of its query cannot be among the k nearest.  The others are computed
-again in double precision on the original vectors, and heaps merge the tiles.
+Vectors are held as int8 with one scale each, in blocks.  A tile, some queries
+against one block of candidates, is a single int8 product; with the length of
+what quantisation cut off each vector it bounds every distance of the tile from
+both sides.  A pair whose lower bound lies above the k-th least upper bound of
+its query cannot be among the k nearest.  The others are computed again in
+double precision on the original vectors, and heaps merge the tiles.
+
+Tiles form a grid: blocks of queries against groups of candidate blocks, so one
+block of queries is spread over as many tasks as the candidates need.  What
+bounds a pair is in parts of the tile's largest scale; where a distance is so
+large or so small that its square leaves the range of doubles, nothing is ruled
+out and the measure itself decides.
 
 Defined results: vectors that are null, all zero, or hold null or non-finite
 components take no part, neither as queries nor as candidates; vectors of
@@ -24,7 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, BLOCK = 512, 4096
+QUERY_BLOCK, BLOCK = 4096, 4096
+#: Queries of a tile, and candidate blocks that meet a block of queries in one task.
+TILE, GROUP = 512, 64
+#: Distances between these are bounded; their squares are well inside the range of doubles.
+LEAST, MOST = 1e-140, 1e150
 _BLOCKS = "dim int, ids binary, vectors binary"
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -64,13 +74,20 @@ class Block:
     def __init__(self, dim: int, ids: bytes, vectors: bytes):
         self.ids = np.frombuffer(ids, np.int64)
         self.x = np.frombuffer(vectors, np.float64).reshape(-1, dim)
-        top = np.abs(self.x).max(1)
+        top = np.abs(self.x).max(1, initial=0)
         self.scale = np.maximum(top / 127, np.finfo(np.float64).tiny)
+        parts = self.x / self.scale[:, None]
         # clip: the quotient of a tiny maximum may round past 127
-        self.q = np.clip(np.rint(self.x / self.scale[:, None]), -127, 127).astype(np.int8)
-        near = self.q * self.scale[:, None]
-        self.off = np.sqrt(((self.x - near) ** 2).sum(1))
-        self.square = (near**2).sum(1)
+        self.q = np.clip(np.rint(parts), -127, 127).astype(np.int8)
+        # in parts of the scale: the length of the remainder, and of what is kept
+        self.off = np.sqrt(((parts - self.q) ** 2).sum(1))
+        self.length = np.sqrt((self.q.astype(np.float64) ** 2).sum(1))
+
+    def some(self, a: int, b: int) -> Block:
+        out = object.__new__(Block)
+        for name, value in vars(self).items():
+            setattr(out, name, value[a:b])
+        return out
 
 
 def tile(queries: Block, rows: Block, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
@@ -78,18 +95,26 @@ def tile(queries: Block, rows: Block, k: int) -> Iterator[tuple[int, list[tuple[
     dim = queries.q.shape[1]
     kind = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # both hold the integer sums exactly
     dots = queries.q.astype(kind) @ rows.q.astype(kind).T
-    square = queries.square[:, None] + rows.square[None, :] - 2 * (queries.scale[:, None] * rows.scale[None, :]) * dots
-    about = np.sqrt(np.maximum(square, 0))
+    unit = max(float(queries.scale.max()), float(rows.scale.max()))
+    a, b = queries.scale[:, None] / unit, rows.scale[None, :] / unit
+    x, y = a * queries.length[:, None], b * rows.length[None, :]
+    about = np.sqrt(np.maximum(x * x + y * y - 2 * (a * b) * dots, 0))
     # the subtraction above rounds: allow for that besides the quantisation
-    slack = queries.off[:, None] + rows.off[None, :] + 1e-7 * np.sqrt(queries.square[:, None] + rows.square[None, :])
+    slack = a * queries.off[:, None] + b * rows.off[None, :] + 1e-7 * np.sqrt(x * x + y * y)
+    with np.errstate(over="ignore"):
+        lower, upper = np.minimum((about - slack) * unit, MOST), (about + slack) * unit
+    lower[lower < LEAST] = 0
+    upper[~(upper < MOST)] = np.inf
+    upper = np.maximum(upper, LEAST)
     own = queries.ids[:, None] == rows.ids[None, :]
-    upper = np.where(own, np.inf, about + slack)
+    upper[own] = np.inf
     bound = np.partition(upper, k - 1, 1)[:, k - 1] if upper.shape[1] > k else np.full(len(upper), np.inf)
-    keep = (about - slack <= bound[:, None]) & ~own
+    keep = (lower <= bound[:, None]) & ~own
     for n in range(len(keep)):
         some = np.flatnonzero(keep[n])
         if len(some):
-            exact = np.sqrt(((rows.x[some] - queries.x[n]) ** 2).sum(1))
+            with np.errstate(over="ignore", under="ignore"):
+                exact = np.sqrt(((rows.x[some] - queries.x[n]) ** 2).sum(1))
             order = np.lexsort((rows.ids[some], exact))[:k]
             yield n, [(float(exact[j]), int(rows.ids[some[j]])) for j in order]
 
@@ -99,16 +124,18 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
 
     Columns: ``query_id`` long, ``rank`` int from 1, ``vec_id`` long, ``score``
     double (Euclidean distance).  Candidate blocks are cut where the rows lie;
-    what moves is a copy of them for each block of queries, and then ``k`` rows
-    for each query and task.
+    what moves is a copy of them for each ``QUERY_BLOCK`` queries, and then ``k``
+    rows for each query and group of candidate blocks.
     """
     rows = clean_vectors(vectors, id_col, vector_col)
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    total, wanted = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    blocks, groups = max(1, -(-wanted // QUERY_BLOCK)), max(1, -(-total // (BLOCK * GROUP)))
     by_query = asked.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    queries = by_query.repartition(blocks, "qb").mapInArrow(lambda b: _packed(b, QUERY_BLOCK, True), _BLOCKS + ", qb int").select(F.col("dim"), "qb", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    queries = by_query.repartition(blocks, "qb").mapInArrow(lambda b: _packed(b, QUERY_BLOCK, True), _BLOCKS + ", qb int").select(F.col("dim"), "qb", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     cut = rows.mapInArrow(lambda b: _packed(b, BLOCK, False), _BLOCKS)
-    tiles = cut.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, ["dim", "qb"])
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    tiles = cut.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, ["dim", "qb", "group"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[float, int]]] = {}
@@ -121,11 +148,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         for b in batches:
             for n in range(b.num_rows):
                 dim, qi, qv, ci, cv = (b.column(c)[n].as_py() for c in ("dim", "query_ids", "query_vectors", "ids", "vectors"))
-                q = Block(dim, qi, qv)
-                for j, near in tile(q, Block(dim, ci, cv), k):
-                    key = int(q.ids[j])
-                    best[key] = heapq.nsmallest(k, [*best.get(key, ()), *near])
-                if len(best) > 64 * QUERY_BLOCK:
+                q, rows = Block(dim, qi, qv), Block(dim, ci, cv)
+                for a in range(0, len(q.ids), TILE):
+                    for j, near in tile(q.some(a, a + TILE), rows, k):
+                        key = int(q.ids[a + j])
+                        best[key] = heapq.nsmallest(k, [*best.get(key, ()), *near])
+                if len(best) > 8 * QUERY_BLOCK:
                     yield found()
         if best:
             yield found()
