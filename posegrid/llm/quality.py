@@ -6,12 +6,15 @@ convolution is a sum of table rows; its rectified maximum over a chunk is the
 chunk's feature.  The means and maxima of the chunks' features over the text are
 combined into one probability.
 
-The network is fitted on a bounded sample of labelled rows by gradient descent;
-through a maximum the gradient reaches only the bytes where it was found.
-
-Defined results: a null or empty text is one chunk of padding; repeated rows
-give repeated rows; an empty table gives an empty table; without labelled rows
-of both kinds every score is the share of ones (0.5 without labels).
+The network is fitted on the whole texts of a bounded sample of labelled rows by
+gradient descent; through a maximum the gradient reaches only the bytes where it
+was found.
+
+Defined results: a null or empty text is one chunk of padding; a very long text
+is scored whole, some chunks at a time; repeated rows give repeated rows; where
+labels of one document disagree the greater one holds; an empty table gives an
+empty table; without labelled rows of both kinds every score is the share of
+ones (0.5 without labels); other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows the network is fitted on (those of least hash), and the bytes of
-#: each that a training step sees: as many chunks, spread evenly over the text.
-TRAIN_ROWS, TRAIN_CHUNKS = 3_000, 12
+#: Labelled rows whose whole texts the network is fitted on: those of least hash.
+TRAIN_ROWS = 2_000
 FILTERS, WIDTH, CHUNK, STEP = 16, 6, 256, 224
 EPOCHS, RATE, BATCH = 6, 0.02, 64
 #: Chunks that a task holds at a time.
@@ -47,6 +49,9 @@ class Network:
     def maxima(self, chunks: np.ndarray, where: bool = False):
         """Rectified maxima of the filters over each chunk (and their places)."""
         n, size = chunks.shape
+        if n > BAND:
+            parts = [self.maxima(chunks[k : k + BAND], where) for k in range(0, n, BAND)]
+            return tuple(np.concatenate(x) for x in zip(*parts)) if where else np.concatenate(parts)
         span = size - WIDTH + 1
         total = self.table[0].take(chunks[:, :span], 0)
         for j in range(1, WIDTH):
@@ -90,7 +95,7 @@ def text_features(network: Network, texts: list[bytes]) -> np.ndarray:
         if len(chunks) > BAND:  # a very long text in bands of its own
             flush()
             held, size = [], 0
-            out.append(pooled(np.concatenate([network.maxima(chunks[k : k + BAND]) for k in range(0, len(chunks), BAND)])))
+            out.append(pooled(network.maxima(chunks)))
             continue
         if size + len(chunks) > BAND:
             flush()
@@ -149,29 +154,18 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Collect the chunks of at most ``TRAIN_ROWS`` labelled rows and fit.
-
-    At most ``TRAIN_CHUNKS`` chunks, spread evenly over the whole text, come from
-    a row, so what the driver gets has a bound that does not depend on the input.
-    """
-    marked = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "raw")
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for raw in b.column(2):
-                chunks = cut(raw.as_py())
-                out.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).astype(int))].tobytes())
-            yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "label", "chunks"])
-
-    found = sorted(rows.mapInArrow(sample, "doc_id long, label int, chunks binary").collect(), key=lambda r: (r["doc_id"], bytes(r["chunks"])))
+    """Fit on the whole texts of at most ``TRAIN_ROWS`` labelled rows, which the driver collects."""
+    marked = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    order = F.xxhash64("doc_id"), "doc_id"
+    chosen = marked.orderBy(*order).limit(TRAIN_ROWS)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw")).join(F.broadcast(chosen), "doc_id")
+    # an id may stand for several rows: the bound holds for rows
+    found = rows.orderBy(*order, F.xxhash64("raw"), "raw").limit(TRAIN_ROWS).select("label", "raw").collect()
     y = np.array([r["label"] for r in found], float)
     if len(y) == 0 or y.min() == y.max():
         zero = np.zeros(2 * FILTERS)
         return Network(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS + 1), zero, zero + 1, float(y.mean()) if len(y) else 0.5)
-    return fit([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in found], y)
+    return fit([cut(bytes(r["raw"])) for r in found], y)
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
