@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import drop, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,18 +29,23 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id`` and ``root`` (the least id of its component) of every linked id.
+    """``id`` and ``root`` (the least id of its component) of every linked id, as a written table.
 
     ``links`` has two columns of ids in any order; nulls and self-links drop out.
+    Each round's table is deleted when the next one stands.
     """
     x, y = links.columns
     links = links.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
     links = written(links, "links")
     before = _state(links)
     while before[0]:
-        links = written(_star(_star(links, True), False), "links")
+        last, links = links, written(_star(_star(links, True), False), "links")
+        drop(last)
         after = _state(links)
         if after == before:
             break
         before = after
-    return links.select(F.col("a").alias("id"), F.col("b").alias("root")).union(links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    roots = links.select(F.col("a").alias("id"), F.col("b").alias("root")).union(links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out = written(roots, "roots")
+    drop(links)
+    return out

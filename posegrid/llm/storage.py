@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Spark removes the shuffle files of an action when it has ended: what it wrote needs them no more.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; where none is named (tests), a temporary one."""
+    """The folder the cluster names; a temporary one only where driver and tasks are one process."""
     found = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set(KEY, found)
     return found
@@ -26,6 +32,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, which cuts their lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        path = _PATHS.pop(t, None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
