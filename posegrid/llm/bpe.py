@@ -17,7 +17,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import BYTE_BPE, BoundedCache, byte_letters, default_path, load_spec, to_letters
+from .vocab import BYTE_BPE, BoundedCache, byte_letters, default_path, held, load_spec, to_letters
 
 #: Entries kept by a worker for pieces of text, and for words.
-PIECE_ENTRIES, WORD_ENTRIES = 700_000, 400_000
+PIECE_ENTRIES, WORD_ENTRIES = 300_000, 150_000
 
 _PLAIN = re.compile(r"( ?[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
 _BLANKS = re.compile(r" (?:\s|$)")
@@ -152,9 +151,8 @@ def concatenated(ids: np.ndarray, letters: np.ndarray, starts: np.ndarray, sizes
     return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return held(("bpe", path), lambda: ByteBpe(path))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,11 +8,12 @@ So every prefix of a word has one last token, and
 
 gives the number of tokens at all prefixes in one pass.  The table answers
 "how many tokens has the text up to here" and "how far can I go with this
-budget" without encoding anything again.
+budget", at any character, without encoding anything again.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
-give repeated rows; an empty table gives an empty table; other columns of the
-input are ignored, whatever their names.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); a very long
+text, with white space or without, is counted whole; repeated rows give repeated
+rows; an empty table gives an empty table; other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import WORD_BPE, BoundedCache, default_path, load_spec, to_letters
+from .vocab import WORD_BPE, BoundedCache, default_path, held, load_spec, to_letters
 
 #: Entries kept by a worker for white-space separated chunks, words, prefixes of words and token pairs.
 CHUNK_ENTRIES, WORD_ENTRIES, PREFIX_ENTRIES, PAIR_ENTRIES = 800_000, 300_000, 400_000, 400_000
+#: Chunks whose counts at every prefix a worker keeps.
+INSIDE_ENTRIES = 50_000
 
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
 
@@ -53,6 +57,7 @@ class PrefixCounter:
         self.normalize, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.chunks: BoundedCache = BoundedCache(CHUNK_ENTRIES)
         self.words: BoundedCache = BoundedCache(WORD_ENTRIES)
+        self.insides: BoundedCache = BoundedCache(INSIDE_ENTRIES)
         self.pairs: BoundedCache = BoundedCache(PAIR_ENTRIES)
         self.prefixes: BoundedCache = BoundedCache(PREFIX_ENTRIES)
 
@@ -168,85 +173,149 @@ class PrefixCounter:
                 total += fresh(c) if n is None else n
         return total
 
-    def table(self, raw: bytes) -> tuple[list[int], list[int]]:
-        """Byte offset after each chunk (and special string), and the count there."""
-        ends, counts, total, base = [0], [0], 0, 0
+    def inside(self, raw: bytes) -> np.ndarray:
+        """Token count of every prefix of a chunk, by characters from 0 on."""
+        known = self.insides.get(raw)
+        if known is None:
+            known = self._inside(raw.decode("utf-8"))
+            if len(raw) <= 64:
+                self.insides.keep(raw, known)
+        return known
+
+    def _inside(self, text: str) -> np.ndarray:
+        whole = self.normalize(text)
+        if len(whole) != len(text) or any(self.normalize(c) != d for c, d in zip(text, whole)):
+            # characters that act on each other: each prefix for itself
+            return np.array([sum(self.word(w) for w, _ in self.split(self.normalize(text[:i]))) for i in range(len(text) + 1)], np.int64)
+        out, base = np.zeros(len(text) + 1, np.int64), 0
+        for w, (a, e) in self.split(whole):
+            part = whole[a:e]
+            if part[:1] == "'" or not self.end:  # a short form may be split otherwise while it is not whole
+                own = [sum(self.word(v) for v, _ in self.split(part[:i])) for i in range(1, len(part) + 1)]
+            else:
+                last, count = self.inner(w)
+                at = np.cumsum([len(c.encode()) for c in part]).tolist()
+                own = [self.closing(w, i, last, count) for i in at]
+            out[a + 1 : e + 1] = base + np.array(own)
+            base = int(out[e])
+            out[e + 1 :] = base  # what the rules leave out, such as a no-break space, adds nothing
+        return out
+
+    def table(self, raw: bytes) -> tuple[list[int], list[int], list[int]]:
+        """Byte starts and ends of the chunks, and the counts before each and after the last.
+
+        A special string is one token once it is whole; while it is not, it belongs
+        to the chunk that it would make with the text before it.
+        """
+        starts, ends, counts, total, base = [], [], [0], 0, 0
         for part, special in self.segments(raw):
             spans = [(0, len(part))] if special else [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", part)]
             for a, b in spans:
                 c = part[a:b]
                 n = 1 if special else self.chunks.get(c)
                 total += self.chunk(c) if n is None else n
+                starts.append(base + a)
                 ends.append(base + b)
                 counts.append(total)
             base += len(part)
-        return ends, counts
-
-    def count_at(self, raw: bytes, table: tuple[list[int], list[int]], n_bytes: int) -> int:
+        return starts, ends, counts
+
+    def _prefixes(self, raw: bytes, table: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Byte offsets of the characters of chunk ``k`` and the text's count at each."""
+        starts, ends, counts = table
+        a, e = starts[k], ends[k]
+        text = raw[a:e].decode("utf-8")
+        at = a + np.cumsum([0] + [len(c.encode()) for c in text])
+        if raw[a:e] not in self.special_bytes:
+            return at, counts[k] + self.inside(raw[a:e])
+        # up to here a special string is like any other text that touches the chunk before it
+        before = k > 0 and ends[k - 1] == a and raw[starts[k - 1] : a] not in self.special_bytes
+        first, upto = (starts[k - 1], counts[k - 1]) if before else (a, counts[k])
+        own = self.inside(raw[first:e])[-len(at) :] + upto
+        own[-1] = counts[k + 1]
+        return at, own
+
+    def count_at(self, raw: bytes, table: tuple, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes (cut back to a whole character)."""
         while 0 < n_bytes < len(raw) and raw[n_bytes] & 0xC0 == 0x80:
             n_bytes -= 1
-        ends, counts = table
-        k = bisect_right(ends, n_bytes) - 1
-        rest = raw[ends[k] : n_bytes]
-        return counts[k] + (self.count(rest) if rest.strip() else 0)
-
-    def cut(self, raw: bytes, table: tuple[list[int], list[int]], budget: int) -> int:
-        """Bytes of the longest run of whole chunks with at most ``budget`` tokens."""
-        ends, counts = table
+        starts, ends, counts = table
+        k = bisect_right(starts, n_bytes) - 1
+        if k < 0 or n_bytes >= ends[k]:
+            return counts[k + 1]
+        at, own = self._prefixes(raw, table, k)
+        return int(own[np.searchsorted(at, n_bytes)])
+
+    def cut(self, raw: bytes, table: tuple, budget: int) -> int:
+        """Bytes of the longest prefix, in whole characters, with at most ``budget`` tokens."""
+        starts, ends, counts = table
         k = bisect_right(counts, budget) - 1
-        return len(raw) if k == len(counts) - 1 else ends[k]
+        if k == len(starts):
+            return len(raw)
+        # whole chunks up to here fit; of the rest only the next chunk may have a prefix that does
+        at, own = self._prefixes(raw, table, k)
+        return int(at[np.flatnonzero(own <= budget)[-1]])
+
+    def prefix_counts(self, raw: bytes) -> np.ndarray:
+        """The text's count at every character from 0 on."""
+        table = self.table(raw)
+        lead = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
+        places = np.append(lead, len(raw))
+        out = np.array(table[2])[np.searchsorted(table[1], places, "right")]
+        for k in range(len(table[0])):
+            at, own = self._prefixes(raw, table, k)
+            i = int(np.searchsorted(places, at[0]))
+            out[i + 1 : i + len(at)] = own[1:]
+        return out
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return held(("counts", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bytes, tokens and ``over_limit`` of every whole text.
+    """Bytes, tokens and ``over_limit`` of every whole text, and where the limit ends in it.
 
     Columns: ``doc_id`` (the id column), ``n_bytes`` long, ``n_tokens`` long,
-    ``over_limit`` boolean.  One pass over the input and no shuffle.
+    ``over_limit`` boolean, ``cut_bytes`` long (of the longest prefix, in whole
+    characters, with at most ``limit`` tokens).  One pass and no shuffle.
     """
     path = tokenizer or default_path(WORD_BPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            sizes, totals = [], []
+            sizes, totals, cuts = [], [], []
             for raw in b.column(1):
                 raw = raw.as_py() or b""
                 sizes.append(len(raw))
                 totals.append(c.count(raw))
+                cuts.append(len(raw) if totals[-1] <= limit else c.cut(raw, c.table(raw), limit))
             over = [n > limit for n in totals]
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(over, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(over, pa.bool_()), pa.array(cuts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")
 
 
 def prefix_tables(docs: DataFrame, budgets: list[int], tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The prefix table of every text, and where each budget ends in it.
+    """The prefix table of every text, to be stored, and where each budget ends in it.
 
-    Columns: ``doc_id``, ``ends`` (byte offset after each white-space separated
-    chunk), ``counts`` (exact tokens of the text up to there) and ``cuts`` (for
-    each budget, bytes of the longest run of whole chunks that fits).
+    Columns: ``doc_id``, ``counts`` (exact tokens of the first 0, 1, 2, ...
+    characters) and ``cuts`` (for each budget, bytes of the longest prefix that fits).
     """
     path = tokenizer or default_path(WORD_BPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            tables, cuts = [], []
-            for raw in b.column(1):
-                raw = raw.as_py() or b""
-                tables.append(t := c.table(raw))
-                cuts.append([c.cut(raw, t, n) for n in budgets])
-            kind = pa.list_(pa.int64())
-            yield pa.record_batch([b.column(0), pa.array([t[0] for t in tables], kind), pa.array([t[1] for t in tables], kind), pa.array(cuts, kind)], names=["doc_id", "ends", "counts", "cuts"])
+            for k in range(0, b.num_rows, 64):  # tables are larger than texts
+                some = b.slice(k, 64)
+                raws = [raw.as_py() or b"" for raw in some.column(1)]
+                tables = [c.table(raw) for raw in raws]
+                yield pa.record_batch([some.column(0), pa.array([c.prefix_counts(raw) for raw in raws], pa.list_(pa.int64())), pa.array([[c.cut(raw, t, n) for n in budgets] for raw, t in zip(raws, tables)], pa.list_(pa.int64()))], names=["doc_id", "counts", "cuts"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ends array<long>, counts array<long>, cuts array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, counts array<long>, cuts array<long>")

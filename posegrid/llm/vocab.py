@@ -7,7 +7,11 @@ public tokenizer files tells where its files are.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
+from typing import TypeVar
+
+T = TypeVar("T")
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,7 +24,6 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
 def load_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -50,6 +53,17 @@ def to_letters(raw: bytes) -> str:
     return raw.decode("latin-1").translate(letter_table())
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, build: Callable[[], T]) -> T:
+    """A worker's large state for one operator: what the last operator kept makes room for it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 class BoundedCache(dict):
     """A dict that starts afresh once it holds ``limit`` entries."""
 
@@ -62,3 +76,27 @@ class BoundedCache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class RecentCache:
+    """Of at most ``limit`` entries those asked for of late, in two generations.
+
+    Once the young generation is full it becomes the old one; what is found in
+    the old one is young again.
+    """
+
+    def __init__(self, limit: int):
+        self.half = max(1, limit // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
