@@ -1,22 +1,24 @@
 """Adaptive context-mixing range coder for token ids.
 
 A stream is cut into blocks that are reset, coded and checksummed on their own,
-so any block can be read without the others.  In a block, three models predict
-the next id from the last 0, 1 and 2 ids; each keeps an id and a confidence for
-a context.  A mixing table turns the three confidences, and which predictions
-agree, into the probabilities of the predicted ids and of an escape:
-
-    P(id) = mixed weight of the models that predict it,
-    P(escape) * P0(id) otherwise,
-
-where ``P0`` is the block's own order-0 distribution over magnitudes (bit
-lengths; it stands before the block), uniform inside each.  Confidences adapt
-with every id.  A range coder with 64-bit state and 32-bit words codes which
-prediction came true, or the escape with its magnitude and offset.
-
-All blocks of a call are coded side by side: step ``t`` handles the ``t``-th id
-of every block in array operations on integers, so any machine decodes what
-another one wrote.
+so any block can be read without the others.  Inside a block, lanes (runs of
+neighbouring ids) are coded side by side in array operations and share what the
+block has learned so far; step ``t`` codes the ``t``-th id of every lane.
+
+* Orders 1 and 2: each context (the last id, the last two) keeps two candidates
+  with confidences; hits raise them, misses lower them and let newcomers in.
+* Mixing: the four confidences and whether the orders agree make a mixing state.
+  For each state the weights of the four candidates and of an escape are learned
+  from how often each came true there, so an order that is seldom right loses
+  its weight wherever that is so.
+* Order 0: after an escape the id itself is coded by its frequency in the block
+  so far, without the two first candidates, which it is not; every id of the block's range
+  always has some weight.
+
+Weights and frequencies are held between refreshes, whose steps are fixed.  The
+range coder has a 64-bit state and 32-bit words; a block's lanes share one
+stream of words, in the order in which decoding asks for them.  All of it is
+integer arithmetic, so any machine decodes what another one wrote.
 """
 
 from __future__ import annotations
@@ -26,241 +28,275 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 1024, 4096
-_SLOT_BITS = 10
-_SLOTS = 1 << _SLOT_BITS
-_MIX_BITS = 12
-_SIZE_BITS = 8
-_MAGNITUDES = 25
-#: Ids stay below this, so that an offset always has room in the span.
+#: Lanes of a full block, and the ids of each.
+LANES, STEPS = 4096, 512
+BLOCK = LANES * STEPS
+#: A lane of a smaller block has about so many ids at least.
+SHORTEST = 512
+#: Ids stay below this.
 MOST = 1 << 24
-_MAGIC = b"PGT2"
+_MAGIC = b"PGT3"
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
-_LEVELS = 8
-
-
-def _mixing_table() -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of the outcomes (order 2, 1, 0, escape) for each state.
-
-    A state is the three confidences and the agreements 2=1, 2=0, 1=0.  Each
-    order is weighted by how far it has been right; a prediction shared by two
-    orders gets both shares, on the highest order.
-    """
-    states = np.arange(_LEVELS**3 * 8)
-    same = [(states >> k & 1).astype(bool) for k in range(3)]
-    level = [(states >> 3) // _LEVELS**k % _LEVELS for k in (2, 1, 0)]  # orders 2, 1, 0
-    rate = np.array([0, 6, 16, 30, 44, 58, 70, 80])  # hits in 100 at each confidence
-    trust = [8, 5, 1]
-    total = np.maximum(sum(t * rate[x] for t, x in zip(trust, level)), 1)
-    best = np.maximum(np.maximum(rate[level[0]], rate[level[1]] * 9 // 10), rate[level[2]] // 8)
-    room = (1 << _MIX_BITS) - 8
-    share = [room * best * t * rate[x] // (100 * total) for t, x in zip(trust, level)]
-    two, one, zero = share
-    two, one = two + np.where(same[0], one, 0), np.where(same[0], 0, one)
-    two, zero = two + np.where(same[1], zero, 0), np.where(same[1], 0, zero)
-    one, zero = one + np.where(same[2] & ~same[1], zero, 0), np.where(same[2] & ~same[1], 0, zero)
-    width = np.stack([two, one, zero, (1 << _MIX_BITS) - two - one - zero], 1)
-    return (np.cumsum(width, 1) - width).astype(_U), width.astype(_U)
-
-
-_START, _WIDTH = (x.ravel() for x in _mixing_table())
-_ENDS = (_START + _WIDTH).reshape(-1, 4)[:, :3].astype(np.int64)
-#: What becomes of a confidence on a hit and on a miss.
-_UP = np.minimum(np.arange(_LEVELS) + 1, _LEVELS - 1)
+_ONE, _TWO = 16, 18  # bits of the tables of contexts
+_NOBODY = np.int32(MOST << 3)
+_WEIGHT_BITS = 16
+_CHOICES = 5  # two candidates of order 2, two of order 1, escape
+_STATES = 1 << 11
+#: Ids of the block count so much more than the one that every id starts with.
+_SEEN = 32
+#: Blocks with ids from here on are coded as pairs of symbols of 12 bits each.
+_LARGE, _HALF = 1 << 18, 1 << 12
+
+
+#: The first of four candidates that came true, from a bit for each; 4 for none.
+_FIRST = np.array([4 if not k else (k & -k).bit_length() - 1 for k in range(16)], np.int32)
+
+
+def _refreshes(steps: int) -> set[int]:
+    """Steps before which weights and frequencies are refreshed: all first ones, then ever fewer."""
+    out, at = set(), 1
+    while at < steps:
+        out.add(at)
+        at += max(1, min(16, at // 4))
+    return out
 
 
 class _Model:
-    """Predictors of ``n`` blocks side by side; an entry is id * 8 + confidence."""
-
-    def __init__(self, n: int):
-        self.entry = [np.full(n, -8, np.int64), np.full(n * _SLOTS, -8, np.int64), np.full(n * _SLOTS, -8, np.int64)]
-        self.base = np.arange(n, dtype=np.int64) << _SLOT_BITS
-        self.last = self.before = np.zeros(n, np.int64)
-
-    def predict(self, n: int) -> np.ndarray:
-        """The mixing state of the first ``n`` blocks; the predictions are in ``said``."""
-        a, b = self.last[:n], self.before[:n]
-        one = a * 0x9E3779B1
-        self.at1 = self.base[:n] + ((one >> 15) & (_SLOTS - 1))
-        self.at2 = self.base[:n] + (((one + b * 0x85EBCA6B) >> 17) & (_SLOTS - 1))
-        self.e0, self.e1, self.e2 = self.entry[0][:n], self.entry[1].take(self.at1), self.entry[2].take(self.at2)
-        self.said = s0, s1, s2 = self.e0 >> 3, self.e1 >> 3, self.e2 >> 3
-        state = ((self.e2 & 7) << 6) + ((self.e1 & 7) << 3) + (self.e0 & 7)
-        return (state << 3) + (s2 == s1) + ((s2 == s0) << 1) + ((s1 == s0) << 2)
-
-    def learn(self, n: int, ids: np.ndarray, hit: tuple[np.ndarray, ...]) -> None:
+    """What a block has learned."""
+
+    def __init__(self, lanes: int, steps: int, top: int):
+        self.one = [np.full(1 << _ONE, _NOBODY, np.int32) for _ in range(2)]
+        self.two = [np.full(1 << _TWO, _NOBODY, np.int32) for _ in range(2)]
+        self.last = self.before = np.zeros(lanes, np.int32)
+        self.due = _refreshes(steps)
+        # what is seen of a state at first: candidates count by their confidences
+        s = np.arange(_STATES)
+        a2, a1, b2, b1 = s >> 8, s >> 5 & 7, s >> 2 & 3, s & 3
+        start = np.stack([4 * a2, b2, 2 * a1, b1, np.full(_STATES, 8)], 1)
+        start[:, 2] = np.where(s >> 4 & 1, 0, start[:, 2])
+        self.weights = (16 * start + 1).astype(np.int64)
+        self.top = top
+        self.counts = np.zeros(top + 1, np.int64)
+        self.chosen: list[np.ndarray] = []
+        self.coded: list[np.ndarray] = []
+        self.refresh()
+
+    def refresh(self) -> None:
+        if self.chosen:
+            self.weights += 24 * np.bincount(np.concatenate(self.chosen), minlength=_STATES * _CHOICES).reshape(_STATES, _CHOICES)
+            self.weights = np.where(self.weights.sum(1, keepdims=True) > 1 << 20, (self.weights + 1) >> 1, self.weights)
+            self.counts += np.bincount(np.concatenate(self.coded), minlength=len(self.counts))
+            self.chosen, self.coded = [], []
+        width = 1 + self.weights * ((1 << _WEIGHT_BITS) - _CHOICES) // self.weights.sum(1, keepdims=True)
+        width[:, -1] += (1 << _WEIGHT_BITS) - width.sum(1)
+        ends = np.cumsum(width, 1)
+        self.width, self.start = width.astype(_U).ravel(), (ends - width).astype(_U).ravel()
+        self.ends = [np.ascontiguousarray(ends[:, k]).astype(_U) for k in range(_CHOICES - 1)]
+        frequency = _SEEN * self.counts + 1
+        # behind the last id one that stands for all that the block does not have
+        self.upto = np.concatenate([[0], np.cumsum(frequency)])
+        self.frequency, self.total = np.append(frequency, 0), int(frequency.sum())
+
+    def predict(self, m: int) -> np.ndarray:
+        """The mixing state of the first ``m`` lanes; the candidates are in ``said``."""
+        last = self.last[:m].astype(np.uint32)
+        self.at1 = last & np.uint32((1 << _ONE) - 1)
+        self.at2 = (last * np.uint32(0x9E3779B1) + self.before[:m].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TWO)
+        self.said = a2, b2, a1, b1 = self.two[0].take(self.at2), self.two[1].take(self.at2), self.one[0].take(self.at1), self.one[1].take(self.at1)
+        agree = (a2 ^ a1) < 8
+        # a confidence of 7 for the first candidates, up to 3 for the second ones
+        self.state = ((a2 & 7) << 8) + ((a1 & 7) << 5) + (agree.view(np.int8).astype(np.int32) << 4) + (np.minimum(b2 & 7, 3) << 2) + np.minimum(b1 & 7, 3)
+        return self.state
+
+    def excluded(self, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The first candidates of some lanes, the smaller id first, and the frequency each takes away."""
+        a, b = (np.minimum(c[some] >> 3, self.top + 1) for c in (self.said[0], self.said[2]))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return [(low, self.frequency.take(low)), (high, np.where(low == high, 0, self.frequency.take(high)))]
+
+    def _moved(self, tables: list[np.ndarray], at: np.ndarray, a: np.ndarray, b: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray, new: np.ndarray) -> None:
+        ca, cb = a & 7, b & 7
+        a = a + (hit_a & (ca < 7))
+        a -= (ca > 1) & ~hit_a
+        b = np.where(hit_a | hit_b, b + (hit_b & (cb < 7)), np.where(cb > 1, b - 1, new))
+        swap = (a ^ b) * ((b & 7) > (a & 7))
+        tables[0][at], tables[1][at] = a ^ swap, b ^ swap
+
+    def learn(self, m: int, ids: np.ndarray, hits: tuple[np.ndarray, ...], place: np.ndarray) -> None:
+        """``hits``: which candidates came true; ``place``: state and choice."""
+        a2, b2, a1, b1 = self.said
         new = (ids << 3) + 1
-        for k, (e, at) in enumerate(((self.e0, None), (self.e1, self.at1), (self.e2, self.at2))):
-            c = e & 7
-            # a hit is one level more; a miss halves the level; at none the id takes the slot
-            kept = np.where(hit[k], e + (c < 7), e - ((c + 1) >> 1))
-            kept = np.where((c == 0) & ~hit[k], new, kept)
-            if at is None:
-                self.entry[0][:n] = kept
-            else:
-                self.entry[k][at] = kept
-        self.before, self.last = self.last[:n], ids
-
-
-def _magnitude(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
-
-
-def _size_table(counts: np.ndarray) -> np.ndarray:
-    """Parts of 256 for each magnitude that occurs, from counts (blocks, magnitudes)."""
-    used = counts > 0
-    room = (1 << _SIZE_BITS) - used.sum(1, keepdims=True)
-    parts = used + counts * room // np.maximum(counts.sum(1, keepdims=True), 1)
-    parts[np.arange(len(parts)), counts.argmax(1)] += (1 << _SIZE_BITS) - parts.sum(1)
-    return parts
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Magnitude table and code words of each block; the blocks must come longest first."""
-    n = len(blocks)
-    if not n:
-        return []
-    sizes = np.array([len(b) for b in blocks])
-    steps = int(sizes[0])
-    ids = np.zeros((steps, n), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    active = n - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
-    size = _magnitude(ids)
-    counts = np.zeros((n, _MAGNITUDES), np.int64)
-    for t in range(steps):
-        m = int(active[t])
-        counts[np.arange(m), size[t, :m]] += 1
-    parts = _size_table(counts)
-    first = (np.cumsum(parts, 1) - parts).astype(_U).ravel()
-    wide = parts.astype(_U).ravel()
-    low, span = np.zeros(n, _U), np.full(n, np.iinfo(_U).max, _U)
-    out, pos = np.zeros((steps * 2 + 4, n), np.uint32), np.zeros(n, np.int64)
+        self._moved(self.two, self.at2, a2, b2, hits[0], hits[1], new)
+        self._moved(self.one, self.at1, a1, b1, hits[2], hits[3], new)
+        self.chosen.append(place)
+        self.coded.append(ids)
+        self.before, self.last = self.last[:m], ids
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        here = ids << 3
+        return tuple((x ^ here) < 8 for x in self.said)
+
+
+def _layout(n: int) -> tuple[int, np.ndarray]:
+    """Lanes of a block of ``n`` ids, longest first, and how many are alive at each step."""
+    lanes = max(1, min(LANES, n // SHORTEST))
+    steps, over = -(-n // lanes), n % lanes
+    alive = np.full(steps, lanes)
+    if over:
+        alive[-1] = over
+    return lanes, alive
+
+
+def _dealt(ids: np.ndarray, lanes: int, steps: int) -> np.ndarray:
+    """The ids by step and lane; a lane's ids are neighbours in the block."""
+    over = len(ids) - (steps - 1) * lanes  # lanes with an id at the last step
+    out = np.zeros((steps, lanes), np.int32)
+    out[:, :over] = ids[: over * steps].reshape(over, steps).T
+    if over < lanes:
+        out[:-1, over:] = ids[over * steps :].reshape(lanes - over, steps - 1).T
+    return out
+
+
+def _joined(dealt: np.ndarray, n: int) -> np.ndarray:
+    steps, lanes = dealt.shape
+    over = n - (steps - 1) * lanes
+    return np.concatenate([dealt[:, :over].T.ravel(), dealt[:-1, over:].T.ravel()]) if n else np.zeros(0, np.int32)
+
+
+def _halves(ids: np.ndarray) -> np.ndarray:
+    """Two symbols for each id: its upper half, told from the lower ones, and its lower half."""
+    return np.stack([(ids >> 12) + _HALF, ids & (_HALF - 1)], 1).ravel()
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The words of a block, after its largest id."""
+    largest = int(ids.max(initial=0))
+    if largest >= _LARGE:
+        ids = _halves(ids)
+    n, top = len(ids), int(ids.max(initial=0))
+    lanes, alive = _layout(n)
+    steps = len(alive)
+    dealt = _dealt(ids.astype(np.int32), lanes, steps)
+    model = _Model(lanes, steps, top)
+    low, span = np.zeros(lanes, _U), np.full(lanes, np.iinfo(_U).max, _U)
+    out, pos = np.zeros((2 * steps + 4, lanes), np.uint32), np.zeros(lanes, np.int64)
     carries: list[tuple[np.ndarray, np.ndarray]] = []
-    lane, row = np.arange(n), np.arange(n) * _MAGNITUDES
-    model = _Model(n)
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle(m: int, before: np.ndarray) -> None:
         """Note carries, and write a word where the span has become small."""
-        if (carry := low[:m] < before).any():
+        carry = low[:m] < before
+        if carry.any():
             who = np.flatnonzero(carry)
             carries.append((pos[who] - 1, who))
         who = np.flatnonzero(span[:m] <= _LOW)
         if len(who):
-            code = low[who]
-            out[pos[who], who] = code >> _U(32)
-            pos[who] += 1
+            code, at = low[who], pos[who]
+            out[at, who] = code >> _U(32)
+            asked.append((at + 2, who))
+            pos[who] = at + 1
             low[who] = code << _U(32)
             span[who] <<= _U(32)
 
     for t in range(steps):
-        m = int(active[t])
-        now, s = ids[t, :m], size[t, :m]
+        m = int(alive[t])
+        if t in model.due:
+            model.refresh()
+        now = dealt[t, :m]
         state = model.predict(m)
-        s0, s1, s2 = model.said
-        hit = s0 == now, s1 == now, s2 == now
-        outcome = np.where(hit[2], 0, np.where(hit[1], 1, np.where(hit[0], 2, 3)))
-        at = (state << 2) + outcome
-        width = _WIDTH.take(at)
-        if (none := width == 0).any():  # a prediction without weight: code it as an escape
-            at[none] |= 3
-            width = _WIDTH.take(at)
-        r = span[:m] >> _U(_MIX_BITS)
+        hits = model.hits(now)
+        choice = _FIRST.take(hits[0] + 2 * hits[1].view(np.int8) + 4 * hits[2].view(np.int8) + 8 * hits[3].view(np.int8))
+        place = state * _CHOICES + choice
+        r = span[:m] >> _U(_WEIGHT_BITS)
         before = low[:m].copy()
-        low[:m] += r * _START.take(at)
-        span[:m] = r * width
+        low[:m] += r * model.start.take(place)
+        span[:m] = r * model.width.take(place)
         settle(m, before)
-        escaped = np.flatnonzero((at & 3) == 3)
+        escaped = np.flatnonzero(choice == 4)
         if len(escaped):
-            s = s[escaped]
-            deep = np.maximum(s - 1, 0)
-            r = span[escaped] >> _U(_SIZE_BITS)
-            k = row[escaped] + s
+            own = now[escaped]
+            (x, f), (y, g) = model.excluded(escaped)
+            at = model.upto.take(own) - f * (x < own) - g * (y < own)
+            unit = span[escaped] // (model.total - f - g).astype(_U)
             before = low[:m].copy()
-            unit = (r * wide.take(k)) >> deep.astype(_U)
-            offset = now[escaped] - np.where(s > 0, 1 << deep, 0)
-            low[escaped] += r * first.take(k) + unit * offset.astype(_U)
-            span[escaped] = unit
+            low[escaped] += unit * at.astype(_U)
+            span[escaped] = unit * model.frequency.take(own).astype(_U)
             settle(m, before)
-        model.learn(m, now, hit)
+        model.learn(m, now, hits, place)
+    every = np.arange(lanes)
     for shift in (_U(32), _U(0)):
-        out[pos, lane] = (low >> shift) & _LOW
+        out[pos, every] = (low >> shift) & _LOW
         pos += 1
     for at, who in reversed(carries):  # from the last word back, as far as a carry runs
         while len(at):
             out[at, who] += np.uint32(1)
             over = out[at, who] == 0
             at, who = at[over] - 1, who[over]
-    tables = [np.ascontiguousarray(np.concatenate([[np.count_nonzero(p)], np.stack([np.flatnonzero(p), p[p > 0] - 1], 1).ravel()]).astype(np.uint8)).tobytes() for p in parts]
-    return [tables[k] + np.ascontiguousarray(out[: pos[k], k]).astype("<u4").tobytes() for k in range(n)]
-
-
-def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of each block; the blocks must come longest first."""
-    n = len(coded)
-    if not n:
-        return []
-    sizes = np.array(sizes, np.int64)
-    steps = int(sizes[0])
-    parts = np.zeros((n, _MAGNITUDES), np.int64)
-    body = []
-    for k, c in enumerate(coded):
-        used = np.frombuffer(c, np.uint8, 2 * c[0], 1).reshape(-1, 2)
-        parts[k, used[:, 0]] = used[:, 1].astype(np.int64) + 1
-        body.append(np.frombuffer(c, "<u4", offset=1 + 2 * c[0]))
-    words = np.zeros((max(map(len, body)) + 4, n), np.uint32)
-    for k, c in enumerate(body):
-        words[: len(c), k] = c
-    first = np.cumsum(parts, 1) - parts
-    # the magnitude at each of the 256 places of a block's table
-    place = np.repeat(np.tile(np.arange(_MAGNITUDES, dtype=np.uint8), n), parts.ravel())
-    first, wide = first.astype(_U).ravel(), parts.astype(_U).ravel()
-    active = n - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
-    ids = np.zeros((steps, n), np.int64)
-    code = words[0].astype(_U) << _U(32) | words[1]
-    span = np.full(n, np.iinfo(_U).max, _U)
-    pos, row, cell = np.full(n, 2), np.arange(n) * _MAGNITUDES, np.arange(n) << _SIZE_BITS
-    model = _Model(n)
+    order = [out[0], out[1], *(out[at, who] for at, who in asked)]
+    return struct.pack("<II", largest, top) + np.concatenate(order).astype("<u4").tobytes()
+
+
+def decode_block(coded: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of a block."""
+    largest, top = struct.unpack_from("<II", coded)
+    if largest >= MOST or top >= _LARGE:
+        raise ValueError("no such block")
+    if largest >= _LARGE:
+        halves = _decoded(coded, 2 * n, top).reshape(-1, 2)
+        return (halves[:, 0] - _HALF << 12) + halves[:, 1]
+    return _decoded(coded, n, top)
+
+
+def _decoded(coded: bytes, n: int, top: int) -> np.ndarray:
+    words = np.frombuffer(coded, "<u4", offset=8).astype(_U)
+    lanes, alive = _layout(n)
+    steps = len(alive)
+    dealt = np.zeros((steps, lanes), np.int32)
+    model = _Model(lanes, steps, top)
+    code = words[:lanes] << _U(32) | words[lanes : 2 * lanes]
+    span, read = np.full(lanes, np.iinfo(_U).max, _U), 2 * lanes
 
     def settle(m: int) -> None:
+        nonlocal read
         who = np.flatnonzero(span[:m] <= _LOW)
         if len(who):
-            # a damaged block may ask for more words than there are
-            code[who] = code[who] << _U(32) | words[np.minimum(pos[who], len(words) - 1), who]
-            pos[who] += 1
+            code[who] = code[who] << _U(32) | words[read : read + len(who)]
+            read += len(who)
             span[who] <<= _U(32)
 
     for t in range(steps):
-        m = int(active[t])
+        m = int(alive[t])
+        if t in model.due:
+            model.refresh()
         state = model.predict(m)
-        s0, s1, s2 = model.said
-        r = span[:m] >> _U(_MIX_BITS)
-        v = np.minimum(code[:m] // r, _U((1 << _MIX_BITS) - 1)).astype(np.int64)
-        ends = _ENDS.take(state, 0)
-        outcome = (v >= ends[:, 0]).astype(np.int64) + (v >= ends[:, 1]) + (v >= ends[:, 2])
-        at = (state << 2) + outcome
-        code[:m] -= r * _START.take(at)
-        span[:m] = r * _WIDTH.take(at)
+        r = span[:m] >> _U(_WEIGHT_BITS)
+        v = code[:m] // r
+        choice = np.zeros(m, np.int32)
+        for e in model.ends:
+            choice += v >= e.take(state)
+        place = state * _CHOICES + choice
+        code[:m] -= r * model.start.take(place)
+        span[:m] = r * model.width.take(place)
         settle(m)
-        now = np.where(outcome == 0, s2, np.where(outcome == 1, s1, s0))
-        escaped = np.flatnonzero(outcome == 3)
+        a2, b2, a1, b1 = model.said
+        now = np.choose(np.minimum(choice, 3), (a2, b2, a1, b1)) >> 3
+        escaped = np.flatnonzero(choice == 4)
         if len(escaped):
-            r = span[escaped] >> _U(_SIZE_BITS)
-            v = np.minimum(code[escaped] // r, _U((1 << _SIZE_BITS) - 1)).astype(np.int64)
-            s = place.take(cell[escaped] + v).astype(np.int64)
-            deep = np.maximum(s - 1, 0)
-            k = row[escaped] + s
-            unit = (r * wide.take(k)) >> deep.astype(_U)
-            rest = code[escaped] - r * first.take(k)
-            offset = np.minimum(rest // unit, (_U(1) << deep.astype(_U)) - _U(1))
-            code[escaped] = rest - unit * offset
-            span[escaped] = unit
+            (x, f), (y, g) = model.excluded(escaped)
+            rest = model.total - f - g
+            unit = span[escaped] // rest.astype(_U)
+            v = np.minimum((code[escaped] // unit).astype(np.int64), rest - 1)
+            gone = f * (model.upto.take(x) <= v)
+            gone += g * (model.upto.take(y) <= v + gone)
+            at = np.searchsorted(model.upto, v + gone, "right") - 1
+            code[escaped] -= unit * (model.upto.take(at) - gone).astype(_U)
+            span[escaped] = unit * model.frequency.take(at).astype(_U)
             settle(m)
-            now[escaped] = offset.astype(np.int64) + np.where(s > 0, 1 << deep, 0)
-        ids[t, :m] = now
-        model.learn(m, now, (s0 == now, s1 == now, s2 == now))
-    return [ids[: sizes[k], k] for k in range(n)]
+            now[escaped] = at
+        dealt[t, :m] = now
+        model.learn(m, now, model.hits(now), place)
+    return _joined(dealt, n)
 
 
 class BlockError(ValueError):
@@ -273,9 +309,7 @@ def pack(ids: np.ndarray) -> bytes:
     if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < MOST:
         raise ValueError("an id is below 0 or not below 2**24")
     blocks = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
-    coded: list[bytes] = []
-    for k in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[k : k + LANES])
+    coded = [encode_block(b) for b in blocks]
     head = [_MAGIC, struct.pack("<QII", len(ids), BLOCK, len(blocks))]
     head += [struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded)]
     return b"".join(head + coded)
@@ -287,20 +321,17 @@ def unpack(data: bytes) -> np.ndarray:
         raise BlockError("not a token stream")
     total, _, n = struct.unpack_from("<QII", data, 4)
     table = [struct.unpack_from("<III", data, 20 + 12 * k) for k in range(n)]
-    at, coded = 20 + 12 * n, []
-    for _, size, _ in table:
-        coded.append(data[at : at + size])
-        at += size
-    ids: list[np.ndarray] = []
-    for k in range(0, n, LANES):
+    at, out = 20 + 12 * n, []
+    for k, (count, size, crc) in enumerate(table):
         try:
-            ids += decode_blocks(coded[k : k + LANES], [t[0] for t in table[k : k + LANES]])
-        except (IndexError, ValueError) as e:
-            raise BlockError(f"a block from {k} on has no readable table") from e
-    for k, (b, (_, _, crc)) in enumerate(zip(ids, table)):
-        if zlib.crc32(b.astype("<u4").tobytes()) != crc:
+            ids = decode_block(data[at : at + size], count)
+        except (IndexError, ValueError, struct.error) as e:
+            raise BlockError(f"block {k} cannot be read") from e
+        at += size
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise BlockError(f"block {k} is damaged")
-    out = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    if len(out) != total:
+        out.append(ids.astype(np.int64))
+    found = np.concatenate(out) if out else np.zeros(0, np.int64)
+    if len(found) != total:
         raise BlockError("the stream is cut short")
-    return out
+    return found

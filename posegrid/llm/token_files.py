@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import coder
+from .shingles import SPACE, string_hashes
 from .storage import new_path
-from .vocab import WORD_BPE, BoundedCache, default_path
+from .vocab import WORD_BPE, RecentCache, default_path, held
 
 #: Ids of a segment, unless one document alone has more.
-SEGMENT = coder.BLOCK * coder.LANES // 2
-CHUNK_ENTRIES = 600_000
+SEGMENT = coder.BLOCK
+#: Bytes of text that are encoded at a time, and chunks whose ids a worker keeps.
+BAND, CHUNK_ENTRIES = 1 << 23, 700_000
+#: Documents of a part, on average, at most: more documents make more parts.
+PART_ROWS = 100_000
+_LETTERS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 SEGMENTS = "part int, seg int, first long, n_ids long, doc_ids array<long>, n_tokens array<int>, data binary"
 
 
@@ -46,30 +51,97 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()).encode() or b"(?!)")
-        self.known: BoundedCache = BoundedCache(CHUNK_ENTRIES)
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        if self.special.search(raw):
-            return np.array(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-        chunks = raw.split()
+        self.model = self.library.model
+        probes = [w + m for w in (b"a", b"Word", b"NOTHING", b"zxqjkv", b"dont", b"rearranged") for m in (b"", b".", b",", b"!?", b"...", b")-", b"<|", b"$%&*+/:;=@[\\]^_`{}~#\"(")]
+        self.simple = all(self.direct(*_LETTERS.fullmatch(p).groups()) == array("I", self.library.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in probes)
+        self.known = RecentCache(CHUNK_ENTRIES)
+
+    def direct(self, letters: bytes, marks: bytes) -> bytes:
+        """Ids of ASCII letters and of marks after them, by the library's model itself."""
+        found = [t.id for t in self.model.tokenize(letters.lower().decode("ascii"))]
+        if marks:
+            found += [t.id for t in self.model.tokenize(marks.decode("ascii"))]
+        return array("I", found).tobytes()
+
+    def fresh(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk.
+
+        The rules around the library's model cost more than the model; a chunk of
+        ASCII letters and marks after them, which they only set in lower case and cut
+        in two, goes to the model at once where probes have shown that this is so.
+        """
+        plain = [_LETTERS.fullmatch(c) for c in chunks] if self.simple else [None] * len(chunks)
+        out = [self.direct(*m.groups()) if m else b"" for m in plain]
+        rest = [k for k, m in enumerate(plain) if not m]
+        for k, e in zip(rest, self.library.encode_batch_fast([chunks[k].decode("utf-8") for k in rest], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; every distinct chunk of all of them is looked up or encoded once."""
+        whole = {k for k, raw in enumerate(texts) if self.special.search(raw)}
+        plain = [b"" if k in whole else raw for k, raw in enumerate(texts)]
+        flat, starts, ends, number, first = distinct_chunks(b" ".join(plain))
+        joined = flat.tobytes()
+        chunks = [joined[a:e] for a, e in zip(starts[first].tolist(), ends[first].tolist())]
         found = [*map(self.known.get, chunks)]
-        if None in found:
-            missing = [*dict.fromkeys(c for c, i in zip(chunks, found) if i is None)]
-            got = self.library.encode_batch_fast([c.decode("utf-8") for c in missing], add_special_tokens=False)
-            new = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(missing, got)}
-            for c, i in new.items():
-                if len(c) <= 64:
-                    self.known.keep(c, i)
-            found = [new[c] if i is None else i for c, i in zip(chunks, found)]
-        return np.frombuffer(b"".join(found), np.uint32)
-
-
-@lru_cache(maxsize=2)
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k in range(0, len(missing), 20_000):
+            some = missing[k : k + 20_000]
+            for j, ids in zip(some, self.fresh([chunks[j] for j in some])):
+                found[j] = ids
+                if len(chunks[j]) <= 64:
+                    self.known.keep(chunks[j], ids)
+        # the ids of the distinct chunks one after the other, then those of all chunks in the order of the text
+        size = np.array([len(ids) // 4 for ids in found], np.int64)
+        at, each = np.cumsum(size) - size, size[number]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(at[number] - upto[:-1], each) + np.arange(upto[-1])]
+        cuts = upto[np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in plain]))].tolist()
+        return [np.array(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4") if k in whole else ids[cuts[k] : cuts[k + 1]] for k, raw in enumerate(texts)]
+
+
+def distinct_chunks(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Bytes, starts and ends of the white-space separated chunks, the number of each and the first with each number.
+
+    Chunks have one number if they have the same hash, length, first and last eight bytes.
+    """
+    flat = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate([[True], SPACE[flat], [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    key = string_hashes(flat, starts, ends)
+    order = np.argsort(key, kind="stable")
+    held = np.concatenate([np.zeros(8, np.uint8), flat, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(flat) + 9, "<u8", held, strides=(1,))
+    size = ends - starts
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    # short chunks are their first eight bytes with what lies around them cut off, and their hash says the rest
+    for x in (key, size, np.where(size >= 8, eight[starts + 8], 0), np.where(size >= 8, eight[ends], 0)):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return flat, starts, ends, number, order[new]
+
+
 def encoder(path: str) -> ChunkEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path)
+    return held(("ids", path), lambda: ChunkEncoder(path))
+
+
+def _encoded(encode: ChunkEncoder, texts: pa.Array) -> Iterator[np.ndarray]:
+    band, size = [], 0
+    for raw in texts:
+        raw = raw.as_py() or b""
+        if band and size + len(raw) > BAND:
+            yield from encode.batch(band)
+            band, size = [], 0
+        band.append(raw)
+        size += len(raw)
+    yield from encode.batch(band)
 
 
 def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -86,8 +158,8 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seg", "first", "n_ids", "doc_ids", "n_tokens", "data"])
 
         for b in batches:
-            for d, raw in zip(b.column(0), b.column(1)):
-                own = np.append(encode(raw.as_py() or b""), np.uint32(end_id))
+            for d, own in zip(b.column(0), _encoded(encode, b.column(1))):
+                own = np.append(own, np.uint32(end_id))
                 if docs and size + len(own) > SEGMENT:
                     yield segment()
                     seg, first = seg + 1, first + size
@@ -99,7 +171,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
             yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
     rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "raw").mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
