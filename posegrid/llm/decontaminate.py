@@ -2,25 +2,29 @@
 
 A mask picks some of the words in a short span and ignores the others, so its
 hash survives substitutions at the ignored places.  Every span of the test items
-is hashed under each mask; every span of every document is looked up.  A hit
-fixes an item and a diagonal; along it the words themselves (their 64-bit
-hashes) are compared, and an overlap counts where, in some window of ``WINDOW``
-words, at least ``NEED`` are equal.  The masks are chosen so that any window of
-13 words with up to two substitutions has a span that one of them matches.
+and of the documents is hashed under each mask, and the two sides are joined on
+the hashes.  A bit table of the items' hashes, of bounded size, goes to the
+tasks first, so that of the documents only spans that may have a partner are
+shuffled; a benchmark that fills the table makes the join larger, not wrong.
 
-Test items are sent to the tasks in parts of at most ``PART_WORDS`` words; a
-larger benchmark takes more passes over the documents, not more memory.
+Documents and items that met are compared word by word: an overlap counts where,
+in some window of ``WINDOW`` words, at least ``NEED`` are equal.  The masks are
+chosen so that any such window of 13 words, or a whole item of 6 to 12, has a
+span that one of them matches.
 
 Defined results: null or blank texts, and items of fewer words than the shortest
 mask spans, overlap with nothing; items shorter than a window count as one
-window; repeated rows give repeated pairs; an empty table on either side gives
-no pairs; other columns are ignored by ``overlaps`` and kept by ``keep_clean``.
+window; repeated rows give repeated pairs; items without an id make no pairs,
+but clean like the others; a text of one word many times over, or a very long
+one, is compared like any other; an empty table on either side gives no pairs;
+other columns, whatever their names, are ignored by ``overlaps`` and kept by
+``keep_clean``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,92 +32,144 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mix, words
+from .storage import drop, written
 
-MASKS = ("110111", "1110101")
+MASKS = ("110111", "1110101", "1011011")
 WINDOW, NEED = 13, 11
-#: Words of the items that a pass looks for: at most 8 bytes each, and 16 for each mask.
-PART_WORDS = 500_000
-#: Bits of the table that most spans are turned away by.
-_BITS = 22
+#: Bits of the table for each span of the items, and at most for all; places that a span has in it.
+BITS_A_SPAN, MOST_BITS, PROBES = 16, 1 << 26, 4
+#: Words of a document that are compared with an item at a time.
+BAND = 1 << 14
 _U = np.uint64
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The hash of every span under a mask, in word order."""
     n = len(hashes) - len(mask) + 1
-    out = np.full(max(n, 0), len(mask), _U)
+    out = np.full(max(n, 0), int(mask, 2), _U)
     for k, bit in enumerate(mask):
         if bit == "1" and n > 0:
             out = (out * _U(0x9FB21C651E98DF25) + hashes[k : k + n]) ^ (out >> _U(31))
     return mix(out)
 
 
-class Items:
-    """Test items, and the spans of all of them by mask and hash."""
-
-    def __init__(self, ids: list[int], texts: list[bytes]):
-        own = [words(t)[0] for t in texts]
-        self.ids = np.array(ids, np.int64)
-        self.words = np.concatenate(own) if own else np.zeros(0, _U)
-        self.ends = np.cumsum([len(w) for w in own])
-        self.starts = self.ends - [len(w) for w in own]
-        self.tables = []
-        for mask in MASKS:
-            h = [seeds(w, mask) for w in own]
-            at = np.concatenate([np.arange(len(x)) + s for x, s in zip(h, self.starts)]) if h else np.zeros(0, np.int64)
-            h = np.concatenate(h) if h else np.zeros(0, _U)
-            order = np.argsort(h, kind="stable")
-            some = np.zeros(1 << _BITS, bool)
-            some[(h & _U((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.tables.append((h[order], at[order], some))
-
-    def hits(self, own: np.ndarray) -> set[tuple[int, int]]:
-        """(item number, diagonal) of every span of a text that an item shares."""
-        found: set[tuple[int, int]] = set()
-        for mask, (h, at, some) in zip(MASKS, self.tables):
-            mine = seeds(own, mask)
-            for p in np.flatnonzero(some[(mine & _U((1 << _BITS) - 1)).astype(np.int64)]):
-                a, b = np.searchsorted(h, mine[p], "left"), np.searchsorted(h, mine[p], "right")
-                for q in at[a:b]:
-                    k = int(np.searchsorted(self.ends, q, "right"))
-                    found.add((k, int(p) - int(q - self.starts[k])))
-        return found
-
-    def overlaps(self, own: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """Of each overlapping item the best window: equal words, words, first word."""
-        out: dict[int, tuple[int, int, int]] = {}
-        for k, shift in sorted(self.hits(own)):
-            item = self.words[self.starts[k] : self.ends[k]]
-            a, b = max(0, -shift), min(len(item), len(own) - shift)
-            size = min(WINDOW, len(item))
-            if b - a < size:
-                continue
-            equal = np.concatenate([[0], np.cumsum(item[a:b] == own[a + shift : b + shift])])
-            inside = equal[size:] - equal[:-size]
-            best = int(inside.argmax())
-            if inside[best] * WINDOW >= NEED * size:
-                found = (int(inside[best]), size, a + shift + best)
-                if found[0] > out.get(k, (0, 0, 0))[0]:
-                    out[k] = found
-        return out
-
-
-def _parts(items: DataFrame, id_col: str, text_col: str, unnamed: bool = False) -> list[Items]:
-    """The items in parts of at most about ``PART_WORDS`` words, each gathered on its own.
-
-    With ``unnamed``, also those without an id, under their text's hash.
+def all_seeds(raw: bytes) -> np.ndarray:
+    own = words(raw)[0]
+    return np.concatenate([seeds(own, m) for m in MASKS])
+
+
+def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Where spans are noted in a table of a power of two of bits."""
+    for k in range(PROBES):
+        h = mix(h + _U(k + 1))
+        yield (h & _U(bits - 1)).astype(np.int64)
+
+
+def bit_table(spans: DataFrame) -> np.ndarray:
+    """The bit table of the items' hashes, bytes of 8 bits each; built where the items lie."""
+    n = max(1, spans.count())
+    bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_A_SPAN * n - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate([*_places(b.column(0).to_numpy().view(_U), bits)]))
+            yield pa.record_batch([pa.array(at >> 6), pa.array((_U(1) << (at & 63).astype(_U)).view(np.int64))], names=["at", "bit"])
+
+    # At most MOST_BITS / 64 rows come to the driver.
+    found = spans.select("h").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return table.view(np.uint8)
+
+
+def noted(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Those of the hashes that all their places in the table have."""
+    bits, live = 8 * len(table), np.arange(len(h))
+    for k in range(PROBES):
+        if not len(live):
+            break
+        # each probe is asked only for what the ones before let through
+        x = h[live]
+        for j in range(k + 1):
+            x = mix(x + _U(j + 1))
+        at = (x & _U(bits - 1)).astype(np.int64)
+        live = live[(table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    return h[live]
+
+
+def word_list(raw: bytes) -> list[bytes]:
+    return _WORDS.findall(raw.lower())
+
+
+def best_window(item: list[bytes], own: list[bytes]) -> tuple[int, int, int] | None:
+    """Equal words, words and first word (in the document) of the best window, if it counts.
+
+    Of windows with as many equal words the one that is first in the document.
+    """
+    size = min(WINDOW, len(item))
+    if size < min(map(len, MASKS)) or len(own) < size:
+        return None
+    number: dict[bytes, int] = {}
+    x = np.array([number.setdefault(w, len(number)) for w in item], np.int32)
+    y = np.array([number.get(w, -1) for w in own], np.int32)
+    best = (0, 0)
+    for a in range(0, len(y) - size + 1, BAND):
+        part = y[a : a + BAND + size - 1]
+        rows, cols = len(x) - size + 1, len(part) - size + 1
+        equal = np.zeros((rows, cols), np.int8)
+        for j in range(size):
+            equal += x[j : j + rows, None] == part[None, j : j + cols]
+        most = equal.max(0)
+        at = int(most.argmax())
+        if most[at] > best[0]:
+            best = int(most[at]), a + at
+    return (best[0], size, best[1]) if best[0] * WINDOW >= NEED * size else None
+
+
+def _found(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the two hashes ``t`` and ``u`` of its texts in a struct ``row``, and the overlaps of the texts.
+
+    The overlaps (a written table): ``t``, ``u``, ``item_id``, ``n_equal``,
+    ``n_words`` and ``first_word``; equal texts are compared once.
     """
-    named = F.col(id_col).cast("long")
     raw = F.col(text_col).cast("binary")
-    own = F.coalesce(named, F.xxhash64(raw)) if unnamed else named
-    rows = items.select(own.alias("id"), raw.alias("raw")).where("id IS NOT NULL AND raw IS NOT NULL")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
-    n = max(1, -(-size // (4 * PART_WORDS)))
-    out = []
-    for k in range(n):
-        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id", "raw").collect()
-        out.append(Items([r["id"] for r in some], [bytes(r["raw"]) for r in some]))
-    return out
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(raw).alias("t"), F.xxhash64(F.lit(1), raw).alias("u"), raw.alias("raw"))
+    item_raw = F.col(item_text).cast("binary")
+    own = items.where(item_raw.isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), item_raw.alias("item"), F.xxhash64(item_raw).alias("i"))
+
+    def item_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, r in zip(b.column("i").to_pylist(), b.column("item")):
+                h = np.unique(all_seeds(r.as_py()))
+                yield pa.record_batch([pa.array(np.full(len(h), k, np.int64)), pa.array(h.view(np.int64))], names=["i", "h"])
+
+    spans = written(own.select("i", "item").mapInArrow(item_spans, "i long, h long").distinct(), "benchmark-spans")
+    table = bit_table(spans)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [np.unique(noted(all_seeds(r.as_py() or b""), table)) for r in b.column("raw")]
+            hit = pa.array([len(h) > 0 for h in some], pa.bool_())
+            kept = b.filter(hit)
+            yield pa.record_batch([*kept.select(["t", "u", "raw"]).columns, pa.array([h.view(np.int64) for h in some if len(h)], pa.list_(pa.int64()))], names=["t", "u", "raw", "hashes"])
+
+    hits = rows.select("t", "u", "raw").mapInArrow(look, "t long, u long, raw binary, hashes array<long>").dropDuplicates(["t", "u"])
+    hits = written(hits, "benchmark-hits")
+    pairs = hits.select("t", "u", F.explode("hashes").alias("h")).join(spans, "h").select("t", "u", "i").distinct()
+    pairs = written(pairs, "benchmark-pairs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [best_window(word_list(x.as_py()), word_list(y.as_py())) for x, y in zip(b.column("item"), b.column("raw"))]
+            kept = b.filter(pa.array([o is not None for o in out], pa.bool_()))
+            out = [o for o in out if o is not None]
+            yield pa.record_batch([*kept.select(["t", "u", "item_id"]).columns, *(pa.array([o[c] for o in out], k) for c, k in enumerate((pa.int32(), pa.int32(), pa.int64())))], names=["t", "u", "item_id", "n_equal", "n_words", "first_word"])
+
+    both = hits.select("t", "u", "raw").join(pairs, ["t", "u"]).join(own, "i").select("t", "u", "item_id", "item", "raw")
+    found = written(both.mapInArrow(compare, "t long, u long, item_id long, n_equal int, n_words int, first_word long"), "benchmark-overlaps")
+    drop(spans, hits, pairs)
+    return rows.select("row", "t", "u"), found
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -122,33 +178,12 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     Columns: ``doc_id``, ``item_id`` long, ``n_equal`` int and ``n_words`` int (of
     the best window), ``first_word`` long (its place in the document).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def look(part: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at, out = [], []
-                for k, raw in enumerate(b.column(1)):
-                    for item, found in part.overlaps(words(raw.as_py() or b"")[0]).items():
-                        at.append(k)
-                        out.append((int(part.ids[item]), *found))
-                yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64()))] + [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "item_id", "n_equal", "n_words", "first_word"])
-
-        return rows.mapInArrow(run, f"doc_id {kind}, item_id long, n_equal int, n_words int, first_word long")
-
-    return reduce(DataFrame.union, [look(p) for p in _parts(items, item_id, item_text)])
+    rows, found = _found(docs, items, text_col, item_id, item_text)
+    return rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "t", "u").join(found.where(F.col("item_id").isNotNull()), ["t", "u"]).select("doc_id", "item_id", "n_equal", "n_words", "first_word")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that overlap with no test item, with an id or without, with all their columns."""
-    at = docs.columns.index(text_col)
-
-    def look(rows: DataFrame, part: Items) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not part.overlaps(words((t.as_py() or "").encode())[0]) for t in b.column(at)], pa.bool_()))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    return reduce(look, _parts(items, item_id, item_text, unnamed=True), docs)
+    rows, found = _found(docs, items, text_col, item_id, item_text)
+    # a null text hashes like nothing else that is found, so it stays
+    return rows.join(found.select("t", "u").distinct(), ["t", "u"], "left_anti").select("row.*")
