@@ -18,10 +18,14 @@ It is not done here; nothing is merged from shards.  Instead:
    the anchor is repeated if another row agrees for ``l`` bytes backwards and
    for ``100 - l`` bytes forwards.
 
-Rows meet by anchor and by the 50 bytes on the side where the string has more,
-so that a phrase in very many different surroundings is spread out.
-
-Defined results: a null text is an empty one; texts below 200 bytes lose nothing;
+Rows meet by anchor and by the 50 bytes on the side where the string has more.
+A group that is still large, a phrase in very many surroundings, is halved by
+joins: the strings with fewer bytes before the anchor must also agree in more
+bytes after it, and the other way round, until a group is small or has but one
+string, whose rows are counted.  So no group meets in one task as a whole.
+
+Defined results: a null text is an empty one; a very long text is cut into
+pieces that overlap, so no string is lost; texts below 200 bytes lose nothing;
 equal texts of 200 bytes or more lose everything, repeated rows of one id too; an
 empty table gives an empty table; other columns are ignored by ``removed`` and
 kept by ``without_repeats``.  Removal is by bytes; ``without_repeats`` drops what
@@ -39,14 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import K, LENGTH, runs
-from .storage import written
+from .storage import drop, written
 
 EXTRA = LENGTH - K
 HALF = EXTRA // 2
 #: Rows merged at a time, unless one group has more.
 BAND = 20_000
-#: A column that no table has: whether the text was there.
-FLAG = "__text_was_there"
 _U = np.uint64
 
 
@@ -122,28 +124,83 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["anchor", "run", "key", "place"])
 
 
-def _group(anchor: int, side: int, half: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(half, digest_size=8, salt=anchor.to_bytes(8, "little", signed=True), person=bytes([side])).digest(), "little", signed=True)
+_CONTEXTS = "group long, key long, place long, several boolean, low int, high int, least int, most int, left binary, right binary"
+
+
+def _group(anchor: bytes, least: int, most: int, left: bytes, right: bytes) -> int:
+    """What rows must agree in: strings with ``least`` to ``most`` bytes before the anchor have these bytes around it."""
+    h = hashlib.blake2b(anchor, digest_size=8, person=bytes([least, most]))
+    h.update(left[:least])
+    h.update(right[: EXTRA - most])
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _halves(anchor: bytes, row: tuple, least: int, most: int) -> Iterator[tuple]:
+    """A row once for each half of the range of bytes before the anchor that it has strings in."""
+    key, place, several, low, high, left, right = row
+    middle = (least + most) // 2
+    for a, e in ((least, middle), (middle + 1, most)):
+        lo, hi = max(low, a), min(high, e)
+        if lo <= hi:
+            yield _group(anchor, a, e, left, right), key, place, several, lo, hi, a, e, left, right
+
+
+def _as_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *(pa.int32(),) * 4, pa.binary(), pa.binary())
+    return pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=[c.split()[0] for c in _CONTEXTS.split(", ")])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run asked for, the bytes around the anchor, by the half it is grouped by."""
-    names = ("group", "key", "place", "several", "low", "high", "left", "right")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for b in batches:
         out: list[tuple] = []
         for n in range(b.num_rows):
             key, raw = b.column("key")[n].as_py(), b.column("raw")[n].as_py()
             for ask in b.column("asks")[n].as_py():
-                place, several = ask["place"], ask["several"]
+                place = ask["place"]
                 p, high, low = place >> 16, place >> 8 & 255, place & 255
-                end = p + K
-                for side, lo, hi in ((0, max(low, HALF), high), (1, low, min(high, HALF - 1))):
-                    if lo <= hi:
-                        left, right = raw[p - hi : p][::-1], raw[end : end + EXTRA - lo]
-                        half = left[:HALF] if side == 0 else right[:HALF]
-                        out.append((_group(ask["anchor"], side, half), key, place, several, lo, hi, left, right))
-        yield pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=names)
+                row = key, place, ask["several"], low, high, raw[p - high : p][::-1], raw[p + K : p + K + EXTRA - low]
+                out += _halves(ask["anchor"].to_bytes(8, "little", signed=True), row, 0, EXTRA)
+        yield _as_batch(out)
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large groups, by half the range; the group they came from stands for the anchor."""
+    for b in batches:
+        out: list[tuple] = []
+        for group, key, place, several, low, high, least, most, left, right in zip(*(c.to_pylist() for c in b.columns)):
+            out += _halves(group.to_bytes(8, "little", signed=True), (key, place, several, low, high, left, right), least, most)
+        yield _as_batch(out)
+
+
+def _settled(contexts: DataFrame, band: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``key``, ``start`` and ``stop`` of what the strings that occur twice or more cover,
+    and the written tables that are read for it."""
+    found, scratch = None, []
+
+    def add(part: DataFrame):
+        nonlocal found
+        found = part if found is None else found.union(part)
+
+    def small(rows: DataFrame):
+        add(rows.repartition("group").sortWithinPartitions("group").mapInArrow(_resolved, "key long, start long, stop long"))
+
+    rows = contexts
+    while True:
+        # groups of one string stay in the counts at any size: nothing is left to compare
+        large = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("a"), F.first("most").alias("e")).where(F.col("n") > band)
+        large = written(large, "repeat-large")
+        scratch.append(large)
+        if large.isEmpty():
+            small(rows)
+            return found, scratch
+        small(rows.join(large, "group", "left_anti"))
+        inside = rows.join(large, "group")
+        anchor = F.shiftright("place", 16)
+        same = inside.where("a = e").select("key", (anchor - F.col("least")).alias("start"), (anchor - F.col("least") + LENGTH).alias("stop"))
+        add(same)  # more than one row, all of one string
+        rows = written(inside.where("a < e").select(*contexts.columns).mapInArrow(_halved, _CONTEXTS), "repeat-halves")
+        scratch.append(rows)
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +208,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def settle(rows):
-        groups, keys, places, several, low, high, left, right = zip(*rows)
+        groups, keys, places, several, low, high, _, _, left, right = zip(*rows)
         ls, rs = np.array([len(x) for x in left]), np.array([len(x) for x in right])
         pad = lambda x: np.frombuffer(b"".join(v.ljust(EXTRA, b"\0") for v in x), np.uint8).reshape(-1, EXTRA)
         found = repeated_strings(pad(left), ls, pad(right), rs, np.unique(groups, return_inverse=True)[1], np.array(low), np.array(high), np.array(several, int))
@@ -195,11 +252,12 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> Da
     """``rest`` (the id and other columns), ``raw`` and ``ranges`` (start << 32 | stop) of every row."""
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), raw.alias("raw"), F.xxhash64(id_col, raw).alias("key"))
-    found = rows.where(F.octet_length("raw") >= LENGTH).select("key", "raw").mapInArrow(_rows_of, "anchor long, run long, key long, place long")
+    found = written(rows.where(F.octet_length("raw") >= LENGTH).select("key", "raw").mapInArrow(_rows_of, "anchor long, run long, key long, place long"), "repeat-places")
     # A passage may have any number of copies: counts are summed where the rows lie, and
     # rows meet them in joins of tables, whose large groups Spark can split.
     repeated = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > 1), "repeat-anchors")
     several = written(found.join(repeated, "anchor"), "repeat-rows")
+    drop(found, repeated)
     kinds = written(several.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("key", "place")).alias("first")), "repeat-kinds")
     counted = several.join(kinds, ["anchor", "run"])
     whole, first = F.col("same") > 1, (F.struct("key", "place") == F.col("first")) & (F.col("same") < F.col("all"))
@@ -213,13 +271,15 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> Da
         ),
         "repeat-runs",
     )
-    text = rows.repartition("key")
+    drop(several, kinds)
     asked = by_doc.where(F.size("asks") > 0).select("key", "asks")
-    contexts = text.join(asked, "key").select("key", "raw", "asks").mapInArrow(_contexts, "group long, key long, place long, several boolean, low int, high int, left binary, right binary")
-    settled = contexts.repartition("group").sortWithinPartitions("group").mapInArrow(_resolved, "key long, start long, stop long")
+    contexts = written(rows.join(asked, "key").select("key", "raw", "asks").mapInArrow(_contexts, _CONTEXTS), "repeat-contexts")
+    settled, scratch = _settled(contexts, BAND)
     more = settled.groupBy("key").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("stop"))).alias("more"))
     both = by_doc.select("key", "ranges").join(more, "key", "left").select("key", F.concat("ranges", F.coalesce("more", F.array().cast("array<bigint>"))).alias("ranges"))
-    return text.join(both, "key", "left").select("rest", "raw", "ranges")
+    both = written(both, "repeat-ranges")
+    drop(by_doc, contexts, *scratch)
+    return rows.join(both, "key", "left").select("rest", "raw", "ranges")
 
 
 def _ranges(packed: list[int] | None) -> list[tuple[int, int]]:
@@ -254,7 +314,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows with all their columns, the text without its repeated bytes (null: null)."""
     others = [c for c in docs.columns if c != text_col]
-    rows = _spans(docs.withColumn(FLAG, F.col(text_col).isNotNull()), id_col, text_col, [*others, FLAG])
+    flag = "there"
+    while flag in others:
+        flag += "_"
+    rows = _spans(docs.withColumn(flag, F.col(text_col).isNotNull()), id_col, text_col, [*others, flag])
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +333,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([b.column("rest"), pa.array(out, pa.string())], names=["rest", "kept"])
 
     kept = rows.mapInArrow(run, _with_text(rows))
-    cols = [F.when(F.col(f"rest.`{FLAG}`"), F.col("kept")).cast(kinds[c].dataType).alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    cols = [F.when(F.col(f"rest.`{flag}`"), F.col("kept")).cast(kinds[c].dataType).alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return kept.select(*cols)
 
 
