@@ -2,16 +2,20 @@
 
 Terms (words, and stems that words begin with) whose documents are toxic far
 more often than others are learned from a bounded sample of labelled rows.
-Their trie, intersected with Levenshtein automata of distance 1, is compiled
-into one table-driven automaton, which runs over the distinct words of a batch
-side by side.  Each hit has a weight, the log odds measured for its term at its
-distance; inside quotation marks it counts less.  The heaviest window of words
-and the sum over the text go into a logistic score.
+Their trie, intersected with Levenshtein automata of distance 1 over characters,
+is compiled into one table-driven automaton, which runs over the distinct words
+of a batch side by side.  Words hold letters and digits; a chunk of text with
+signs inside is looked up in its pieces and, where none of them is a term,
+without the signs.  Each hit has a weight, the log odds measured for its term at
+its distance; inside quotation marks it counts for a share that is learned too.
+The heaviest window of words and the sum over the text go into a logistic score.
 
 Defined results: a null or empty text has no hit and gets the score of no hits;
-repeated rows give repeated rows; an empty table gives an empty table; without
-labelled rows of both kinds every score is 0.  Nothing but the text enters a
-score.
+a very long text is scored whole; repeated rows give repeated rows; where labels
+of one document disagree the greater one holds; an empty table gives an empty
+table; other columns, whatever their names, are ignored by ``score`` and kept by
+``keep_clean``.  Where no term passes, every score is the share of toxic rows in
+the sample (0 without labelled rows).  Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -26,19 +30,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import shingle_set
-from .vocab import BoundedCache
+from .storage import drop, written
+from .vocab import BoundedCache, held
 
 #: Labelled rows that the lexicon and the score are fitted on, those of least hash.
 TRAIN_ROWS = 12_000
 #: A term stands in this many toxic texts, in this share of them, and more often
 #: than chance would have it (likelihood ratio; 20 is a chance of about 1 in 100,000).
 MIN_SUPPORT, MIN_SHARE, MIN_RATIO = 4, 0.01, 20
-MAX_TERMS, MIN_ODDS = 200, 2.5
+MIN_ODDS = 2.5
 STEMS = (4, 5, 6, 7, 8)
+#: Words of a window, and what a quoted hit is thought to count before any was seen.
 WINDOW, QUOTED = 40, 0.4
-CHUNK_ENTRIES, LONGEST = 600_000, 32
+CHUNK_ENTRIES, LONGEST = 200_000, 32
 
-_RUNS = re.compile("[^\\W\\d_]+")
+#: A chunk that is one word and no hit.
+_PLAIN = (1,)
+_PIECES = re.compile(r"[^\W_]+")
 _QUOTES = re.compile(rb'"|\xe2\x80\x9c|\xe2\x80\x9d|\xc2\xab|\xc2\xbb|\xe2\x80\x9e')
 
 
@@ -47,20 +55,22 @@ _QUOTES = re.compile(rb'"|\xe2\x80\x9c|\xe2\x80\x9d|\xc2\xab|\xc2\xbb|\xe2\x80\x
 
 @dataclass
 class Automaton:
-    """A deterministic automaton over byte classes.
+    """A deterministic automaton over classes of characters.
 
-    ``accept[state]`` is 0 or 1 + 2 * term + distance.
+    ``letters`` are the characters that terms have, ascending; class 0 is any other
+    one.  ``accept[state]`` is 0 or 1 + 2 * term + distance.
     """
 
-    classes: np.ndarray
+    letters: np.ndarray
     step: np.ndarray
     accept: np.ndarray
 
-    def run(self, words: list[bytes]) -> np.ndarray:
-        """The accepting code of each word; words beyond ``LONGEST`` bytes count by their start."""
+    def run(self, words: list[str]) -> np.ndarray:
+        """The accepting code of each word; words beyond ``LONGEST`` characters count by their start."""
         n = len(words)
-        flat = np.frombuffer(b"".join(w[:LONGEST].ljust(LONGEST, b"\0") for w in words), np.uint8).reshape(n, LONGEST)
-        letters = self.classes[flat]
+        flat = np.frombuffer("".join(w[:LONGEST].ljust(LONGEST, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, LONGEST)
+        at = np.minimum(np.searchsorted(self.letters, flat), len(self.letters) - 1)
+        letters = np.where(self.letters[at] == flat, at + 1, 0)
         size = np.array([min(len(w), LONGEST) for w in words])
         order = np.argsort(-size, kind="stable")
         state = np.zeros(n, np.int32)
@@ -73,14 +83,14 @@ class Automaton:
     sticky: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int8))
 
 
-def compile_automaton(terms: list[tuple[bytes, bool]], fuzzy_from: int = 5) -> Automaton:
+def compile_automaton(terms: list[tuple[str, bool]], fuzzy_from: int = 5) -> Automaton:
     """Intersect the terms' trie with Levenshtein automata of distance 1.
 
-    ``terms``: bytes, and whether it is a stem.  A stem accepts every word that
-    begins with it; another term accepts itself, and from ``fuzzy_from`` bytes on
+    ``terms``: letters, and whether it is a stem.  A stem accepts every word that
+    begins with it; another term accepts itself, and from ``fuzzy_from`` letters on
     every word at distance 1.  A state is a set of (trie node, edits so far).
     """
-    nodes: list[dict[int, int]] = [{}]
+    nodes: list[dict[str, int]] = [{}]
     ends: list[list[tuple[int, bool]]] = [[]]
     longest: list[int] = [0]  # of the terms below a node that allow an edit
     for t, (word, stem) in enumerate(terms):
@@ -98,9 +108,6 @@ def compile_automaton(terms: list[tuple[bytes, bool]], fuzzy_from: int = 5) -> A
             for p in path:
                 longest[p] = 1
     alphabet = sorted({b for n in nodes for b in n})
-    classes = np.zeros(256, np.int16)
-    for k, b in enumerate(alphabet):
-        classes[b] = k + 1
 
     def closed(states: set[tuple[int, int]]) -> frozenset:
         out = set(states)
@@ -121,7 +128,7 @@ def compile_automaton(terms: list[tuple[bytes, bool]], fuzzy_from: int = 5) -> A
                 best = code
         return 0 if best is None else 1 + 2 * best[1] + best[0]
 
-    def after(states: frozenset, b: int | None) -> frozenset:
+    def after(states: frozenset, b: str | None) -> frozenset:
         out: set[tuple[int, int]] = set()
         for n, e in states:
             if n < 0:
@@ -154,7 +161,7 @@ def compile_automaton(terms: list[tuple[bytes, bool]], fuzzy_from: int = 5) -> A
     for s, k in number.items():
         accept[k] = accepted(s)
         sticky[k] = any(n < 0 for n, _ in s)
-    return Automaton(classes, np.array(rows, np.int32), accept, sticky)
+    return Automaton(np.array([ord(b) for b in alphabet] or [0], np.uint32), np.array(rows, np.int32), accept, sticky)
 
 
 # -- scoring --------------------------------------------------------------------
@@ -162,13 +169,15 @@ def compile_automaton(terms: list[tuple[bytes, bool]], fuzzy_from: int = 5) -> A
 
 @dataclass
 class Lexicon:
-    """What is sent to the tasks: at most ``MAX_TERMS`` terms and a few numbers."""
+    """What is sent to the tasks: terms of the bounded sample and a few numbers."""
 
-    terms: list[tuple[bytes, bool]]
+    terms: list[tuple[str, bool]]
     automaton: Automaton | None
     #: by accepting code; 0 where a hit says nothing
     weight: np.ndarray
     coefficients: np.ndarray
+    #: what a hit inside quotation marks counts, of one outside
+    quoted: float = QUOTED
 
     def matcher(self) -> Matcher:
         return Matcher(self)
@@ -181,16 +190,21 @@ class Matcher:
         self.lexicon = lexicon
         self.known: BoundedCache = BoundedCache(CHUNK_ENTRIES)
 
-    def _look_up(self, chunks: list[bytes]) -> dict[bytes, int]:
-        runs = [[r.encode() for r in _RUNS.findall(c.decode("utf-8").lower())] for c in chunks]
-        words = [r for own in runs for r in own]
+    def _look_up(self, chunks: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Of each chunk the number of its words, then (word, code) of its hits, one after the other."""
+        runs = [_PIECES.findall(c.decode("utf-8").lower()) for c in chunks]
+        # a chunk of several pieces is also a word without what stands between them
+        words = [r for own in runs for r in (own if len(own) < 2 else [*own, "".join(own)])]
         codes = iter(self.lexicon.automaton.run(words).tolist() if words else [])
         out = {}
         for c, own in zip(chunks, runs):
-            found = [x for x in (next(codes) for _ in own) if x]
-            out[c] = min(found, key=lambda x: ((x - 1) & 1, x)) if found else 0
+            hits = [(k, x) for k, x in enumerate([next(codes) for _ in own]) if x]
+            if len(own) > 1 and (x := next(codes)) and not hits:
+                hits = [(0, x)]
+            found = (max(1, len(own)), *(v for h in hits for v in h))
+            out[c] = found = _PLAIN if found == _PLAIN else found
             if len(c) <= 64:
-                self.known.keep(c, out[c])
+                self.known.keep(c, found)
         return out
 
     def hits(self, raw: bytes) -> list[tuple[int, int, bool]]:
@@ -200,20 +214,24 @@ class Matcher:
         if None in codes:
             new = self._look_up([*dict.fromkeys(c for c, x in zip(chunks, codes) if x is None)])
             codes = [new[c] if x is None else x for c, x in zip(chunks, codes)]
-        found = [k for k, x in enumerate(codes) if x]
+        found = [k for k, x in enumerate(codes) if len(x) > 1]
         if not found:
             return []
-        marks = [k for k, c in enumerate(chunks) for _ in _QUOTES.findall(c)] if _QUOTES.search(raw) else []
+        first = np.cumsum([0] + [x[0] for x in codes])
+        marks = np.array([k for k, c in enumerate(chunks) for _ in _QUOTES.findall(c)] if _QUOTES.search(raw) else [], np.int64)
+        before, upto = np.searchsorted(marks, found, "left").tolist(), np.searchsorted(marks, found, "right").tolist()
         out = []
-        for k in found:
-            before, same = sum(m < k for m in marks), sum(m == k for m in marks)
-            after = len(marks) - before - same
-            out.append((k, codes[k], same >= 2 or (before % 2 == 1 and same + after > 0) or (before % 2 == 0 and same == 1 and after > 0)))
+        for k, b, e in zip(found, before, upto):
+            same, after = e - b, len(marks) - e
+            quoted = same >= 2 or (b % 2 == 1 and same + after > 0) or (b % 2 == 0 and same == 1 and after > 0)
+            x = codes[k]
+            out += [(int(first[k]) + x[j], x[j + 1], quoted) for j in range(1, len(x), 2)]
         return out
 
     def features(self, hits: list[tuple[int, int, bool]]) -> tuple[float, float]:
         """Weight of the heaviest window, and log of the whole weight."""
-        w = [(k, self.lexicon.weight[x] * (QUOTED if quoted else 1)) for k, x, quoted in hits]
+        share = self.lexicon.quoted
+        w = [(k, self.lexicon.weight[x] * (share if quoted else 1)) for k, x, quoted in hits]
         best = total = inside = 0.0
         start = 0
         for k, own in w:
@@ -233,16 +251,6 @@ class Matcher:
         return float(1 / (1 + np.exp(-np.clip(a[0] + a[1] * x[0] + a[2] * x[1], -30, 30))))
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
-def _matcher(lexicon: Lexicon, key: int) -> Matcher:
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(lexicon)
-    return _MATCHERS[key]
-
-
 # -- learning -------------------------------------------------------------------
 
 
@@ -258,51 +266,60 @@ def _stems(k: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str, id_col: str, text_col: str) -> DataFrame:
     """``text`` and ``label`` of at most ``TRAIN_ROWS`` labelled rows.
 
-    One row is kept of texts that share a label and the least hash of four words
-    in a row, so that copies don't pass a chance word off as a term.
+    Of texts that share a label and the least hash of four words in a row only the
+    first one in their order counts, so that copies don't pass a chance word off as
+    a term.
     """
-    marked = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    marked = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # an id may stand for several rows: the bound holds for rows
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(TRAIN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py().encode(), 4) for t in b.column(0)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([int(x[0] >> np.uint64(1)) if len(x) else -1 for x in sets], pa.int64())], names=["text", "label", "least"])
 
-    return rows.select("text", "label").mapInArrow(run, "text string, label int, least long").dropDuplicates(["label", "least"]).select("text", "label", _words(F.col("text")).alias("words"))
+    return rows.select("text", "label").mapInArrow(run, "text string, label int, least long").groupBy("label", "least").agg(F.min("text").alias("text")).select("text", "label", _words(F.col("text")).alias("words"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Fit the lexicon, the hits' weights and the score on the bounded sample."""
-    from .storage import written
-
     rows = written(training_rows(docs, labels, usable, label_col, id_col, text_col), "toxicity-sample")
+    try:
+        return _fit(rows)
+    finally:
+        drop(rows)
+
+
+def _fit(rows: DataFrame) -> Lexicon:
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
+    plain = Lexicon([], None, np.zeros(1), np.array([pos / max(1, pos + neg), 0, 0]))
     if not pos or not neg:
-        return Lexicon([], None, np.zeros(1), np.zeros(3))
+        return plain
     stems = [_stems(k) for k in STEMS]
     terms = rows.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
     odds = F.log((F.col("p") + 0.5) / F.lit(float(pos)) / ((F.col("q") + 0.5) / F.lit(float(neg))))
     counted = terms.groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).where(F.col("p") >= max(MIN_SUPPORT, MIN_SHARE * pos)).withColumn("odds", odds)
     share = pos / (pos + neg)
     ratio = 2 * (F.col("p") * F.log(F.col("p") / ((F.col("p") + F.col("q")) * share)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / ((F.col("p") + F.col("q")) * (1 - share)))).otherwise(0))
-    best = counted.where((F.col("odds") >= MIN_ODDS) & (ratio >= MIN_RATIO)).orderBy(F.desc(F.col("p") * F.col("odds")), "term").limit(4 * MAX_TERMS).collect()
+    best = counted.where((F.col("odds") >= MIN_ODDS) & (ratio >= MIN_RATIO)).orderBy(F.desc(F.col("p") * F.col("odds")), "term").collect()  # terms of TRAIN_ROWS texts
     stems_kept, kept = [], []
     support = {r["term"]: r["p"] for r in best}
     for term in support:
-        w, stem = term.rstrip("*").encode(), term.endswith("*")
+        w, stem = term.rstrip("*"), term.endswith("*")
         # A stem that mostly stands for one word would only hide that word's misspellings.
         if stem and any(2 * n >= support[term] for t, n in support.items() if t[-1] != "*" and t.startswith(term[:-1])):
             continue
         # What a better stem covers, or would be covered by, says nothing new.
-        if len(w) < LONGEST - 1 and len(kept) < MAX_TERMS and not any(w.startswith(x) or (stem and x.startswith(w)) for x in stems_kept):
+        if len(w) < LONGEST - 1 and not any(w.startswith(x) or (stem and x.startswith(w)) for x in stems_kept):
             kept.append((w, stem))
             stems_kept += [w] * stem
     kept.sort()
     if not kept:
-        return Lexicon([], None, np.zeros(1), np.zeros(3))
+        return plain
     lexicon = Lexicon(kept, compile_automaton(kept), np.ones(2 * len(kept) + 1), np.zeros(3))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +339,18 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     unseen = (p + q)[2::2] < 3  # misspellings that the sample hardly has: half of what the term says
     weight[2::2][unseen] = weight[1::2][unseen] / 2
     lexicon.weight = weight
-    m = lexicon.matcher()
-    x = np.array([(1.0, *m.features([*zip(r["at"], r["code"], r["quoted"])])) for r in hits])
     y = np.array([r["label"] for r in hits], float)
-    lexicon.coefficients = logistic(x, y)
+    best = None
+    for share in np.linspace(0, 1, 11):  # what a quoted hit counts is fitted with the rest, from QUOTED on
+        lexicon.quoted = float(share)
+        m = lexicon.matcher()
+        x = np.array([(1.0, *m.features([*zip(r["at"], r["code"], r["quoted"])])) for r in hits])
+        a = logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        loss = -np.log(np.where(y == 1, p, 1 - p)).sum() + 0.5 * (a[1:] ** 2).sum() + 2 * (share - QUOTED) ** 2
+        if best is None or loss < best[0]:
+            best = loss, lexicon.quoted, a
+    lexicon.quoted, lexicon.coefficients = best[1], best[2]
     return lexicon
 
 
@@ -349,7 +374,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     key = random.getrandbits(62)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _matcher(lexicon, key)
+        m = held(("toxicity", key), lexicon.matcher)
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([m.score(raw.as_py() or b"") for raw in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
@@ -364,7 +389,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
     key, at = random.getrandbits(62), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _matcher(lexicon, key)
+        m = held(("toxicity", key), lexicon.matcher)
         for b in batches:
             keep = [m.score((t.as_py() or "").encode()) < threshold for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
