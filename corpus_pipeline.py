@@ -1,7 +1,15 @@
 """A training corpus from raw documents, stage by stage.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-it as Parquet in the shared folder and reads it again as the next one's docs.
+it as Parquet in the shared folder and reads it again as the next one's docs,
+and deletes what the stage before had written.
+
+Defined results, for all stages: a null text is scored as an empty one and stays
+null up to the last stage, where it has no ids; an empty text stays; texts of any
+length are taken whole; a null id is an id like any other, and rows are told apart
+by id and text; of rows that repeat both, and of near copies, one stays; an empty
+table gives an empty one; columns of any other names are kept as they are, and
+the last stage leaves them out.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posegrid.llm import bpe, decontaminate, jaccard, repeats, toxicity
-from posegrid.llm.storage import written
+from posegrid.llm.storage import drop, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)
     return docs
