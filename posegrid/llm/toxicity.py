@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shingles import shingle_set
 from .storage import drop, written
@@ -386,15 +387,16 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
     """The rows scored below ``threshold``, with all their columns as they are."""
     import random
 
-    key, at = random.getrandbits(62), docs.columns.index(text_col)
+    key = random.getrandbits(62)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held(("toxicity", key), lexicon.matcher)
         for b in batches:
-            keep = [m.score((t.as_py() or "").encode()) < threshold for t in b.column(at)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            keep = [m.score(t.as_py() or b"") < threshold for t in b.column("raw")]
+            yield b.select(["row"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
