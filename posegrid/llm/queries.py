@@ -13,8 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows for each core up to which a table is dealt out to all cores.
+FEW = 4096
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of few rows, which may be one row group of one file, is
+    dealt out to all cores.  Counting the rows of a Parquet table reads its footers only."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.count() <= FEW * cores else docs
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(documents(spark, sf_dir))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +34,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard.jaccard_join(documents(spark, sf_dir), width=3, percent=90)
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,23 +42,23 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+    return bpe.encode_decode(documents(spark, sf_dir))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(table(spark, sf_dir, "documents"))
+    return repeats.removed(documents(spark, sf_dir))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
