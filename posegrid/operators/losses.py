@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import JOINT_PARENTS
 from ..functions import cam, vec
 
 
@@ -26,6 +27,11 @@ def kl_term(rows: DataFrame, mu: str, logvar: str, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg((F.sum(1 + lv - m * m - F.exp(lv)) * F.lit(-0.5)).alias("kl"))
 
 
+def body_parents(spark: SparkSession) -> DataFrame:
+    """The body model's joints and their parents."""
+    return spark.createDataFrame(list(enumerate(JOINT_PARENTS)), "joint int, parent int")
+
+
 def bone_lengths(joints: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Distance of each joint to its parent; the root has no bone."""
     p = joints.select(*keys, F.col("joint").alias("parent"), *[F.col(c).alias(f"p{c}") for c in "xyz"])

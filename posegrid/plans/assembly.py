@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import JOINT_PARENTS
 from ..functions import cam, vec
 from ..operators import alignment as al
 from ..operators import detections as det
@@ -258,6 +259,16 @@ def start_times_sparse(spark, sf_dir):
     return _r(out, "start")
 
 
+_BODY = "SELECT * FROM (VALUES " + ", ".join(f"({j}, {p})" for j, p in enumerate(JOINT_PARENTS)) + ") t(joint, parent)"
+
+
+@query((ctes("joints", body=_BODY) + "SELECT j.scene_id, j.video_id, j.frame_idx, j.person_id, j.joint, round(sqrt((j.x-p.x)*(j.x-p.x)+(j.y-p.y)*(j.y-p.y)+(j.z-p.z)*(j.z-p.z)), 6) AS bone FROM joints j JOIN body b ON j.joint = b.joint JOIN joints p ON p.scene_id = j.scene_id AND p.video_id = j.video_id AND p.frame_idx = j.frame_idx AND p.person_id = j.person_id AND p.joint = b.parent").replace("joints AS (", "joints AS MATERIALIZED ("))
+def body_bones(spark, sf_dir):
+    """Bones by the body model's own tree; the adapter's joints are its first 21."""
+    keys = ["scene_id", "video_id", "frame_idx", "person_id"]
+    return _r(lo.bone_lengths(ad.joints(spark, sf_dir), lo.body_parents(spark), keys), "bone")
+
+
 _JM = ctes("joints", corr=_CORR, mean="SELECT scene_id, frame_idx, person_id, joint, avg(x) AS m FROM joints GROUP BY ALL", y="SELECT scene_id, frame_idx, person_id, joint, avg(y) AS m FROM joints GROUP BY ALL")
 
 
