@@ -8,24 +8,31 @@ Equal sets are one class; only classes are compared.
    that any two linked sets meet in one of them (``cells``): at 0.85 or more by
    hashed parts, of which linked sets share at least one whole; below, by single
    shingles, a set's first ones in a fixed order, frequent ones last.
-2. Pivots.  In each region the sets of one size window are compared with one
-   pivot, exactly.  Sets linked with the same pivot are connected already.
+2. Pivots.  In each region the sets of a size class and the next one are compared
+   with one pivot.  Sets linked with the same pivot are connected already.
 3. Recursion.  Regions whose sets are not all connected are cut further: Voronoi
    cells around pivots in the space of bucket counts, whose L1 distance never
-   exceeds the symmetric difference; every set has one home cell and is
-   replicated to every cell whose pivot is within the threshold of that cell's
-   radius and twice the threshold of its own pivot (triangle inequality).  Sets
-   that are within the bound and not yet connected are compared exactly, a
-   set's nearest ones first and then, against the components these make, the rest.
+   exceeds the symmetric difference; every set has one home cell and visits
+   every cell whose pivot is no further from it than its own pivot and twice the
+   threshold (triangle inequality).  Crowded regions are cut like this by joins,
+   so that their cells go to different tasks (``spread``), small ones inside a
+   task (``near_pairs``).  Sets within the bound that are not connected yet are
+   compared, a set's nearest ones first and then, against the components these
+   make, the rest.
+
+Candidates are found by 64-bit hashes; a pair is linked by the words of its two
+texts (``linked``).
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; rows that repeat an id or a text are linked by their equal sets; a row
-with a null id links others like any row, its own component is null; an empty
-table gives an empty table; other columns are ignored.
+with a null id links others like any row, its own component is null; a very long
+text is one set like any other; an empty table gives an empty table; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -36,16 +43,24 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix, shingle_sets
-from .storage import written
+from .storage import drop, written
 
 #: Documents sampled to find frequent shingles, and in how many of them one is.
 SAMPLE_DOCS, FREQUENT = 4000, 8
-BUCKETS = 64
+#: Bucket counts of a set: as many as a quarter of it decide which pairs are read. Up to
+#: ``2 ** CELL_BITS`` of them go to its cells; there ``BUCKETS`` sums of them are compared first.
+BUCKETS, PER_BUCKET, CELL_BITS = 64, 4, 10
 #: Sets of a cell that are compared without cutting it further.
 CELL = 128
+#: Sets whose home is one cell of a task; a cell with more is cut by joins, around as many pivots.
+CROWD, PIVOTS = 2048, 8
+#: Times that a crowded cell is cut around pivots before its homes are dealt out in blocks.
+ROUNDS = 6
 #: Of the sets that may be linked with a set, those nearest to it that are compared
 #: first; all the others that are not connected by then are compared after them.
 NEAREST = 3
+#: Cells, the largest ones, in which a set's nearest are looked for.
+LARGEST = 4
 
 
 def _row_key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
@@ -133,61 +148,131 @@ def cells(own: np.ndarray, frequent: np.ndarray | None, percent: int) -> np.ndar
     return parts(own, percent) if frequent is None else prefix(own, frequent, percent)
 
 
+def size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
+    bounds = size_bounds(percent, int(sizes.max(initial=1)))
+    return np.searchsorted(bounds, sizes, "right") - 1
+
+
+def fine_counts(own: np.ndarray, most_bits: int = 64) -> np.ndarray:
+    """Elements in each of at least ``BUCKETS`` buckets by the first bits of their hashes, a power of two of them.
+
+    Counts are cut off at what a byte holds; differences of counts only become smaller.
+    """
+    bits = min(most_bits, max(6, (len(own) // PER_BUCKET).bit_length()))
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def coarse(counts: list[bytes]) -> np.ndarray:
+    """The ``BUCKETS`` sums of each set's counts."""
+    size = np.array([len(c) for c in counts], np.int64)
+    out = np.zeros((len(counts), BUCKETS), np.int32)
+    for n in np.unique(size):
+        some = np.flatnonzero(size == n)
+        out[some] = np.frombuffer(b"".join(counts[k] for k in some), np.uint8).reshape(len(some), BUCKETS, -1).sum(2)
+    return out
+
+
+class Counts:
+    """Counts of many sets, for differences of many pairs at a time."""
+
+    def __init__(self, counts: list[bytes]):
+        self.size = np.array([len(c) for c in counts], np.int64)
+        self.place, self.rows = np.zeros(len(counts), np.int64), {}
+        for n in np.unique(self.size).tolist():
+            some = np.flatnonzero(self.size == n)
+            self.place[some] = np.arange(len(some))
+            self.rows[n] = np.frombuffer(b"".join(counts[k] for k in some), np.uint8).reshape(len(some), n)
+
+    def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric differences of sets ``a`` and ``b``, pair by pair."""
+        out = np.zeros(len(a), np.int64)
+        kind = self.size[a] * (1 << 32) + self.size[b]
+        for k in np.unique(kind).tolist():
+            n, m = k >> 32, k & 0xFFFFFFFF
+            few, every = min(n, m), np.flatnonzero(kind == k)
+            for c in range(0, len(every), 2048):
+                some = every[c : c + 2048]
+                x, y = (self.rows[z][self.place[w[some]]].reshape(len(some), few, -1).sum(2, dtype=np.int32) for z, w in ((n, a), (m, b)))
+                out[some] = np.abs(x - y).sum(1)
+        return out
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets, from their counts."""
+    x, y = x.astype(np.int32), y.astype(np.int32)
+    few = min(len(x), len(y))
+    return int(np.abs(x.reshape(few, -1).sum(1) - y.reshape(few, -1).sum(1)).sum())
+
+
 def _described(rows: DataFrame, width: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """Of each document its set's size, two fingerprints and the cells it is sent to."""
+    """Of each document its set's size, two fingerprints, bucket counts and the cells it is sent to."""
+    kinds = "doc_id long, key long, t long, n long, c int, f long, g long, counts binary, fine binary, cells array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 some = b.slice(k, 256)
-                sets = shingle_sets([r.as_py() for r in some.column(1)], width)
+                sets = shingle_sets([r.as_py() for r in some.column("raw")], width)
+                sizes = np.array([len(s) for s in sets], np.int64)
                 keys = [_signed(cells(s, frequent, percent)) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 f, g = ([int(_signed(x.sum(keepdims=True))[0]) if len(x) else 0 for x in y] for y in (sets, [mix(s ^ np.uint64(0x5851F42D4C957F2D)) for s in sets]))
-                yield pa.record_batch([*some.select(["doc_id", "key", "t"]).columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "key", "t", "n", "f", "g", "cells"])
+                counts = [fine_counts(s, CELL_BITS).tobytes() for s in sets]
+                own = [pa.array(sizes), pa.array(size_class(sizes, percent), pa.int32()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(counts, pa.binary()), pa.array([fine_counts(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))]
+                yield pa.record_batch([*some.select(["doc_id", "key", "t"]).columns, *own], names=["doc_id", "key", "t", "n", "c", "f", "g", "counts", "fine", "cells"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, t long, n long, f long, g long, cells array<long>")
+    return rows.mapInArrow(run, kinds)
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``id``, ``n``, the set (64-bit hashes, ascending) and bucket counts of the wanted classes.
-
-    ``wanted``: ``key`` (of a row of the class) and ``f``, its set's fingerprint,
-    by which the class is known.
-    """
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bucket counts allow a link."""
+    x, y = (classes.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("fine").alias(f"fine_{i}")) for i in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
-                sets = shingle_sets([r.as_py() for r in some.column("raw")], width)
-                f = np.array([int(_signed(s.sum(keepdims=True))[0]) for s in sets])
-                same = f == some.column("f").to_numpy()
-                counts = [np.bincount((s >> np.uint64(58)).astype(int), minlength=BUCKETS).astype("<i4").tobytes() for s in sets]
-                out = pa.record_batch([some.column("f"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(counts, pa.binary())], names=["id", "n", "own", "counts"])
-                yield out.filter(pa.array(same))
+            total = (b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()).tolist()
+            far = (least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(b.column("fine_a").to_pylist(), b.column("fine_b").to_pylist()))
+            yield b.select(["a", "b"]).filter(pa.array([d * (100 + percent) <= (100 - percent) * n for d, n in zip(far, total)], pa.bool_()))
 
-    found = rows.join(wanted, "key").select("f", "raw")
-    return found.mapInArrow(run, "id long, n long, own binary, counts binary").dropDuplicates(["id"])
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their sets themselves."""
-    left = sets.select(F.col("id").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("own").alias("y"))
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_shingles(raw: bytes, width: int) -> frozenset[tuple[bytes, ...]]:
+    """The set of a text, as words."""
+    words = _WORDS.findall(raw.lower())  # bytes: only A-Z change
+    return frozenset(zip(*(words[k:] for k in range(width)))) if len(words) > width else frozenset([tuple(words)] if words else ())
+
+
+def linked(x: frozenset, y: frozenset, percent: int) -> bool:
+    shared = len(x & y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by the words of their texts themselves."""
+    near = written(_possible(pairs, classes, percent), "jaccard-near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "key", "t"), "id")
+    texts = written(rows.join(wanted, ["key", "t"]).select("id", "raw").dropDuplicates(["id"]), "jaccard-texts")
+    x, y = (texts.select(F.col("id").alias(i), F.col("raw").alias(r)) for i, r in (("a", "x"), ("b", "y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, frozenset()
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for a, x, y in zip(b.column("a").to_pylist(), b.column("x"), b.column("y")):
+                if a != last:
+                    last, pivot = a, word_shingles(x.as_py(), width)
+                keep.append(linked(pivot, word_shingles(y.as_py(), width), percent))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # joined by a last, so that a pivot's pairs come one after the other
+    out = written(near.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
+    drop(near, texts)
+    return out
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]):
@@ -200,38 +285,21 @@ def _by_cell(batches: Iterator[pa.RecordBatch]):
     yield from groupby(rows(), key=lambda r: r[0])
 
 
-def _stars(percent: int):
-    """Of each cell, sorted by size, the pairs of each size window's first set with the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-
-        def flush():
-            flat = sorted(out)
-            out.clear()
-            return pa.record_batch([pa.array([p[c] for p in flat], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-        for _, rows in _by_cell(batches):
-            pivot, limit = None, -1
-            for _, n, i in rows:
-                if pivot is None or n > limit:
-                    pivot, limit = i, 100 * n // percent
-                else:
-                    out.add((pivot, i))
-            if len(out) > 100_000:
-                yield flush()
-        if out:
-            yield flush()
+def _stars(shared: DataFrame) -> DataFrame:
+    """Of each cell the pairs of a size class's least set with those of this class and the next."""
+    pivots = shared.groupBy("cell", "c").agg(F.min("id").alias("a"))
+    both = shared.select("cell", F.explode(F.array("c", F.col("c") - 1)).alias("c"), F.col("id").alias("b"))
+    return both.join(pivots, ["cell", "c"]).where("a != b").select("a", "b").distinct()
 
-    return run
 
-
-def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, few: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, few: int | None = None, left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a region with different labels whose bucket counts allow a link.
 
-    ``counts``: a row for each set.  Cells are cut around pivots and joined
-    recursively; the L1 distance of the counts bounds the symmetric difference.
-    With ``few``, only so many of a set's nearest in each comparison of blocks.
+    ``counts``: a row for each set; a pair is a set of ``left`` with a later one of
+    ``right`` (ascending; all of them by default).  Cells are cut around pivots and
+    joined recursively; the L1 distance of the counts bounds the symmetric
+    difference.  With ``few``, only so many of a set's nearest in each comparison
+    of blocks.
     """
 
     def allowed(n):  # most elements that two linked sets may differ in, one having n
@@ -281,11 +349,17 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
             yield from (leaf if ends else join)(x, y)
 
     everything = np.arange(len(sizes))
-    yield from join(everything, everything)
+    left, right = (everything if x is None else x for x in (left, right))
+    if len(left) and len(right):
+        yield from join(left, right)
 
 
 def _residual(percent: int, few: int | None = None):
-    """Of each cell the pairs of sets that are not connected yet and may be linked."""
+    """Of each cell the pairs of sets that are not connected yet and may be linked.
+
+    Rows come sorted by cell, homes before visitors.  A task holds the homes of
+    one cell, at most about ``CROWD``, and some of its visitors at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
@@ -295,57 +369,151 @@ def _residual(percent: int, few: int | None = None):
             out.clear()
             return pa.record_batch([pa.array([p[c] for p in flat], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-        for _, rows in _by_cell(batches):
-            _, n, ids, labels, counts = zip(*rows)
-            n, ids, labels = np.array(n), np.array(ids), np.array(labels)
-            buckets = np.frombuffer(b"".join(counts), "<i4").reshape(len(n), BUCKETS)
-            for a, b in near_pairs(buckets, n, labels, percent, few):
+        def meet(homes: list[tuple], others: list[tuple]):
+            rows = sorted([(*r, True) for r in homes] + [(*r, False) for r in others], key=lambda r: (r[2], r[3]))
+            _, _, n, ids, labels, counts, home = zip(*rows)
+            n, ids, labels, home = np.array(n), np.array(ids), np.array(labels), np.array(home)
+            buckets, fine = coarse(counts), Counts(counts)
+            right = np.flatnonzero(~home) if others else None
+            for a, b in near_pairs(buckets, n, labels, percent, few, np.flatnonzero(home), right):
+                near = fine.differences(a, b) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+                a, b = a[near], b[near]
                 out.update(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()))
                 if len(out) > 100_000:
                     yield flush()
+
+        for _, rows in _by_cell(batches):
+            homes: list[tuple] = []
+            visitors: list[tuple] = []
+            met = False
+            for r in rows:
+                if not r[1]:
+                    homes.append(r)
+                    continue
+                if not met:
+                    yield from meet(homes, [])
+                    met = True
+                visitors.append(r)
+                if len(visitors) == 2 * CROWD:
+                    yield from meet(homes, visitors)
+                    visitors = []
+            if not met:
+                yield from meet(homes, [])
+            if visitors and homes:
+                yield from meet(homes, visitors)
         if out:
             yield flush()
 
     return run
 
 
+def spread(rows: DataFrame, percent: int, crowd: int = CROWD, rounds: int = ROUNDS, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Rows (cell, visits, n, id, label, counts) with crowded cells cut into Voronoi cells around pivots.
+
+    Two sets of a cell whose counts allow a link share a new cell that is the home
+    of one of them.  A cell that is still crowded after some rounds is dealt out in
+    blocks of homes, each visited by all sets of the cell; no set is left out.  Written
+    tables that the result reads are added to ``scratch``.
+    """
+    kinds = "cell long, visits boolean, n int, id long, label long, counts binary"
+    done, scratch = None, [] if scratch is None else scratch
+
+    def add(part: DataFrame):
+        nonlocal done
+        done = part if done is None else done.union(part)
+
+    for turn in range(rounds + 1):
+        homes = rows.groupBy("cell").agg(F.count(F.when(~F.col("visits"), 1)).alias("homes"), F.max("n").alias("most")).where(F.col("homes") > crowd)
+        crowded = written(homes, "jaccard-crowded")
+        scratch.append(crowded)
+        if crowded.isEmpty():
+            add(rows)
+            break
+        add(rows.join(crowded, "cell", "left_anti"))
+        inside = rows.join(crowded, "cell")
+        if turn == rounds:
+            blocks = F.ceil(F.col("homes") / crowd).cast("int")
+            own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+            at = F.explode(F.sequence(F.lit(0), blocks - 1))
+            dealt = inside.select("*", own.alias("own"), at.alias("at"))
+            dealt = dealt.select(F.xxhash64("cell", "at", F.lit(turn)).alias("cell"), (F.col("visits") | (F.col("own") != F.col("at"))).alias("visits"), "n", "id", "label", "counts")
+            add(dealt)
+            break
+        # of the homes, the one of least hash in each of some parts is a pivot
+        mark = F.xxhash64("id", F.lit(turn))
+        chosen = inside.where(~F.col("visits")).groupBy("cell", F.pmod(mark, F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(mark.alias("m"), "counts"))["counts"].alias("pivot"))
+        pivots = chosen.groupBy("cell").agg(F.collect_list("pivot").alias("pivots"))  # at most PIVOTS of a cell
+
+        def cut(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = coarse(b.column("counts").to_pylist())
+                pick, cells_, visits = [], [], []
+                cell, most, away = (b.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "most", "visits"))
+                around = b.column("pivots").to_pylist()
+                for k in range(b.num_rows):
+                    far = np.abs(coarse(around[k]) - own[k]).sum(1)
+                    limit = (100 - percent) * (100 * int(most[k]) // percent) // 100
+                    home = int(far.argmin())
+                    for p in np.flatnonzero(far <= far[home] + 2 * limit).tolist():
+                        pick.append(k)
+                        cells_.append((int(cell[k]), turn, p))
+                        visits.append(bool(away[k]) or p != home)
+                new = np.array([hash(x) for x in cells_], np.int64)
+                yield pa.record_batch([pa.array(new), pa.array(visits, pa.bool_()), *(b.column(x).take(pa.array(pick, pa.int64())) for x in ("n", "id", "label", "counts"))], names=["cell", "visits", "n", "id", "label", "counts"])
+
+        rows = written(inside.join(pivots, "cell").select("cell", "visits", "n", "id", "label", "counts", "most", "pivots").mapInArrow(cut, kinds), "jaccard-cut")
+        scratch.append(rows)
+    return done
+
+
 def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The described rows, and of each class of equal sets ``n``, ``f``, ``g``, its least id ``rep``,
-    its first row (``null_id``, ``key``, ``t``) and the ``root`` of its component."""
+    """The rows (``doc_id``, ``n``, ``f``, ``g``), and of each class of equal sets ``n``, ``f``, ``g``, its
+    least id ``rep``, its first row (``null_id``, ``key``, ``t``) and the ``root`` of its component.
+
+    Both are written tables; what was written on the way is deleted.
+    """
     rows = _raw(docs, id_col, text_col)
     frequent = None if percent >= 85 else frequent_shingles(rows, width)
     described = written(_described(rows, width, percent, frequent), "jaccard-sets")
-    full = described.where("n > 0")
-    classes = full.groupBy("n", "f", "g").agg(F.min(F.struct("key", "cells"))["cells"].alias("cells"))
-    sent = classes.select(F.explode("cells").alias("cell"), F.col("n").cast("int").alias("n"), F.col("f").alias("id"))
-    # Only cells with two sets of a possible size or more go on.
-    here = Window.partitionBy("cell").orderBy("n", "id")
-    close = lambda a, b: a * 100 >= b * percent
-    shared = sent.withColumn("next", F.lead("n").over(here)).withColumn("last", F.lag("n").over(here)).where(close(F.col("n"), F.col("next")) | close(F.col("last"), F.col("n")))
-    shared = written(shared.select("cell", "n", "id"), "jaccard-cells")
-    wanted = full.select("key", "f").join(shared.select(F.col("id").alias("f")).distinct(), "f").groupBy("f").agg(F.min("key").alias("key"))
-    sets = written(_sets(rows, wanted, width), "jaccard-own")
-
-    def in_cells(df: DataFrame) -> DataFrame:
-        return df.repartition("cell").sortWithinPartitions("cell", "n", "id")
-
-    stars = written(in_cells(shared).mapInArrow(_stars(percent), "a long, b long").distinct(), "jaccard-stars")
-    links = written(_verified(stars, sets, percent), "jaccard-links")
-    tried = stars
+    members = written(described.select("doc_id", "key", "t", "n", "f", "g"), "jaccard-rows")
+    one = described.where("n > 0").groupBy("n", "f", "g").agg(F.min(F.struct("key", "t", "c", "counts", "fine", "cells")).alias("own"))
+    found = written(one.select(F.col("f").alias("id"), F.col("n").cast("int").alias("n"), "own.*"), "jaccard-classes")
+    drop(described)
+    classes = found.drop("cells")
+    sent = found.select(F.explode("cells").alias("cell"), "c", "n", "id")
+    # Only cells with two sets or more go on; they are counted where the rows lie.
+    several = written(sent.groupBy("cell").count().where("count > 1").select("cell"), "jaccard-several")
+    shared = written(sent.join(several, "cell"), "jaccard-cells")
+    drop(several)
+    stars = written(_stars(shared), "jaccard-stars")
+    links = _verified(stars, classes, rows, width, percent)
+    label = components(links)
+    tried, tables = stars, [found, shared, stars, links]
     # Nearest sets first: dense groups are connected by few links, and only what is still apart is compared in full.
     for few in (NEAREST, None):
-        label = components(links)
         labelled = shared.join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
-        open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
-        left = labelled.join(open_cells, "cell").join(sets.select("id", "counts"), "id").select("cell", "n", "id", "label", "counts")
-        more = in_cells(left).mapInArrow(_residual(percent, few), "a long, b long").distinct()
+        open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where(F.col("lo") != F.col("hi")).select("cell", "size")
+        left = labelled.join(open_cells, "cell")
+        if few:  # the same sets meet in many cells: for the nearest ones some will do
+            left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "cell"))).where(F.col("nth") <= LARGEST)
+        left = left.join(classes.select("id", "counts"), "id")
+        left = written(left.select("cell", F.lit(False).alias("visits"), "n", "id", "label", "counts"), "jaccard-open")
+        apart = spread(left, percent, scratch=tables).repartition("cell").sortWithinPartitions("cell", "visits", "n", "id")
+        more = apart.mapInArrow(_residual(percent, few), "a long, b long").distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        links = written(links.union(_verified(more, sets, percent)), "jaccard-links")
+        verified = _verified(more, classes, rows, width, percent)
+        # what is connected is a star by now: new links change few of them
+        last, label = label, components(label.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified))
         tried = tried.union(more)
-    roots = components(links).select(F.col("id").alias("f"), "root")
+        tables += [more, verified]
+        drop(left, last)
+    roots = label
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "key", "t")).alias("first")
-    reps = full.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), first).join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
-    return described, reps
+    reps = members.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), first)
+    reps = reps.join(roots.select(F.col("id").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    reps = written(reps, "jaccard-roots")
+    drop(roots, *tables)
+    return members, reps
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,11 +522,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Columns: ``doc_id``, ``n_shingles`` long (size of the set) and
     ``component_id`` (the least id that links reach, its own included).
     """
-    described, reps = _classes(docs, width, percent, id_col, text_col)
+    members, reps = _classes(docs, width, percent, id_col, text_col)
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = reps.join(least, "root").select("n", "f", "g", "component_id")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return described.select("doc_id", "n", "f", "g").join(found, ["n", "f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return members.join(found, ["n", "f", "g"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
