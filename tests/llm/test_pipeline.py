@@ -105,3 +105,58 @@ def test_repeated_rows_keep_one_text(spark, sf_dir, tmp_path):
     named = {i - top: sorted(k for (j, k), n in got.items() if j == i for _ in range(n)) for i in {j for j, _ in got} - {None}}
     assert named.keys() == {30, 31, 33, 34} and named[30] == [ids(rows[0][1])] and named[31] == [ids(rows[2][1])]
     assert len(named[33]) == 1 and named[33][0] in {ids(rows[11][1]), ids(rows[12][1])} and named[34] == [ids(" ")] * 2
+
+
+CLASHING = "doc_id long, text string, key string, t string, raw string, cells string, `row` string, h string, u string, there string, ids string, `a.b` string"
+
+
+def odd_docs(spark):
+    from test_texts import odd_texts
+
+    rows = [(i, t, *["z" if k % 2 else None for k in range(10)]) for i, t in odd_texts() if len(brute.raw(t)) < 6000 or i == 5]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, stage):
+    """Nulls, empty and very long texts, repeated rows and columns of any name; what stays is as it was."""
+    docs = odd_docs(spark)
+    out = stage[1](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    was, found = [(r["doc_id"], r["text"]) for r in docs.collect()], out.collect()
+    got = [(r["doc_id"], r["text"]) for r in found]
+    assert all([r[c] for c in docs.columns[2:]] == ["z" if k % 2 else None for k in range(10)] for r in found)
+    want = {
+        "toxicity": sorted(was, key=repr), "benchmark_decontamination": sorted(was, key=repr),
+        "ngram_jaccard_join": None, "suffix_array_dedup": None,
+    }[stage[0]]
+    if want is not None:
+        assert sorted(got, key=repr) == want
+    elif stage[0] == "ngram_jaccard_join":
+        order = sorted(was, key=lambda x: (x[0] is None, x[0] or 0))
+        groups = {c for _, _, c in brute.jaccard_components(list(enumerate(t for _, t in order)), 5, 80)}
+        assert len(got) == len(groups) and len([x for x in got if x[1] is None]) == 2
+    else:
+        assert sorted(i or 0 for i, _ in got) == sorted(i or 0 for i, _ in was) and sum(t is None for _, t in got) == 2
+    assert stage[1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_encoding_of_odd_and_empty_tables(spark, sf_dir):
+    docs = odd_docs(spark)
+    got = corpus_pipeline.encode(spark, docs, sf_dir).collect()
+    assert len(got) == docs.count() and all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [0, 0]
+    assert corpus_pipeline.encode(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_nothing_is_left_behind(spark, sf_dir):
+    """What a run writes on its way is deleted, but for its result and the small tables that lazy results read."""
+    from pathlib import Path
+
+    from posegrid.llm.storage import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in top.iterdir()}
+    corpus_pipeline.run(spark, sf_dir).count()
+    new = {p.name.rpartition("-")[0] for p in top.iterdir() if p.name not in before}
+    assert new <= {"pipeline-bpe_encoding", "jaccard-rows", "jaccard-roots", "repeat-ranges", "benchmark-overlaps"}, new

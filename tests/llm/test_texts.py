@@ -66,9 +66,18 @@ def same(df, want):
 # -- token counts, BPE, token files ------------------------------------------------
 
 
-def counted(rows):
+def counted(rows, limit=2048):
     t = library(vocab.WORD_BPE)
-    return [(i, len(brute.raw(x)), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for i, x in rows]
+    n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    out = []
+    for i, x in rows:
+        x = x or ""
+        total, cut = n(x), len(x)
+        if total > limit:  # the token after the limit ends behind the cut; some characters around it decide
+            near = t.encode(x, add_special_tokens=False).offsets[limit][1]
+            cut = max(k for k in range(max(0, near - 40), min(len(x), near + 40)) if n(x[:k]) <= limit)
+        out.append((i, len(brute.raw(x)), total, total > limit, len(brute.raw(x[:cut]))))
+    return out
 
 
 def test_token_counts(spark, odd, empty, real, sf_dir):
@@ -79,20 +88,26 @@ def test_token_counts(spark, odd, empty, real, sf_dir):
 
 def test_prefix_tables(odd):
     t, texts = library(vocab.WORD_BPE), dict(odd_texts())
-    rows = {r["doc_id"]: r for r in token_counts.prefix_tables(odd.where("doc_id in (8, 10, 11)"), [7, 10**6]).collect()}
-    for i in (8, 10, 11):
-        raw, r = brute.raw(texts[i]), rows[i]
-        for e, n in zip(r["ends"], r["counts"]):
-            assert n == len(t.encode(raw[:e].decode(), add_special_tokens=False).ids)
-        assert r["cuts"][1] == len(raw) and len(t.encode(raw[: r["cuts"][0]].decode(), add_special_tokens=False).ids) <= 7
+    n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    rows = {r["doc_id"]: r for r in token_counts.prefix_tables(odd.where("doc_id in (1, 2, 8, 9, 10, 11)"), [7, 10**6]).collect()}
+    for i in (1, 2, 8, 9, 10, 11):
+        text = texts[i] or ""
+        assert list(rows[i]["counts"]) == [n(text[:k]) for k in range(len(text) + 1)]
+        longest = max(k for k in range(len(text) + 1) if n(text[:k]) <= 7)
+        assert list(rows[i]["cuts"]) == [len(text[:longest].encode()), len(text.encode())]
 
 
-def test_count_at_every_prefix():
+@pytest.mark.parametrize("text", ["Tokenization unbelievably rearranged, isn't it? they'll've antidisestablishment", "漢字かな交じり文をトークン化する" * 3, "cafe\u0301 nai\u0308ve ﬁne İstanbul ǅ", "a<|endoftext|>b <|endoftext|><|startoftext|>c!!'s 12'3", "   ", "x" * 300, "here\xa0and\u2003there\xa0"])
+def test_count_at_every_prefix(text):
     c, t = token_counts.counter(vocab.default_path(vocab.WORD_BPE)), library(vocab.WORD_BPE)
-    raw = "Tokenization unbelievably rearranged, isn't it? antidisestablishment".encode()
+    raw = text.encode()
     table = c.table(raw)
-    for n in range(len(raw) + 1):
-        assert c.count_at(raw, table, n) == len(t.encode(raw[:n].decode(), add_special_tokens=False).ids)
+    want = [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    assert c.prefix_counts(raw).tolist() == want
+    for k in range(len(text) + 1):
+        assert c.count_at(raw, table, len(text[:k].encode())) == want[k]
+    for budget in range(max(want) + 2):
+        assert c.cut(raw, table, budget) == len(text[: max(k for k, n in enumerate(want) if n <= budget)].encode())
 
 
 def digested(rows):
@@ -143,6 +158,31 @@ def test_coder_round_trip(seed):
             coder.unpack(bytes(broken))
 
 
+def entropy(ids) -> float:
+    c = np.bincount(ids)
+    c = c[c > 0]
+    return float(-(c * np.log2(c / c.sum())).sum() / 8)
+
+
+def test_coder_learns():
+    """Ids drawn one by one cost little more than their entropy, ids with contexts much less."""
+    r = np.random.default_rng(1)
+    drawn = np.minimum(r.zipf(1.3, 150_000), 49_000)
+    assert len(coder.pack(drawn)) < 1.12 * entropy(drawn)
+    phrases = [np.minimum(r.zipf(1.3, 12), 49_000) for _ in range(3000)]
+    text = np.concatenate([phrases[min(k, 2999)] for k in r.zipf(1.2, 20_000)])
+    assert len(coder.pack(text)) < 0.6 * entropy(text)
+
+
+def test_blocks_are_read_on_their_own(monkeypatch):
+    monkeypatch.setattr(coder, "BLOCK", 5000)
+    ids = np.random.default_rng(2).zipf(1.4, 12_345) % 30_000
+    data = coder.pack(ids)
+    table = [coder.struct.unpack_from("<III", data, 20 + 12 * k) for k in range(3)]
+    at = 20 + 12 * 3 + table[0][1]
+    assert np.array_equal(coder.decode_block(data[at : at + table[1][1]], 5000), ids[5000:10_000])
+
+
 # -- sharding -----------------------------------------------------------------------
 
 
@@ -235,6 +275,21 @@ def test_keep_one_decides_by_rows(spark):
         assert len(there) == 1 and {i for i, _ in there} == {own[0][0]}
 
 
+def test_counts_bound_the_difference():
+    r = np.random.default_rng(7)
+    sets = []
+    for n in (0, 1, 5, 300, 340, 2000, 5000, 9000):
+        own = r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        sets += [np.unique(own), np.unique(np.concatenate([own[n // 10 :], r.integers(0, 1 << 63, n // 10).astype(np.uint64)]))]
+    full, some = [jaccard.fine_counts(x) for x in sets], [jaccard.fine_counts(x, jaccard.CELL_BITS) for x in sets]
+    a, b = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    far = jaccard.Counts([x.tobytes() for x in some]).differences(a, b)
+    for i, j, d in zip(a, b, far):
+        true = len(np.setxor1d(sets[i], sets[j]))
+        assert d <= true and d == jaccard.least_difference(some[i], some[j]) and jaccard.least_difference(full[i], full[j]) <= true
+    assert (jaccard.coarse([x.tobytes() for x in some]).sum(1) <= [len(x) for x in sets]).all()
+
+
 def test_pivots_lose_no_pair():
     r = np.random.default_rng(3)
     base = r.poisson(6, (40, jaccard.BUCKETS))
@@ -259,6 +314,36 @@ def test_crowded_cell_is_exact_and_ends():
     assert set(found) == set(zip(i.tolist(), j.tolist()))
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_crowded_cells_are_spread(spark, rounds):
+    """Cells that are cut by joins, around pivots or in blocks, keep every pair that the whole cell has."""
+    r = np.random.default_rng(4)
+    base = r.poisson(6, (12, jaccard.BUCKETS))
+    counts = np.maximum(np.repeat(base, 25, 0) + r.integers(-1, 2, (300, jaccard.BUCKETS)) * (r.random((300, jaccard.BUCKETS)) < 0.15), 0)
+    n = counts.sum(1)
+    rows = [(7 if k % 10 else 8, False, int(n[k]), k, k % 40, counts[k].astype(np.uint8).tobytes()) for k in range(300)]
+    df = spark.createDataFrame(rows, "cell long, visits boolean, n int, id long, label long, counts binary")
+    cut = jaccard.spread(df, 80, crowd=20, rounds=rounds)
+    assert cut.where("NOT visits").groupBy("cell").count().agg({"count": "max"}).first()[0] < 150
+    found = cut.repartition("cell").sortWithinPartitions("cell", "visits", "n", "id").mapInArrow(jaccard._residual(80), "a long, b long").distinct()
+    far = np.abs(counts[:, None] - counts[None]).sum(2)
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if (a % 10 == 0) == (b % 10 == 0) and a % 40 != b % 40 and far[a, b] * 180 <= 20 * (n[a] + n[b])}
+    assert want and {tuple(p) for p in found.collect()} == want
+
+
+def test_words_with_equal_polynomial_hashes_are_not_linked(spark):
+    """A Thue-Morse word and its complement: any polynomial modulo 2**64 gives both the same value."""
+    signs = [0]
+    for _ in range(10):
+        signs += [1 - x for x in signs]
+    rows = [(k + 1, "".join("ab"[x ^ k] for x in signs)) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard.jaccard_join(df, 3, 90), [(1, 1, 1), (2, 1, 2)])
+    assert decontaminate.overlaps(df, spark.createDataFrame([(1, " ".join([rows[0][1]] * 8))], "item_id long, text string")).count() == 0
+    twice = spark.createDataFrame([(1, rows[0][1] + "c" + rows[1][1])], "doc_id long, text string")
+    same(repeats.removed(twice), brute.removed([(1, rows[0][1] + "c" + rows[1][1])]))
+
+
 # -- repeats --------------------------------------------------------------------------
 
 
@@ -277,6 +362,17 @@ def test_repeats(spark, seed):
     same(repeats.removed(df), brute.removed(rows))
 
 
+@pytest.mark.parametrize("band", [3, 12])
+def test_large_groups_are_halved(spark, monkeypatch, band):
+    """A passage in many surroundings: groups over the band are split down to single strings."""
+    monkeypatch.setattr(repeats, "BAND", band)
+    r = random.Random(8)
+    passage = pieces(r, 60)[:240]
+    rows = [(n, pieces(r, r.randrange(0, 20)) + passage[r.randrange(0, 30) : 240 - r.randrange(0, 30)] + pieces(r, r.randrange(0, 20))) for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(repeats.removed(df), brute.removed(rows))
+
+
 def test_repeats_on_tables(spark, real, empty, sf_dir):
     same(queries.op7_repeats(spark, sf_dir), brute.removed(real))
     assert repeats.removed(empty).count() == 0
@@ -319,11 +415,27 @@ def test_substitutions_are_found(spark, changed):
     assert [(r["doc_id"], r["n_equal"]) for r in decontaminate.overlaps(docs, bench).collect()] == [(1, 13 - len(changed))]
 
 
-def test_masks_cover_any_two_substitutions():
+def test_masks_cover_all_that_counts():
     from itertools import combinations
 
-    for bad in combinations(range(13), 2):
-        assert any(all(p + k not in bad for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for p in range(14 - len(m)))
+    for size in range(6, 14):
+        allowed = max(k for k in range(size) if (size - k) * decontaminate.WINDOW >= decontaminate.NEED * size)
+        for bad in combinations(range(size), allowed):
+            assert any(all(p + k not in bad for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for p in range(size + 1 - len(m))), (size, bad)
+
+
+def test_one_word_many_times_over(spark):
+    docs = spark.createDataFrame([(1, "x " * 8000), (2, "x " * 10 + "y z " * 300), (3, "x " * 4)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "x " * 200), (6, "y z " * 20)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_equal"]) for r in decontaminate.overlaps(docs, items).collect()} == {(1, 5, 13), (2, 6, 13)}
+
+
+def test_a_full_bit_table_loses_nothing(spark, real, sf_dir, monkeypatch):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(map(tuple, decontaminate.overlaps(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 10)
+    assert sorted(map(tuple, decontaminate.overlaps(docs, items).collect())) == want
 
 
 def test_items_without_an_id_clean_too(spark):
