@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .vocab import BYTE_BPE, BoundedCache, byte_letters, default_path, held, load_spec, to_letters
 
 #: Entries kept by a worker for pieces of text, and for words.
-PIECE_ENTRIES, WORD_ENTRIES = 300_000, 150_000
+PIECE_ENTRIES, WORD_ENTRIES = 400_000, 200_000
 
 _PLAIN = re.compile(r"( ?[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
 _BLANKS = re.compile(r" (?:\s|$)")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = "spark.checkpoint.dir"
 #: Spark removes the shuffle files of an action when it has ended: what it wrote needs them no more.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a task hands to Python at a time, where the session has Spark's own number: rows are whole texts here.
+BATCH, USUAL, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -33,6 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, which cuts their lineage."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(CLEAN)
+    if spark.conf.get(BATCH) == USUAL:
+        spark.conf.set(BATCH, ROWS)
     spark.conf.set(CLEAN, "true")
     try:
         df.write.parquet(path)

@@ -43,7 +43,7 @@ MIN_ODDS = 2.5
 STEMS = (4, 5, 6, 7, 8)
 #: Words of a window, and what a quoted hit is thought to count before any was seen.
 WINDOW, QUOTED = 40, 0.4
-CHUNK_ENTRIES, LONGEST = 200_000, 32
+CHUNK_ENTRIES, LONGEST = 150_000, 32
 
 #: A chunk that is one word and no hit.
 _PLAIN = (1,)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 from typing import TypeVar
 
 T = TypeVar("T")
@@ -65,7 +66,7 @@ def held(key: tuple, build: Callable[[], T]) -> T:
 
 
 class BoundedCache(dict):
-    """A dict that starts afresh once it holds ``limit`` entries."""
+    """A dict that drops the older half of its entries once it holds ``limit``."""
 
     def __init__(self, limit: int):
         super().__init__()
@@ -73,7 +74,8 @@ class BoundedCache(dict):
 
     def keep(self, key, value):
         if len(self) >= self.limit:
-            self.clear()
+            for old in [*islice(self, len(self) // 2 + 1)]:
+                del self[old]
         self[key] = value
         return value
 
