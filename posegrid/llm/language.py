@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exact import peeked
 from .shingles import _LOWER, SPACE, mix
 from .storage import drop, written
 
@@ -203,7 +204,7 @@ def combined(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def cell_of(grams: np.ndarray, cells: int) -> np.ndarray:
-    return ((mix(grams + _STEP) >> _U(32)) * _U(cells)) >> _U(32)
+    return ((mix(grams ^ _ODD) >> _U(32)) * _U(cells)) >> _U(32)
 
 
 # --- the filter --------------------------------------------------------------
@@ -222,10 +223,10 @@ def _spots(grams: np.ndarray, j: np.ndarray | int, size: np.ndarray | int) -> li
     return out
 
 
-def part(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def part(grams: np.ndarray, counts: np.ndarray, per_entry: int = BITS) -> np.ndarray:
     """The filter's part for distinct n-grams of one cell, as 64-bit words."""
     levels = level(counts)
-    size = max(1, -(-int(levels.sum()) * BITS // 64))
+    size = max(1, -(-int(levels.sum()) * per_entry // 64))
     bits = np.zeros(size, _U)
     for j in range(1, int(levels.max(initial=0)) + 1):
         for at, mask in _spots(grams[levels >= j], j, size):
@@ -359,21 +360,25 @@ def _count_grams(order: int, cells: int) -> Callable:
     return run
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of the cells that this task has."""
-    held: dict[int, list[tuple]] = {}
-    for b in batches:
-        for cell, k, n in zip(*(c.to_pylist() for c in b.columns)):
-            own = held.setdefault(cell, [])
-            own.append((np.frombuffer(k, _U), np.frombuffer(n, np.int64)))
-            if sum(len(x[0]) for x in own[1:]) > CELL:
-                own[:] = [combined(*zip(*own))]
-    for cell in [*held]:
-        grams, counts = combined(*zip(*held.pop(cell)))
-        yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([part(grams, counts).tobytes()], pa.binary())], names=["cell", "bits"])
+def _build(per_entry: int) -> Callable:
+    """The parts of the cells that a task has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for b in batches:
+            for cell, k, n in zip(*(c.to_pylist() for c in b.columns)):
+                own = held.setdefault(cell, [])
+                own.append((np.frombuffer(k, _U), np.frombuffer(n, np.int64)))
+                if sum(len(x[0]) for x in own[1:]) > CELL:
+                    own[:] = [combined(*zip(*own))]
+        for cell in [*held]:
+            grams, counts = combined(*zip(*held.pop(cell)))
+            yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([part(grams, counts, per_entry).tobytes()], pa.binary())], names=["cell", "bits"])
+
+    return run
 
-def learn(docs: DataFrame, usable: Column | None = None, order: int = ORDER, mu: float = MU, id_col: str = "doc_id", text_col: str = "text") -> Model:
+
+def learn(docs: DataFrame, usable: Column | None = None, order: int = ORDER, mu: float = MU, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts of all tokens and n-grams of the rows that are ``usable``; two passes."""
     rows = _texts(docs if usable is None else docs.where(usable), F.lit(False), id_col, text_col)
     counted = rows.mapInArrow(_count_words(), "a long, b long, c long")
@@ -382,7 +387,7 @@ def learn(docs: DataFrame, usable: Column | None = None, order: int = ORDER, mu:
     cells = max(1, -(-total * order // CELL))
     tasks = max(cells, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     grams = rows.mapInArrow(_count_grams(order, cells), "cell int, grams binary, counts binary")
-    parts = written(grams.repartition(tasks, "cell").mapInArrow(_build, "cell int, bits binary"), "lm-filter")
+    parts = written(grams.repartition(tasks, "cell").mapInArrow(_build(bits), "cell int, bits binary"), "lm-filter")
     size = parts.agg(F.coalesce(F.sum(F.octet_length("bits").cast("long")), F.lit(0))).first()[0]
     return Model(Totals(total, distinct, order, mu), words, parts, cells, size)
 
@@ -455,21 +460,13 @@ def _by_broadcast(rows: DataFrame, model: Model, hot) -> DataFrame:
     totals = model.totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        kind = first.schema.field(0).type
-        for band in bands(_rows(_again(first, batches)), totals.order):
-            yield _piece_batch(band, score_band(band, totals, hot.value, held.value.levels), kind)
+        head, batches = peeked(batches)
+        for band in bands(_rows(batches), totals.order):
+            yield _piece_batch(band, score_band(band, totals, hot.value, held.value.levels), head.schema.field(0).type)
 
     return rows.mapInArrow(run, f"key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, {_PIECE}")
 
 
-def _again(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield first
-    yield from rest
-
-
 def _by_shuffle(rows: DataFrame, model: Model, hot) -> tuple[DataFrame, list[DataFrame]]:
     """As ``_by_broadcast``; n-grams go to the filter's parts and their levels come back."""
     spark = rows.sparkSession
@@ -478,12 +475,10 @@ def _by_shuffle(rows: DataFrame, model: Model, hot) -> tuple[DataFrame, list[Dat
     own = f"band long, key long, doc_id {id_type}, held_out boolean, raw binary, before binary, first boolean, last boolean"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        kinds = [pa.int64(), first.schema.field(0).type, pa.bool_(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_()]
+        head, batches = peeked(batches)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for band in bands(_rows(_again(first, batches)), order):
+        for band in bands(_rows(batches), order):
+            kinds = [pa.int64(), head.schema.field(0).type, pa.bool_(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_()]
             columns = [pa.array(x, k) for x, k in zip(zip(*band), kinds)]
             yield pa.record_batch([pa.array([number] * len(band), pa.int64()), *columns], names=["band", "key", "doc_id", "held_out", "raw", "before", "first", "last"])
             number += 1
@@ -583,7 +578,7 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.totals.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def language_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = ORDER) -> DataFrame:
+def language_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = ORDER, mu: float = MU, bits: int = BITS) -> DataFrame:
     """Scores of all documents, learned from the rows that are not held out."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    return score(docs, learn(docs, fold != held_out, order), fold == held_out)
+    return score(docs, learn(docs, fold != held_out, order, mu, bits), fold == held_out)

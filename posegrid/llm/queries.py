@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, nearest, quality, repeats, sharding, token_counts, token_files, toxicity
+from . import bpe, clusters, codes, decontaminate, jaccard, language, nearest, quality, repeats, sharding, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,16 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_scores(documents(spark, sf_dir))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_jaccard_join, op4_nearest, op5_bpe, op6_decontamination, op7_repeats, op8_toxicity, op9_quality, op10_token_files, op11_language)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_jaccard_join, op4_nearest, op5_bpe, op6_decontamination, op7_repeats, op8_toxicity, op9_quality, op10_token_files, op11_language, op12_clusters, op13_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
