@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import JOINT_PARENTS
@@ -13,8 +15,9 @@ from ..operators import sync as sy
 from ..operators import tracks as trk
 from ..operators import windows as wi
 from ..sources import adapters as ad
-from ..sources import files, sinks
+from ..sources import archives, files, sinks
 from ..sources.adapters import ctes
+from ..sources.session import ensure_checkpoint_dir
 from .catalogue import query
 from .motion import _CORR, _Q, _r
 from .tracking import _REMAP, _remap
@@ -282,3 +285,15 @@ def wired_losses(spark, sf_dir):
     cameras = al.correspondences(ad.joints(spark, sf_dir)).select(F.col("ax").alias("pred"), F.col("bx").alias("gt"))
     pred = rows.select("scene_id", "cam", "frame_idx", "person_id", "joint", F.col("y").alias("x"))
     return _r(lo.wired_losses(pred, rows, cameras, rows.select("scene_id", "joint", F.col("conf").alias("bone"))), "loss")
+
+
+@query(ctes("gallery") + "SELECT scene_id, video_id, person_id, 0 AS frame_idx, 64 AS n, round(descriptor[1], 9) AS first, round(descriptor[64], 9) AS last, CAST(NULL AS DOUBLE) AS bbox FROM gallery")
+def archive_round_trip(spark, sf_dir):
+    """Persons written as archives, one for each, and read back by member."""
+    root = f"{ensure_checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    rows = ad.gallery(spark, sf_dir).withColumns({"frame_indices": F.lit(0), "smplx_betas": F.col("descriptor"), "other": F.col("descriptor")})
+    name = F.concat_ws("/", F.col("scene_id"), F.col("video_id"), F.lit("body_data"), F.concat(F.lit("person_"), F.col("person_id"), F.lit(".npz")))
+    archives.write_rows(rows, root, ["scene_id", "video_id", "person_id"], "frame_indices", ["frame_indices", "smplx_betas", "other"], name).agg(F.sum("n_rows")).collect()
+    back = files.person_archives(spark, root, ["smplx_betas", "bbox"])
+    d = F.col("smplx_betas")
+    return back.select(F.col("scene_id").cast("int").alias("scene_id"), F.col("video_id").cast("int").alias("video_id"), "person_id", "frame_idx", F.size(d).alias("n"), F.round(d[0], 9).alias("first"), F.round(d[63], 9).alias("last"), F.col("bbox")[0].alias("bbox"))

@@ -6,24 +6,33 @@ root's first folder level is the scene; what lies below depends on the layout.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detections as det
+from . import archives
 
 VIDEO_SUFFIXES = ("mp4", "mkv", "avi")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "bmp", "png")
 
 # The fields that a person's archive may hold for fusion.
 PERSON_FIELDS = [
-    "frame_indices", "smplx_body_pose", "smplx_left_hand_pose", "smplx_right_hand_pose", "smplx_global_orient", "smplx_betas", "body_pose_params", "hand_pose_params", "global_rot",
-    "shape_params", "pred_cam_t", "focal_length", "pred_keypoints_3d",
+    "frame_indices", "pred_cam_t", "focal_length", "pred_keypoints_2d", "pred_keypoints_3d", "smplx_betas", "smplx_body_pose", "smplx_global_orient", "smplx_transl", "smplx_left_hand_pose",
+    "smplx_right_hand_pose", "smplx_expression", "bbox",
 ]
 
 
 def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...], with_content: bool = False) -> DataFrame:
-    """``path``, ``rel`` (below the root), ``length`` and ``modified`` of files with these suffixes, in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """``path``, ``rel`` (below the root), ``length`` and ``modified`` of files with these suffixes, in any case.
+
+    Files of other suffixes are not even opened: their contents may be larger than a row can be.
+    """
+    any_case = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{any_case}}}").load(root)
     rel = F.split_part(F.col("path"), F.lit(root.rstrip("/").partition("://")[2] or root.rstrip("/")), F.lit(2))
     rows = files.select("path", F.ltrim(rel, F.lit("/")).alias("rel"), "length", F.col("modificationTime").alias("modified"), *(["content"] if with_content else []))
     return rows.where(F.lower(F.substring_index("path", ".", -1)).isin(*suffixes))
@@ -100,6 +109,64 @@ def persons(spark: SparkSession, path: str, fields: list[str] | None = None) ->
     return rows.select(*keys, *wanted)
 
 
+def person_archives(spark: SparkSession, root: str, fields: list[str] | None = None) -> DataFrame:
+    """Rows of ``<root>/<scene>/<video>/body_data/person_<id>.npz``, of the known fields those asked for.
+
+    Only the members asked for are read.  A field that an archive lacks is null;
+    ``frame_idx`` is null where an archive does not say its frames.
+    """
+    archives.register(spark)
+    wanted = [f for f in PERSON_FIELDS[1:] if f in (fields or PERSON_FIELDS)]
+    kinds = ", ".join(f"{f} array<double>" for f in wanted)
+    rows = spark.read.format("npz").schema(f"path string, frame_indices long{', ' + kinds if kinds else ''}").option("layout", "rows").option("pattern", "person_*.npz").load(root)
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    keys = [part(-4).alias("scene_id"), part(-3).alias("video_id"), F.regexp_extract(part(-1), r"^person_(\d+)", 1).cast("long").alias("person_id")]
+    return rows.where(part(-2) == "body_data").select(*keys, F.col("frame_indices").cast("int").alias("frame_idx"), *wanted)
+
+
+def mask_archive_runs(spark: SparkSession, root: str, frames: list[int] | None = None) -> DataFrame:
+    """Runs of the masks in ``<root>/<scene>/<video>/mask_data.npz``: pixels of one value, ``x_end`` included.
+
+    ``frames``: only these are looked up in the archives.  Ids are the ones in the
+    masks less one, since 0 is the background.
+    """
+    rows = archives.lookup(spark, root, None if frames is None else [f"mask_{f:06d}" for f in frames], "mask_", "mask_data.npz")
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    found = rows.select(part(-3).alias("scene_id"), part(-2).alias("video_id"), F.regexp_extract("key", r"^mask_(\d+)", 1).cast("int").alias("frame_idx"), "kind", "shape", "data")
+    return found.mapInArrow(_mask_runs, "scene_id string, video_id string, frame_idx int, person_id long, y int, x_start int, x_end int")
+
+
+def _mask_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            mask = np.frombuffer(r["data"], np.dtype(r["kind"])).reshape(r["shape"]).astype(np.int64)
+            if mask.ndim != 2:
+                raise ValueError(f"{r['video_id']}, frame {r['frame_idx']}: a mask has two axes, not {mask.ndim}")
+            edge = np.ones((mask.shape[0], mask.shape[1] + 1), bool)
+            edge[:, 1:-1] = mask[:, 1:] != mask[:, :-1]
+            y, x = np.nonzero(edge[:, :-1])
+            stop = np.nonzero(edge[:, 1:])[1]
+            value = mask[y, x]
+            own = value > 0
+            n = int(own.sum())
+            columns = [pa.array([r["scene_id"]] * n, pa.string()), pa.array([r["video_id"]] * n, pa.string()), pa.array([r["frame_idx"]] * n, pa.int32()), pa.array(value[own] - 1), *(pa.array(v[own].astype(np.int32)) for v in (y, x, stop))]
+            yield pa.record_batch(columns, names=["scene_id", "video_id", "frame_idx", "person_id", "y", "x_start", "x_end"])
+
+
+def pose_archives(spark: SparkSession, root: str) -> DataFrame:
+    """``scene_id``, ``video_a``, ``video_b``, ``rotation`` and ``translation`` of ``<root>/<scene>/camera_alignment.npz``."""
+    rows = archives.lookup(spark, root, pattern="camera_alignment.npz").where(F.col("key").contains("__to__"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [np.frombuffer(d, np.dtype(k)).astype(np.float64).tolist() for d, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(values, pa.list_(pa.float64()))], names=["scene_id", "key", "value"])
+
+    scene = F.element_at(F.split("path", "/"), -2).alias("scene_id")
+    found = rows.select(scene, "key", "data", "kind").mapInArrow(numbers, "scene_id string, key string, value array<double>")
+    return pairwise_poses(found, keys=["scene_id"])
+
+
 def persons_to_sync(rows: DataFrame, field: str = "pred_keypoints_3d") -> DataFrame:
     """Rows with keypoints, each with confidence 1."""
     return rows.where(F.col(field).isNotNull() & (F.size(field) > 0)).withColumn("conf", F.lit(1.0))
@@ -139,7 +206,7 @@ def calibration_files(spark: SparkSession, root: str) -> DataFrame:
     return calibrations(rows.select(_level(0).alias("scene_id"), _stem(F.col("path")).alias("cam"), F.col("content").cast("string").alias("xml")))
 
 
-def pairwise_poses(rows: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+def pairwise_poses(rows: DataFrame, key: str = "key", value: str = "value", keys: list[str] | None = None) -> DataFrame:
     """Rotation and translation of each pair of videos from rows keyed ``a__to__b__R`` and ``a__to__b__t``.
 
     Keys that do not name two videos are skipped; so are pairs without both.
@@ -148,7 +215,7 @@ def pairwise_poses(rows: DataFrame, key: str = "key", value: str = "value") -> D
     pair = F.expr(f"left({key}, length({key}) - length(substring_index({key}, '__', -1)) - 2)")
     names = F.split(pair, "__to__")
     found = rows.where(part.isin("R", "t")).withColumns({"part": part, "names": names}).where(F.size("names") == 2)
-    out = found.groupBy(F.get("names", F.lit(0)).alias("video_a"), F.get("names", F.lit(1)).alias("video_b")).agg(F.max(F.when(F.col("part") == "R", F.col(value))).alias("rotation"), F.max(F.when(F.col("part") == "t", F.col(value))).alias("translation"))
+    out = found.groupBy(*(keys or []), F.get("names", F.lit(0)).alias("video_a"), F.get("names", F.lit(1)).alias("video_b")).agg(F.max(F.when(F.col("part") == "R", F.col(value))).alias("rotation"), F.max(F.when(F.col("part") == "t", F.col(value))).alias("translation"))
     return out.where("rotation IS NOT NULL AND translation IS NOT NULL")
 
 

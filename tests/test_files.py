@@ -80,10 +80,28 @@ def test_tracks_are_dense(spark, people, tmp_path):
 def test_persons_read_only_known_columns(spark, people, tmp_path):
     people.withColumn("unknown", F.lit(1)).write.parquet(str(tmp_path / "p"))
     found = files.persons(spark, str(tmp_path / "p"))
-    assert found.columns == ["scene_id", "video_id", "person_id", "frame_idx", "smplx_betas", "shape_params"]
+    assert found.columns == ["scene_id", "video_id", "person_id", "frame_idx", "smplx_betas", "bbox"]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "unknown" not in plan and "bbox" not in plan
-    assert files.persons(spark, str(tmp_path / "p"), ["shape_params"]).columns[-1] == "shape_params"
+    assert "unknown" not in plan and "shape_params" not in plan
+    assert files.persons(spark, str(tmp_path / "p"), ["bbox"]).columns[-1] == "bbox"
+
+
+def test_all_person_fields_are_read(spark, tmp_path):
+    assert len(set(files.PERSON_FIELDS)) == 13
+    spark.range(3).select(F.col("id").alias("person_id"), *[F.lit(k).alias(f) for k, f in enumerate(files.PERSON_FIELDS)]).write.parquet(str(tmp_path / "p"))
+    assert files.persons(spark, str(tmp_path / "p")).columns == ["person_id", *files.PERSON_FIELDS]
+
+
+def test_large_files_beside_the_wanted_ones_are_not_read(spark, tmp_path):
+    (tmp_path / "s1").mkdir()
+    (tmp_path / "s1" / "000.XML").write_text("<o><CameraMatrix><rows>1</rows><cols>2</cols><data>1 2</data></CameraMatrix></o>")
+    (tmp_path / "s1" / "000.mp4").write_bytes(bytes(5000))
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert rows(files.calibration_files(spark, str(tmp_path)), "cam", "extrinsics") == [("000", [1.0, 2.0])]
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
 
 
 def test_other_writers(spark, tmp_path):
