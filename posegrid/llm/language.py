@@ -48,7 +48,7 @@ _U = np.uint64
 ORDER, MU = 2, 300.0
 #: The least count of each level is this times the one before, or one more.
 GROWTH = 1.5
-#: Bits of the filter for each entry; an entry sets four bits in each of two words.
+#: Bits of the filter for each entry; an entry sets three bits in each of two words.
 BITS = 10
 #: Filters up to this size are broadcast.
 BROADCAST_BYTES = 192 << 20
@@ -56,7 +56,7 @@ BROADCAST_BYTES = 192 << 20
 SHARE = 65_536
 #: Bytes of text that a task looks at together, n-grams that it holds before it
 #: hands them on, and n-grams (with repeats) that a cell stands for.
-BAND, HELD, CELL = 4 << 20, 2_000_000, 1 << 21
+BAND, HELD, CELL = 1 << 20, 1_000_000, 1 << 21
 
 _ODD = _U(0xD6E8FEB86659FD93)
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -127,6 +127,10 @@ def word_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return a, b
 
 
+def key_hash(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    return mix(mix(a ^ (_STEP + _U(salt))) * _ODD + b)
+
+
 class Tokens:
     """The tokens of a band, each piece behind ``order - 1`` tokens of context.
 
@@ -144,7 +148,7 @@ class Tokens:
         a, b = word_keys(flat, starts, ends)
         #: the end is the word without letters
         self.a, self.b = np.append(a, _U([0, 0])), np.append(b, _U([0, 254 << 56]))
-        self.hash = mix(mix(self.a ^ _STEP) * _ODD + self.b)
+        self.hash = key_hash(self.a, self.b)
         cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in pieces]))
         first_word = cuts[0::2]  # of the piece: its context's words lie before it
         n_words = cuts[1::2] - first_word
@@ -188,7 +192,9 @@ class Tokens:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """A word number for each distinct word, and which of them each word is."""
-        _, first, which = np.unique(self.hash, return_index=True, return_inverse=True)
+        found, which = np.unique(self.hash, return_inverse=True)
+        first = np.zeros(len(found), np.int64)
+        first[which] = np.arange(len(which))
         if not (np.array_equal(self.a[first][which], self.a) and np.array_equal(self.b[first][which], self.b)):
             _, first, which = np.unique(np.rec.fromarrays([self.a, self.b]), return_index=True, return_inverse=True)
         return first, which
@@ -211,12 +217,12 @@ def cell_of(grams: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _spots(grams: np.ndarray, j: np.ndarray | int, size: np.ndarray | int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two words of a part of ``size`` words, with four bits in each, of entry (n-gram, j)."""
+    """Two words of a part of ``size`` words, with three bits in each, of entry (n-gram, j)."""
     x = mix(grams + np.asarray(j).astype(_U) * _STEP)
     out = []
     for _ in range(2):
         mask = np.zeros(len(x), _U)
-        for s in (0, 6, 12, 18):
+        for s in (0, 6, 12):
             mask |= _U(1) << ((x >> _U(s)) & _U(63))
         out.append(((((x >> _U(32)) * np.asarray(size).astype(_U)) >> _U(32)).astype(np.int64), mask))
         x = mix(x + _STEP)
@@ -263,6 +269,29 @@ class Filter:
         return out
 
 
+# --- exact counts ------------------------------------------------------------
+
+
+class Frequent:
+    """Exact counts of the frequent tokens, found by a hash that tells them apart."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray):
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        self.salt = 0
+        while len(np.unique(key_hash(a, b, self.salt))) < len(a):
+            self.salt += 1
+        order = np.argsort(key_hash(a, b, self.salt))
+        self.a, self.b, self.c = a[order], b[order], c[order]
+        self.hash = key_hash(self.a, self.b, self.salt)
+
+    def counts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The count of each word, 0 for those that are not frequent."""
+        if not len(self.a):
+            return np.zeros(len(a), np.int64)
+        at = np.minimum(np.searchsorted(self.hash, key_hash(a, b, self.salt)), len(self.a) - 1)
+        return np.where((self.a[at] == a) & (self.b[at] == b), self.c[at], 0)
+
+
 # --- learning ----------------------------------------------------------------
 
 
@@ -303,29 +332,33 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             n += 1
 
 
-def _count_words() -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a``, ``b``, ``c`` of the words that a task has seen, some times added up."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def out():
-            flat = np.array([*held], np.uint64).reshape(-1, 2).astype(np.int64)
-            rows = [pa.array(x) for x in (flat[:, 0], flat[:, 1], np.array([*held.values()], np.int64))]
-            held.clear()
-            return pa.record_batch(rows, names=["a", "b", "c"])
-
-        for band in bands(_rows(batches), 1):
-            t = Tokens(band, 1)
-            first, which = t.distinct()
-            counts = np.bincount(which[t.word], minlength=len(first))
-            some = counts > 0
-            for a, b, n in zip(t.a[first][some].tolist(), t.b[first][some].tolist(), counts[some].tolist()):
-                held[a, b] = held.get((a, b), 0) + n
-            if len(held) > HELD // 4:
-                yield out()
-        if held:
-            yield out()
+    def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, c = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, a))
+        a, b, c = a[order], b[order], c[order]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[begin], b[begin], np.add.reduceat(c, begin)
 
-    return run
+    def out(words) -> pa.RecordBatch:
+        a, b, c = words
+        return pa.record_batch([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c)], names=["a", "b", "c"])
+
+    for band in bands(_rows(batches), 1):
+        t = Tokens(band, 1)
+        first, which = t.distinct()
+        counts = np.bincount(which[t.word], minlength=len(first))
+        some = counts > 0
+        held.append((t.a[first][some], t.b[first][some], counts[some].astype(np.int64)))
+        if sum(len(x[0]) for x in held) > HELD:
+            held[:] = [added()]
+            if len(held[0][0]) > HELD // 2:
+                yield out(held.pop())
+    if held:
+        yield out(added())
 
 
 def _count_grams(order: int, cells: int) -> Callable:
@@ -381,7 +414,7 @@ def _build(per_entry: int) -> Callable:
 def learn(docs: DataFrame, usable: Column | None = None, order: int = ORDER, mu: float = MU, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts of all tokens and n-grams of the rows that are ``usable``; two passes."""
     rows = _texts(docs if usable is None else docs.where(usable), F.lit(False), id_col, text_col)
-    counted = rows.mapInArrow(_count_words(), "a long, b long, c long")
+    counted = rows.mapInArrow(_count_words, "a long, b long, c long")
     words = written(counted.groupBy("a", "b").agg(F.sum("c").alias("c")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     cells = max(1, -(-total * order // CELL))
@@ -423,7 +456,7 @@ def asked(t: Tokens) -> np.ndarray:
 _PIECE = "n_tokens long, n_known long, base double, score double, rare array<struct<a:long,b:long,n:long>>"
 
 
-def score_band(band: list[tuple], model: Totals, hot: dict[tuple, int], levels: Callable) -> list[pa.Array]:
+def score_band(band: list[tuple], model: Totals, hot: Frequent, levels: Callable) -> list[pa.Array]:
     """Columns ``n_tokens``, ``n_known``, ``base``, ``score``, ``rare`` of the pieces of a band.
 
     ``n_known`` and ``base`` are of the tokens in ``hot``; the others are in ``rare``.
@@ -433,8 +466,7 @@ def score_band(band: list[tuple], model: Totals, hot: dict[tuple, int], levels:
     row = t.row[t.new]
     scores = np.bincount(row, weights=log_probabilities(t, model, levels), minlength=n)
     first, which = t.distinct()
-    pairs = zip(t.a[first].astype(np.int64).tolist(), t.b[first].astype(np.int64).tolist())
-    counts = np.array([hot.get(x, 0) for x in pairs])
+    counts = hot.counts(t.a[first], t.b[first])
     word = which[t.word[t.new]]
     own = counts[word]
     known = np.bincount(row, weights=own > 0, minlength=n).astype(np.int64)
@@ -563,7 +595,8 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
     rows = _texts(docs, F.lit(False) if held_out is None else held_out, id_col, text_col)
     # at most SHARE rows: each stands for one in SHARE of all tokens
     frequent = F.col("c") * SHARE >= model.totals.total
-    hot = spark.sparkContext.broadcast({(r["a"], r["b"]): r["c"] for r in model.words.where(frequent).toArrow().to_pylist()})
+    found = model.words.where(frequent).toArrow()
+    hot = spark.sparkContext.broadcast(Frequent(*(np.array(found[c]) for c in ("a", "b", "c"))))
     scored, left = (_by_broadcast(rows, model, hot), []) if model.size <= BROADCAST_BYTES else _by_shuffle(rows, model, hot)
     pieces = written(scored, "lm-scored")
     drop(*left)
