@@ -2,94 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .warping import joint_costs, most_common, pose_costs, value_costs
+from .warping import warp as warp_frames
+
+
+#: Numbers of one block of costs that a task computes at a time.
+BLOCK = 1 << 20
+
+
+def in_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row once for each other recording of its group: ``video_a`` < ``video_b``, and
+    ``side`` 0 or 1 says whose row it is."""
+    others = rows.groupBy(*keys).agg(F.collect_set("video_id").alias("others"))
+    met = rows.join(others, keys).withColumn("other", F.explode(F.filter("others", lambda v: v != F.col("video_id"))))
+    return met.drop("others").withColumns({"video_a": F.least("video_id", "other"), "video_b": F.greatest("video_id", "other"), "side": (F.col("video_id") > F.col("other")).cast("int")}).drop("video_id", "other")
+
+
+def recordings(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of both sides of a pair: frame numbers, (frames, joints, 4), and which joints a frame
+    has.  Joints are those that both recordings have somewhere."""
+    col = {c: table[c].to_numpy() for c in ("side", "frame_idx", "joint", "x", "y", "z", "conf")}
+    own = [np.flatnonzero(col["side"] == s) for s in (0, 1)]
+    joints = np.intersect1d(col["joint"][own[0]], col["joint"][own[1]])
+    out = []
+    for rows in own:
+        frames, at = np.unique(col["frame_idx"][rows], return_inverse=True)
+        place = np.searchsorted(joints, col["joint"][rows])
+        known = place < len(joints)
+        known[known] = joints[place[known]] == col["joint"][rows][known]
+        values, there = np.zeros((len(frames), len(joints), 4)), np.zeros((len(frames), len(joints)), bool)
+        for c, name in enumerate(("x", "y", "z", "conf")):
+            values[at[known], place[known], c] = col[name][rows][known]
+        there[at[known], place[known]] = True
+        out.append((frames, values, there))
+    return out
+
+
+def _pairs_of_joints(joints: DataFrame) -> DataFrame:
+    numbers = ["x", "y", "z", "conf"]
+    rows = joints.select("scene_id", "person_id", "video_id", "frame_idx", "joint", *(F.col(c).cast("double").alias(c) for c in numbers)).dropna()
+    return in_pairs(rows, ["scene_id", "person_id"]).groupBy("scene_id", "person_id", "video_a", "video_b")
 
 
 def cost_matrix(joints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Confidence-weighted distance of every two frames of one person in two cameras.
+    """Confidence-weighted distance of every two frames of one person in two cameras, over
+    the joints that both frames have; frames that share none have no row.
 
-    A frame's joints are one row, so frames meet once for each pair and nothing is
-    summed over joints after a shuffle.  Frames meet within (scene, person), whose
-    size a recording bounds.
+    Both recordings of a pair meet in one task; the matrix is made and given out in
+    blocks of frames.  Joints with a null number count as missing.
     """
-    keys = ["scene_id", "person_id"]
-    own = F.map_from_entries(F.collect_list(F.struct("joint", F.struct("x", "y", "z", "conf"))))
-    rows = joints.groupBy(*keys, "video_id", "frame_idx").agg(own.alias("own"))
-    side = lambda s: rows.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("frame_idx").alias(f"frame_{s}"), F.col("own").alias(f"own_{s}"))
+    keys = ["scene_id", "person_id", "video_a", "video_b"]
+    kinds = dict(joints.dtypes)
 
-    def pair(k: Column) -> Column:
-        p, q = F.element_at("own_a", k), F.element_at("own_b", k)
-        d = F.sqrt(sum(((p[c] - q[c]) * (p[c] - q[c]) for c in "yz"), (p["x"] - q["x"]) * (p["x"] - q["x"])))
-        w = p["conf"] * q["conf"]
-        return F.struct((w * d).alias("wd"), w.alias("w"))
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (f, x, in_x), (g, y, in_y) = recordings(pa.Table.from_batches(batches))
+        step = max(1, BLOCK // max(1, y.shape[0] * y.shape[1]))
+        for s in range(0, len(f), step):
+            cost = joint_costs(x[s : s + step, None], y[None], cfg.dtw_exponent)
+            i, j = np.nonzero(in_x[s : s + step].astype(np.float32) @ in_y.T.astype(np.float32))
+            columns = [pa.repeat(k, len(i)) for k in key] + [pa.array(f[s + i]), pa.array(g[j]), pa.array(cost[i, j])]
+            yield pa.record_batch(columns, names=[*keys, "frame_a", "frame_b", "cost"])
 
-    shared = F.array_intersect(F.map_keys("own_a"), F.map_keys("own_b"))
-    total = lambda f: F.aggregate("terms", F.lit(0.0), lambda a, t: a + t[f])
-    pairs = side("a").join(side("b"), keys).where("video_a < video_b").withColumn("terms", F.transform(shared, pair)).where(F.size("terms") > 0)
-    return pairs.select(*keys, "video_a", "video_b", "frame_a", "frame_b", F.pow(total("wd") / (total("w") + 1e-8), F.lit(cfg.dtw_exponent)).alias("cost"))
+    v, n = kinds["video_id"], kinds["frame_idx"]
+    return _pairs_of_joints(joints).applyInArrow(run, f"scene_id {kinds['scene_id']}, person_id {kinds['person_id']}, video_a {v}, video_b {v}, frame_a {n}, frame_b {n}, cost double")
 
 
 def warp_sequences(joints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """DTW of every two recordings of one person: what moves is each recording once for
-    each other one, and the cost matrix exists only inside a task.
+    each other one, and no task ever holds a cost matrix (see ``warping``).
 
-    Frames count by their order.  Persons that only one of two cameras has are left out.
+    Frames count by their order, and those that share no joint cost nothing.  Persons
+    that only one of two cameras has are left out; joints with a null number count
+    as missing.
     """
-    keys = ["scene_id", "person_id"]
+    keys = ["scene_id", "person_id", "video_a", "video_b"]
     kinds = dict(joints.dtypes)
-    rows = joints.groupBy(*keys, "video_id").agg(F.collect_list(F.struct("frame_idx", "joint", "x", "y", "z", "conf")).alias("seen"))
-    side = lambda s: rows.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("seen").alias(f"seen_{s}"))
-    pairs = side("a").join(side("b"), keys).where("video_a < video_b")
-
-    def tensor(seen, joint_ids: list) -> np.ndarray:
-        at = {j: k for k, j in enumerate(joint_ids)}
-        frames = sorted({r["frame_idx"] for r in seen})
-        row = {f: k for k, f in enumerate(frames)}
-        out = np.zeros((len(frames), len(joint_ids), 4))
-        for r in seen:
-            if r["joint"] in at:
-                out[row[r["frame_idx"]], at[r["joint"]]] = r["x"], r["y"], r["z"], r["conf"]
-        return out
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                ids = sorted({x["joint"] for x in r.seen_a} & {x["joint"] for x in r.seen_b})
-                x, y = tensor(r.seen_a, ids), tensor(r.seen_b, ids)
-                far = np.sqrt(((x[:, None, :, :3] - y[None, :, :, :3]) ** 2).sum(3))
-                w = x[:, None, :, 3] * y[None, :, :, 3]
-                cost = ((far * w).sum(2) / (w.sum(2) + 1e-8)) ** cfg.dtw_exponent
-                total = accumulate(cost)
-                steps = path(total)
-                out.append((r.scene_id, r.person_id, r.video_a, r.video_b, float(total[-1, -1]), len(steps), most_common([j - i for i, j in steps])))
-            yield pd.DataFrame(out, columns=["scene_id", "person_id", "video_a", "video_b", "distance", "path_length", "offset"])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        (_, x, _), (_, y, _) = recordings(table)
+        total, rows, cols = warp_frames(len(x), len(y), pose_costs(x, y, cfg.dtw_exponent))
+        found = [total, len(rows), most_common(cols - rows)]
+        return pa.table([pa.array([k.as_py()], k.type) for k in key] + [pa.array([v], t) for v, t in zip(found, (pa.float64(), pa.int32(), pa.int32()))], names=[*keys, "distance", "path_length", "offset"])
 
     v = kinds["video_id"]
-    return pairs.mapInPandas(run, f"scene_id {kinds['scene_id']}, person_id {kinds['person_id']}, video_a {v}, video_b {v}, distance double, path_length int, offset int")
+    return _pairs_of_joints(joints).applyInArrow(run, f"scene_id {kinds['scene_id']}, person_id {kinds['person_id']}, video_a {v}, video_b {v}, distance double, path_length int, offset int")
 
 
 def warp_series(rows: DataFrame, keys: list[str]) -> DataFrame:
     """DTW distance of every two recordings of a group by squared differences of one value:
-    ``video_id``, ``frame_idx``, ``v``.  A recording is one row before recordings meet."""
+    ``video_id``, ``frame_idx``, ``v``.  Rows without a value are left out."""
     kinds = dict(rows.dtypes)
-    own = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "v"))), lambda r: r["v"])
-    seq = rows.groupBy(*keys, "video_id").agg(own.alias("seq"))
-    side = lambda s: seq.select(*keys, F.col("video_id").alias(f"video_{s}"), F.col("seq").alias(f"seq_{s}"))
-    pairs = side("a").join(side("b"), keys).where("video_a < video_b")
+    own = rows.select(*keys, "video_id", "frame_idx", F.col("v").cast("double").alias("v")).dropna(subset=["frame_idx", "v"])
 
-    def run(batches):
-        for b in batches:
-            far = [float(accumulate((np.asarray(x, float)[:, None] - np.asarray(y, float)[None, :]) ** 2)[-1, -1]) for x, y in zip(b.seq_a, b.seq_b)]
-            yield b[[*keys, "video_a", "video_b"]].assign(distance=far)
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        side, frame, v = (table[c].to_numpy() for c in ("side", "frame_idx", "v"))
+        order = np.lexsort((v, frame))
+        x, y = (v[order][side[order] == s] for s in (0, 1))
+        far = warp_frames(len(x), len(y), value_costs(x, y))[0]
+        return pa.table([pa.array([k.as_py()], k.type) for k in key] + [pa.array([far])], names=[*keys, "video_a", "video_b", "distance"])
 
     v = kinds["video_id"]
-    return pairs.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"video_a {v}", f"video_b {v}", "distance double"]))
+    return in_pairs(own, keys).groupBy(*keys, "video_a", "video_b").applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"video_a {v}", f"video_b {v}", "distance double"]))
 
 
 def scenes_with_equal_persons(joints: DataFrame) -> DataFrame:
@@ -121,12 +143,6 @@ def path(total: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def most_common(values: list[int]) -> int:
-    """The most frequent value, the smallest of several."""
-    found, counts = np.unique(values, return_counts=True)
-    return int(found[counts.argmax()])
-
-
 def warp(cost: DataFrame, keys: list[str], a: str = "frame_a", b: str = "frame_b", gaps: bool = False) -> DataFrame:
     """DTW of each group's cost matrix: distance, path length and offset.
 
