@@ -1,8 +1,8 @@
 """Re-identification as a stream: the batch fold with its state kept between micro-batches.
 
-Frames of a video must come in order, as the frame source gives them.  The pairs
-seen together need a pass over the whole recording before (``covisible_pairs``),
-so they are a table beside the stream, not a part of it.
+Frames of a video must come in order, as the frame source gives them, and the
+pairs seen together are a table beside the stream (``covisible_pairs``).  Without
+such a table, or out of order, see ``covisibility``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
-from ..operators.reid import Fold
+from ..operators.reid import Fold, folded_frame, ordered_frames
 
 
 def frames(spark: SparkSession, path: str, schema: str, files_at_a_time: int = 1) -> DataFrame:
@@ -53,11 +53,8 @@ def reidentify_stream(rows: DataFrame, together: DataFrame, cfg: Config = DEFAUL
         held = pd.concat(list(batches))
         fold.together = {frozenset((int(p), int(q))) for p, own in zip(held.person_id, held.partners) if own is not None for q in own}
         found = []
-        for f, own in held.sort_values(["frame_idx", "ord"], kind="stable").groupby("frame_idx"):
-            ids = own.person_id.astype(int).tolist()
-            features = [None if x is None else np.asarray(x, float) for x in own.feature]
-            last = {c: (key[0], int(f), int(o), i, c) for o, i, c in zip(own.ord, ids, fold.frame([*zip(ids, features)]))}
-            found += last.values()
+        for f, persons in ordered_frames(held):
+            found += [(key[0], f, o, p, c) for o, p, c in folded_frame(fold, persons)]
         state.update((saved(fold),))
         yield pd.DataFrame(found, columns=["video_id", "frame_idx", "ord", "person_id", "canonical_id"])
 
