@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .selection import medians, same
 
 
 def covisible_pairs(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -56,12 +57,18 @@ def person_slots(detections: DataFrame) -> DataFrame:
 
 def shape_median(joints: DataFrame) -> DataFrame:
     """Median over frames of each coordinate."""
-    return joints.groupBy("scene_id", "video_id", "person_id", "joint").agg(*[F.median(c).alias(f"med_{c}") for c in ("x", "y", "z")])
+    found = medians(joints, ["scene_id", "video_id", "person_id", "joint"], ["x", "y", "z"])
+    return found.withColumnsRenamed({c: f"med_{c}" for c in ("x", "y", "z")})
 
 
 def six_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, median, standard deviation, least, greatest and number of the values of each
+    group; groups may have any size (see ``selection``)."""
     v = F.col(value)
-    return rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    sums = rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+    middle = medians(rows, keys, [value])
+    out = sums.alias("l").join(middle.alias("r"), same(keys))
+    return out.select(*[f"l.{k}" for k in keys], "mean", F.col(f"r.{value}").alias("median"), "std", "min", "max", "n")
 
 
 def named_statistics(rows: DataFrame, names: DataFrame, key: str, value: str) -> DataFrame:
