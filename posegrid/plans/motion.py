@@ -12,6 +12,7 @@ from ..operators import alignment as al
 from ..operators import losses as lo
 from ..operators import metrics as me
 from ..operators import reid
+from ..operators import similarity as sim
 from ..operators import sync as sy
 from ..operators import windows as wi
 from ..sources import adapters as ad
@@ -121,7 +122,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(ctes("gallery", cos=_COS) + "SELECT scene_id, video_a, person_a, video_b, person_b, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, video_a, person_a, video_b ORDER BY sim DESC, person_b) AS place FROM cos) WHERE place = 1")
 def top1_similarity(spark, sf_dir):
-    return _r(reid.top1(reid.cosine_pairs(ad.gallery(spark, sf_dir))), "sim")
+    return _r(sim.best_partners(ad.gallery(spark, sf_dir)), "sim")
 
 
 _HYB = "SELECT scene_id, video_id, person_id, sqrt(list_sum(list_transform(descriptor[1:54], lambda x: 0.49::DOUBLE*x*x)) + 0.09::DOUBLE) AS n, descriptor AS d, sqrt(list_sum(list_transform(descriptor[55:64], lambda x: x*x))) AS s FROM gallery"
