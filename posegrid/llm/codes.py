@@ -166,7 +166,7 @@ def _one_length(kept: DataFrame, size: int, count: int, first: list, parts: int,
     d = size // parts
     books = [[[whole(v, factor) for v in row[p * d : (p + 1) * d]] for row in first] for p in range(parts)]
     exploded = kept.where(F.col("size") == size).select("key", "vec_id", "label", F.posexplode("parts").alias("pos", "part"))
-    distinct = written(exploded.groupBy("pos", "part").agg(F.count(F.lit(1)).alias("n")), "code-parts")
+    distinct = written(exploded.groupBy("pos", "part").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("pos"), "code-parts")
     for _ in range(rounds):
         books = lloyd_round(distinct, books)
     told = hashlib.sha256(",".join(str(v) for book in books for entry in book for v in entry).encode()).hexdigest()

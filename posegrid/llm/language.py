@@ -51,7 +51,7 @@ GROWTH = 1.5
 #: Bits of the filter for each entry; an entry sets three bits in each of two words.
 BITS = 10
 #: Filters up to this size are broadcast.
-BROADCAST_BYTES = 192 << 20
+BROADCAST_BYTES = 128 << 20
 #: Tokens that at least one in so many is, have their counts sent to all tasks.
 SHARE = 65_536
 #: Bytes of text that a task looks at together, n-grams that it holds before it
@@ -248,7 +248,7 @@ class Filter:
     begin: np.ndarray
 
     @staticmethod
-    def of(parts: dict[int, bytes], cells: int) -> Filter:
+    def of(parts: dict[int, bytes | pa.Buffer], cells: int) -> Filter:
         arrays = [np.frombuffer(parts.get(c, b""), _U) for c in range(cells)]
         return Filter(np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(x) for x in arrays])]))
 
@@ -486,9 +486,11 @@ def _piece_batch(band: list[tuple], columns: list[pa.Array], id_type: pa.DataTyp
 
 
 def _by_broadcast(rows: DataFrame, model: Model, hot) -> DataFrame:
-    found = model.parts.toArrow()
-    parts = dict(zip(found["cell"].to_pylist(), found["bits"].to_pylist()))
-    held = rows.sparkSession.sparkContext.broadcast(Filter.of(parts, model.cells))
+    found = model.parts.toArrow()  # at most BROADCAST_BYTES
+    whole = Filter.of({c: b.as_buffer() for c, b in zip(found["cell"].to_pylist(), found["bits"])}, model.cells)
+    del found
+    held = rows.sparkSession.sparkContext.broadcast(whole)
+    del whole
     totals = model.totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
