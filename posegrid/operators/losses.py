@@ -27,6 +27,14 @@ def kl_term(rows: DataFrame, mu: str, logvar: str, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg((F.sum(1 + lv - m * m - F.exp(lv)) * F.lit(-0.5)).alias("kl"))
 
 
+def kl_loss(rows: DataFrame, mu: str, logvar: str, sample: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Divergence from the unit normal: summed over a sample's latent components, then the
+    mean over samples (rows of one ``sample`` are its components)."""
+    keys = keys or []
+    own = kl_term(rows, mu, logvar, [*keys, *sample])
+    return own.groupBy(*keys).agg(F.avg("kl").alias("kl"))
+
+
 def body_parents(spark: SparkSession) -> DataFrame:
     """The body model's joints and their parents."""
     return spark.createDataFrame(list(enumerate(JOINT_PARENTS)), "joint int, parent int")

@@ -124,6 +124,18 @@ def remap_keyed(rows: DataFrame, remap: DataFrame) -> DataFrame:
     return found.withColumn("person_id", F.coalesce("new_id", "person_id")).select(*rows.columns)
 
 
+def remap_tracks(rows: DataFrame, remap: DataFrame) -> DataFrame:
+    """As ``remap_keyed``, with at most one track of a video under each id: of tracks that meet,
+    one that keeps its id wins, then that of the least old id, and the others keep theirs."""
+    names = remap.groupBy("video_id", F.col("old_id").alias("person_id")).agg(F.min("new_id").alias("new_id"))
+    ids = rows.select("video_id", "person_id").distinct().join(names, ["video_id", "person_id"], "left")
+    ids = ids.withColumns({"wanted": F.coalesce("new_id", "person_id"), "moved": F.col("new_id").isNotNull() & (F.col("new_id") != F.col("person_id"))})
+    place = F.row_number().over(Window.partitionBy("video_id", "wanted").orderBy("moved", "person_id"))
+    final = ids.select("video_id", "person_id", F.when(place == 1, F.col("wanted")).otherwise(F.col("person_id")).alias("final_id"))
+    found = rows.join(final, ["video_id", "person_id"])
+    return found.withColumn("person_id", F.col("final_id").cast(rows.schema["person_id"].dataType)).select(*rows.columns)
+
+
 def observed_fields(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Names of the fields that a group has in any row, sorted."""
     there = F.array_compact(F.array(*[F.when(F.count(f) > 0, F.lit(f)) for f in fields]))

@@ -195,6 +195,18 @@ def remap_summary(spark, sf_dir):
     return trk.remap_keyed(summary, _remap(rows))
 
 
+_TRACKS = """SELECT d.video_id, d.person_id, coalesce(new_id, d.person_id) AS wanted, CASE WHEN new_id IS NOT NULL AND new_id <> d.person_id THEN 1 ELSE 0 END AS moved, count(*) AS num_frames, min(frame_idx) AS first_frame
+FROM detections d LEFT JOIN (SELECT video_id, old_id, min(new_id) AS new_id FROM remap GROUP BY ALL) r ON d.video_id = r.video_id AND d.person_id = r.old_id GROUP BY ALL"""
+
+
+@query(ctes("detections", remap=_REMAP, tracks=_TRACKS) + "SELECT video_id, CASE WHEN row_number() OVER (PARTITION BY video_id, wanted ORDER BY moved, person_id) = 1 THEN wanted ELSE person_id END AS person_id, num_frames, first_frame FROM tracks")
+def remap_tracks(spark, sf_dir):
+    """Where two tracks of a video meet under one id, the second keeps its own."""
+    rows = ad.detections(spark, sf_dir)
+    summary = rows.groupBy("video_id", "person_id").agg(F.count(F.lit(1)).alias("num_frames"), F.min("frame_idx").alias("first_frame"))
+    return trk.remap_tracks(summary, _remap(rows))
+
+
 # -- joins ---------------------------------------------------------------------------
 
 

@@ -490,6 +490,12 @@ def kl_term(spark, sf_dir):
     return _r(lo.kl_term(ad.joints(spark, sf_dir), "x", "y", ["scene_id"]), "kl")
 
 
+@query(ctes("joints") + "SELECT scene_id, round(avg(kl), 6) AS kl FROM (SELECT scene_id, -0.5*sum(1 + y - x*x - exp(y)) AS kl FROM joints GROUP BY scene_id, video_id, person_id, frame_idx) GROUP BY scene_id")
+def kl_mean(spark, sf_dir):
+    """A body in a frame is a sample, its joints the latent components."""
+    return _r(lo.kl_loss(ad.joints(spark, sf_dir), "x", "y", ["video_id", "person_id", "frame_idx"], ["scene_id"]), "kl")
+
+
 _PARENT_SQL = "SELECT unnest(range(1, 21)) AS joint, (unnest(range(1, 21)) - 1) // 2 AS parent"
 
 
