@@ -15,7 +15,7 @@ from ..operators import sync as sy
 from ..operators import tracks as trk
 from ..operators import windows as wi
 from ..sources import adapters as ad
-from ..sources import archives, files, sinks
+from ..sources import archives, compaction, files, sinks
 from ..sources.adapters import ctes
 from ..sources.session import ensure_checkpoint_dir
 from .catalogue import query
@@ -309,3 +309,13 @@ def archive_round_trip(spark, sf_dir):
     back = files.person_archives(spark, root, ["smplx_betas", "bbox"])
     d = F.col("smplx_betas")
     return back.select(F.col("scene_id").cast("int").alias("scene_id"), F.col("video_id").cast("int").alias("video_id"), "person_id", "frame_idx", F.size(d).alias("n"), F.round(d[0], 9).alias("first"), F.round(d[63], 9).alias("last"), F.col("bbox")[0].alias("bbox"))
+
+
+@query(ctes("detections") + "SELECT video_id, frame_idx, person_id, ord, round(score, 6) AS score FROM detections")
+def compacted_detections(spark, sf_dir):
+    """Detections written in many files, compacted in place and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    rows = ad.detections(spark, sf_dir).select("video_id", "frame_idx", "person_id", "ord", "score").withColumn("camera", F.col("video_id"))
+    rows.repartition(16).write.partitionBy("camera").parquet(path)
+    compaction.compact(spark, path, ["camera"], ["frame_idx", "ord"])
+    return _r(compaction.live(spark, path).drop("camera"), "score")
