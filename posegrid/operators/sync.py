@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .starts import start_times as pair_starts
 from .warping import joint_costs, most_common, pose_costs, value_costs
 from .warping import warp as warp_frames
 
@@ -191,32 +192,8 @@ def start_times(matrix: DataFrame) -> DataFrame:
 
 
 def start_times_sparse(pairs: DataFrame, keys: list[str], i: str = "i", j: str = "j", off: str = "off") -> DataFrame:
-    """Least-squares starts of each scene's cameras where some pairs have no offset.
-
-    Pairs give normal equations; a scene's cameras are few, so one scene is solved
-    in one task.  The first camera of each connected part starts at 0, and starts
-    are shifted up only if the least is negative.
-    """
-    kinds = dict(pairs.dtypes)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cams = sorted({*pdf[i], *pdf[j]})
-        at = {c: k for k, c in enumerate(cams)}
-        a = np.zeros((len(pdf), len(cams)))
-        a[np.arange(len(pdf)), [at[x] for x in pdf[i]]] = -1
-        a[np.arange(len(pdf)), [at[x] for x in pdf[j]]] += 1
-        part = list(range(len(cams)))
-        for x, y in zip(pdf[i], pdf[j]):
-            low, high = sorted((part[at[x]], part[at[y]]))
-            part = [low if p == high else p for p in part]
-        t = np.linalg.lstsq(a, pdf[off].to_numpy(float), rcond=None)[0]
-        t = t - np.array([t[part.index(p)] for p in part])
-        out = pd.DataFrame({"cam": cams, "start": t - min(0.0, t.min())})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "cam", "start"]]
-
-    return pairs.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", cam {kinds[i]}, start double")
+    """Least-squares starts of each scene's cameras where some pairs have no offset (see ``starts``)."""
+    return pair_starts(pairs, keys, i, j, off)
 
 
 def rounded(starts: DataFrame, start: Column | None = None) -> DataFrame:
