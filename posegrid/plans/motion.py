@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import cam, rot, vec
 from ..operators import alignment as al
+from ..operators import attention as at
 from ..operators import losses as lo
 from ..operators import metrics as me
 from ..operators import reid
@@ -569,6 +570,20 @@ def vector_attention_all(spark, sf_dir):
     return _r(out.select("scene_id", "video_id", "q_id", F.col("out")[0].alias("o1"), F.col("out")[1].alias("o2")), "o1", "o2")
 
 
+_TA = """SELECT a.scene_id, a.rk AS frame_idx, h, list_dot_product(a.e[4*h+1:4*h+4], b.e[4*h+1:4*h+4]) / sqrt(4) + ln(abs(a.e[64]) * abs(b.e[64]) + 1e-6::DOUBLE) AS s, b.e[4*h+9] AS first, b.e[4*h+12] AS last
+FROM ranked a JOIN ranked b ON a.scene_id = b.scene_id AND abs(a.rk - b.rk) <= 7, range(0, 2) t(h)"""
+
+
+@query(ctes("ranked", ta=_TA, mx="SELECT *, max(s) OVER (PARTITION BY scene_id, frame_idx, h) AS m FROM ta", o="SELECT scene_id, frame_idx, h, sum(exp(s-m)*first)/sum(exp(s-m)) AS first, sum(exp(s-m)*last)/sum(exp(s-m)) AS last FROM mx GROUP BY ALL") + "SELECT a.scene_id, a.frame_idx, round(a.first, 6) AS first_0, round(a.last, 6) AS last_0, round(b.first, 6) AS first_1, round(b.last, 6) AS last_1 FROM o a JOIN o b ON a.scene_id = b.scene_id AND a.frame_idx = b.frame_idx AND a.h = 0 AND b.h = 1")
+def temporal_attention(spark, sf_dir):
+    """Two heads of four components over seven frames each way, with the confidences' bias."""
+    e = F.col("e")
+    rows = ad.ranked(spark, sf_dir).select("scene_id", F.col("rk").alias("frame_idx"), F.slice(e, 1, 8).alias("q"), F.slice(e, 1, 8).alias("k"), F.slice(e, 9, 8).alias("v"), F.abs(e[63]).alias("conf"))
+    out = at.temporal_attention(rows, ["scene_id"], "frame_idx", 7, 2, "conf", tile=16)
+    o = F.col("out")
+    return _r(out.select("scene_id", "frame_idx", o[0].alias("first_0"), o[3].alias("last_0"), o[4].alias("first_1"), o[7].alias("last_1")), "first_0", "last_0", "first_1", "last_1")
+
+
 @query()
 def epipolar_loss(spark, sf_dir):
     points = ad.joints(spark, sf_dir).select("scene_id", "x", "y", F.col("z") + 3)
