@@ -141,6 +141,51 @@ def to_first_camera(points: DataFrame, cameras: DataFrame) -> DataFrame:
     return rows.select(*points.columns, *[(p[k] + t0[k] - moved_t[k]).alias(f"w{c}") for k, c in enumerate(AXES)])
 
 
+def _with_first(rows: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Rows with their camera's pose, and that of camera 0 as ``o_``; scenes without it drop out."""
+    names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    base = cameras.where("cam = 0").select("scene_id", *[F.col(c).alias(f"o_{c}") for c in names])
+    return rows.join(cameras.select("scene_id", "cam", *names), ["scene_id", "cam"]).join(base, "scene_id")
+
+
+def _turned(rows: DataFrame, turn: list[Column], orient: str) -> DataFrame:
+    """The rows with their orientations turned, null ones as they are.
+
+    Each step is a column that the next one reads, so that no expression is
+    written out again in the others.
+    """
+    from ..functions import rot, vec
+
+    nine = lambda c: vec.items(F.col(c), 9)
+    out = rows.withColumns({"_turn": F.array(*turn), "_body": F.array(*rot.axis_angle_to_matrix(vec.items(F.col(orient), 3)))})
+    out = out.withColumn("_matrix", F.array(*vec.matmul(nine("_turn"), nine("_body"))))
+    out = out.withColumn("_quat", F.array(*rot.matrix_to_quat(nine("_matrix"))))
+    angles = F.array(*rot.quat_to_axis_angle(vec.items(F.col("_quat"), 4)))
+    return out.withColumn(orient, F.when(F.col(orient).isNotNull(), angles)).drop("_turn", "_body", "_matrix", "_quat")
+
+
+def orientations_to_first_camera(rows: DataFrame, cameras: DataFrame, orient: str = "global_orient") -> DataFrame:
+    """Orientations (axis times angle) that cameras saw, as camera 0 would see them.
+
+    Null orientations stay null.
+    """
+    from ..functions import cam, vec
+
+    turn = vec.matmul(cam.rotation("o_"), vec.transposed(cam.rotation()))
+    return _turned(_with_first(rows, cameras), turn, orient).select(*rows.columns)
+
+
+def truth_to_first_camera(truth: DataFrame, cameras: DataFrame, orient: str = "global_orient", transl: str = "transl") -> DataFrame:
+    """True orientations and positions, in world coordinates, as camera 0 sees them; null ones stay null."""
+    from ..functions import cam, vec
+
+    base = cameras.where("cam = 0").select("scene_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    rows = truth.join(base, "scene_id")
+    place = F.array(*[a + b for a, b in zip(vec.apply(cam.rotation(), vec.items(F.col(transl), 3)), cam.translation())])
+    out = rows.withColumn(transl, F.when(F.col(transl).isNotNull(), place))
+    return _turned(out, cam.rotation(), orient).select(*truth.columns)
+
+
 def residual_histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 50) -> DataFrame:
     """Counts in equal bins; the last one holds the upper end."""
     k = F.least(F.floor((F.col(value) - low) * bins / (high - low)), F.lit(bins - 1))

@@ -126,6 +126,25 @@ def camera_mean_target(rows: DataFrame, keys: list[str], value: str) -> DataFram
     return rows.groupBy(*keys).agg(F.avg(value).alias("target"))
 
 
+def shape_losses(shapes: DataFrame) -> DataFrame:
+    """The terms of body shapes: ``shape``, the cameras' mean against the mean of their targets,
+    and ``beta``, each camera's deviation from the cameras' mean.
+
+    ``shapes``: ``scene_id, cam, person_id, dim, pred, gt``.
+    """
+    body = ["scene_id", "person_id", "dim"]
+    mean = shapes.groupBy(*body).agg(F.avg("pred").alias("p"), F.avg("gt").alias("g"))
+    shape = mse(mean, "p", "g", []).select(F.lit("shape").alias("name"), F.col("mse").alias("loss"))
+    return shape.union(beta_consistency(shapes, body, "pred").select(F.lit("beta").alias("name"), "loss"))
+
+
+def epipolar_term(points: DataFrame, cameras: DataFrame, cx: float, cy: float) -> DataFrame:
+    """The epipolar term, over all scenes' points and pairs; no row where no scene has two cameras."""
+    per = epipolar_loss(points, cameras, cx, cy)
+    total = per.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
+    return total.where("loss IS NOT NULL").select(F.lit("epipolar").alias("name"), "loss")
+
+
 def wired_losses(joints: DataFrame, target: DataFrame, cameras: DataFrame, bones: DataFrame) -> DataFrame:
     """The terms of a training step, each by its rule: ``name`` and ``loss``.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import JOINT_PARENTS
-from ..functions import cam, vec
+from ..functions import cam, rot, vec
 from ..operators import alignment as al
 from ..operators import detections as det
 from ..operators import losses as lo
@@ -319,3 +319,30 @@ def compacted_detections(spark, sf_dir):
     rows.repartition(16).write.partitionBy("camera").parquet(path)
     compaction.compact(spark, path, ["camera"], ["frame_idx", "ord"])
     return _r(compaction.live(spark, path).drop("camera"), "score")
+
+
+_SHAPES = "SELECT scene_id, CAST(rk AS INT) AS cam, CAST(rk % 3 AS INT) AS person_id, CAST(d AS INT) AS dim, e[d+1] AS pred, e[d+11] AS gt FROM ranked, range(0, 10) t(d)"
+
+
+@query(ctes("ranked", shapes=_SHAPES, means="SELECT scene_id, person_id, dim, avg(pred) AS p, avg(gt) AS g FROM shapes GROUP BY ALL") + """SELECT 'shape' AS name, round(avg((p - g) * (p - g)), 9) AS loss FROM means
+UNION ALL SELECT 'beta', round(avg((pred - p) * (pred - p)), 9) FROM shapes JOIN means USING (scene_id, person_id, dim)""")
+def shape_losses(spark, sf_dir):
+    """The shape terms of a training step; ten components of a vector stand for a camera's shape."""
+    e = F.col("e")
+    shapes = ad.ranked(spark, sf_dir).select("scene_id", F.col("rk").alias("cam"), (F.col("rk") % 3).alias("person_id"), F.posexplode(F.arrays_zip(F.slice(e, 1, 10).alias("pred"), F.slice(e, 11, 10).alias("gt"))).alias("dim", "x"))
+    return _r(lo.shape_losses(shapes.select("scene_id", "cam", "person_id", "dim", "x.pred", "x.gt")), "loss", digits=9)
+
+
+_RODRIGUES = """SELECT scene_id, cam, a, CASE WHEN a < 1e-8 THEN 1.0::DOUBLE ELSE sin(a)/a END AS s, CASE WHEN a < 1e-8 THEN 0.5::DOUBLE ELSE (1-cos(a))/(a*a) END AS c, x, y, z
+FROM (SELECT scene_id, rk AS cam, e[9] AS x, e[10] AS y, e[11] AS z, sqrt(e[9]*e[9]+e[10]*e[10]+e[11]*e[11]) AS a FROM ranked)"""
+_BODY_TURN = "SELECT scene_id, cam, [1-c*(y*y+z*z), -s*z+c*x*y, s*y+c*x*z, s*z+c*x*y, 1-c*(x*x+z*z), -s*x+c*y*z, -s*y+c*x*z, s*x+c*y*z, 1-c*(x*x+y*y)] AS b FROM rodrigues"
+_TURN = "SELECT m.scene_id, m.cam, [" + ", ".join(f"o.r{3 * i}*m.r{3 * j}+o.r{3 * i + 1}*m.r{3 * j + 1}+o.r{3 * i + 2}*m.r{3 * j + 2}" for i in range(3) for j in range(3)) + "] AS t FROM m JOIN m o ON m.scene_id = o.scene_id AND o.cam = 0"
+
+
+@query(ctes("all_cameras", m=f"SELECT *, {_Q} FROM all_cameras", rodrigues=_RODRIGUES, body_turn=_BODY_TURN, turn=_TURN) + "SELECT scene_id, cam, " + ", ".join(f"round(t[{3 * i + 1}]*b[{j + 1}]+t[{3 * i + 2}]*b[{j + 4}]+t[{3 * i + 3}]*b[{j + 7}], 5) AS w{3 * i + j}" for i in range(3) for j in range(3)) + " FROM turn JOIN body_turn USING (scene_id, cam)")
+def orientations_to_first_camera(spark, sf_dir):
+    """Orientations in camera 0's frame, as the matrices that they stand for."""
+    rows = ad.ranked(spark, sf_dir).select("scene_id", F.col("rk").alias("cam"), F.slice("e", 9, 3).alias("global_orient"))
+    out = al.orientations_to_first_camera(rows, ad.all_cameras(spark, sf_dir))
+    m = rot.axis_angle_to_matrix(vec.items(F.col("global_orient"), 3))
+    return out.select("scene_id", "cam", *[(F.round(m[k], 5) + F.lit(0.0)).alias(f"w{k}") for k in range(9)])

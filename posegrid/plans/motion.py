@@ -411,8 +411,9 @@ def pose_metrics(spark, sf_dir):
     """All position and camera metrics of the adapter's scenes and their statistics."""
     points, centres, poses = _scene_points(spark, sf_dir), _centres(spark, sf_dir), _poses(spark, sf_dir)
     two = _two_cameras(spark, sf_dir)
+    correction = al.poses(al.sums(centres, ["scene_id"]), False, least=1).select("scene_id", "rotation")
     return me.collect({
-        "w_mpjpe": me.w_mpjpe(points, centres), "ga_mpjpe": me.ga_mpjpe(points), "pa_mpjpe": me.pa_mpjpe(points),
+        "w_mpjre": me.w_mpjre(poses, correction), "w_mpjpe": me.w_mpjpe(points, centres), "ga_mpjpe": me.ga_mpjpe(points), "pa_mpjpe": me.pa_mpjpe(points),
         "ga_mpjre": me.ga_mpjre(poses), "pa_mpjre": me.pa_mpjre(poses), "te": me.translation_error(centres, False), "s_te": me.translation_error(centres, True),
         "ae": me.angle_error(two), "rra_15": me.rotation_accuracy(two), "cca_15": me.centre_accuracy(centres, False), "s_cca_15": me.centre_accuracy(centres, True),
     })

@@ -37,17 +37,33 @@ def apply_hook(rows: DataFrame, kind: str, hook: Hook) -> DataFrame:
     return rows.mapInPandas(run, SCHEMAS[kind])
 
 
-def convert(rows: DataFrame, hook: Hook) -> DataFrame:
-    """Body parameters in another model's terms; a row that fails has a null value and stays."""
+def convert(rows: DataFrame, hook: Hook, with_status: bool = False) -> DataFrame:
+    """Body parameters in another model's terms; a row that fails has a null value and stays.
 
-    def safe(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in b.iterrows():
-            one = r.to_frame().T
+    The hook gets whole batches.  Only where it fails on one are its rows tried one by
+    one, so a bad row costs its own batch and no other.  ``with_status`` adds the
+    failure's text as ``status``, null where there is none.
+    """
+    names = [c.split()[0] for c in SCHEMAS["convert"].split(", ")]
+
+    def failed(one: pd.DataFrame, why: Exception) -> pd.DataFrame:
+        field = one["field"] if "field" in one else ""
+        return one.assign(field=field, value=None, status=f"{type(why).__name__}: {why}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
             try:
-                out.append(hook(one))
-            except Exception:  # noqa: BLE001  a model's failure is a missing value
-                out.append(one.assign(field=one["field"] if "field" in one else "", value=None))
-        return pd.concat(out) if out else b.assign(field="", value=None)
+                out = hook(b).assign(status=None)
+            except Exception:  # noqa: BLE001  a model may fail in any way; its rows are told apart below
+                parts = []
+                for k in range(len(b)):
+                    one = b.iloc[k : k + 1]
+                    try:
+                        parts.append(hook(one).assign(status=None))
+                    except Exception as e:  # noqa: BLE001
+                        parts.append(failed(one, e))
+                out = pd.concat(parts) if parts else b.assign(field="", value=None, status=None)
+            yield out[[*names, "status"]]
 
-    return apply_hook(rows, "convert", safe)
+    found = rows.mapInPandas(run, SCHEMAS["convert"] + ", status string")
+    return found if with_status else found.drop("status")

@@ -134,11 +134,13 @@ def test_hooks_keep_their_schemas(spark):
     crops = spark.createDataFrame([("v", 0, 1, "pose", [1.0]), ("v", 0, 2, "pose", [-1.0])], "video_id string, frame_idx int, person_id long, field string, value array<double>")
 
     def halve(b: pd.DataFrame) -> pd.DataFrame:
-        if (b["value"].iloc[0][0]) < 0:
+        if any(v[0] < 0 for v in b["value"]):
             raise RuntimeError("no fit")
         return b.assign(value=[[x / 2 for x in v] for v in b["value"]])
 
     assert rows(hooks.convert(crops, halve), "person_id", "value") == [(1, [0.5]), (2, None)]
+    told = {r["person_id"]: r["status"] for r in hooks.convert(crops, halve, with_status=True).collect()}
+    assert told == {1: None, 2: "RuntimeError: no fit"}
     boxes = hooks.apply_hook(crops, "segment", lambda b: pd.DataFrame({"video_id": b.video_id, "frame_idx": b.frame_idx, "person_id": b.person_id, "score": 0.9, "y": 1, "x_start": 2, "x_end": 5}))
     assert rows(boxes, "person_id", "x_end") == [(1, 5), (2, 5)]
     for kind in hooks.SCHEMAS:
