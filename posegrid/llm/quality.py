@@ -74,6 +74,14 @@ def cut(raw: bytes) -> np.ndarray:
     return flat[starts[:, None] + np.arange(CHUNK)]
 
 
+def long_maxima(network: Network, raw: bytes) -> np.ndarray:
+    """``maxima`` of the chunks of a long text, which are views of it until a band of them is looked at."""
+    flat = np.frombuffer(raw, np.uint8)
+    views = np.lib.stride_tricks.sliding_window_view(flat, CHUNK)[: len(raw) - CHUNK : STEP]
+    parts = [network.maxima(views[k : k + BAND]) for k in range(0, len(views), BAND)]
+    return np.concatenate([*parts, network.maxima(flat[None, -CHUNK:])])
+
+
 def pooled(maxima: np.ndarray) -> np.ndarray:
     return np.concatenate([maxima.mean(0), maxima.max(0)])
 
@@ -91,12 +99,12 @@ def text_features(network: Network, texts: list[bytes]) -> np.ndarray:
             out.append(pooled(maxima[e - counts[k] : e]))
 
     for raw in texts:
-        chunks = cut(raw)
-        if len(chunks) > BAND:  # a very long text in bands of its own
+        if len(raw) > BAND * STEP:  # a very long text in bands of its own
             flush()
             held, size = [], 0
-            out.append(pooled(network.maxima(chunks)))
+            out.append(pooled(long_maxima(network, raw)))
             continue
+        chunks = cut(raw)
         if size + len(chunks) > BAND:
             flush()
             held, size = [], 0

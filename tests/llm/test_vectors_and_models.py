@@ -210,3 +210,22 @@ def test_disagreeing_labels_and_text_ids(spark):
     assert len(got) == 130 and all(x["predicted"] == int(x["doc_id"][1:]) % 2 for x in got)
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, toxicity.toxicity(docs, labels).collect()))
     assert quality.quality(docs, labels).count() == 130
+
+
+def test_long_texts_in_bands():
+    """Chunks of a long text are views: features as of all chunks at once, and little memory beside the text."""
+    import tracemalloc
+
+    r = np.random.default_rng(12)
+    net = quality.Network(r.normal(0, 1, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), r.normal(0, 1, quality.FILTERS).astype(np.float32), r.normal(0, 1, 2 * quality.FILTERS + 1), np.zeros(2 * quality.FILTERS), np.ones(2 * quality.FILTERS))
+    edge = quality.BAND * quality.STEP
+    for n in (edge + 1, edge + quality.CHUNK, 2 * edge + 77):
+        raw = r.integers(0, 256, n).astype(np.uint8).tobytes()
+        assert np.allclose(quality.long_maxima(net, raw), net.maxima(quality.cut(raw)))
+        assert np.allclose(quality.text_features(net, [b"x", raw, b""])[1], quality.pooled(net.maxima(quality.cut(raw))))
+    raw = bytes(20_000_000)
+    tracemalloc.start()
+    quality.text_features(net, [raw])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
