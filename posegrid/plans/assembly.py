@@ -346,3 +346,9 @@ def orientations_to_first_camera(spark, sf_dir):
     out = al.orientations_to_first_camera(rows, ad.all_cameras(spark, sf_dir))
     m = rot.axis_angle_to_matrix(vec.items(F.col("global_orient"), 3))
     return out.select("scene_id", "cam", *[(F.round(m[k], 5) + F.lit(0.0)).alias(f"w{k}") for k in range(9)])
+
+
+@query(ctes("joints", "all_cameras") + "SELECT j.scene_id, j.video_id, j.frame_idx, c.cam, round(j.x, 6) AS x, round(c.tx, 6) AS tx FROM joints j JOIN all_cameras c ON j.scene_id = c.scene_id WHERE j.joint = 0")
+def truth_for_cameras_all(spark, sf_dir):
+    truth = ad.joints(spark, sf_dir).where("joint = 0").select("scene_id", "video_id", "frame_idx", "x")
+    return _r(wi.for_each_camera(truth, ad.all_cameras(spark, sf_dir).select("scene_id", "cam", "tx"), ["scene_id"]), "x", "tx")

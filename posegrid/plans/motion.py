@@ -17,7 +17,7 @@ from ..operators import similarity as sim
 from ..operators import sync as sy
 from ..operators import windows as wi
 from ..sources import adapters as ad
-from ..sources.adapters import ctes
+from ..sources.adapters import SQL, ctes
 from .catalogue import query
 
 
@@ -444,7 +444,18 @@ def dtw_distance(spark, sf_dir):
     return _r(out.select("video_a", "video_b", "distance"), "distance", digits=4)
 
 
-@query()
+_PLACED = "SELECT scene_id, person_id, video_id, frame_idx, row_number() OVER (PARTITION BY scene_id, person_id, video_id ORDER BY frame_idx) AS at FROM (SELECT DISTINCT scene_id, person_id, video_id, frame_idx FROM joints)"
+_COSTS = """SELECT a.scene_id, a.person_id, p.at AS i, q.at AS j, power(sum(a.conf*b.conf*sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) / (sum(a.conf*b.conf) + 1e-8::DOUBLE), 2) AS c
+FROM joints a JOIN joints b ON a.scene_id = b.scene_id AND a.person_id = b.person_id AND a.joint = b.joint AND a.video_id = 0 AND b.video_id = 1
+JOIN placed p ON p.scene_id = a.scene_id AND p.person_id = a.person_id AND p.video_id = 0 AND p.frame_idx = a.frame_idx JOIN placed q ON q.scene_id = b.scene_id AND q.person_id = b.person_id AND q.video_id = 1 AND q.frame_idx = b.frame_idx GROUP BY ALL"""
+_INF = "'inf'::DOUBLE"
+_TOTALS = f"""SELECT scene_id, person_id, n, m, c, 0 AS k, list_transform(range(0, n+1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE {_INF} END) AS d1, list_transform(range(0, n+1), lambda i: {_INF}) AS d2 FROM matrices
+UNION ALL SELECT scene_id, person_id, n, m, c, k+1, list_transform(range(0, n+1), lambda i: CASE WHEN i < 1 OR k+1-i < 1 OR k+1-i > m THEN {_INF} ELSE c[(i-1)*m + k+1-i] + least(least(d2[i], d1[i]), d1[i+1]) END), d1 FROM totals WHERE k < n + m"""
+_STEPS = """SELECT scene_id, person_id, n AS i, m AS j FROM matrices
+UNION ALL SELECT * FROM (SELECT s.scene_id, s.person_id, s.i - CASE WHEN t.d2[s.i] <= least(t.d1[s.i], t.d1[s.i+1]) OR t.d1[s.i] <= t.d1[s.i+1] THEN 1 ELSE 0 END AS i, s.j - CASE WHEN t.d2[s.i] <= least(t.d1[s.i], t.d1[s.i+1]) OR t.d1[s.i] > t.d1[s.i+1] THEN 1 ELSE 0 END AS j FROM steps s JOIN totals t ON t.scene_id = s.scene_id AND t.person_id = s.person_id AND t.k = s.i + s.j - 1) WHERE i > 0 AND j > 0"""
+
+
+@query(ctes("joints", recursive=True, placed=_PLACED, costs=_COSTS, matrices="SELECT scene_id, person_id, CAST(max(i) AS INT) AS n, CAST(max(j) AS INT) AS m, list(c ORDER BY i, j) AS c FROM costs GROUP BY ALL", totals=_TOTALS, steps=_STEPS, shifts="SELECT scene_id, person_id, j - i AS shift, count(*) AS times FROM steps GROUP BY ALL", best="SELECT scene_id, person_id, arg_min(shift, (-times, shift)) AS shift FROM shifts GROUP BY ALL").replace("joints AS (", "joints AS MATERIALIZED (").replace("costs AS (", "costs AS MATERIALIZED (") + "SELECT scene_id, 0 AS video_a, 1 AS video_b, quantile_disc(shift, 0.5)::DOUBLE AS \"offset\" FROM best GROUP BY scene_id")
 def dtw_offsets(spark, sf_dir):
     by_person = sy.warp_sequences(ad.joints(spark, sf_dir))
     return sy.pair_offsets(by_person, ["scene_id", "video_a", "video_b"])
@@ -594,3 +605,50 @@ def epipolar_loss(spark, sf_dir):
 @query(ctes("joints") + "SELECT scene_id, frame_idx, person_id, joint, round(avg(x), 6) AS target FROM joints GROUP BY ALL")
 def camera_mean_target(spark, sf_dir):
     return _r(lo.camera_mean_target(ad.joints(spark, sf_dir), ["scene_id", "frame_idx", "person_id", "joint"], "x"), "target")
+
+
+# -- camera queries over all cameras of a scene -----------------------------------------
+
+#: The view named cameras holds all of them here.
+_EVERY = {"cameras": SQL["all_cameras"]}
+
+
+def _all_two(spark, sf_dir):
+    one = F.array(*[F.lit(1.0 if k % 4 == 0 else 0.0) for k in range(9)])
+    return _rotations(spark, sf_dir, ad.all_cameras).select("scene_id", "cam", F.array(*[F.col(f"r{k}") for k in range(9)]).alias("pred"), one.alias("gt"))
+
+
+@query(ctes("ranked", **_EVERY, rotations=_ROT, pairs=_PAIRS, angles=_ANGLES) + "SELECT scene_id, cam_a, cam_b, round(angle, 4) AS angle FROM angles")
+def pairwise_angle_error_all(spark, sf_dir):
+    return _r(me.pair_angles(_all_two(spark, sf_dir)), "angle", digits=4)
+
+
+@query(ctes("ranked", **_EVERY, rotations=_ROT, pairs=_PAIRS, angles=_ANGLES) + "SELECT scene_id, round(avg(angle), 4) AS value FROM angles GROUP BY scene_id")
+def angle_error_all(spark, sf_dir):
+    return _r(me.angle_error(_all_two(spark, sf_dir)), "value", digits=4)
+
+
+@query(ctes("ranked", **_EVERY, rotations=_ROT, pairs=_PAIRS, angles=_ANGLES) + "SELECT scene_id, round(avg(CASE WHEN angle <= 90 THEN 1.0 ELSE 0.0 END), 6) AS value FROM angles GROUP BY scene_id")
+def rra_all(spark, sf_dir):
+    return _r(me.rotation_accuracy(_all_two(spark, sf_dir), replace(DEFAULT, rotation_threshold_deg=90.0)), "value")
+
+
+@query(ctes("all_cameras") + "SELECT scene_id, round(max(sqrt((tx-mx)*(tx-mx)+(ty-my)*(ty-my)+(tz-mz)*(tz-mz))), 6) AS scale_m FROM (SELECT *, avg(tx) OVER w AS mx, avg(ty) OVER w AS my, avg(tz) OVER w AS mz FROM all_cameras WINDOW w AS (PARTITION BY scene_id)) GROUP BY scene_id")
+def scene_scale_all(spark, sf_dir):
+    centres = ad.all_cameras(spark, sf_dir).select("scene_id", "cam", *[F.col(f"t{n}").alias(f"b{n}") for n in "xyz"])
+    return _r(me.scene_scale(centres), "scale_m")
+
+
+@query(ctes("all_cameras", m=f"SELECT *, {_Q} FROM all_cameras", local="SELECT a.scene_id, a.cam, b.r0 AS o0, b.r1 AS o1, b.r2 AS o2, b.r3 AS o3, b.r4 AS o4, b.r5 AS o5, b.r6 AS o6, b.r7 AS o7, b.r8 AS o8, b.tx AS ox, b.ty AS oy, b.tz AS oz, a.r0*(1-a.tx)+a.r3*(2-a.ty)+a.r6*(3-a.tz) AS px, a.r1*(1-a.tx)+a.r4*(2-a.ty)+a.r7*(3-a.tz) AS py, a.r2*(1-a.tx)+a.r5*(2-a.ty)+a.r8*(3-a.tz) AS pz FROM m a JOIN m b ON a.scene_id = b.scene_id AND b.cam = 0") + "SELECT scene_id, cam, round(o0*px+o1*py+o2*pz+ox, 6) AS wx, round(o3*px+o4*py+o5*pz+oy, 6) AS wy, round(o6*px+o7*py+o8*pz+oz, 6) AS wz FROM local")
+def world_transform_all(spark, sf_dir):
+    cams = ad.all_cameras(spark, sf_dir)
+    points = cams.select("scene_id", "cam", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
+    return _r(al.to_first_camera(points, cams).select("scene_id", "cam", "wx", "wy", "wz"), "wx", "wy", "wz")
+
+
+@query(ctes("all_cameras", pairs="SELECT a.*, b.qw AS hw, b.qx AS hx, b.qy AS hy, b.qz AS hz, b.tx AS ux, b.ty AS uy, b.tz AS uz FROM all_cameras a JOIN all_cameras b ON a.scene_id=b.scene_id AND b.cam = a.cam + 1") + "SELECT scene_id, round(avg((tx-ux)*(tx-ux)+(ty-uy)*(ty-uy)+(tz-uz)*(tz-uz)) + avg(1 - abs(qw*hw+qx*hx+qy*hy+qz*hz)), 6) AS loss FROM pairs GROUP BY scene_id")
+def camera_mse_all(spark, sf_dir):
+    """Each camera against the next one."""
+    rows = ad.all_cameras(spark, sf_dir)
+    g = rows.select("scene_id", (F.col("cam") - 1).alias("cam"), *[F.col(c).alias(f"g_{c}") for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
+    return _r(lo.camera_loss(rows.join(g, ["scene_id", "cam"]), ["scene_id"]), "loss")
