@@ -34,6 +34,28 @@ def absolute_joints(joints: DataFrame, roots: DataFrame, drop_zero: bool = True)
     return rows.unionByName(alone)
 
 
+def evaluation_points(persons: DataFrame, keypoints: str = "pred_keypoints_3d", root: str = "pred_cam_t", vertices: str = "vertices") -> DataFrame:
+    """Points of person rows as an evaluation takes them: ``scene_id, video_id, person_id,
+    frame_idx, joint, x, y, z``.
+
+    A person with keypoints anywhere gives its keypoints moved by its root (zero where
+    it has none), one without gives its vertices.  Nothing is filtered: points at the
+    origin and NaN stay.  Paired by ``correspondences``, two cameras share as many points
+    as the one with fewer has.  Arrays are flat, three numbers a point; frames
+    without the array that counts have no points.
+    """
+    keys = ["scene_id", "video_id", "person_id"]
+    kinds = dict(persons.dtypes)
+    array = lambda c: F.col(c).cast("array<double>") if c in kinds else F.lit(None).cast("array<double>")
+    rows = persons.select(*keys, "frame_idx", array(keypoints).alias("k"), F.coalesce(array(root), F.array(*[F.lit(0.0)] * 3)).alias("t"), array(vertices).alias("v"))
+    having = rows.where("k IS NOT NULL").select(*keys).distinct().withColumn("has_k", F.lit(True))
+    chosen = rows.join(having, keys, "left").withColumn("p", F.when(F.col("has_k"), F.col("k")).otherwise(F.col("v")))
+    move = lambda c: F.when(F.col("has_k"), F.col("t")[c]).otherwise(F.lit(0.0))
+    spread = chosen.where(F.size("p") >= 3).withColumn("joint", F.explode(F.sequence(F.lit(0), F.floor(F.size("p") / 3).cast("int") - 1)))
+    at = [(F.get("p", F.col("joint") * 3 + k) + move(k)).alias(a) for k, a in enumerate(AXES)]
+    return spread.select(*keys, "frame_idx", "joint", *at)
+
+
 def correspondences(joints: DataFrame, by_rank: bool = False) -> DataFrame:
     """Points that two cameras of a scene share: same person, frame and joint.
 

@@ -352,3 +352,14 @@ def orientations_to_first_camera(spark, sf_dir):
 def truth_for_cameras_all(spark, sf_dir):
     truth = ad.joints(spark, sf_dir).where("joint = 0").select("scene_id", "video_id", "frame_idx", "x")
     return _r(wi.for_each_camera(truth, ad.all_cameras(spark, sf_dir).select("scene_id", "cam", "tx"), ["scene_id"]), "x", "tx")
+
+
+_POINTS = "SELECT scene_id, video_id, person_id, CAST(j AS INT) AS joint, CASE WHEN person_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t, descriptor AS d FROM gallery, range(0, 21) t(j) WHERE person_id % 2 = 0 OR j < 10"
+
+
+@query(ctes("gallery", points=_POINTS) + "SELECT scene_id, video_id, person_id, joint, round(d[3*joint+1] + t, 6) AS x, round(d[3*joint+2] + 2*t, 6) AS y, round(d[3*joint+3] + 3*t, 6) AS z FROM points")
+def evaluation_points(spark, sf_dir):
+    """Keypoints of persons that have them, vertices of the others."""
+    d, even = F.col("descriptor"), F.col("person_id") % 2 == 0
+    rows = ad.gallery(spark, sf_dir).withColumns({"frame_idx": F.lit(0), "pred_keypoints_3d": F.when(even, F.slice(d, 1, 63)), "pred_cam_t": F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), "vertices": F.slice(d, 1, 30)})
+    return _r(al.evaluation_points(rows).drop("frame_idx"), "x", "y", "z")

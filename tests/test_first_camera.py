@@ -71,3 +71,24 @@ def test_loss_terms(spark):
     samples = spark.createDataFrame([("k", s, float(s), 0.0) for s in range(3) for _ in range(4)], "g string, s int, mu double, logvar double")
     assert math.isclose(lo.kl_loss(samples, "mu", "logvar", ["s"], ["g"]).first()["kl"], 0.5 * 4 * np.mean([0, 1, 4]))
     assert lo.kl_loss(samples.where(F.lit(False)), "mu", "logvar", ["s"]).first()["kl"] is None
+
+
+def test_evaluation_points(spark):
+    """Keypoints with roots, vertices where a person has none at all, no filtering, as many points as both have."""
+    nan = float("nan")
+    rows = [
+        ("s", "a", 1, 0, [0.0, 0.0, 0.0, 1.0, 2.0, 3.0, nan, 0.0, 0.0], [1.0, 1.0, 1.0], [9.0] * 6),
+        ("s", "a", 1, 1, None, [1.0, 1.0, 1.0], [9.0] * 6),  # it has keypoints elsewhere
+        ("s", "b", 1, 0, None, None, [5.0, 5.0, 5.0, 6.0, 6.0, 6.0]),
+        ("s", "b", 1, 1, None, None, [5.0, 5.0, 5.0]),
+        ("s", "b", 2, 0, [7.0, 8.0, 9.0], None, None),
+        ("s", "b", 3, 0, None, None, None),
+        ("s", "b", 3, 1, [], None, []),
+    ]
+    df = spark.createDataFrame(rows, "scene_id string, video_id string, person_id long, frame_idx int, pred_keypoints_3d array<double>, pred_cam_t array<double>, vertices array<double>")
+    points = al.evaluation_points(df)
+    got = sorted((r["video_id"], r["person_id"], r["frame_idx"], r["joint"], str(r["x"]), r["y"], r["z"]) for r in points.collect())
+    assert got == [("a", 1, 0, 0, "1.0", 1.0, 1.0), ("a", 1, 0, 1, "2.0", 3.0, 4.0), ("a", 1, 0, 2, "nan", 1.0, 1.0), ("b", 1, 0, 0, "5.0", 5.0, 5.0), ("b", 1, 0, 1, "6.0", 6.0, 6.0), ("b", 1, 1, 0, "5.0", 5.0, 5.0), ("b", 2, 0, 0, "7.0", 8.0, 9.0)]
+    pairs = al.correspondences(points).collect()
+    assert sorted((r["joint"], r["ax"], r["bx"]) for r in pairs) == [(0, 1.0, 5.0), (1, 2.0, 6.0)]
+    assert al.evaluation_points(df.drop("vertices", "pred_cam_t")).count() == 4
