@@ -168,7 +168,11 @@ def test_language_on_tables(spark, sf_dir):
     df = queries.op11_language(spark, sf_dir)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got, want = check_language(df, rows, 2)
-    assert np.allclose(got, want, rtol=0.02)
+    # a false member can change a short text's score by any share, but hardly the sum of all
+    assert abs(got.sum() - want.sum()) < 0.002 * abs(want.sum())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    exact_, want = check_language(language.language_scores(docs, bits=256), rows, 2)
+    assert np.allclose(exact_, want, rtol=1e-9)
     out = [r for r in df.collect() if r["held_out"] and r["n_tokens"] > 20]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
