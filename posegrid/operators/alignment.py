@@ -88,6 +88,23 @@ def sums(points: DataFrame, keys: list[str]) -> DataFrame:
     return centred.groupBy(*keys).agg(*aggs)
 
 
+def merged(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``sums`` of larger groups from those of the smaller ones that they are made of.
+
+    A covariance about the common centroid is the mean of the groups' own ones and of
+    the products of their centroids' distances to it, weighted by their sizes.
+    """
+    w = F.col("n").cast("double")
+    mean = lambda c: F.sum(w * c) / F.sum(w)
+    names = [f"m{s}{c}" for s in "ab" for c in AXES]
+    total = stats.groupBy(*keys).agg(*[mean(F.col(m)).alias(f"t{m}") for m in names])
+    d = {m: F.col(m) - F.col(f"t{m}") for m in names}
+    aggs = [F.sum("n").alias("n")] + [F.first(f"t{m}").alias(m) for m in names]
+    aggs += [mean(F.col(f"h{i}{j}") + d[f"mb{i}"] * d[f"ma{j}"]).alias(f"h{i}{j}") for i in AXES for j in AXES]
+    aggs += [mean(F.col("var_a") + sum((d[f"ma{c}"] * d[f"ma{c}"] for c in AXES[1:]), d["max"] * d["max"])).alias("var_a")]
+    return stats.join(total, keys).groupBy(*keys).agg(*aggs)
+
+
 def solve(h: np.ndarray, mean_a: np.ndarray, mean_b: np.ndarray, var_a: np.ndarray, with_scale: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation, translation and scale from covariances (n, 3, 3), as b = s R a + t."""
     u, d, vt = np.linalg.svd(h)

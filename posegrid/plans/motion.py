@@ -18,6 +18,7 @@ from ..operators import sync as sy
 from ..operators import windows as wi
 from ..sources import adapters as ad
 from ..sources.adapters import SQL, ctes
+from ..sources.session import ensure_checkpoint_dir
 from .catalogue import query
 
 
@@ -408,12 +409,15 @@ def _scene_points(spark, sf_dir):
 
 @query()
 def pose_metrics(spark, sf_dir):
-    """All position and camera metrics of the adapter's scenes and their statistics."""
-    points, centres, poses = _scene_points(spark, sf_dir), _centres(spark, sf_dir), _poses(spark, sf_dir)
-    two = _two_cameras(spark, sf_dir)
+    """All position and camera metrics of the adapter's scenes and their statistics.
+
+    Each view is read once, into a table that the metrics share.
+    """
+    ensure_checkpoint_dir(spark)
+    points, centres, poses, two = (f(spark, sf_dir).checkpoint() for f in (_scene_points, _centres, _poses, _two_cameras))
     correction = al.poses(al.sums(centres, ["scene_id"]), False, least=1).select("scene_id", "rotation")
     return me.collect({
-        "w_mpjre": me.w_mpjre(poses, correction), "w_mpjpe": me.w_mpjpe(points, centres), "ga_mpjpe": me.ga_mpjpe(points), "pa_mpjpe": me.pa_mpjpe(points),
+        **me.position_metrics(points, centres), "w_mpjre": me.w_mpjre(poses, correction),
         "ga_mpjre": me.ga_mpjre(poses), "pa_mpjre": me.pa_mpjre(poses), "te": me.translation_error(centres, False), "s_te": me.translation_error(centres, True),
         "ae": me.angle_error(two), "rra_15": me.rotation_accuracy(two), "cca_15": me.centre_accuracy(centres, False), "s_cca_15": me.centre_accuracy(centres, True),
     })

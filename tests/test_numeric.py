@@ -61,6 +61,15 @@ def test_rigid_and_similarity_alignment(spark, with_scale):
         assert np.linalg.det(np.array(f["rotation"]).reshape(3, 3)) > 0
 
 
+def test_sums_of_small_groups_make_those_of_large_ones(spark):
+    points = table(spark, groups(3))
+    whole = {r["scene_id"]: r.asDict() for r in al.sums(points, ["scene_id"]).collect()}
+    got = {r["scene_id"]: r.asDict() for r in al.merged(al.sums(points, ["scene_id", "person_id"]), ["scene_id"]).collect()}
+    assert got.keys() == whole.keys()
+    for g, row in whole.items():
+        assert row["n"] == got[g]["n"] and all(math.isclose(row[c], got[g][c], rel_tol=1e-9, abs_tol=1e-9) for c in row if c != "scene_id")
+
+
 def test_group_keys_keep_their_names(spark):
     """Keys that begin like the names of sums stay."""
     rows = table(spark, groups(4)).withColumnsRenamed({"scene_id": "video_id", "person_id": "model"})
@@ -93,6 +102,9 @@ def test_position_metrics(spark):
         "w": value(me.w_mpjpe(points, cams)), "ga": value(me.ga_mpjpe(points)), "pa": value(me.pa_mpjpe(points)), "te": value(me.translation_error(cams, False)),
         "s_te": value(me.translation_error(cams, True)), "cca": value(me.centre_accuracy(cams, False)), "s_cca": value(me.centre_accuracy(cams, True)),
     }
+    together = {n: value(df) for n, df in me.position_metrics(points, cams).items()}
+    for n in ("w", "ga", "pa"):
+        assert together[f"{n}_mpjpe"].keys() == got[n].keys() and all(math.isclose(together[f"{n}_mpjpe"][g], v, rel_tol=1e-9) for g, v in got[n].items())
     for g, (a, b) in joints.items():
         ca, cb = centres[g]
         scale = np.linalg.norm(cb - cb.mean(0), axis=1).max()
