@@ -49,3 +49,11 @@ def test_no_pair_rows_and_odd_vectors(spark):
     rows = [("s", 0, 1, [1.0, 0.0]), ("s", 0, 2, None), ("s", 0, 3, [float("nan"), 1.0]), ("s", 1, 4, [1.0, 0.1]), ("s", 1, 5, [1.0, None]), ("s", 1, 6, [1.0, 0.0, 0.0]), ("t", 0, 1, [1.0, 0.0])]
     df = reid.match_galleries(spark.createDataFrame(rows, SCHEMA), replace(DEFAULT, cross_view_threshold=0.0))
     assert [(x.scene_id, x.person_a, x.person_b) for x in df.collect()] == [("s", 1, 4)]
+
+
+def test_ids_without_pair_rows(spark, monkeypatch):
+    """Descriptors become ids without a pass over pairs."""
+    monkeypatch.setattr(reid, "cosine_pairs", None)
+    rows = [("s", v, p, [1.0, float(p)]) for v in range(3) for p in range(4)]
+    got = {(x.video_id, x.person_id): x.global_id for x in reid.match_across_views(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(v, p): p for v in range(3) for p in range(4)}
