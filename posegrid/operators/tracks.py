@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .covisible import covisible_pairs  # noqa: F401  part of this module's interface
 from .selection import medians, same
 
 
-def covisible_pairs(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Pairs of persons seen in the same frame often enough, and how often.
-
-    The self-join meets on (video, frame); its output is bounded by the persons of
-    a frame, and the count is combined before it is shuffled.
-    """
-    seen = detections.select("video_id", "frame_idx", "person_id").distinct()
-    a, b = seen.withColumnRenamed("person_id", "person_a"), seen.withColumnRenamed("person_id", "person_b")
-    pairs = a.join(b, ["video_id", "frame_idx"]).where("person_a < person_b")
-    return pairs.groupBy("video_id", "person_a", "person_b").agg(F.count(F.lit(1)).alias("n_frames")).where(F.col("n_frames") >= cfg.covisible_frames)
-
-
 def track_summary(detections: DataFrame) -> DataFrame:
     return detections.groupBy("video_id", "person_id").agg(F.countDistinct("frame_idx").alias("num_frames"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
 
