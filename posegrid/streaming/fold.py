@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
-from ..operators.reid import Fold, folded_frame, ordered_frames
+from ..operators.reid import Fold, Gallery, folded_frame, ordered_frames
 
 
 def frames(spark: SparkSession, path: str, schema: str, files_at_a_time: int = 1) -> DataFrame:
@@ -33,7 +33,7 @@ def saved(fold: Fold) -> str:
 def restored(text: str, cfg: Config) -> Fold:
     held = json.loads(text)
     fold = Fold(set(), cfg)
-    fold.gallery = {k: np.array(v) for k, v in held["gallery"]}
+    fold.gallery = Gallery({k: np.array(v) for k, v in held["gallery"]})
     fold.remap, fold.left = dict(held["remap"]), dict(held["left"])
     return fold
 
