@@ -14,7 +14,9 @@ def parse_frame_labels(frames: DataFrame, json_col: str = "json", path_col: str
     labels = F.coalesce(F.from_json(F.col(json_col), kind)["labels"], F.create_map().cast("map<string, struct<instance_id: int, class_name: string, x1: double, y1: double, x2: double, y2: double, score: double>>"))
     name = F.element_at(F.split(path_col, "/"), -1)
     rows = frames.withColumn("frame_idx", F.regexp_extract(name, r"mask_(\d+)", 1).cast("int")).withColumn("labels", labels)
-    return rows.select(*[c for c in frames.columns if c != json_col], "frame_idx", F.posexplode("labels").alias("ord", "person", "box")).select("*", F.col("person").cast("long").alias("person_id"), "box.*").drop("person", "box", "labels")
+    # outer, and then without the frames that had none: the plain form is given a filter that parses the text again
+    boxes = rows.select(*[c for c in frames.columns if c != json_col], "frame_idx", F.posexplode_outer("labels").alias("ord", "person", "box")).where("ord IS NOT NULL")
+    return boxes.select("*", F.col("person").cast("long").alias("person_id"), "box.*").drop("person", "box", "labels")
 
 
 def above_score(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
