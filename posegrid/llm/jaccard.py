@@ -16,9 +16,11 @@ Equal sets are one class; only classes are compared.
    every cell whose pivot is no further from it than its own pivot and twice the
    threshold (triangle inequality).  Crowded regions are cut like this by joins,
    so that their cells go to different tasks (``spread``), small ones inside a
-   task (``near_pairs``).  Sets within the bound that are not connected yet are
-   compared, a set's nearest ones first and then, against the components these
-   make, the rest.
+   task (``near_pairs``).  No row is made for every pair within the bound: a cell
+   tells which components such pairs connect (``_touching``), fewer than it has
+   sets, and what they connect in all is a region of its own.
+4. Links.  These last regions get the texts of their sets, each set once.  Of the
+   links those come out that connect something, fewer than there are sets.
 
 Candidates are found by 64-bit hashes; a pair is linked by the words of its two
 texts (``linked``).
@@ -38,7 +40,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -56,11 +58,8 @@ CELL = 128
 CROWD, PIVOTS = 2048, 8
 #: Times that a crowded cell is cut around pivots before its homes are dealt out in blocks.
 ROUNDS = 6
-#: Of the sets that may be linked with a set, those nearest to it that are compared
-#: first; all the others that are not connected by then are compared after them.
-NEAREST = 3
-#: Cells, the largest ones, in which a set's nearest are looked for.
-LARGEST = 4
+#: Sets of one comparison with a set, and bytes of visitors' texts that a task holds (about).
+SOME, TEXT_BYTES = 64, 1 << 26
 
 
 def _row_key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
@@ -252,11 +251,16 @@ def linked(x: frozenset, y: frozenset, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+def _texts(ids: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The text ``raw`` of each class in ``ids``, as a written table."""
+    wanted = ids.distinct().join(classes.select("id", "key", "t"), "id")
+    return written(rows.join(wanted, ["key", "t"]).select("id", "raw").dropDuplicates(["id"]), "jaccard-texts")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by the words of their texts themselves."""
     near = written(_possible(pairs, classes, percent), "jaccard-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "key", "t"), "id")
-    texts = written(rows.join(wanted, ["key", "t"]).select("id", "raw").dropDuplicates(["id"]), "jaccard-texts")
+    texts = _texts(near.select(F.explode(F.array("a", "b")).alias("id")), classes, rows)
     x, y = (texts.select(F.col("id").alias(i), F.col("raw").alias(r)) for i, r in (("a", "x"), ("b", "y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,14 +296,13 @@ def _stars(shared: DataFrame) -> DataFrame:
     return both.join(pivots, ["cell", "c"]).where("a != b").select("a", "b").distinct()
 
 
-def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, few: int | None = None, left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a region with different labels whose bucket counts allow a link.
 
     ``counts``: a row for each set; a pair is a set of ``left`` with a later one of
     ``right`` (ascending; all of them by default).  Cells are cut around pivots and
     joined recursively; the L1 distance of the counts bounds the symmetric
-    difference.  With ``few``, only so many of a set's nearest in each comparison
-    of blocks.
+    difference.  ``labels`` may become equal on the way.
     """
 
     def allowed(n):  # most elements that two linked sets may differ in, one having n
@@ -317,14 +320,7 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
                 total = sizes[a][:, None] + sizes[b][None, :]
                 # |x - y| <= (1 - t) |x + y| / (1 + t) for linked sets; each pair comes from its first set
                 near = (labels[a][:, None] != labels[b][None, :]) & (b[None, :] > a[:, None])
-                far = distances(a, b)
-                near &= far * (100 + percent) <= (100 - percent) * total
-                if few and len(b) > few:
-                    far = np.where(near, far, np.iinfo(far.dtype).max)
-                    first = np.argpartition(far, few - 1, 1)[:, :few]
-                    best = np.zeros_like(near)
-                    np.put_along_axis(best, first, True, 1)
-                    near &= best
+                near &= distances(a, b) * (100 + percent) <= (100 - percent) * total
                 i, j = np.nonzero(near)
                 yield a[i], b[j]
 
@@ -354,55 +350,124 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percen
         yield from join(left, right)
 
 
-def _residual(percent: int, few: int | None = None):
-    """Of each cell the pairs of sets that are not connected yet and may be linked.
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """The homes of each cell with none of its visitors, then with some of them at a time.
 
-    Rows come sorted by cell, homes before visitors.  A task holds the homes of
-    one cell, at most about ``CROWD``, and some of its visitors at a time.
+    Rows (cell, visits, n, id, label, counts and, it may be, a text) come sorted by
+    cell, homes before visitors.  A task holds the homes of one cell, at most about
+    ``CROWD``, and some of its visitors.
     """
+    for _, rows in _by_cell(batches):
+        homes: list[tuple] = []
+        visitors: list[tuple] = []
+        met, size = False, 0
+        for r in rows:
+            if not r[1]:
+                homes.append(r)
+                continue
+            if not met:
+                yield homes, []
+                met = True
+            visitors.append(r)
+            size += sum(map(len, r[6:]))
+            if len(visitors) == 2 * CROWD or size > TEXT_BYTES:
+                yield homes, visitors
+                visitors, size = [], 0
+        if not met:
+            yield homes, []
+        if visitors and homes:
+            yield homes, visitors
+
+
+def _may_link(rows: list[tuple], labels: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the sets, a home and any other, whose ``labels`` differ and whose counts allow a link; ``rows`` by size and id."""
+    n, counts, home = np.array([r[2] for r in rows]), [r[5] for r in rows], np.array([not r[1] for r in rows], bool)
+    fine = Counts(counts)
+    right = None if home.all() else np.flatnonzero(~home)
+    for a, b in near_pairs(coarse(counts), n, labels, percent, np.flatnonzero(home), right):
+        near = fine.differences(a, b) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+        yield a[near], b[near]
+
+
+def _in_order(homes: list[tuple], others: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+    rows = sorted([*homes, *others], key=lambda r: (r[2], r[3]))
+    return rows, np.array([r[4] for r in rows], np.int64)
+
+
+def _batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    flat = sorted(pairs)
+    return pa.record_batch([pa.array([p[c] for p in flat], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+
+def _touching(percent: int):
+    """Pairs of labels that connect, in each cell, whatever sets with different labels may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
+        for homes, visitors in _meetings(batches):
+            rows, labels = _in_order(homes, visitors)
+            own = labels.copy()
+            for a, b in _may_link(rows, labels, percent):
+                apart = labels[a] != labels[b]
+                while apart.any():
+                    a, b = a[apart], b[apart]
+                    out.add((int(own[a[0]]), int(own[b[0]])))
+                    labels[labels == labels[b[0]]] = labels[a[0]]  # near_pairs leaves out what is connected by now
+                    apart = labels[a] != labels[b]
+            if len(out) > 100_000:
+                yield _batch(out)
+                out.clear()
+        if out:
+            yield _batch(out)
+
+    return run
+
+
+def _residual(percent: int, width: int | None = None):
+    """Of each cell the pairs of sets that are not connected yet and may be linked.
 
-        def flush():
-            flat = sorted(out)
-            out.clear()
-            return pa.record_batch([pa.array([p[c] for p in flat], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
-        def meet(homes: list[tuple], others: list[tuple]):
-            rows = sorted([(*r, True) for r in homes] + [(*r, False) for r in others], key=lambda r: (r[2], r[3]))
-            _, _, n, ids, labels, counts, home = zip(*rows)
-            n, ids, labels, home = np.array(n), np.array(ids), np.array(labels), np.array(home)
-            buckets, fine = coarse(counts), Counts(counts)
-            right = np.flatnonzero(~home) if others else None
-            for a, b in near_pairs(buckets, n, labels, percent, few, np.flatnonzero(home), right):
-                near = fine.differences(a, b) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
-                a, b = a[near], b[near]
-                out.update(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()))
+    With ``width`` the rows have their texts, and of the pairs those come out that
+    are linked, by their words, and connect what the ones before left apart: fewer
+    than there are sets.
+    """
+
+    def linking(rows: list[tuple], labels: np.ndarray) -> Iterator[tuple[int, int]]:
+        sets, last, own = shingle_sets([r[6] for r in rows], width), None, frozenset()
+        for a, b in _may_link(rows, labels, percent):
+            for i in np.unique(a).tolist():
+                other = b[a == i]
+                for k in range(0, len(other), SOME):
+                    some = other[k : k + SOME]
+                    some = some[labels[some] != labels[i]]
+                    if not len(some):
+                        continue
+                    every = np.concatenate([sets[j] for j in some])
+                    at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                    ends = np.cumsum([len(sets[j]) for j in some])
+                    shared = np.diff(np.concatenate([[0], np.cumsum(sets[i][at] == every)[ends - 1]]))
+                    both = len(sets[i]) + np.diff(ends, prepend=0) - shared
+                    for j in some[100 * shared >= percent * both].tolist():
+                        if labels[i] == labels[j]:
+                            continue
+                        if last != i:
+                            last, own = i, word_shingles(rows[i][6], width)
+                        if linked(own, word_shingles(rows[j][6], width), percent):
+                            labels[labels == labels[j]] = labels[i]
+                            yield i, j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        for homes, visitors in _meetings(batches):
+            rows, labels = _in_order(homes, visitors)
+            ids = [r[3] for r in rows]
+            found = linking(rows, labels) if width else (p for a, b in _may_link(rows, labels, percent) for p in zip(a.tolist(), b.tolist()))
+            for i, j in found:
+                out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
                 if len(out) > 100_000:
-                    yield flush()
-
-        for _, rows in _by_cell(batches):
-            homes: list[tuple] = []
-            visitors: list[tuple] = []
-            met = False
-            for r in rows:
-                if not r[1]:
-                    homes.append(r)
-                    continue
-                if not met:
-                    yield from meet(homes, [])
-                    met = True
-                visitors.append(r)
-                if len(visitors) == 2 * CROWD:
-                    yield from meet(homes, visitors)
-                    visitors = []
-            if not met:
-                yield from meet(homes, [])
-            if visitors and homes:
-                yield from meet(homes, visitors)
+                    yield _batch(out)
+                    out.clear()
         if out:
-            yield flush()
+            yield _batch(out)
 
     return run
 
@@ -488,26 +553,24 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     stars = written(_stars(shared), "jaccard-stars")
     links = _verified(stars, classes, rows, width, percent)
     label = components(links)
-    tried, tables = stars, [found, shared, stars, links]
-    # Nearest sets first: dense groups are connected by few links, and only what is still apart is compared in full.
-    for few in (NEAREST, None):
-        labelled = shared.join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
-        open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where(F.col("lo") != F.col("hi")).select("cell", "size")
-        left = labelled.join(open_cells, "cell")
-        if few:  # the same sets meet in many cells: for the nearest ones some will do
-            left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "cell"))).where(F.col("nth") <= LARGEST)
-        left = left.join(classes.select("id", "counts"), "id")
-        left = written(left.select("cell", F.lit(False).alias("visits"), "n", "id", "label", "counts"), "jaccard-open")
-        apart = spread(left, percent, scratch=tables).repartition("cell").sortWithinPartitions("cell", "visits", "n", "id")
-        more = apart.mapInArrow(_residual(percent, few), "a long, b long").distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        verified = _verified(more, classes, rows, width, percent)
-        # what is connected is a star by now: new links change few of them
-        last, label = label, components(label.select(F.col("id").alias("a"), F.col("root").alias("b")).union(verified))
-        tried = tried.union(more)
-        tables += [more, verified]
-        drop(left, last)
-    roots = label
+    tables = [found, shared, stars, links, label]
+    met = lambda x: x.repartition("cell").sortWithinPartitions("cell", "visits", "n", "id")
+    labelled = shared.join(label, "id", "left").select("cell", "n", "id", F.coalesce("root", "id").alias("label"))
+    open_cells = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("cell")
+    left = labelled.join(open_cells, "cell").join(classes.select("id", "counts"), "id")
+    left = written(left.select("cell", F.lit(False).alias("visits"), "n", "id", "label", "counts"), "jaccard-open")
+    touching = written(met(spread(left, percent, scratch=tables)).mapInArrow(_touching(percent), "a long, b long").distinct(), "jaccard-touching")
+    # what such pairs connect is a region, with every set once; what was open nowhere has no link to find
+    region = components(touching)
+    again = left.dropDuplicates(["id"]).join(region.select(F.col("id").alias("label"), F.col("root").alias("region")), "label")
+    again = written(again.select(F.col("region").alias("cell"), "visits", "n", "id", "label", "counts"), "jaccard-regions")
+    drop(left, touching, region)
+    texts = _texts(again.select("id"), classes, rows)
+    apart = spread(again, percent, scratch=tables).join(texts, "id").select(*again.columns, "raw")
+    more = written(met(apart).mapInArrow(_residual(percent, width), "a long, b long").distinct(), "jaccard-more")
+    # what is connected is a star by now: new links change few of them
+    roots = components(label.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+    tables += [again, texts, more]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "key", "t")).alias("first")
     reps = members.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), first)
     reps = reps.join(roots.select(F.col("id").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))

@@ -314,6 +314,42 @@ def test_crowded_cell_is_exact_and_ends():
     assert set(found) == set(zip(i.tolist(), j.tolist()))
 
 
+def test_no_rows_for_pairs_of_a_large_group(spark, monkeypatch):
+    """Near copies, most of them just apart: what comes out of their cells does not grow with their square."""
+    r = np.random.default_rng(3)
+    texts = []
+    for k in range(240):
+        words = [f"w{j}" for j in range(100)]
+        for at in r.choice(100, 7, replace=False):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    rows, counts, written = list(enumerate(texts)), {}, jaccard.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard.jaccard_join(df, 1, 80), brute.jaccard_components(rows, 1, 80))
+    assert counts["jaccard-more"] < len(rows) and counts["jaccard-touching"] < counts["jaccard-open"], counts
+
+
+def test_links_of_a_cell(spark):
+    """Pairs whose counts allow a link come out where their texts are linked and nothing connects them yet."""
+    texts = [b"a b c d e f g h i j", b"a b c d e f g h i k", b"a b c d e f g h i l", b"A b c d e f g h i j m", b"q b c d e r g h i j"]
+    sets = [np.array(x) for x in jaccard.shingle_sets(texts, 1)]
+    rows = [(1, k > 2, len(x), k, k, bytearray(jaccard.fine_counts(x).tobytes()), bytearray(t)) for k, (x, t) in enumerate(zip(sets, texts))]
+    rows += [(2, v, n, k, k, c, t) for _, v, n, k, _, c, t in rows[:2]]
+    df = spark.createDataFrame(rows, "cell long, visits boolean, n int, id long, label long, counts binary, raw binary")
+    met = lambda x: x.repartition("cell").sortWithinPartitions("cell", "visits", "n", "id")
+    found = met(df).mapInArrow(jaccard._residual(80, 1), "a long, b long")
+    assert {tuple(x) for x in found.collect()} == {(0, 1), (0, 2), (0, 3)}
+    near = met(df.drop("raw")).mapInArrow(jaccard._touching(80), "a long, b long").collect()
+    assert {x for p in near for x in p} >= {0, 1, 2, 3} and len(near) < 5
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_crowded_cells_are_spread(spark, rounds):
     """Cells that are cut by joins, around pivots or in blocks, keep every pair that the whole cell has."""
