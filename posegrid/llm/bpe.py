@@ -28,6 +28,10 @@ from .vocab import BYTE_BPE, BoundedCache, byte_letters, default_path, held, loa
 
 #: Entries kept by a worker for pieces of text, and for words.
 PIECE_ENTRIES, WORD_ENTRIES = 400_000, 200_000
+#: The same for ``encode``, a stage among others in workers and executors that have grown before it.
+FEW_PIECES, FEW_WORDS = 100_000, 50_000
+#: Texts whose ids ``encode`` holds at a time.
+SLICE = 256
 
 _PLAIN = re.compile(r"( ?[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)")
 _BLANKS = re.compile(r" (?:\s|$)")
@@ -36,7 +40,7 @@ _BLANKS = re.compile(r" (?:\s|$)")
 class ByteBpe:
     """Encoder and decoder for one byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECE_ENTRIES, words: int = WORD_ENTRIES):
         from tokenizers import Tokenizer
 
         spec = load_spec(path)
@@ -57,8 +61,8 @@ class ByteBpe:
         self.text_of = strings([b"%d," % i for i in range(size)])
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.pieces: BoundedCache = BoundedCache(PIECE_ENTRIES)
-        self.words: BoundedCache = BoundedCache(WORD_ENTRIES)
+        self.pieces: BoundedCache = BoundedCache(pieces)
+        self.words: BoundedCache = BoundedCache(words)
 
     def word(self, letters: str) -> bytes:
         """Ids (32-bit integers) of one pre-token, given in the vocabulary's byte letters."""
@@ -151,8 +155,8 @@ def concatenated(ids: np.ndarray, letters: np.ndarray, starts: np.ndarray, sizes
     return b"".join(out)
 
 
-def codec(path: str) -> ByteBpe:
-    return held(("bpe", path), lambda: ByteBpe(path))
+def codec(path: str, pieces: int = PIECE_ENTRIES, words: int = WORD_ENTRIES) -> ByteBpe:
+    return held(("bpe", path, pieces, words), lambda: ByteBpe(path, pieces, words))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,9 +164,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     path = tokenizer or default_path(BYTE_BPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([c.encode(t.as_py() or "") for t in b.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        c = codec(path, FEW_PIECES, FEW_WORDS)
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                b = whole.slice(k, SLICE)
+                yield pa.record_batch([b.column(0), pa.array([c.encode(t.as_py() or "") for t in b.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

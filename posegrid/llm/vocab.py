@@ -6,12 +6,16 @@ public tokenizer files tells where its files are.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import islice
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 
 WORD_BPE = "word_bpe_49k.json"
@@ -61,10 +65,25 @@ def held(key: tuple, build: Callable[[], T]) -> T:
     """A worker's large state for one operator: what the last operator kept makes room for it."""
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = build()
+        give_back()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Return free memory to the system.
+
+    A worker lives through many stages, and its allocators keep the pages that earlier
+    ones have freed; they would count beside what this stage takes.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 class BoundedCache(dict):
     """A dict that drops the older half of its entries once it holds ``limit``."""
 
