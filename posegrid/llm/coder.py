@@ -49,10 +49,6 @@ _SEEN = 32
 _LARGE, _HALF = 1 << 18, 1 << 12
 
 
-#: The first of four candidates that came true, from a bit for each; 4 for none.
-_FIRST = np.array([4 if not k else (k & -k).bit_length() - 1 for k in range(16)], np.int32)
-
-
 def _refreshes(steps: int) -> set[int]:
     """Steps before which weights and frequencies are refreshed: all first ones, then ever fewer."""
     out, at = set(), 1
@@ -66,8 +62,8 @@ class _Model:
     """What a block has learned."""
 
     def __init__(self, lanes: int, steps: int, top: int):
-        self.one = [np.full(1 << _ONE, _NOBODY, np.int32) for _ in range(2)]
-        self.two = [np.full(1 << _TWO, _NOBODY, np.int32) for _ in range(2)]
+        # a context's two candidates lie side by side, and are read and written as one number
+        self.one, self.two = (np.full(2 << bits, _NOBODY, np.int32).view(np.int64) for bits in (_ONE, _TWO))
         self.last = self.before = np.zeros(lanes, np.int32)
         self.due = _refreshes(steps)
         # what is seen of a state at first: candidates count by their confidences
@@ -91,8 +87,9 @@ class _Model:
         width = 1 + self.weights * ((1 << _WEIGHT_BITS) - _CHOICES) // self.weights.sum(1, keepdims=True)
         width[:, -1] += (1 << _WEIGHT_BITS) - width.sum(1)
         ends = np.cumsum(width, 1)
-        self.width, self.start = width.astype(_U).ravel(), (ends - width).astype(_U).ravel()
-        self.ends = [np.ascontiguousarray(ends[:, k]).astype(_U) for k in range(_CHOICES - 1)]
+        # start and width of a choice, and the ends of all but the last, in one number each
+        self.slots = (ends - width << _WEIGHT_BITS | width).astype(np.uint32).ravel()
+        self.ends = np.ascontiguousarray(ends[:, : _CHOICES - 1].astype(np.uint16)).view(_U).ravel()
         frequency = _SEEN * self.counts + 1
         # behind the last id one that stands for all that the block does not have
         self.upto = np.concatenate([[0], np.cumsum(frequency)])
@@ -101,27 +98,36 @@ class _Model:
     def predict(self, m: int) -> np.ndarray:
         """The mixing state of the first ``m`` lanes; the candidates are in ``said``."""
         last = self.last[:m].astype(np.uint32)
-        self.at1 = last & np.uint32((1 << _ONE) - 1)
-        self.at2 = (last * np.uint32(0x9E3779B1) + self.before[:m].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TWO)
-        self.said = a2, b2, a1, b1 = self.two[0].take(self.at2), self.two[1].take(self.at2), self.one[0].take(self.at1), self.one[1].take(self.at1)
+        self.at1 = (last & np.uint32((1 << _ONE) - 1)).astype(np.intp)
+        self.at2 = ((last * np.uint32(0x9E3779B1) + self.before[:m].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TWO)).astype(np.intp)
+        two, one = (table[at].view(np.int32).reshape(m, 2) for table, at in ((self.two, self.at2), (self.one, self.at1)))
+        self.said = a2, b2, a1, b1 = tuple(np.ascontiguousarray(x) for x in (two[:, 0], two[:, 1], one[:, 0], one[:, 1]))
         agree = (a2 ^ a1) < 8
         # a confidence of 7 for the first candidates, up to 3 for the second ones
         self.state = ((a2 & 7) << 8) + ((a1 & 7) << 5) + (agree.view(np.int8).astype(np.int32) << 4) + (np.minimum(b2 & 7, 3) << 2) + np.minimum(b1 & 7, 3)
+        self.state = self.state.astype(np.intp)
         return self.state
 
+    def slot(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where states' choices begin, and how wide they are."""
+        slots = self.slots[place]
+        return (slots >> np.uint32(_WEIGHT_BITS)).astype(_U), (slots & np.uint32((1 << _WEIGHT_BITS) - 1)).astype(_U)
+
     def excluded(self, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The first candidates of some lanes, the smaller id first, and the frequency each takes away."""
         a, b = (np.minimum(c[some] >> 3, self.top + 1) for c in (self.said[0], self.said[2]))
         low, high = np.minimum(a, b), np.maximum(a, b)
-        return [(low, self.frequency.take(low)), (high, np.where(low == high, 0, self.frequency.take(high)))]
+        return [(low, self.frequency[low]), (high, np.where(low == high, 0, self.frequency[high]))]
 
-    def _moved(self, tables: list[np.ndarray], at: np.ndarray, a: np.ndarray, b: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray, new: np.ndarray) -> None:
+    def _moved(self, table: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray, new: np.ndarray) -> None:
         ca, cb = a & 7, b & 7
         a = a + (hit_a & (ca < 7))
         a -= (ca > 1) & ~hit_a
         b = np.where(hit_a | hit_b, b + (hit_b & (cb < 7)), np.where(cb > 1, b - 1, new))
         swap = (a ^ b) * ((b & 7) > (a & 7))
-        tables[0][at], tables[1][at] = a ^ swap, b ^ swap
+        both = np.empty((len(at), 2), np.int32)
+        both[:, 0], both[:, 1] = a ^ swap, b ^ swap
+        table[at] = both.view(np.int64).ravel()
 
     def learn(self, m: int, ids: np.ndarray, hits: tuple[np.ndarray, ...], place: np.ndarray) -> None:
         """``hits``: which candidates came true; ``place``: state and choice."""
@@ -138,6 +144,13 @@ class _Model:
         return tuple((x ^ here) < 8 for x in self.said)
 
 
+def _first(hits: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The first of four candidates that came true; 4 for none."""
+    a, b, c, d = hits
+    four = np.int8(4) - d.view(np.int8)
+    return np.where(a, np.int8(0), np.where(b, np.int8(1), np.where(c, np.int8(2), four)))
+
+
 def _layout(n: int) -> tuple[int, np.ndarray]:
     """Lanes of a block of ``n`` ids, longest first, and how many are alive at each step."""
     lanes = max(1, min(LANES, n // SHORTEST))
@@ -206,22 +219,23 @@ def encode_block(ids: np.ndarray) -> bytes:
         now = dealt[t, :m]
         state = model.predict(m)
         hits = model.hits(now)
-        choice = _FIRST.take(hits[0] + 2 * hits[1].view(np.int8) + 4 * hits[2].view(np.int8) + 8 * hits[3].view(np.int8))
+        choice = _first(hits)
         place = state * _CHOICES + choice
         r = span[:m] >> _U(_WEIGHT_BITS)
         before = low[:m].copy()
-        low[:m] += r * model.start.take(place)
-        span[:m] = r * model.width.take(place)
+        start, width = model.slot(place)
+        low[:m] += r * start
+        span[:m] = r * width
         settle(m, before)
         escaped = np.flatnonzero(choice == 4)
         if len(escaped):
             own = now[escaped]
             (x, f), (y, g) = model.excluded(escaped)
-            at = model.upto.take(own) - f * (x < own) - g * (y < own)
+            at = model.upto[own] - f * (x < own) - g * (y < own)
             unit = span[escaped] // (model.total - f - g).astype(_U)
             before = low[:m].copy()
             low[escaped] += unit * at.astype(_U)
-            span[escaped] = unit * model.frequency.take(own).astype(_U)
+            span[escaped] = unit * model.frequency[own].astype(_U)
             settle(m, before)
         model.learn(m, now, hits, place)
     every = np.arange(lanes)
@@ -271,27 +285,30 @@ def _decoded(coded: bytes, n: int, top: int) -> np.ndarray:
             model.refresh()
         state = model.predict(m)
         r = span[:m] >> _U(_WEIGHT_BITS)
-        v = code[:m] // r
-        choice = np.zeros(m, np.int32)
-        for e in model.ends:
-            choice += v >= e.take(state)
+        v = np.minimum(code[:m] // r, _U((1 << _WEIGHT_BITS) - 1)).astype(np.uint16)
+        ends = model.ends[state].view(np.uint16).reshape(m, _CHOICES - 1)
+        choice = sum((v >= ends[:, k]).view(np.int8) for k in range(_CHOICES - 1))
         place = state * _CHOICES + choice
-        code[:m] -= r * model.start.take(place)
-        span[:m] = r * model.width.take(place)
+        start, width = model.slot(place)
+        code[:m] -= r * start
+        span[:m] = r * width
         settle(m)
         a2, b2, a1, b1 = model.said
-        now = np.choose(np.minimum(choice, 3), (a2, b2, a1, b1)) >> 3
+        now = np.where(choice < 2, np.where(choice == 0, a2, b2), np.where(choice == 2, a1, b1)) >> 3
         escaped = np.flatnonzero(choice == 4)
         if len(escaped):
             (x, f), (y, g) = model.excluded(escaped)
             rest = model.total - f - g
             unit = span[escaped] // rest.astype(_U)
             v = np.minimum((code[escaped] // unit).astype(np.int64), rest - 1)
-            gone = f * (model.upto.take(x) <= v)
-            gone += g * (model.upto.take(y) <= v + gone)
-            at = np.searchsorted(model.upto, v + gone, "right") - 1
-            code[escaped] -= unit * (model.upto.take(at) - gone).astype(_U)
-            span[escaped] = unit * model.frequency.take(at).astype(_U)
+            gone = f * (model.upto[x] <= v)
+            gone += g * (model.upto[y] <= v + gone)
+            v += gone
+            order = np.argsort(v)  # neighbours are found faster one after the other
+            at = np.empty(len(v), np.int64)
+            at[order] = np.searchsorted(model.upto, v[order], "right") - 1
+            code[escaped] -= unit * (model.upto[at] - gone).astype(_U)
+            span[escaped] = unit * model.frequency[at].astype(_U)
             settle(m)
             now[escaped] = at
         dealt[t, :m] = now

@@ -23,17 +23,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import coder
-from .shingles import SPACE, string_hashes
+from .shingles import SPACE
 from .storage import new_path
-from .vocab import WORD_BPE, RecentCache, default_path, held
+from .vocab import WORD_BPE, RecentCache, default_path, held, to_letters
 
 #: Ids of a segment, unless one document alone has more.
 SEGMENT = coder.BLOCK
 #: Bytes of text that are encoded at a time, and chunks whose ids a worker keeps.
 BAND, CHUNK_ENTRIES = 1 << 23, 700_000
+#: Chunks that are encoded anew at a time, and letters and marks whose ids are kept for them.
+FRESH, PART_ENTRIES = 20_000, 300_000
 #: Documents of a part, on average, at most: more documents make more parts.
 PART_ROWS = 100_000
-_LETTERS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters of Latin-1 in UTF-8 (all but the multiplication and division signs) and ASCII marks after them, without the apostrophe.
+_LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 SEGMENTS = "part int, seg int, first long, n_ids long, doc_ids array<long>, n_tokens array<int>, data binary"
 
 
@@ -53,26 +56,43 @@ class ChunkEncoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()).encode() or b"(?!)")
         self.model = self.library.model
         probes = [w + m for w in (b"a", b"Word", b"NOTHING", b"zxqjkv", b"dont", b"rearranged") for m in (b"", b".", b",", b"!?", b"...", b")-", b"<|", b"$%&*+/:;=@[\\]^_`{}~#\"(")]
+        probes += ["".join(w).encode() for c in map(chr, range(0xC0, 0x100)) if c.isalpha() for w in ((c,), ("a", c), (c, "b"), ("N", c, c, "t", ".)"), (c, "É"))]
         self.simple = all(self.direct(*_LETTERS.fullmatch(p).groups()) == array("I", self.library.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in probes)
         self.known = RecentCache(CHUNK_ENTRIES)
+        self.parts: dict[bytes, bytes] = {}
 
     def direct(self, letters: bytes, marks: bytes) -> bytes:
-        """Ids of ASCII letters and of marks after them, by the library's model itself."""
-        found = [t.id for t in self.model.tokenize(letters.lower().decode("ascii"))]
-        if marks:
-            found += [t.id for t in self.model.tokenize(marks.decode("ascii"))]
-        return array("I", found).tobytes()
+        """Ids of Latin letters and of marks after them, by the library's model itself."""
+        return self.modelled(letters) + (self.modelled(marks) if marks else b"")
+
+    def modelled(self, part: bytes) -> bytes:
+        text = part.lower().decode("ascii") if part.isascii() else to_letters(part.decode("utf-8").lower().encode())
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def fresh(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk.
 
         The rules around the library's model cost more than the model; a chunk of
-        ASCII letters and marks after them, which they only set in lower case and cut
+        Latin letters and marks after them, which they only set in lower case and cut
         in two, goes to the model at once where probes have shown that this is so.
         """
-        plain = [_LETTERS.fullmatch(c) for c in chunks] if self.simple else [None] * len(chunks)
-        out = [self.direct(*m.groups()) if m else b"" for m in plain]
-        rest = [k for k, m in enumerate(plain) if not m]
+        out, rest, parts = [], [], self.parts
+        if len(parts) > PART_ENTRIES:
+            parts.clear()
+        parts[b""] = b""
+        plain = map(_LETTERS.fullmatch, chunks) if self.simple else [None] * len(chunks)
+        for k, m in enumerate(plain):
+            if not m:
+                out.append(b"")
+                rest.append(k)
+                continue
+            # the same letters come in upper and lower case and before other marks
+            letters, marks = m[1].lower(), m[2]
+            if (first := parts.get(letters)) is None:
+                first = parts[letters] = self.modelled(letters)
+            if (last := parts.get(marks)) is None:
+                last = parts[marks] = self.modelled(marks)
+            out.append(first + last)
         for k, e in zip(rest, self.library.encode_batch_fast([chunks[k].decode("utf-8") for k in rest], add_special_tokens=False)):
             out[k] = array("I", e.ids).tobytes()
         return out
@@ -81,48 +101,37 @@ class ChunkEncoder:
         """Ids of each text; every distinct chunk of all of them is looked up or encoded once."""
         whole = {k for k, raw in enumerate(texts) if self.special.search(raw)}
         plain = [b"" if k in whole else raw for k, raw in enumerate(texts)]
-        flat, starts, ends, number, first = distinct_chunks(b" ".join(plain))
-        joined = flat.tobytes()
-        chunks = [joined[a:e] for a, e in zip(starts[first].tolist(), ends[first].tolist())]
+        starts, number, chunks = distinct_chunks(b" ".join(plain))
         found = [*map(self.known.get, chunks)]
         missing = [k for k, ids in enumerate(found) if ids is None]
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
+        for k in range(0, len(missing), FRESH):
+            some = missing[k : k + FRESH]
             for j, ids in zip(some, self.fresh([chunks[j] for j in some])):
                 found[j] = ids
                 if len(chunks[j]) <= 64:
                     self.known.keep(chunks[j], ids)
-        # the ids of the distinct chunks one after the other, then those of all chunks in the order of the text
-        size = np.array([len(ids) // 4 for ids in found], np.int64)
-        at, each = np.cumsum(size) - size, size[number]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(at[number] - upto[:-1], each) + np.arange(upto[-1])]
+        # the bytes of all chunks' ids in the order of the text, and where each begins
+        _, upto, data = pa.array(found, pa.large_binary()).take(number).buffers()
+        upto = np.frombuffer(upto, np.int64, len(number) + 1) >> 2
+        ids = np.frombuffer(data, "<u4", int(upto[-1])) if len(number) else np.zeros(0, "<u4")
         cuts = upto[np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in plain]))].tolist()
         return [np.array(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4") if k in whole else ids[cuts[k] : cuts[k + 1]] for k, raw in enumerate(texts)]
 
 
-def distinct_chunks(raw: bytes) -> tuple[np.ndarray, ...]:
-    """Bytes, starts and ends of the white-space separated chunks, the number of each and the first with each number.
+def distinct_chunks(raw: bytes) -> tuple[np.ndarray, pa.Array, list[bytes]]:
+    """Where the white-space separated chunks start, the number of each, and the chunk of each number.
 
-    Chunks have one number if they have the same hash, length, first and last eight bytes.
+    A chunk may have two numbers, if other white space stands behind it.
     """
-    flat = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate([[True], SPACE[flat], [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    key = string_hashes(flat, starts, ends)
-    order = np.argsort(key, kind="stable")
-    held = np.concatenate([np.zeros(8, np.uint8), flat, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(flat) + 9, "<u8", held, strides=(1,))
-    size = ends - starts
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    # short chunks are their first eight bytes with what lies around them cut off, and their hash says the rest
-    for x in (key, size, np.where(size >= 8, eight[starts + 8], 0), np.where(size >= 8, eight[ends], 0)):
-        x = x[order]
-        new[1:] |= x[1:] != x[:-1]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return flat, starts, ends, number, order[new]
+    space = SPACE[np.frombuffer(raw, np.uint8)]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    offsets = np.append(starts, len(raw))
+    behind = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    coded = behind.dictionary_encode()
+    _, ends, data = coded.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist() if len(starts) else [0]
+    data = data.to_pybytes() if len(starts) else b""
+    return starts, coded.indices, [data[a:e].rstrip() for a, e in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> ChunkEncoder:
