@@ -111,6 +111,9 @@ class RecentCache:
         self.young: dict = {}
         self.old: dict = {}
 
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
     def get(self, key):
         value = self.young.get(key)
         if value is None and (value := self.old.get(key)) is not None:
