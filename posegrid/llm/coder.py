@@ -29,13 +29,15 @@ import zlib
 import numpy as np
 
 #: Lanes of a full block, and the ids of each.
-LANES, STEPS = 4096, 512
+LANES, STEPS = 16384, 128
 BLOCK = LANES * STEPS
 #: A lane of a smaller block has about so many ids at least.
 SHORTEST = 512
+#: A block of so many ids has learned enough for lanes of ``STEPS``.
+_MANY = 1 << 20
 #: Ids stay below this.
 MOST = 1 << 24
-_MAGIC = b"PGT3"
+_MAGIC = b"PGT4"
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 _ONE, _TWO = 16, 18  # bits of the tables of contexts
@@ -58,12 +60,29 @@ def _refreshes(steps: int) -> set[int]:
     return out
 
 
+def _turns() -> np.ndarray:
+    """What becomes of a context's two candidates, by their confidences and misses: one number each.
+
+    Bits: by how much the confidences change (and 1), whether a newcomer takes the second place, whether they swap.
+    """
+    i = np.arange(256)
+    ca, hit_a, cb, hit_b = i & 7, i >> 3 & 1 == 0, i >> 4 & 7, i >> 7 == 0
+    after_a = ca + (hit_a & (ca < 7)) - (~hit_a & (ca > 1))
+    newcomer = ~hit_a & ~hit_b & (cb <= 1)
+    after_b = np.where(hit_a | hit_b, cb + (hit_b & (cb < 7)), np.where(newcomer, cb, cb - 1))
+    swap = np.where(newcomer, 1, after_b) > after_a
+    return (after_a - ca + 1 | after_b - cb + 1 << 2 | newcomer << 4 | swap << 5).astype(np.int32)
+
+
+_TURNS = _turns()
+
+
 class _Model:
     """What a block has learned."""
 
     def __init__(self, lanes: int, steps: int, top: int):
-        # a context's two candidates lie side by side, and are read and written as one number
-        self.one, self.two = (np.full(2 << bits, _NOBODY, np.int32).view(np.int64) for bits in (_ONE, _TWO))
+        # contexts of order 2, then those of order 1; a context's two candidates lie in one number
+        self.table = np.full((1 << _TWO) + (1 << _ONE), int(_NOBODY) << 32 | int(_NOBODY), np.int64)
         self.last = self.before = np.zeros(lanes, np.int32)
         self.due = _refreshes(steps)
         # what is seen of a state at first: candidates count by their confidences
@@ -73,7 +92,7 @@ class _Model:
         start[:, 2] = np.where(s >> 4 & 1, 0, start[:, 2])
         self.weights = (16 * start + 1).astype(np.int64)
         self.top = top
-        self.counts = np.zeros(top + 1, np.int64)
+        self.counts = np.zeros(top + 1, np.int32)
         self.chosen: list[np.ndarray] = []
         self.coded: list[np.ndarray] = []
         self.refresh()
@@ -82,7 +101,7 @@ class _Model:
         if self.chosen:
             self.weights += 24 * np.bincount(np.concatenate(self.chosen), minlength=_STATES * _CHOICES).reshape(_STATES, _CHOICES)
             self.weights = np.where(self.weights.sum(1, keepdims=True) > 1 << 20, (self.weights + 1) >> 1, self.weights)
-            self.counts += np.bincount(np.concatenate(self.coded), minlength=len(self.counts))
+            self.counts += np.bincount(np.concatenate(self.coded), minlength=len(self.counts)).astype(np.int32)
             self.chosen, self.coded = [], []
         width = 1 + self.weights * ((1 << _WEIGHT_BITS) - _CHOICES) // self.weights.sum(1, keepdims=True)
         width[:, -1] += (1 << _WEIGHT_BITS) - width.sum(1)
@@ -91,21 +110,25 @@ class _Model:
         self.slots = (ends - width << _WEIGHT_BITS | width).astype(np.uint32).ravel()
         self.ends = np.ascontiguousarray(ends[:, : _CHOICES - 1].astype(np.uint16)).view(_U).ravel()
         frequency = _SEEN * self.counts + 1
-        # behind the last id one that stands for all that the block does not have
-        self.upto = np.concatenate([[0], np.cumsum(frequency)])
-        self.frequency, self.total = np.append(frequency, 0), int(frequency.sum())
+        # behind the last id one that stands for all that the block does not have; all of it fits 32 bits
+        self.upto = np.zeros(len(frequency) + 1, np.int32)
+        np.cumsum(frequency, out=self.upto[1:])
+        self.frequency, self.total = np.append(frequency, np.int32(0)), self.upto[-1]
 
     def predict(self, m: int) -> np.ndarray:
         """The mixing state of the first ``m`` lanes; the candidates are in ``said``."""
         last = self.last[:m].astype(np.uint32)
-        self.at1 = (last & np.uint32((1 << _ONE) - 1)).astype(np.intp)
-        self.at2 = ((last * np.uint32(0x9E3779B1) + self.before[:m].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TWO)).astype(np.intp)
-        two, one = (table[at].view(np.int32).reshape(m, 2) for table, at in ((self.two, self.at2), (self.one, self.at1)))
-        self.said = a2, b2, a1, b1 = tuple(np.ascontiguousarray(x) for x in (two[:, 0], two[:, 1], one[:, 0], one[:, 1]))
-        agree = (a2 ^ a1) < 8
+        at2 = (last * np.uint32(0x9E3779B1) + self.before[:m].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TWO)
+        self.at = np.concatenate([at2, (last & np.uint32((1 << _ONE) - 1)) + np.uint32(1 << _TWO)]).astype(np.intp)
+        both = self.table[self.at]
+        # first and second candidates, those of order 2 before those of order 1
+        self.a, self.b = a, b = both.astype(np.int32), (both >> 32).astype(np.int32)
+        self.said = a[:m], b[:m], a[m:], b[m:]
+        self.sure_a, self.sure_b = sure, b = a & 7, b & 7
+        agree = (a[:m] ^ a[m:]) < 8
+        b = np.minimum(b, 3)
         # a confidence of 7 for the first candidates, up to 3 for the second ones
-        self.state = ((a2 & 7) << 8) + ((a1 & 7) << 5) + (agree.view(np.int8).astype(np.int32) << 4) + (np.minimum(b2 & 7, 3) << 2) + np.minimum(b1 & 7, 3)
-        self.state = self.state.astype(np.intp)
+        self.state = ((sure[:m] << 8) + (sure[m:] << 5) + (agree.view(np.int8).astype(np.int32) << 4) + (b[:m] << 2) + b[m:]).astype(np.intp)
         return self.state
 
     def slot(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,41 +142,33 @@ class _Model:
         low, high = np.minimum(a, b), np.maximum(a, b)
         return [(low, self.frequency[low]), (high, np.where(low == high, 0, self.frequency[high]))]
 
-    def _moved(self, table: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, hit_a: np.ndarray, hit_b: np.ndarray, new: np.ndarray) -> None:
-        ca, cb = a & 7, b & 7
-        a = a + (hit_a & (ca < 7))
-        a -= (ca > 1) & ~hit_a
-        b = np.where(hit_a | hit_b, b + (hit_b & (cb < 7)), np.where(cb > 1, b - 1, new))
-        swap = (a ^ b) * ((b & 7) > (a & 7))
-        both = np.empty((len(at), 2), np.int32)
-        both[:, 0], both[:, 1] = a ^ swap, b ^ swap
-        table[at] = both.view(np.int64).ravel()
-
-    def learn(self, m: int, ids: np.ndarray, hits: tuple[np.ndarray, ...], place: np.ndarray) -> None:
-        """``hits``: which candidates came true; ``place``: state and choice."""
-        a2, b2, a1, b1 = self.said
-        new = (ids << 3) + 1
-        self._moved(self.two, self.at2, a2, b2, hits[0], hits[1], new)
-        self._moved(self.one, self.at1, a1, b1, hits[2], hits[3], new)
+    def learn(self, m: int, ids: np.ndarray, place: np.ndarray) -> None:
+        """``place``: state and choice."""
+        a, b, eight = self.a, self.b, np.uint32(8)
+        here = np.concatenate([ids, ids]) << 3
+        # an id that is not the candidate's differs above the confidence's bits
+        of_a = (np.minimum((a ^ here).view(np.uint32), eight) & eight).view(np.int32) | self.sure_a
+        of_b = (np.minimum((b ^ here).view(np.uint32), eight) & eight).view(np.int32) | self.sure_b
+        turn = _TURNS[of_a | of_b << 4]
+        a = a + ((turn & 3) - 1)
+        b = b + ((turn >> 2 & 3) - 1)
+        b ^= (b ^ (here + 1)) & -(turn >> 4 & 1)
+        swap = (a ^ b) & -(turn >> 5)
+        self.table[self.at] = (b ^ swap).astype(np.int64) << 32 | (a ^ swap)
         self.chosen.append(place)
         self.coded.append(ids)
         self.before, self.last = self.last[:m], ids
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    def first(self, ids: np.ndarray) -> np.ndarray:
+        """The first of four candidates that came true; 4 for none."""
         here = ids << 3
-        return tuple((x ^ here) < 8 for x in self.said)
-
-
-def _first(hits: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The first of four candidates that came true; 4 for none."""
-    a, b, c, d = hits
-    four = np.int8(4) - d.view(np.int8)
-    return np.where(a, np.int8(0), np.where(b, np.int8(1), np.where(c, np.int8(2), four)))
+        a, b, c, d = (((x ^ here) >= 8).view(np.int8) for x in self.said)
+        return a * (b * (c * (d + np.int8(1)) + np.int8(1)) + np.int8(1))
 
 
 def _layout(n: int) -> tuple[int, np.ndarray]:
     """Lanes of a block of ``n`` ids, longest first, and how many are alive at each step."""
-    lanes = max(1, min(LANES, n // SHORTEST))
+    lanes = max(1, min(LANES, n // (SHORTEST if n < _MANY else STEPS)))
     steps, over = -(-n // lanes), n % lanes
     alive = np.full(steps, lanes)
     if over:
@@ -218,8 +233,7 @@ def encode_block(ids: np.ndarray) -> bytes:
             model.refresh()
         now = dealt[t, :m]
         state = model.predict(m)
-        hits = model.hits(now)
-        choice = _first(hits)
+        choice = model.first(now)
         place = state * _CHOICES + choice
         r = span[:m] >> _U(_WEIGHT_BITS)
         before = low[:m].copy()
@@ -237,7 +251,7 @@ def encode_block(ids: np.ndarray) -> bytes:
             low[escaped] += unit * at.astype(_U)
             span[escaped] = unit * model.frequency[own].astype(_U)
             settle(m, before)
-        model.learn(m, now, hits, place)
+        model.learn(m, now, place)
     every = np.arange(lanes)
     for shift in (_U(32), _U(0)):
         out[pos, every] = (low >> shift) & _LOW
@@ -300,19 +314,20 @@ def _decoded(coded: bytes, n: int, top: int) -> np.ndarray:
             (x, f), (y, g) = model.excluded(escaped)
             rest = model.total - f - g
             unit = span[escaped] // rest.astype(_U)
-            v = np.minimum((code[escaped] // unit).astype(np.int64), rest - 1)
+            v = np.minimum(code[escaped] // unit, (rest - 1).astype(_U)).astype(np.int32)
             gone = f * (model.upto[x] <= v)
             gone += g * (model.upto[y] <= v + gone)
             v += gone
-            order = np.argsort(v)  # neighbours are found faster one after the other
-            at = np.empty(len(v), np.int64)
-            at[order] = np.searchsorted(model.upto, v[order], "right") - 1
+            # neighbours are found faster one after the other; place and lane are sorted as one number
+            order = np.sort(v.astype(np.int64) << 16 | np.arange(len(v)))
+            at = np.empty(len(v), np.int32)
+            at[order & 0xFFFF] = np.searchsorted(model.upto, (order >> 16).astype(np.int32), "right") - 1
             code[escaped] -= unit * (model.upto[at] - gone).astype(_U)
             span[escaped] = unit * model.frequency[at].astype(_U)
             settle(m)
             now[escaped] = at
         dealt[t, :m] = now
-        model.learn(m, now, model.hits(now), place)
+        model.learn(m, now, place)
     return _joined(dealt, n)
 
 

@@ -29,19 +29,28 @@ from .vocab import WORD_BPE, RecentCache, default_path, held, to_letters
 
 #: Ids of a segment, unless one document alone has more.
 SEGMENT = coder.BLOCK
-#: Bytes of text that are encoded at a time, and chunks whose ids a worker keeps.
-BAND, CHUNK_ENTRIES = 1 << 23, 700_000
+#: Bytes of text that are encoded at a time, and parts of texts whose ids a worker keeps.
+BAND, CHUNK_ENTRIES = 1 << 23, 900_000
 #: Chunks that are encoded anew at a time, and letters and marks whose ids are kept for them.
 FRESH, PART_ENTRIES = 20_000, 300_000
 #: Documents of a part, on average, at most: more documents make more parts.
 PART_ROWS = 100_000
 #: Letters of Latin-1 in UTF-8 (all but the multiplication and division signs) and ASCII marks after them, without the apostrophe.
 _LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = re.compile(rb"[!-&(-/:-@\[-`{-~]+")
+_PART = re.compile(_MARKS.pattern + rb"|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: What a byte is: white space, an ASCII letter, an ASCII mark (without the apostrophe), or something else.
+_BLANK, _LETTER, _MARK, _OTHER = 0, 1, 2, 4
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[SPACE] = _BLANK
+_KIND[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+_KIND[[b for b in range(128) if _MARKS.fullmatch(bytes([b]))]] = _MARK
+_KINDS = _KIND.tobytes()
 SEGMENTS = "part int, seg int, first long, n_ids long, doc_ids array<long>, n_tokens array<int>, data binary"
 
 
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, each distinct chunk encoded once.
+    """Ids of texts by the tokenizers library, each distinct part encoded once.
 
     Only for tokenizers that drop white space: there a text's ids are the ids of
     its white-space separated chunks one after the other.
@@ -57,18 +66,30 @@ class ChunkEncoder:
         self.model = self.library.model
         probes = [w + m for w in (b"a", b"Word", b"NOTHING", b"zxqjkv", b"dont", b"rearranged") for m in (b"", b".", b",", b"!?", b"...", b")-", b"<|", b"$%&*+/:;=@[\\]^_`{}~#\"(")]
         probes += ["".join(w).encode() for c in map(chr, range(0xC0, 0x100)) if c.isalpha() for w in ((c,), ("a", c), (c, "b"), ("N", c, c, "t", ".)"), (c, "É"))]
-        self.simple = all(self.direct(*_LETTERS.fullmatch(p).groups()) == array("I", self.library.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in probes)
+        probes += [m for m in (b".", b",", b"!?", b"...", b")-", b"<|", b"$%&*+/:;=@[\\]^_`{}~#\"(")]
+        whole = [array("I", self.library.encode(p.decode(), add_special_tokens=False).ids).tobytes() for p in probes]
+        parts = [_LETTERS.fullmatch(p).groups() if _LETTERS.match(p) else (b"", p) for p in probes]
+        self.simple = all(b"".join(map(self.modelled, filter(None, pair))) == w for pair, w in zip(parts, whole))
         self.known = RecentCache(CHUNK_ENTRIES)
         self.parts: dict[bytes, bytes] = {}
 
-    def direct(self, letters: bytes, marks: bytes) -> bytes:
-        """Ids of Latin letters and of marks after them, by the library's model itself."""
-        return self.modelled(letters) + (self.modelled(marks) if marks else b"")
-
     def modelled(self, part: bytes) -> bytes:
         text = part.lower().decode("ascii") if part.isascii() else to_letters(part.decode("utf-8").lower().encode())
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def missed(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts of texts that are not known: letters in lower case or marks alone, or whole chunks of another form."""
+        out, rest, tokenize = [], [], self.model.tokenize
+        for k, p in enumerate(parts):
+            if self.simple and _PART.fullmatch(p):
+                out.append(array("I", [t.id for t in tokenize(p.decode("ascii") if p.isascii() else to_letters(p))]).tobytes())
+            else:
+                out.append(b"")
+                rest.append(k)
+        for k, ids in zip(rest, self.fresh([parts[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def fresh(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk.
 
@@ -98,19 +119,22 @@ class ChunkEncoder:
         return out
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text; every distinct chunk of all of them is looked up or encoded once."""
+        """Ids of each text; every distinct part of all of them is looked up or encoded once."""
         whole = {k for k, raw in enumerate(texts) if self.special.search(raw)}
         plain = [b"" if k in whole else raw for k, raw in enumerate(texts)]
-        starts, number, chunks = distinct_chunks(b" ".join(plain))
-        found = [*map(self.known.get, chunks)]
+        starts, number, parts = distinct_parts(b" ".join(plain), self.simple)
+        found = [*map(self.known.young.get, parts)]
         missing = [k for k, ids in enumerate(found) if ids is None]
+        for k in missing:
+            found[k] = self.known.get(parts[k])
+        missing = [k for k in missing if found[k] is None]
         for k in range(0, len(missing), FRESH):
             some = missing[k : k + FRESH]
-            for j, ids in zip(some, self.fresh([chunks[j] for j in some])):
+            for j, ids in zip(some, self.missed([parts[j] for j in some])):
                 found[j] = ids
-                if len(chunks[j]) <= 64:
-                    self.known.keep(chunks[j], ids)
-        # the bytes of all chunks' ids in the order of the text, and where each begins
+                if len(parts[j]) <= 64:
+                    self.known.keep(parts[j], ids)
+        # the bytes of all parts' ids in the order of the text, and where each begins
         _, upto, data = pa.array(found, pa.large_binary()).take(number).buffers()
         upto = np.frombuffer(upto, np.int64, len(number) + 1) >> 2
         ids = np.frombuffer(data, "<u4", int(upto[-1])) if len(number) else np.zeros(0, "<u4")
@@ -118,20 +142,50 @@ class ChunkEncoder:
         return [np.array(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4") if k in whole else ids[cuts[k] : cuts[k + 1]] for k, raw in enumerate(texts)]
 
 
-def distinct_chunks(raw: bytes) -> tuple[np.ndarray, pa.Array, list[bytes]]:
-    """Where the white-space separated chunks start, the number of each, and the chunk of each number.
+def distinct_parts(raw: bytes, cut: bool = True) -> tuple[np.ndarray, pa.Array, list[bytes]]:
+    """Where parts start, the number of each, and the part of each number.
 
-    A chunk may have two numbers, if other white space stands behind it.
+    Parts are the white-space separated chunks; with ``cut``, one of Latin letters
+    and marks after them is two parts, and its letters are in lower case.
     """
-    space = SPACE[np.frombuffer(raw, np.uint8)]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    offsets = np.append(starts, len(raw))
-    behind = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-    coded = behind.dictionary_encode()
+    own = np.frombuffer(raw, np.uint8)
+    kind, low = np.frombuffer(bytearray(raw.translate(_KINDS)), np.uint8), own
+    first = kind != _BLANK
+    kept = first.copy()
+    first[1:] &= ~kept[:-1]
+    if cut:
+        lead = np.flatnonzero(own == 0xC3)
+        after = own[lead + 1]
+        good = (after != 0x97) & (after != 0xB7)
+        lead, after = lead[good], after[good]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low = np.frombuffer(bytearray(raw.lower()), np.uint8)
+        low[lead + 1] = after + np.where(after < 0x9F, np.uint8(0x20), np.uint8(0))
+        # letters behind a mark and bytes of other kinds make a chunk one that stays whole
+        turn = kind[1:] ^ kind[:-1]
+        turn = np.flatnonzero(turn == (_LETTER ^ _MARK)) + 1
+        back = kind[turn] == _LETTER
+        odd = np.concatenate([np.flatnonzero(kind == _OTHER), turn[back]])
+        turn = turn[~back]
+        if len(odd):
+            starts = np.flatnonzero(first)
+            stays = np.zeros(len(starts) + 1, bool)
+            stays[np.searchsorted(starts, odd, "right")] = True
+            turn = turn[~stays[np.searchsorted(starts, turn, "right")]]
+            ends = np.append(starts[1:], len(own))
+            for a, b in zip(starts[stays[1:]].tolist(), ends[stays[1:]].tolist()):
+                low[a:b] = own[a:b]
+        first[turn] = True
+    starts = np.flatnonzero(first)
+    ends = np.cumsum(kept, dtype=np.int32 if len(own) < 1 << 31 else np.int64)
+    offsets = np.append(ends[starts] - 1, ends[-1:]).astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[kept])])
+    coded = parts.dictionary_encode()
+    if not len(starts):
+        return starts, coded.indices, []
     _, ends, data = coded.dictionary.buffers()
-    ends = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist() if len(starts) else [0]
-    data = data.to_pybytes() if len(starts) else b""
-    return starts, coded.indices, [data[a:e].rstrip() for a, e in zip(ends, ends[1:])]
+    ends, data = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+    return starts, coded.indices, [data[a:e] for a, e in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> ChunkEncoder:
