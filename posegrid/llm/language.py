@@ -10,8 +10,9 @@ Probabilities are smoothed from the shortest n-gram to the longest:
 The filter is made of parts, one for each cell of the n-grams' hashes, every
 one as large as its own entries need.  While all parts together stay below
 ``BROADCAST_BYTES`` they are broadcast to the workers.  A larger filter stays
-where it was written: each band of text sends its distinct n-grams to the parts
-and gets their levels back, with the same results.
+where it was written, cut into shards of many cells: ``UNIT`` bands of text together
+send their distinct n-grams to the shards and get the levels back, with the same
+results.
 
 Exact counts of tokens stand beside it.  Words of at most 15 bytes are their own
 key, longer ones are known by 15 bytes of their BLAKE2b digest.  Of tokens that
@@ -57,6 +58,10 @@ SHARE = 65_536
 #: Bytes of text that a task looks at together, n-grams that it holds before it
 #: hands them on, and n-grams (with repeats) that a cell stands for.
 BAND, HELD, CELL = 1 << 20, 1_000_000, 1 << 21
+#: Bands that ask a larger filter together, and bytes of such a filter that answer
+#: together.  A message is what a unit asks of a shard: there are as many as units
+#: times shards, so both are large.
+UNIT, SHARD_BYTES = 16, 4 << 20
 
 _ODD = _U(0xD6E8FEB86659FD93)
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -200,6 +205,12 @@ class Tokens:
         return first, which
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The numbers that there are, ascending; sorting is faster here than ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def combined(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with their counts added up."""
     k, n = np.concatenate(keys), np.concatenate(counts)
@@ -249,6 +260,7 @@ class Filter:
 
     @staticmethod
     def of(parts: dict[int, bytes | pa.Buffer], cells: int) -> Filter:
+        """Of the parts of some or all cells; n-grams of other cells have level 0."""
         arrays = [np.frombuffer(parts.get(c, b""), _U) for c in range(cells)]
         return Filter(np.concatenate(arrays), np.concatenate([[0], np.cumsum([len(x) for x in arrays])]))
 
@@ -398,12 +410,14 @@ def _build(per_entry: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
+        new: dict[int, int] = {}  # n-grams of a cell since they were last added up
         for b in batches:
             for cell, k, n in zip(*(c.to_pylist() for c in b.columns)):
                 own = held.setdefault(cell, [])
                 own.append((np.frombuffer(k, _U), np.frombuffer(n, np.int64)))
-                if sum(len(x[0]) for x in own[1:]) > CELL:
-                    own[:] = [combined(*zip(*own))]
+                new[cell] = new.get(cell, 0) + len(own[-1][0])
+                if new[cell] > CELL:
+                    own[:], new[cell] = [combined(*zip(*own))], 0
         for cell in [*held]:
             grams, counts = combined(*zip(*held.pop(cell)))
             yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([part(grams, counts, per_entry).tobytes()], pa.binary())], names=["cell", "bits"])
@@ -450,7 +464,7 @@ def log_probabilities(t: Tokens, model: Totals, levels: Callable[[np.ndarray], n
 
 def asked(t: Tokens) -> np.ndarray:
     """The distinct n-grams that ``log_probabilities`` looks up, ascending."""
-    return np.unique(np.concatenate([g[t.needed(k)] for k, g in enumerate(t.grams(), 1)]))
+    return distinct(np.concatenate([g[t.needed(k)] for k, g in enumerate(t.grams(), 1)]))
 
 
 _PIECE = "n_tokens long, n_known long, base double, score double, rare array<struct<a:long,b:long,n:long>>"
@@ -502,9 +516,10 @@ def _by_broadcast(rows: DataFrame, model: Model, hot) -> DataFrame:
 
 
 def _by_shuffle(rows: DataFrame, model: Model, hot) -> tuple[DataFrame, list[DataFrame]]:
-    """As ``_by_broadcast``; n-grams go to the filter's parts and their levels come back."""
+    """As ``_by_broadcast``; n-grams go to the filter's shards and their levels come back."""
     spark = rows.sparkSession
     totals, order, cells = model.totals, model.totals.order, model.cells
+    shards, together = max(1, min(cells, -(-model.size // SHARD_BYTES))), UNIT
     id_type = rows.schema["doc_id"].dataType.simpleString()
     own = f"band long, key long, doc_id {id_type}, held_out boolean, raw binary, before binary, first boolean, last boolean"
 
@@ -519,72 +534,90 @@ def _by_shuffle(rows: DataFrame, model: Model, hot) -> tuple[DataFrame, list[Dat
 
     pieces = written(rows.mapInArrow(cut, own), "lm-bands")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-        """The rows of each band: they lie one after the other in its file."""
-        number, band = None, []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the pieces of a unit ask of each shard; a unit that lies in two tasks asks twice."""
+        number, band, held = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            grams = distinct(np.concatenate(held))
+            held.clear()
+            if not len(grams):
+                return
+            shard = (cell_of(grams, cells) * _U(shards)) // _U(cells)
+            by = np.argsort(shard, kind="stable")
+            grams, shard = grams[by], shard[by]
+            edges = np.concatenate([np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), [len(grams)]])
+            spans = [*zip(edges[:-1], edges[1:])]
+            n = len(spans)
+            yield pa.record_batch([pa.array([int(shard[x]) for x, _ in spans], pa.int32()), pa.array([number // together] * n, pa.int64()), pa.array([grams[x:y].tobytes() for x, y in spans], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["shard", "unit", "grams", "cell", "bits"])
+
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0] != number and band:
-                    yield number, band
-                    band = []
-                number = r[0]
+                if r[0] != number:
+                    if band:
+                        held.append(asked(Tokens(band, order)))
+                    if held and r[0] // together != number // together:
+                        yield from out()
+                    number, band = r[0], []
                 band.append(r[1:])
         if band:
-            yield number, band
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, band in whole(batches):
-            grams = asked(Tokens(band, order))
-            cell = cell_of(grams, cells)
-            found = np.unique(cell)
-            yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array([number] * len(found), pa.int64()), pa.array([grams[cell == c].tobytes() for c in found], pa.binary()), pa.array([None] * len(found), pa.binary())], names=["cell", "band", "grams", "bits"])
+            held.append(asked(Tokens(band, order)))
+            yield from out()
 
-    by_band = pieces.repartition("band").sortWithinPartitions("band", "key")
-    questions = by_band.mapInArrow(ask, "cell int, band long, grams binary, bits binary")
-    both = model.parts.select("cell", F.lit(None).cast("long").alias("band"), F.lit(None).cast("binary").alias("grams"), "bits").unionByName(questions)
+    # no shuffle: a piece has the words before it, so it knows what it asks
+    questions = pieces.mapInArrow(ask, "shard int, unit long, grams binary, cell int, bits binary")
+    of_cell = F.expr(f"CAST(CAST(cell AS long) * {shards} DIV {cells} AS int)")
+    both = model.parts.select(of_cell.alias("shard"), F.lit(None).cast("long").alias("unit"), F.lit(None).cast("binary").alias("grams"), "cell", "bits").unionByName(questions)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, b""
+        now, parts, whole = None, {}, None
         for b in batches:
-            for cell, number, grams, found in zip(*(c.to_pylist() for c in b.columns)):
-                if cell != now:
-                    now, bits = cell, b""
-                if number is None:
-                    bits = found
+            shards_, units, grams, in_cell, bits = b.columns
+            for k in range(b.num_rows):
+                if (shard := shards_[k].as_py()) != now:
+                    now, parts, whole = shard, {}, None
+                if not units[k].is_valid:
+                    parts[in_cell[k].as_py()] = bits[k].as_py()
                     continue
-                g = np.frombuffer(grams, _U)
-                one = Filter.of({0: bits}, 1)
-                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([grams], pa.binary()), pa.array([one.levels(g).astype(np.uint8).tobytes()], pa.binary())], names=["band", "grams", "levels"])
+                if whole is None:
+                    whole, parts = Filter.of(parts, cells), {}
+                g = np.frombuffer(grams[k].as_buffer(), _U)
+                yield pa.record_batch([units[k : k + 1], grams[k : k + 1], pa.array([whole.levels(g).astype(np.uint8).tobytes()], pa.binary())], names=["unit", "grams", "levels"])
 
-    # a part comes before the questions that it answers
-    answers = both.repartition("cell").sortWithinPartitions("cell", F.col("band").asc_nulls_first()).mapInArrow(answer, "band long, grams binary, levels binary")
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in pieces.schema.fields[1:]]
-    back = answers.select("band", *none, "grams", "levels").unionByName(pieces.select("*", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("levels")))
+    # a shard's parts come before the questions that they answer
+    answers = both.repartition("shard").sortWithinPartitions("shard", F.col("unit").asc_nulls_first()).mapInArrow(answer, "unit long, grams binary, levels binary")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in pieces.schema.fields]
+    back = answers.select("unit", *none, "grams", "levels").unionByName(pieces.select(F.expr(f"band DIV {together}").alias("unit"), "*", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("levels")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, band, known, kind = None, [], [], None
+        unit, number, band, known, kind = None, None, [], [], None
+        grams, levels = np.zeros(0, _U), np.zeros(0, np.uint8)
 
         def out():
-            grams, levels = (np.concatenate(x) for x in zip(*known))
-            by = np.argsort(grams)
-            grams, levels = grams[by], levels[by]
             return _piece_batch(band, score_band(band, totals, hot.value, lambda g: levels[np.searchsorted(grams, g)].astype(np.int64)), kind)
 
         for b in batches:
             kind = b.schema.field("doc_id").type
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0] != number:
+                if (r[0], r[1]) != (unit, number):
                     if band:
                         yield out()
-                    number, band, known = r[0], [], []
-                if r[8] is not None:
-                    known.append((np.frombuffer(r[8], _U), np.frombuffer(r[9], np.uint8)))
-                else:
-                    band.append(r[1:8])
+                    if r[0] != unit:
+                        known = []
+                    unit, number, band = r[0], r[1], []
+                if r[9] is not None:
+                    known.append((np.frombuffer(r[9], _U), np.frombuffer(r[10], np.uint8)))
+                    continue
+                if known:
+                    grams, levels = (np.concatenate(x) for x in zip(*known))
+                    by = np.argsort(grams)
+                    grams, levels, known = grams[by], levels[by], []
+                band.append(r[2:9])
         if band:
             yield out()
 
-    scored = back.repartition("band").sortWithinPartitions("band", F.col("key").asc_nulls_first()).mapInArrow(finish, f"key long, doc_id {id_type}, held_out boolean, {_PIECE}")
+    # the answers to a unit come before its bands
+    scored = back.repartition("unit").sortWithinPartitions("unit", F.col("band").asc_nulls_first(), "key").mapInArrow(finish, f"key long, doc_id {id_type}, held_out boolean, {_PIECE}")
     return scored, [pieces]
 
 

@@ -122,6 +122,29 @@ def test_language_filter_beyond_broadcast(spark, monkeypatch):
     assert sorted(map(str, language.language_scores(df, order=3).collect())) == want
 
 
+@pytest.mark.parametrize("together", [1, 16])
+def test_language_messages_to_a_large_filter(spark, monkeypatch, together):
+    """Bands ask shards, not cells: their number does not grow with bands times cells."""
+    r = random.Random(8)
+    rows = [(k, " ".join(f"{r.choice('abcd')}{r.randrange(3000)}" for _ in range(60_000))) for k in range(8)]
+    df = table_of(spark, rows).coalesce(1)
+    monkeypatch.setattr(language, "CELL", 1 << 13)  # some 90 cells
+    want = sorted(map(str, language.language_scores(df).collect()))
+    sent, dealt = [], type(df).repartition
+
+    def seen(self, *by):
+        if "grams" in self.columns and isinstance(by[0], str) and by[0] in ("cell", "shard"):
+            sent.append(self.where("grams IS NOT NULL").count())
+        return dealt(self, *by)
+
+    monkeypatch.setattr(type(df), "repartition", seen)
+    monkeypatch.setattr(language, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(language, "UNIT", together, raising=False)
+    monkeypatch.setattr(language, "SHARD_BYTES", 1 << 18, raising=False)
+    assert sorted(map(str, language.language_scores(df).collect())) == want
+    assert len(sent) == 1 and 0 < sent[0] <= 80
+
+
 def test_language_rare_words_by_join(spark, monkeypatch):
     rows = odd_texts()
     monkeypatch.setattr(language, "SHARE", 4)
